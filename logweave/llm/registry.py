@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from logweave.llm.media import op9_media
 from logweave.llm.mixing import OP7_SQL, op7_mixing
 from logweave.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op2_warc": op2_warc,
     "op7_mixing": op7_mixing,
+    "op9_media": op9_media,
 }
 
 ORACLES = {
