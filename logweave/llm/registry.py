@@ -5,12 +5,14 @@ from __future__ import annotations
 from logweave.llm.chat import OP3_SQL, op3_chat
 from logweave.llm.media import op9_media
 from logweave.llm.mixing import OP7_SQL, op7_mixing
+from logweave.llm.toxicity import op8_toxicity
 from logweave.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_chat": op3_chat,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_media": op9_media,
 }
 
