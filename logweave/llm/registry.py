@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from logweave.llm.chat import OP3_SQL, op3_chat
+from logweave.llm.langid import op4_langid
 from logweave.llm.media import op9_media
 from logweave.llm.mixing import OP7_SQL, op7_mixing
 from logweave.llm.toxicity import op8_toxicity
@@ -11,6 +12,7 @@ from logweave.llm.warc import OP2_SQL, op2_warc
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_chat": op3_chat,
+    "op4_langid": op4_langid,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_media": op9_media,
