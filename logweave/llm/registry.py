@@ -6,6 +6,7 @@ from logweave.llm.chat import OP3_SQL, op3_chat
 from logweave.llm.langid import op4_langid
 from logweave.llm.media import op9_media
 from logweave.llm.mixing import OP7_SQL, op7_mixing
+from logweave.llm.neighbours import op10_neighbours
 from logweave.llm.toxicity import op8_toxicity
 from logweave.llm.warc import OP2_SQL, op2_warc
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_media": op9_media,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLES = {
