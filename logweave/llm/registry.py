@@ -5,6 +5,7 @@ from __future__ import annotations
 from logweave.llm.chat import OP3_SQL, op3_chat
 from logweave.llm.langid import op4_langid
 from logweave.llm.media import op9_media
+from logweave.llm.minhash import op6_minhash
 from logweave.llm.mixing import OP7_SQL, op7_mixing
 from logweave.llm.neighbours import op10_neighbours
 from logweave.llm.toxicity import op8_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_chat": op3_chat,
     "op4_langid": op4_langid,
+    "op6_minhash": op6_minhash,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_media": op9_media,
