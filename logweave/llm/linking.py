@@ -9,6 +9,8 @@ members compared. No link between members of a bucket is lost, and none is emitt
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def union_find(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     return roots
 
 
-def overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def set_overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b, ...) with common and union, the sizes for their sets (id, items)."""
     left = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
     right = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
@@ -62,10 +64,11 @@ def overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def link(members: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+def link(members: DataFrame, overlap: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch) -> DataFrame:
     """(id, root) of ids with at least one link: den * common >= num * union, exactly, between members of a bucket.
 
-    members (bucket, id) without repeats, sets (id, items) with the distinct items of all ids in it.
+    members (bucket, id) without repeats; overlap adds common and union, the sizes for the items of
+    the ids a and b, to a table of pairs.
     """
     linked = F.col("common") * den >= F.col("union") * num
     far = 1 - num / den  # the largest distance of a link
@@ -89,7 +92,7 @@ def link(members: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scrat
         leaders = scratch.save(held.groupBy("bucket").agg(F.min("center").alias("leader")), f"leaders{n}")
         alone = state.where("id = center").select("id")
         tries = members.join(leaders, "bucket").where("id > leader").groupBy("id").agg(F.min("leader").alias("leader")).join(alone, "id", "left_semi")
-        found = scratch.save(overlap(tries.select(F.col("leader").alias("a"), F.col("id").alias("b")), sets).where(linked).select("a", "b"), f"stars{n}")
+        found = scratch.save(overlap(tries.select(F.col("leader").alias("a"), F.col("id").alias("b"))).where(linked).select("a", "b"), f"stars{n}")
         edges = found if edges is None else edges.unionByName(found)
         got = found.select(F.col("b").alias("id"), F.col("a").alias("leader"))
         state = scratch.save(state.join(got, "id", "left").select("id", F.coalesce("leader", "center").alias("center")), f"state{n}")
@@ -105,7 +108,7 @@ def link(members: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scrat
     centers = scratch.save(centers.join(mixed, "bucket", "left_semi"), "centers")
     one, two = centers.select("bucket", F.col("center").alias("a"), F.col("root").alias("ra")), centers.select("bucket", F.col("center").alias("b"), F.col("root").alias("rb"))
     pairs = one.join(two, "bucket").where("a < b and ra <> rb").select("a", "b").distinct()
-    near = scratch.save(overlap(pairs, sets).where(nearer(3)), "near")
+    near = scratch.save(overlap(pairs).where(nearer(3)), "near")
     edges = edges.unionByName(near.where(linked).select("a", "b"))
     if near.isEmpty():
         return roots
@@ -116,11 +119,11 @@ def link(members: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scrat
     inside = state.select(F.col("center"), F.col("id").alias("x"))
     left = open_.join(inside.withColumnRenamed("center", "a"), "a").select(F.col("a").alias("c1"), F.col("b").alias("c2"), F.col("x").alias("a"), "b")
     right = open_.join(inside.withColumnRenamed("center", "b"), "b").select(F.col("a").alias("c1"), F.col("b").alias("c2"), "a", F.col("x").alias("b"))
-    left = overlap(left, sets).where(nearer(2)).select("c1", "c2", F.col("a").alias("x"))
-    right = overlap(right, sets).where(nearer(2)).select("c1", "c2", F.col("b").alias("y"))
+    left = overlap(left).where(nearer(2)).select("c1", "c2", F.col("a").alias("x"))
+    right = overlap(right).where(nearer(2)).select("c1", "c2", F.col("b").alias("y"))
     left, right = scratch.save(left, "left"), scratch.save(right, "right")
     more = left.join(right, ["c1", "c2"]).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    more = scratch.save(overlap(more, sets).where(linked).select("a", "b"), "more")
+    more = scratch.save(overlap(more).where(linked).select("a", "b"), "more")
     if more.isEmpty():
         return roots
     return union_find(edges.unionByName(more), scratch, "third")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from logweave.llm.chat import OP3_SQL, op3_chat
 from logweave.llm.langid import op4_langid
+from logweave.llm.lines import op1_lines
 from logweave.llm.media import op9_media
 from logweave.llm.minhash import op6_minhash
 from logweave.llm.mixing import OP7_SQL, op7_mixing
@@ -12,6 +13,7 @@ from logweave.llm.toxicity import op8_toxicity
 from logweave.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op1_lines": op1_lines,
     "op2_warc": op2_warc,
     "op3_chat": op3_chat,
     "op4_langid": op4_langid,
