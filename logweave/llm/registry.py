@@ -9,6 +9,7 @@ from logweave.llm.media import op9_media
 from logweave.llm.minhash import op6_minhash
 from logweave.llm.mixing import OP7_SQL, op7_mixing
 from logweave.llm.neighbours import op10_neighbours
+from logweave.llm.pieces import op5_pieces
 from logweave.llm.toxicity import op8_toxicity
 from logweave.llm.warc import OP2_SQL, op2_warc
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_chat": op3_chat,
     "op4_langid": op4_langid,
+    "op5_pieces": op5_pieces,
     "op6_minhash": op6_minhash,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
