@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from logweave.operators import ordered, relational
 from logweave.plans import rollup
 
 QUERIES = {}
 ORACLES = {}
-for module in (rollup,):
+for module in (rollup, relational, ordered):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
