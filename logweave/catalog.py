@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from logweave.functions import normalize
 from logweave.operators import ordered, relational
-from logweave.plans import rollup
+from logweave.plans import evidence, rollup
 
 QUERIES = {}
 ORACLES = {}
-for module in (rollup, relational, ordered):
+for module in (rollup, relational, ordered, normalize, evidence):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
