@@ -5,9 +5,10 @@ from __future__ import annotations
 from logweave.functions import normalize
 from logweave.operators import ordered, relational
 from logweave.plans import evidence, rollup
+from logweave.sources import ingest
 
 QUERIES = {}
 ORACLES = {}
-for module in (rollup, relational, ordered, normalize, evidence):
+for module in (rollup, relational, ordered, normalize, evidence, ingest):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
