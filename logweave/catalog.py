@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from logweave.functions import normalize
+from logweave.functions import drift, normalize
 from logweave.operators import ordered, relational
 from logweave.plans import evidence, rollup
 from logweave.sources import ingest
+from logweave.streaming import jobs
 
 QUERIES = {}
 ORACLES = {}
-for module in (rollup, relational, ordered, normalize, evidence, ingest):
+for module in (rollup, relational, ordered, normalize, evidence, ingest, drift, jobs):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
