@@ -186,6 +186,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs without the rows that aren't the first of their group. Rows whose id is null or whose text is empty stay."""
+    gone = near_duplicates(docs, key, text, shingle, num, den).where("not kept").select(key).distinct()
+    return docs.join(gone, key, "left_anti")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: doc_id, n_shingles, component_id, kept; 3-word shingles, Jaccard similarity 0.85 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"))

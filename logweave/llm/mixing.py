@@ -122,6 +122,20 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     )
 
 
+def repeat_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs with each row as often as the mix takes it whole: floor(taken / size) times.
+
+    The one document in which a source's budget ends counts only if it fits. Rows without words can't
+    be counted by words; they stay once. Repeated rows of an id are taken alike, ids are matched null-safe.
+    """
+    plan = mix(docs, key, text, source).where("size > 0")
+    plan = plan.select(F.col(key).alias("__key"), F.col("size").alias("__size"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__times")).groupBy("__key", "__size").agg(F.max("__times").alias("__times"))
+    sized = docs.withColumn("__words", word_count(F.col(text)))
+    found = sized.join(plan, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__words") == F.col("__size")), "left")
+    times = F.coalesce("__times", F.lit(1))
+    return found.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source: doc_id, size, source_size, target, taken."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
