@@ -209,7 +209,7 @@ QUERIES = {
     "vault_window": lambda s, d: vault_window(log_view(s, d).select("event_uid", "segment_no"), log_view(s, d).selectExpr("segment_no", "event_id as version", "concat('w', event_id % 13) as window_id").where("segment_no % 3 <> 1")),
     "fan_out_receipts": _fan,
     "attribute_by_key": lambda s, d: attribute_by_key(log_view(s, d).selectExpr("event_uid", "concat('secret', user_id * (1 + event_id % 20)) as secret"), _keys(s, d), _sources(s), "pepper"),
-    "find_events": lambda s, d: find_events(s.createDataFrame([("error", 1), ("signup", 2)], "sig string, ord int"), log_view(s, d).selectExpr("source_id as sig", "event_uid").where("event_uid like '%7'"), 200),
+    "find_events": lambda s, d: find_events(s.createDataFrame([("error", 1), ("signup", 2)], "sig string, ord int"), log_view(s, d).selectExpr("source_id as sig", "event_uid"), 200),
     "skip_indexed": lambda s, d: skip_indexed(
         log_view(s, d).selectExpr("source_id as topic", "user_id % 4 as part", "event_id as pos", "received_time", "event_uid"),
         log_view(s, d).where("event_id % 3 <> 0").selectExpr("source_id as topic", "user_id % 4 as part", "event_id as pos", "case when event_id % 5 = 0 then received_time + interval 1 second else received_time end as received_time"),
@@ -254,7 +254,7 @@ ORACLES = {
     "attribute_by_key": f"""{LOG} select event_uid, coalesce(c_mktsegment, 'none') as source_id, case c_mktsegment when 'BUILDING' then 'acme' when 'MACHINERY' then 'globex' else 'generic' end as vendor,
  case when c_custkey is null then 'unknown_key' when c_acctbal < 0 then 'revoked' when c_mktsegment = 'MACHINERY' then 'source_paused' else 'admitted' end as outcome
  from log left join customer on c_custkey = user_id * (1 + event_id % 20)""",
-    "find_events": f"{LOG} select event_uid, case source_id when 'error' then 1 else 2 end::int as ord from log where source_id in ('error', 'signup') and event_uid like '%7' order by ord, event_uid desc limit 200",
+    "find_events": f"{LOG} select event_uid, case source_id when 'error' then 1 else 2 end::int as ord from log where source_id in ('error', 'signup') order by ord, event_uid desc limit 200",
     "skip_indexed": f"{LOG} select event_uid, source_id as topic from log where event_id % 3 = 0 or event_id % 5 = 0",
     "shadow_join": f"{_CL} select path, change, count(*) as n from x where change is not null group by all",
     "changed_and_lost": f"{_CL} select event_uid, string_agg(change || ':' || path, ',' order by change || ':' || path) as changes from x where change is not null group by 1",
