@@ -25,7 +25,7 @@ NUM, DEN = 80, 100
 
 def normal(line: Column) -> Column:
     """What counts as the same line: case and outer white space don't matter."""
-    return F.lower(F.regexp_replace(line, r"^\s+|\s+$", ""))
+    return F.lower(F.trim(line, F.lit(" \t\r\x0b\x0c\xa0")))
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -35,20 +35,21 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return cut.withColumn("id", F.when(F.col("line") != "", F.xxhash64("line")))
 
 
-def char_shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of all k-character shingles and where each text's begin. A shorter text is one shingle."""
+def char_shingles(texts: list[str], k: int, words: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of 32 * words bits of all k-character shingles and where each text's begin. A shorter text is one shingle."""
     sizes = np.array([len(t) for t in texts], np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    key = np.zeros(len(points), np.uint32)
+    kind, prime, odd, shift = ((np.uint32, 0x9E3779B1, 0x85EBCA6B, 15), (np.uint64, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 29))[words - 1]
+    key = np.zeros(len(points), kind)
     short = np.repeat(sizes, sizes) < k
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))  # characters to the text's end
-    padded = np.concatenate([points, np.zeros(k, np.uint32)])
+    padded = np.concatenate([points, np.zeros(k, np.uint32)]).astype(kind, copy=False)
     for i in range(k):
         x = padded[i : i + len(points)]
         if short.any():
-            x = np.where(left > i, x, np.uint32(0))
-        key = (key ^ x * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B)
-        key ^= key >> np.uint32(15)
+            x = np.where(left > i, x, kind(0))
+        key = (key ^ x * kind(prime)) * kind(odd)
+        key ^= key >> kind(shift)
     counts = np.where(sizes < k, 1, sizes - k + 1)
     starts = np.cumsum(sizes) - sizes
     keep = (left >= k) | short & (np.arange(len(points)) == np.repeat(starts, sizes))
@@ -106,10 +107,44 @@ def text_overlap(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select(*pairs.columns, "line_a", "line_b").mapInArrow(run, f"{kinds}, common long, union long")
 
 
+def text_items(texts: DataFrame, k: int) -> DataFrame:
+    """(id, items): 64-bit hashes of the distinct character shingles of (id, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in blocks(whole, "line"):
+                lines = batch.column("line").to_pylist()
+                flat, starts = char_shingles(lines, k, 2)
+                items = [np.unique(x) for x in np.split(flat, starts[1:])] if lines else []
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.view(np.int64) for x in items], pa.list_(pa.int64()))], ["id", "items"])
+
+    return texts.select("id", "line").mapInArrow(run, "id long, items array<long>")
+
+
+BITS = 25
+
+
+def possibly(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (id, ...) without most of those whose id isn't in ids, before anything is shuffled.
+
+    A bitmap of 2^25 bits over the ids is broadcast (4 MB at any input size). With very many ids it
+    lets more rows through; the join after it decides.
+    """
+    spark = ids.sparkSession
+    place = ids.select(F.pmod("id", F.lit(1 << BITS)).alias("h")).distinct()
+    words = place.groupBy(F.shiftright("h", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << BITS - 6, np.int64)
+    bitmap[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    one = spark.createDataFrame(pa.table({"__bitmap": pa.array([bitmap], pa.list_(pa.int64()))}))
+    h = f"pmod(id, {1 << BITS})"
+    hit = F.expr(f"(shiftrightunsigned(get(__bitmap, cast({h} >> 6 as int)), cast({h} & 63 as int)) & 1) = 1")
+    return rows.where("id is not null").join(F.broadcast(one), hit).drop("__bitmap")
+
+
 def line_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row per line: doc, line_no (from 0), rep_doc, rep_line (the first line of its component), kept.
 
-    Lines are cut at "\\n"; case and outer white space don't matter. Lines with 100 * common >= 80 * union
+    Lines are cut at "\\n"; case and outer blanks don't matter. Lines with 100 * common >= 80 * union
     of their distinct 8-character shingles are linked; a shorter line is one shingle. Blank lines are
     their own component and kept. Null texts have no lines. The first line is that with the smallest
     (document, line number), null ids first; rows that repeat a document id count as one document.
@@ -119,10 +154,10 @@ def line_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     scratch = Scratch(spark, "lines")
     rows = scratch.save(signed(lines_of(docs, key, text), k), "signed")
     members = scratch.save(in_buckets(rows.where(F.col("id").isNotNull()).select(F.explode("bands").alias("bucket"), "id")).distinct(), "members")
-    wanted = members.select("id").distinct()
-    texts = lines_of(docs, key, text).select("id", "line").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    wanted = scratch.save(members.select("id").distinct(), "wanted")
+    texts = possibly(wanted, lines_of(docs, key, text).select("id", "line")).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
     texts = scratch.save(texts, "texts")
-    roots = link(members, lambda pairs: text_overlap(pairs, texts, k), num, den, scratch)
+    roots = link(members, lambda pairs: text_overlap(pairs, texts, k), lambda ids: text_items(texts.join(ids, "id", "left_semi"), k), num, den, scratch)
     # blank lines stay apart: they have no group
     named = rows.select("doc", "line_no", "id").join(roots, "id", "left").withColumn("group", F.coalesce("root", "id"))
     place = F.struct("doc", "line_no")

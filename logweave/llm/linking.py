@@ -1,22 +1,23 @@
 """From hash buckets to connected components: verified links without all pairs of a bucket.
 
-Buckets can hold very many near copies of one text. Their members first try the bucket's smallest
-member (a star), so a group of n copies costs n comparisons. Jaccard distance is a metric, so what
-is far from a star's centre can't be near its members; only the centres of different components are
-then compared with each other, and only between centres that are neither linked nor far apart are
-members compared. No link between members of a bucket is lost, and none is emitted n * n times.
+Buckets can hold very many near copies of one text. Each member first tries the one of its buckets'
+hubs that shares most with others (a star), so a group of n copies costs n comparisons. Members of
+buckets that still hold several components then meet by an exact prefix filter on their rarest
+items, so copies that all differ from each other aren't paired n * n times, and no link between
+members of a bucket is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.common import Scratch
 
-STAR_ROUNDS = 6
+STAR_ROUNDS = 3
+EXTENSION = 16  # more items of a prefix that are compared before a pair is formed
 
 
 def union_find(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
@@ -64,72 +65,70 @@ def set_overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def link(members: DataFrame, overlap: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch) -> DataFrame:
+def prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets (id, items, root) with different roots that can have den * common >= num * union.
+
+    Prefix filter: with items in order of rarity, such sets share an item among their first ones, whose
+    number follows from both sizes, and n + 1 items among the first ones and n more. So none is missed,
+    and sets that differ in more rare items than that never meet. An item's rows of the root that holds
+    most of them aren't paired with each other.
+    """
+    sized = sets.select("id", "root", F.size("items").alias("size"), F.explode("items").alias("item"))
+    rarity = sized.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    # items of one set only can't be shared: they take places in the prefix, but need no rows
+    own = sized.join(rarity, "item").groupBy("id", "root", "size").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("known"))
+    alone = F.col("size") - F.size("known")
+    room = F.col("size") - F.expr(f"cast((size * {num} + {den - 1}) div {den} as int)") + 1 - alone
+    first = own.where(room > 0).withColumns({"alone": alone, "order": F.transform(F.slice("known", F.lit(1), (room + EXTENSION).cast("int")), lambda x: x["item"])})
+    tokens = first.select("id", "root", "size", "alone", "order", F.posexplode(F.slice("order", F.lit(1), room.cast("int"))).alias("k", "item"))
+    most = tokens.groupBy("item", "root").agg(F.count("*").alias("n")).groupBy("item").agg(F.max(F.struct("n", "root")).getField("root").alias("major"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = tokens.join(most.drop("roots"), "item")
+    few, all_ = mixed.where("root <> major").alias("x"), mixed.alias("y")
+    need = F.expr(f"cast(((x.size + y.size) * {num} + {num + den - 1}) div {num + den} as int)")
+    more = F.least(F.lit(EXTENSION), need - 1)
+    left = lambda t: F.col(f"{t}.size") - need - F.col(f"{t}.alone") + 1  # noqa: E731  places of the shorter prefix that can match
+    begin = lambda t: F.slice(f"{t}.order", F.lit(1), F.greatest(left(t) + more, F.lit(0)).cast("int"))
+    shared = F.array_intersect(begin("x"), begin("y"))
+    # one row per pair, at its rarest common item
+    fits = (F.col("x.root") != F.col("y.root")) & (F.col("x.k") < left("x")) & (F.col("y.k") < left("y")) & (F.size(shared) > more) & (F.get(shared, F.lit(0)) == F.col("x.item"))
+    met = few.join(all_, (F.col("x.item") == F.col("y.item")) & fits)
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def link(members: DataFrame, overlap: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch) -> DataFrame:
     """(id, root) of ids with at least one link: den * common >= num * union, exactly, between members of a bucket.
 
     members (bucket, id) without repeats; overlap adds common and union, the sizes for the items of
-    the ids a and b, to a table of pairs.
+    the ids a and b, to a table of pairs; items gives (id, items) of a table of ids, items without repeats.
     """
     linked = F.col("common") * den >= F.col("union") * num
-    far = 1 - num / den  # the largest distance of a link
-
-    def nearer(times: int) -> Column:
-        return F.col("common") > (1 - times * far - 1e-9) * F.col("union")
-
-    state = members.select("id").distinct().withColumn("center", F.col("id"))
-    state = scratch.save(state, "state0")
-    total = members.count()
-    leaders, edges, n = None, None, 0
-    while n < STAR_ROUNDS:
-        held = members.join(state, "id")
-        if n:
-            # is comparing all centres of each bucket already cheap?
-            few = held.groupBy("bucket").agg(F.count_distinct("center").cast("double").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0
-            if few <= total:
-                break
-            held = held.join(leaders, "bucket").where("center > leader")
-        n += 1
-        leaders = scratch.save(held.groupBy("bucket").agg(F.min("center").alias("leader")), f"leaders{n}")
-        alone = state.where("id = center").select("id")
-        tries = members.join(leaders, "bucket").where("id > leader").groupBy("id").agg(F.min("leader").alias("leader")).join(alone, "id", "left_semi")
-        found = scratch.save(overlap(tries.select(F.col("leader").alias("a"), F.col("id").alias("b"))).where(linked).select("a", "b"), f"stars{n}")
+    edges, rest = None, members
+    for n in range(STAR_ROUNDS):
+        # who shares most buckets with most others: the text that a group was copied from
+        crowd = rest.groupBy("bucket").agg(F.count("*").alias("n"))
+        weight = scratch.save(rest.join(crowd, "bucket").groupBy("id").agg(F.sum("n").alias("w")), f"weight{n}")
+        ranked = rest.join(weight, "id").withColumn("rank", F.struct("w", "id"))
+        hubs = ranked.groupBy("bucket").agg(F.max("rank").alias("hub"))
+        tries = ranked.join(hubs, "bucket").where("rank < hub").groupBy("id").agg(F.max("hub").getField("id").alias("hub"))
+        found = scratch.save(overlap(tries.select(F.col("hub").alias("a"), F.col("id").alias("b"))).where(linked).select("a", "b"), f"stars{n}")
         edges = found if edges is None else edges.unionByName(found)
-        got = found.select(F.col("b").alias("id"), F.col("a").alias("leader"))
-        state = scratch.save(state.join(got, "id", "left").select("id", F.coalesce("leader", "center").alias("center")), f"state{n}")
-        scratch.drop(f"state{n - 1}")
-    roots = union_find(edges, scratch, "first")
-
-    def with_root(df: DataFrame, column: str, root: str) -> DataFrame:
-        at = roots.select(F.col("id").alias(column), F.col("root").alias(root))
-        return df.join(at, column, "left").withColumn(root, F.coalesce(root, column))
-
-    centers = with_root(members.join(state, "id").select("bucket", "center").distinct(), "center", "root")
-    mixed = centers.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
-    centers = scratch.save(centers.join(mixed, "bucket", "left_semi"), "centers")
-    one, two = centers.select("bucket", F.col("center").alias("a"), F.col("root").alias("ra")), centers.select("bucket", F.col("center").alias("b"), F.col("root").alias("rb"))
-    pairs = one.join(two, "bucket").where("a < b and ra <> rb").select("a", "b").distinct()
-    near = scratch.save(overlap(pairs).where(nearer(3)), "near")
-    edges = edges.unionByName(near.where(linked).select("a", "b"))
-    if near.isEmpty():
-        return roots
-    roots = union_find(edges, scratch, "second")
-
-    # stars whose centres are neither linked nor far apart: their members, unless connected by now
-    open_ = with_root(with_root(near.where(~linked).select("a", "b"), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
-    inside = state.select(F.col("center"), F.col("id").alias("x"))
-    left = open_.join(inside.withColumnRenamed("center", "a"), "a").select(F.col("a").alias("c1"), F.col("b").alias("c2"), F.col("x").alias("a"), "b")
-    right = open_.join(inside.withColumnRenamed("center", "b"), "b").select(F.col("a").alias("c1"), F.col("b").alias("c2"), "a", F.col("x").alias("b"))
-    left = overlap(left).where(nearer(2)).select("c1", "c2", F.col("a").alias("x"))
-    right = overlap(right).where(nearer(2)).select("c1", "c2", F.col("b").alias("y"))
-    left, right = scratch.save(left, "left"), scratch.save(right, "right")
-    more = left.join(right, ["c1", "c2"]).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    more = scratch.save(overlap(more).where(linked).select("a", "b"), "more")
+        if n + 1 < STAR_ROUNDS:
+            done = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            rest = scratch.save(in_buckets(rest.join(done, "id", "left_anti")), f"rest{n}")
+            if rest.isEmpty():
+                break
+    roots = union_find(edges, scratch, "stars")
+    at = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    mixed = at.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
+    open_ = scratch.save(at.join(mixed, "bucket", "left_semi").select("id", "root").distinct(), "open")
+    pairs = scratch.save(prefix_pairs(items(open_.select("id")).join(open_, "id"), num, den), "pairs")
+    more = scratch.save(overlap(pairs).where(linked).select("a", "b"), "more")
     if more.isEmpty():
         return roots
-    return union_find(edges.unionByName(more), scratch, "third")
+    return union_find(edges.unionByName(more), scratch, "all")
 
 
 def in_buckets(keys: DataFrame) -> DataFrame:
-    """keys (bucket, id) that another id shares; the count is a partial aggregate, so hot buckets are cheap."""
+    """keys (bucket, id, ...) that another id shares. The count is a partial aggregate and AQE can split the join, so hot buckets are cheap."""
     shared = keys.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("bucket")
     return keys.join(shared, "bucket", "left_semi")

@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
     # an id that repeats with other texts is one node; its smallest set stands for it
     sets = scratch.save(item_sets(texts, shingle).groupBy("id").agg(F.min("items").alias("items")), "items")
-    roots = link(members, lambda pairs: set_overlap(pairs, sets), num, den, scratch)
+    roots = link(members, lambda pairs: set_overlap(pairs, sets), lambda ids: sets.join(ids, "id", "left_semi"), num, den, scratch)
     named = first.select("set_key", "id").join(roots, "id", "left").select("set_key", F.coalesce("root", "id").alias("component"))
     out = rows.join(named, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
