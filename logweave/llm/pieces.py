@@ -15,6 +15,8 @@ before every word. Words are then segmented once and remembered.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 
 from logweave.llm.common import Scratch, blocks, table
 
@@ -33,6 +36,8 @@ SCALE = 1_000_000  # of scores that aren't whole numbers
 UNKNOWN_PENALTY = 10
 CACHE = 1 << 18  # words that a worker remembers
 LOW = -(1 << 60)
+PLAIN = 48  # characters of a word that the library may segment
+LEAST = -4_000_000
 
 
 class Pieces:
@@ -52,7 +57,44 @@ class Pieces:
         self.longest = max(map(len, self.score), default=1)
         self.lacking = min((s for _, s in self.score.values()), default=0) - UNKNOWN_PENALTY * scale
         self.words = not any(MARK in n.lstrip(MARK) for n in self.score)
-        self.cache: dict[str, tuple[list[int], int]] = {}
+        self.cache: dict[str, tuple[array, int]] = {}
+        self.value = {i: s for i, s in self.score.values()}
+        self.library = self._library(path, scale)
+        self.plain = {n for n in self.score if len(n) == 1}
+        used = "".join(map(re.escape, sorted(set("".join(self.score)) - {MARK})))
+        self.finder = re.compile(f"{MARK}*[{used}]+|{MARK}+|." if used else ".", re.DOTALL).findall
+
+    def _library(self, path: str, scale: int) -> sentencepiece.SentencePieceProcessor | None:
+        """The library's unigram search over the same pieces, for short words; exact only for whole scores.
+
+        It adds 32-bit floats, so scores below LEAST are raised to it: sums of a plain word then stay
+        exact, and such a piece is still worse than any way around it.
+        """
+        if scale != 1:
+            return None
+        model = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            model.ParseFromString(f.read())
+        low = min((s for s in self.value.values() if s > LEAST), default=0)
+        if low * PLAIN < LEAST:
+            return None
+        for piece in model.pieces:
+            piece.score = max(piece.score, LEAST)
+        model.trainer_spec.model_type = 1
+        model.normalizer_spec.add_dummy_prefix = False
+        return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+
+    def learn(self, texts: list[str]) -> None:
+        """Segment all new plain words of these texts at once: short, one mark at most, no unknown character."""
+        if self.library is None or not self.words:
+            return
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        seen = {w for t in texts for w in self.word_starts(t)}.difference(self.cache)
+        new = [w for w in seen if len(w) <= PLAIN and MARK not in w[1:] and self.plain.issuperset(w)]
+        value = self.value
+        for word, ids in zip(new, self.library.encode(new, num_threads=1) if new else ()):
+            self.cache[word] = array("i", ids), sum([value[i] for i in ids])
 
     def arcs(self, text: str, end: int, start: int = 0) -> Iterator[tuple[int, int, str]]:
         """(begin, score, piece) of all pieces that end here, longest first; an unknown character is a piece."""
@@ -90,41 +132,26 @@ class Pieces:
             at = back[at]
         return [i for begin, end in reversed(cuts) for i in self.ids(text[begin:end])], best[-1]
 
-    def word_starts(self, text: str) -> Iterator[str]:
-        """The parts of a text between certain piece boundaries."""
-        if not self.words:
-            yield text
-            return
-        parts = text.split(MARK)
-        marks = 0
-        if parts[0]:
-            yield parts[0]
-        for part in parts[1:]:
-            marks += 1
-            if part:
-                yield MARK * marks + part
-                marks = 0
-        if marks:
-            yield MARK * marks
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text in which spaces are marks already."""
-        out: list[int] = []
-        for ids, _ in self.segmented(text):
-            out += ids
-        return out
+    def word_starts(self, text: str) -> list[str]:
+        """The parts of a text between certain piece boundaries: words, runs of marks, characters of no piece."""
+        return self.finder(text) if self.words else [text]
 
-    def segmented(self, text: str) -> Iterator[tuple[list[int], int]]:
+    def encode(self, text: str) -> array:
+        """Ids of a text in which spaces are marks already."""
+        out = array("i")
         cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
         for word in self.word_starts(text):
-            got = cache.get(word)
-            if got is None:
-                got = self.best(word)
-                if len(word) <= 64:
-                    cache[word] = got
-            yield got
+            out += (cache.get(word) or self.segmented(word))[0]
+        return out
+
+    def segmented(self, word: str) -> tuple[array, int]:
+        got = self.cache.get(word)
+        if got is None:
+            ids, score = self.best(word)
+            got = array("i", ids), score
+            if len(word) <= PLAIN and len(self.cache) <= 2 * CACHE:
+                self.cache[word] = got
+        return got
 
     def decode(self, ids: list[int]) -> str:
         out, held = [], bytearray()
@@ -152,7 +179,7 @@ class Pieces:
         tail = max([lead, *sure[-1:]]) if lead < size else 0
         entry = self._carry(text, 0, lead, 1 if first else states)
         if lead < size:
-            inner = sum(score for _, score in self.segmented(text[lead:tail]))
+            inner = sum(self.segmented(word)[1] for word in self.word_starts(text[lead:tail]))
             entry, base = entry[:, lead] + inner, tail
             rest = self._carry(text, tail, size, 1)
         else:
@@ -237,7 +264,9 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
         pieces = pieces_of(vocabulary)
         for held in batches:
             for batch in blocks(held, "text"):
-                ids = [np.array(pieces.encode(MARK + t.replace(" ", MARK)) if t else [], np.int32) for t in batch.column("text").to_pylist()]
+                texts = [MARK + t.replace(" ", MARK) if t else "" for t in batch.column("text").to_pylist()]
+                pieces.learn(texts)
+                ids = [np.array(pieces.encode(t) if t else [], np.int32) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("sha"), pa.array([1] * len(ids), pa.int32()), pa.array(ids, pa.list_(pa.int32()))], ["key", "sha", "n_chunks", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +287,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(vocabulary)
         for b in (x for held in batches for x in blocks(held, "window")):
+            pieces.learn(b.column("window").to_pylist())
             made = [pieces.transfer(t, size, n == 0, n == of - 1).ravel() for t, size, n, of in zip(*(b.column(c).to_pylist() for c in ("window", "size", "n", "n_chunks")))]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("sha"), b.column("n"), pa.array(made, pa.list_(pa.int64()))], ["key", "sha", "n", "m"])
 
@@ -281,6 +311,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(vocabulary)
         for b in (x for held in batches for x in blocks(held, "window")):
+            pieces.learn(b.column("window").to_pylist())
             ids = [np.array(pieces.encode(t[i : size + j]), np.int32) for t, size, i, j in zip(*(b.column(c).to_pylist() for c in ("window", "size", "i", "j")))]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("sha"), b.column("n_chunks"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["key", "sha", "n_chunks", "n", "ids"])
 
