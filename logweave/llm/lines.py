@@ -157,7 +157,7 @@ def line_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     wanted = scratch.save(members.select("id").distinct(), "wanted")
     texts = possibly(wanted, lines_of(docs, key, text).select("id", "line")).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
     texts = scratch.save(texts, "texts")
-    roots = link(members, lambda pairs: text_overlap(pairs, texts, k), lambda ids: text_items(texts.join(ids, "id", "left_semi"), k), num, den, scratch)
+    roots = link(members, lambda pairs: text_overlap(pairs, texts, k), lambda ids: text_items(texts.join(ids, "id", "left_semi"), k), num, den, scratch, extension=0)
     # blank lines stay apart: they have no group
     named = rows.select("doc", "line_no", "id").join(roots, "id", "left").withColumn("group", F.coalesce("root", "id"))
     place = F.struct("doc", "line_no")

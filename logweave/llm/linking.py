@@ -65,12 +65,12 @@ def set_overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
+def prefix_pairs(sets: DataFrame, num: int, den: int, extension: int = EXTENSION) -> DataFrame:
     """Pairs (a, b) of sets (id, items, root) with different roots that can have den * common >= num * union.
 
     Prefix filter: with items in order of rarity, such sets share an item among their first ones, whose
-    number follows from both sizes, and n + 1 items among the first ones and n more. So none is missed,
-    and sets that differ in more rare items than that never meet. An item's rows of the root that holds
+    number follows from both sizes, and n + 1 items among the first ones and n more (n: extension, whose
+    items each row of a prefix carries; 0 for long prefixes). So none is missed, and sets that differ in more rare items than that never meet. An item's rows of the root that holds
     most of them aren't paired with each other.
     """
     sized = sets.select("id", "root", F.size("items").alias("size"), F.explode("items").alias("item"))
@@ -79,23 +79,25 @@ def prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
     own = sized.join(rarity, "item").groupBy("id", "root", "size").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("known"))
     alone = F.col("size") - F.size("known")
     room = F.col("size") - F.expr(f"cast((size * {num} + {den - 1}) div {den} as int)") + 1 - alone
-    first = own.where(room > 0).withColumns({"alone": alone, "order": F.transform(F.slice("known", F.lit(1), (room + EXTENSION).cast("int")), lambda x: x["item"])})
-    tokens = first.select("id", "root", "size", "alone", "order", F.posexplode(F.slice("order", F.lit(1), room.cast("int"))).alias("k", "item"))
+    first = own.where(room > 0).withColumns({"alone": alone, "order": F.transform(F.slice("known", F.lit(1), (room + extension).cast("int")), lambda x: x["item"])})
+    carried = ["id", "root", "size", "alone", *["order"] * bool(extension)]
+    tokens = first.select(*carried, F.posexplode(F.slice("order", F.lit(1), room.cast("int"))).alias("k", "item"))
     most = tokens.groupBy("item", "root").agg(F.count("*").alias("n")).groupBy("item").agg(F.max(F.struct("n", "root")).getField("root").alias("major"), F.count("*").alias("roots")).where("roots > 1")
     mixed = tokens.join(most.drop("roots"), "item")
     few, all_ = mixed.where("root <> major").alias("x"), mixed.alias("y")
     need = F.expr(f"cast(((x.size + y.size) * {num} + {num + den - 1}) div {num + den} as int)")
-    more = F.least(F.lit(EXTENSION), need - 1)
+    more = F.least(F.lit(extension), need - 1)
     left = lambda t: F.col(f"{t}.size") - need - F.col(f"{t}.alone") + 1  # noqa: E731  places of the shorter prefix that can match
-    begin = lambda t: F.slice(f"{t}.order", F.lit(1), F.greatest(left(t) + more, F.lit(0)).cast("int"))
-    shared = F.array_intersect(begin("x"), begin("y"))
-    # one row per pair, at its rarest common item
-    fits = (F.col("x.root") != F.col("y.root")) & (F.col("x.k") < left("x")) & (F.col("y.k") < left("y")) & (F.size(shared) > more) & (F.get(shared, F.lit(0)) == F.col("x.item"))
+    fits = (F.col("x.root") != F.col("y.root")) & (F.col("x.k") < left("x")) & (F.col("y.k") < left("y"))
+    if extension:  # one row per pair, at its rarest common item
+        begin = lambda t: F.slice(f"{t}.order", F.lit(1), F.greatest(left(t) + more, F.lit(0)).cast("int"))
+        shared = F.array_intersect(begin("x"), begin("y"))
+        fits = fits & (F.size(shared) > more) & (F.get(shared, F.lit(0)) == F.col("x.item"))
     met = few.join(all_, (F.col("x.item") == F.col("y.item")) & fits)
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def link(members: DataFrame, overlap: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch) -> DataFrame:
+def link(members: DataFrame, overlap: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch, extension: int = EXTENSION) -> DataFrame:
     """(id, root) of ids with at least one link: den * common >= num * union, exactly, between members of a bucket.
 
     members (bucket, id) without repeats; overlap adds common and union, the sizes for the items of
@@ -121,7 +123,7 @@ def link(members: DataFrame, overlap: Callable[[DataFrame], DataFrame], items: C
     at = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     mixed = at.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
     open_ = scratch.save(at.join(mixed, "bucket", "left_semi").select("id", "root").distinct(), "open")
-    pairs = scratch.save(prefix_pairs(items(open_.select("id")).join(open_, "id"), num, den), "pairs")
+    pairs = scratch.save(prefix_pairs(items(open_.select("id")).join(open_, "id"), num, den, extension), "pairs")
     more = scratch.save(overlap(pairs).where(linked).select("a", "b"), "more")
     if more.isEmpty():
         return roots

@@ -259,9 +259,9 @@ def test_prefix_filter_loses_nothing(spark):
     for i in range(60, 90):
         sets[i] = (sets[i - 60] | {rng.randrange(60)}) - {rng.randrange(60)}
     frame = spark.createDataFrame([(i, sorted(s), i) for i, s in sets.items()], "id long, items array<long>, root long")
-    got = {(r.a, r.b) for r in prefix_pairs(frame, 80, 100).collect()}
+    got, plain = ({(r.a, r.b) for r in prefix_pairs(frame, 80, 100, n).collect()} for n in (16, 0))
     want = {(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    assert want and want <= got
+    assert want and want <= got and want <= plain
 
 
 def test_union_find(spark):
