@@ -97,11 +97,15 @@ def keyed(rows: DataFrame, order: int, kind: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, r float")
 
 
-def labelled(labels: DataFrame, key: str, label: str, usable: Column, sample: int) -> DataFrame:
-    """At most `sample` ids per class (by hash), one row each. Null ids and labels don't count; any 1 makes an id a 1."""
+def labelled(labels: DataFrame, key: str, label: str, usable: Column, sample: int) -> tuple[DataFrame, dict[int, float]]:
+    """At most `sample` ids per class (by hash), one row each, and how many ids of its class a row stands for.
+
+    Null ids and labels don't count; any 1 makes an id a 1.
+    """
     rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & usable).groupBy(F.col(key).alias("key")).agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
     pick = lambda v: rows.where(F.col("label") == v).orderBy(F.xxhash64("key"), "key").limit(sample)
-    return pick(0).unionByName(pick(1))
+    totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    return pick(0).unionByName(pick(1)), {v: n / min(n, sample) for v, n in totals.items()}
 
 
 def count_grams(rows: DataFrame, order: int) -> DataFrame:
@@ -215,14 +219,15 @@ def feature_columns() -> list[Column]:
     return [F.col("__total") / (F.col("__words") + 50.0), *[F.log((F.col(n) + 0.5) / (F.col("__words") + 50.0)) for n in FEATURES[2:]]]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Newton's method on standardised features."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and intercept by Newton's method on standardised features; a row counts `times`, once if not given."""
+    times = np.ones(len(x)) if times is None else times
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[np.ones(len(x)), (x - mean) / scale]
     w = np.zeros(z.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (p - y) + ridge * np.r_[0, w[1:]])
+        step = np.linalg.solve((z * (times * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (times * (p - y)) + ridge * np.r_[0, w[1:]])
         w -= step
         if np.abs(step).max() < 1e-9:
             break
@@ -234,18 +239,19 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: s
 
     Rows whose crc32(key) mod 5 is 4 only fit the logistic curve. Without labels of both classes in
     both parts there is no model, and the bias is the share of toxic rows among those labelled (0 if none).
+    Sampled rows count as often as their class has rows for each of them, so scores keep the natural share.
     """
     late = F.crc32(F.col(key).cast("string")) % 5 == 4
-    known = labelled(labels, key, label, F.lit(True) if usable is None else usable, sample)
+    known, times = labelled(labels, key, label, F.lit(True) if usable is None else usable, sample)
     # bounded by 2 * sample ids, so the small side may be broadcast at any input size
     rows = docs.select(F.col(key), F.col(text).alias("text")).withColumn("late", late).join(F.broadcast(known.withColumnRenamed("key", key)), key)
     counts = {(r["late"], r["label"]): r["count"] for r in rows.groupBy("late", "label").count().collect()}
     if not all(counts.get((part, v)) for part in (False, True) for v in (0, 1)):
-        total, ones = sum(counts.values()), sum(n for (_, v), n in counts.items() if v)
+        total, ones = (sum(n * times[v] for (_, v), n in counts.items() if v or not only) for only in (False, True))
         return None, np.zeros(0), ones / total if total else 0.0
     model = fit_models(rows.where(~F.col("late")))
     seen = rates(rows.where("late"), ["label"], model).select(*[c.alias(f"f{i}") for i, c in enumerate(feature_columns())], "label").toPandas().to_numpy(np.float64)
-    weights, bias = logistic(seen[:, :-1], seen[:, -1])
+    weights, bias = logistic(seen[:, :-1], seen[:, -1], times=np.where(seen[:, -1] > 0, times[1], times[0]))
     return model, weights, bias
 
 

@@ -333,6 +333,19 @@ def test_toxicity_without_labels(spark):
     assert {r.score for r in toxicity.score_rows(frame, ["doc_id"], toxicity.fit(frame, none)).collect()} == {0.0}
 
 
+def test_toxicity_sample_keeps_the_level(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices(WORDS, k=30))) for i in range(2000)]
+    known = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    frame = docs(spark, rows)
+    mean = lambda fitted: toxicity.score_rows(frame, ["doc_id"], fitted).agg(toxicity.F.avg("score")).first()[0]
+    assert abs(mean(toxicity.fit(frame, known)) - 0.1) < 0.05
+    assert abs(mean(toxicity.fit(frame, known, sample=40)) - 0.1) < 0.05
+    early = toxicity.F.crc32(toxicity.F.col("doc_id").cast("string")) % 5 != 4
+    model, _, share = toxicity.fit(frame, known, early, sample=40)
+    assert model is None and abs(share - 0.1) < 0.02
+
+
 # --- media
 
 
