@@ -11,7 +11,9 @@ that the models haven't seen turns these rates into a score.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm.common import Scratch, blocks, table
+from logweave.llm.lines import possibly
 
 ORDER = 6
 DISCOUNT = 0.75
-SAMPLE = 20_000  # labelled rows per class that the classifier is fitted on at most, by hash of the id
-MAX_GRAMS = 1 << 21  # n-grams that the model keeps at most, the most frequent ones
+SAMPLE = 20_000  # labelled rows per class that the logistic curve is fitted on at most, by hash of the id
+MAX_GRAMS = 1 << 21  # n-grams of a model that is broadcast; a larger one is joined with the words
+OFTEN = 1 << 18  # most frequent words whose ratio is broadcast beside a model that is joined
+OFTEN_CHARS = 48  # characters of such a word at most
 LEVELS = (0.0, 1.0, 2.0, 3.0, 4.0, 6.0)
 WORD = re.compile(r"[^\W\d_]+")
 START, END = "\x02", "\x03"
@@ -53,6 +58,16 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np
     return keys[i] == wanted, values[i]
 
 
+def word_keys(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the words' n-grams and of their contexts, word by word, and where each word's begin."""
+    text = "".join([f"{START}{w}{END}" for w in words])
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(text)) - np.repeat(starts, sizes)
+    at = np.flatnonzero(place)
+    return *_keys(text, at, place[at], order), starts - np.arange(len(words))
+
+
 class Model:
     """Log-likelihood ratios of n-grams seen in either class, and of the backoff weights of seen contexts."""
 
@@ -70,16 +85,28 @@ class Model:
 
     def words(self, words: list[str]) -> np.ndarray:
         """The log-likelihood ratio of each word."""
-        text = "".join([f"{START}{w}{END}" for w in words])
-        sizes = np.array([len(w) + 2 for w in words], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        place = np.arange(len(text)) - np.repeat(starts, sizes)
-        at = np.flatnonzero(place)
-        gram, context = _keys(text, at, place[at], self.order)
+        gram, context, starts = word_keys(words, self.order)
         seen, ratio = _found(self.grams, self.ratios, gram)
         known, backoff = _found(self.contexts, self.backoffs, context)
         each = np.where(seen, ratio, np.where(known, backoff, 0.0))
-        return np.add.reduceat(each, starts - np.arange(len(words)))
+        return np.add.reduceat(each, starts)
+
+
+class Tables:
+    """The same ratios as tables of (key, r) in the shared folder, for a model of any size."""
+
+    def __init__(self, grams: DataFrame, contexts: DataFrame, order: int):
+        self.grams, self.contexts, self.order = grams, contexts, order
+
+
+class Often:
+    """Ratios of frequent words. Others have 0, which adds nothing to any rate."""
+
+    def __init__(self, ratios: dict[str, float]):
+        self.ratios = ratios
+
+    def words(self, words: list[str]) -> np.ndarray:
+        return np.array([self.ratios.get(w, 0.0) for w in words])
 
 
 def keyed(rows: DataFrame, order: int, kind: int) -> DataFrame:
@@ -97,15 +124,9 @@ def keyed(rows: DataFrame, order: int, kind: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, r float")
 
 
-def labelled(labels: DataFrame, key: str, label: str, usable: Column, sample: int) -> tuple[DataFrame, dict[int, float]]:
-    """At most `sample` ids per class (by hash), one row each, and how many ids of its class a row stands for.
-
-    Null ids and labels don't count; any 1 makes an id a 1.
-    """
-    rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & usable).groupBy(F.col(key).alias("key")).agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
-    pick = lambda v: rows.where(F.col("label") == v).orderBy(F.xxhash64("key"), "key").limit(sample)
-    totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    return pick(0).unionByName(pick(1)), {v: n / min(n, sample) for v, n in totals.items()}
+def labelled(labels: DataFrame, key: str, label: str, usable: Column) -> DataFrame:
+    """(key, label), one row per id. Null ids and labels don't count; any 1 makes an id a 1."""
+    return labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & usable).groupBy(F.col(key).alias("key")).agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
 
 
 def count_grams(rows: DataFrame, order: int) -> DataFrame:
@@ -162,20 +183,14 @@ def shared_probability(grams: DataFrame, order: int, discount: float, scratch: S
     return p.select(F.col("gram").alias("low"), "p")
 
 
-def fit_models(rows: DataFrame, order: int = ORDER, discount: float = DISCOUNT, max_grams: int = MAX_GRAMS) -> Model:
-    """The class models of rows (text, label); the driver gets at most max_grams n-grams and their contexts."""
+def fit_models(rows: DataFrame, order: int = ORDER, discount: float = DISCOUNT, max_grams: int = MAX_GRAMS) -> Model | Tables:
+    """The class models of rows (text, label), of all their n-grams; the driver gets at most max_grams and their contexts."""
     scratch = Scratch(rows.sparkSession, "kneser-ney")
     grams = scratch.save(count_grams(rows, order), "grams")
-    at_least, kept = 1, 0
-    for row in grams.groupBy(F.least(F.col("n0") + F.col("n1"), F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect():
-        if (kept := kept + row["count"]) > max_grams:
-            at_least = row["n"] + 1
-            break
-    grams_kept = grams.where(F.col("n0") + F.col("n1") >= at_least)
     context = F.expr("left(gram, length(gram) - 1)")
-    contexts = grams_kept.groupBy(context.alias("h")).agg(*[f(F.col(f"n{k}")).alias(f"{name}{k}") for k in (0, 1) for name, f in (("a", F.sum), ("t", lambda c: F.count_if(c > 0)))])
-    lower = shared_probability(grams_kept, order, discount, scratch)
-    joined = grams_kept.withColumns({"h": context, "low": F.expr("substring(gram, 2)")}).join(contexts, "h").join(lower, "low")
+    contexts = grams.groupBy(context.alias("h")).agg(*[f(F.col(f"n{k}")).alias(f"{name}{k}") for k in (0, 1) for name, f in (("a", F.sum), ("t", lambda c: F.count_if(c > 0)))])
+    lower = shared_probability(grams, order, discount, scratch)
+    joined = grams.withColumns({"h": context, "low": F.expr("substring(gram, 2)")}).join(contexts, "h").join(lower, "low")
 
     def probability(k: int) -> Column:
         mixed = F.greatest(F.col(f"n{k}") - discount, F.lit(0.0)) + discount * F.col(f"t{k}") * F.col("p")
@@ -186,11 +201,76 @@ def fit_models(rows: DataFrame, order: int = ORDER, discount: float = DISCOUNT,
 
     ratios = joined.select(F.col("gram").alias("text"), F.log(probability(1) / probability(0)).cast("float").alias("r"))
     backoffs = contexts.select(F.col("h").alias("text"), F.log(backoff(1) / backoff(0)).cast("float").alias("r"))
-    return Model(keyed(ratios, order, 0).toArrow(), keyed(backoffs, order, 1).toArrow(), order)
+    ratios, backoffs = keyed(ratios, order, 0), keyed(backoffs, order, 1)
+    if grams.count() > max_grams:
+        return Tables(scratch.save(ratios, "ratios"), scratch.save(backoffs, "backoffs"), order)
+    return Model(ratios.toArrow(), backoffs.toArrow(), order)
+
+
+def _word_id(word: str) -> bytes:
+    return hashlib.blake2b(word.encode(), digest_size=16).digest()
+
+
+def word_ratios(words: DataFrame, model: Tables) -> DataFrame:
+    """words (id, word, ...) + v, each word's log-likelihood ratio, by joins of its n-grams with the model's tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in blocks(whole, "word"):
+                texts = batch.column("word").to_pylist()
+                gram, context, _ = word_keys(texts, model_order)
+                row = np.repeat(np.arange(len(texts)), [len(w) + 1 for w in texts])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], ["id", "gram", "context"])
+
+    model_order = model.order
+    places = words.select("id", "word").mapInArrow(run, "id binary, gram long, context long")
+    ratios = model.grams.withColumnRenamed("key", "gram")
+    seen = places.join(ratios, "gram").select("id", "r")
+    backed = places.join(ratios, "gram", "left_anti").join(model.contexts.withColumnRenamed("key", "context"), "context").select("id", "r")
+    sums = seen.unionByName(backed).groupBy("id").agg(F.sum(F.col("r").cast("double")).alias("v"))
+    return words.join(sums, "id", "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+
+
+def joined_rates(rows: DataFrame, keep: list[str], model: Tables, text: str) -> DataFrame:
+    """rates() by a model that isn't broadcast: the ratios of all distinct words are joined, only frequent ones go to all tasks."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "toxic-words")
+    whole_text = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = rows.withColumn("__digest", F.unhex(F.sha2(whole_text.cast("binary"), 256)))
+    texts = rows.select("__digest", whole_text.alias("__text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in blocks(whole, "__text", 8 << 20):
+                held = Counter(w for t in batch.column("__text").to_pylist() for w in WORD.findall(t.lower()))
+                yield pa.RecordBatch.from_arrays([pa.array([_word_id(w) for w in held], pa.binary()), pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["id", "word", "n"])
+
+    words = texts.mapInArrow(count, "id binary, word string, n long").groupBy("id").agg(F.first("word").alias("word"), F.sum("n").alias("n"))
+    known = scratch.save(word_ratios(scratch.save(words, "words"), model), "ratios")
+    top = known.where(F.length("word") <= OFTEN_CHARS).orderBy(F.desc("n"), "id").limit(OFTEN).select("word", "v").toArrow()
+    often = Often(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist())))
+    shared = spark.sparkContext.broadcast(often)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios = shared.value.ratios
+        for whole in batches:
+            for batch in blocks(whole, "__text"):
+                held = [Counter(w for w in WORD.findall(t.lower()) if w not in ratios) for t in batch.column("__text").to_pylist()]
+                row = pa.array(np.repeat(np.arange(len(held)), [len(c) for c in held]))
+                yield pa.RecordBatch.from_arrays([batch.column("__digest").take(row), pa.array([_word_id(w) for c in held for w in c], pa.binary()), pa.array([n for c in held for n in c.values()], pa.int64())], ["__digest", "id", "n"])
+
+    # equal texts have equal counts, so they are one text here
+    rare = texts.mapInArrow(others, "__digest binary, id binary, n long").groupBy("__digest", "id").agg(F.max("n").alias("n")).join(known.select("id", "v"), "id")
+    parts = [F.col("v"), *[F.greatest(F.col("v") - level, F.lit(0.0)) for level in LEVELS]]
+    more = rare.groupBy("__digest").agg(*[F.sum(F.col("n") * c).alias(f"__more{n}") for n, c in zip(FEATURES[1:], parts)])
+    got = rates(rows, [*keep, "__digest"], often, text).join(more, "__digest", "left")
+    return got.select(*keep, FEATURES[0], *[(F.col(n) + F.coalesce(f"__more{n}", F.lit(0.0))).alias(n) for n in FEATURES[1:]])
 
 
-def rates(rows: DataFrame, keep: list[str], model: Model, text: str = "text") -> DataFrame:
+def rates(rows: DataFrame, keep: list[str], model: Model | Tables | Often, text: str = "text") -> DataFrame:
     """keep + the number of words and the sums of their ratios above each level. Whole texts; null is empty."""
+    if isinstance(model, Tables):
+        return joined_rates(rows, keep, model, text)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     fields = list(rows.select(*keep).schema)
 
@@ -234,24 +314,34 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, times: np.ndarray
     return w[1:] / scale, float(w[0] - (w[1:] * mean / scale).sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[Model | None, np.ndarray, float]:
+def fit(
+    docs: DataFrame, labels: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, max_grams: int = MAX_GRAMS
+) -> tuple[Model | Tables | None, np.ndarray, float]:
     """(models, weights, bias) learned from labelled rows; usable says by `key` which may be learned from.
 
-    Rows whose crc32(key) mod 5 is 4 only fit the logistic curve. Without labels of both classes in
-    both parts there is no model, and the bias is the share of toxic rows among those labelled (0 if none).
-    Sampled rows count as often as their class has rows for each of them, so scores keep the natural share.
+    Rows whose crc32(key) mod 5 is 4 only fit the logistic curve, those of at most `sample` ids per class;
+    the models learn from all others. Without labels of both classes in both parts there is no model, and
+    the bias is the share of toxic rows among those labelled (0 if none). Sampled rows count as often as
+    their class has rows for each of them, so scores keep the natural share.
     """
-    late = F.crc32(F.col(key).cast("string")) % 5 == 4
-    known, times = labelled(labels, key, label, F.lit(True) if usable is None else usable, sample)
-    # bounded by 2 * sample ids, so the small side may be broadcast at any input size
-    rows = docs.select(F.col(key), F.col(text).alias("text")).withColumn("late", late).join(F.broadcast(known.withColumnRenamed("key", key)), key)
+    scratch = Scratch(docs.sparkSession, "labelled")
+    known = scratch.save(labelled(labels, key, label, F.lit(True) if usable is None else usable), "ids")
+    hashed = F.xxhash64(F.col("key").cast("string")).alias("id")
+    # the bitmap keeps most texts without a label from the shuffle
+    rows = possibly(known.select(hashed), docs.select(F.col(key).alias("key"), F.col(text).alias("text")).select("*", hashed)).drop("id")
+    rows = scratch.save(rows.join(known, "key").withColumn("late", F.crc32(F.col("key").cast("string")) % 5 == 4), "texts")
     counts = {(r["late"], r["label"]): r["count"] for r in rows.groupBy("late", "label").count().collect()}
     if not all(counts.get((part, v)) for part in (False, True) for v in (0, 1)):
-        total, ones = (sum(n * times[v] for (_, v), n in counts.items() if v or not only) for only in (False, True))
+        total, ones = sum(counts.values()), sum(n for (_, v), n in counts.items() if v)
         return None, np.zeros(0), ones / total if total else 0.0
-    model = fit_models(rows.where(~F.col("late")))
-    seen = rates(rows.where("late"), ["label"], model).select(*[c.alias(f"f{i}") for i, c in enumerate(feature_columns())], "label").toPandas().to_numpy(np.float64)
-    weights, bias = logistic(seen[:, :-1], seen[:, -1], times=np.where(seen[:, -1] > 0, times[1], times[0]))
+    model = fit_models(rows.where(~F.col("late")), max_grams=max_grams)
+    late = rows.where("late")
+    pick = lambda v: late.where(F.col("label") == v).select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(sample)
+    curve = late.join(F.broadcast(pick(0).unionByName(pick(1))), "key")  # 2 * sample ids at any input size
+    seen = rates(curve, ["label"], model).select(*[c.alias(f"f{i}") for i, c in enumerate(feature_columns())], "label").toPandas().to_numpy(np.float64)
+    scratch.drop("texts")
+    toxic = seen[:, -1] > 0
+    weights, bias = logistic(seen[:, :-1], seen[:, -1], times=np.where(toxic, counts[True, 1] / toxic.sum(), counts[True, 0] / (~toxic).sum()))
     return model, weights, bias
 
 

@@ -346,6 +346,22 @@ def test_toxicity_sample_keeps_the_level(spark):
     assert model is None and abs(share - 0.1) < 0.02
 
 
+def test_toxicity_models_know_all_labelled_texts(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(i, " ".join([*rng.choices(WORDS, k=10), f"rare{rng.randrange(9999)}", "".join(rng.choices("abcdé日", k=6)), *["vile"] * (i % 5 == 0)])) for i in range(400)]
+    known = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    frame = docs(spark, rows + [(900, None), (901, ""), (902, "vile unseen vile"), (902, "vile unseen vile"), (None, "Größe " * 3)])
+    whole, few = toxicity.fit(frame, known), toxicity.fit(frame, known, sample=20)
+    assert np.array_equal(whole[0].grams, few[0].grams) and np.array_equal(whole[0].contexts, few[0].contexts)
+    # a model beyond the limit of the broadcast is joined, and no n-gram of it is lost
+    monkeypatch.setattr(toxicity, "OFTEN", 20, raising=False)
+    learned = frame.join(known, "doc_id").selectExpr("text", "toxic as label")
+    small, joined = toxicity.fit_models(learned), toxicity.fit_models(learned, max_grams=100)
+    a, b = ([sorted(r, key=lambda r: (str(r[0]), *r[1:])) for r in [toxicity.rates(frame, ["doc_id"], m).collect()]][0] for m in (small, joined))
+    assert [r[:2] for r in a] == [r[:2] for r in b] and len(a) == len(rows) + 5
+    assert np.allclose([r[2:] for r in a], [r[2:] for r in b], atol=1e-4)
+
+
 # --- media
 
 
