@@ -8,6 +8,7 @@ the length, or rejects the hit: text that merely contains "RIFF" or "BM" is no m
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -131,18 +132,53 @@ def _jpeg(data: bytes, at: int) -> int | None:
     return None
 
 
+_EOF = re.compile(rb"%%EOF(?:\r\n|\n|\r)?")
+_XREF = re.compile(rb"xref|\d+\s+\d+\s+obj")
+_MAGIC = re.compile(b"|".join(map(re.escape, MAGIC)))
+
+
+def _other(data: bytes, at: int, end: int) -> bool:
+    """Whether another PDF's header or an intact medium of another format begins here or later, before the end."""
+    return any(MAGIC[m.group()] == "pdf" or VALID[MAGIC[m.group()]](data, m.start()) for m in _MAGIC.finditer(data, at, end))
+
+
 def _pdf(data: bytes, at: int) -> int | None:
-    end = data.find(b"%%EOF", at)
-    return None if end < 0 or data.find(b"startxref", at, end) < 0 else end + 5 - at
+    """Up to the last %%EOF and its line end.
+
+    A section after the first %%EOF belongs to the PDF if its startxref leads into it (an update, also one
+    that holds other media), or if no other medium begins in between.
+    """
+    over, other, seen = None, False, at
+    for eof in _EOF.finditer(data, at):
+        before = seen if over is None else over
+        mark = data.rfind(b"startxref", before, eof.start())
+        if mark < 0:
+            continue
+        if over is None:
+            over = seen = eof.end()
+            continue
+        digits = data[mark + 9 : eof.start()].strip()
+        place = at + int(digits) if digits.isdigit() and len(digits) < 20 else -1
+        update = over <= place < mark and _XREF.match(data, place) is not None
+        if not update:
+            other = other or _other(data, seen, eof.start())
+            seen = eof.end()
+            if other:
+                continue
+        over = seen = eof.end()
+        other = False
+    return None if over is None else over - at
 
 
 def _zip(data: bytes, at: int) -> int | None:
+    """Up to the end record whose offsets fit; entries that hold archives have end records of their own."""
     end = data.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(data):
-        return None
-    size, offset, note = struct.unpack_from("<IIH", data, end + 12)
-    fits = at + offset + size == end and end + 22 + note <= len(data)
-    return end + 22 + note - at if fits else None
+    while 0 <= end <= len(data) - 22:
+        size, offset, note = struct.unpack_from("<IIH", data, end + 12)
+        if at + offset + size == end and end + 22 + note <= len(data):
+            return end + 22 + note - at
+        end = data.find(b"PK\x05\x06", end + 1)
+    return None
 
 
 def _gzip(data: bytes, at: int) -> int | None:
@@ -172,25 +208,36 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def sniff(data: bytes, signs: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
-    """(start, length, format) of all intact media, outermost only, in order of place."""
+    """(start, length, format) of all intact media, nested ones too, in order of place."""
     found: list[tuple[int, int, str]] = []
-    over = 0
     for last, (kind, size) in signs.iter(data.decode("latin-1")):
         start = last + 1 - size
-        if start >= over and (length := VALID[kind](data, start)):
+        if length := VALID[kind](data, start):
             found.append((start, length, kind))
-            over = start + length
-    return found
+    return sorted(found)
+
+
+def parents(found: list[tuple[int, int, str]]) -> list[int | None]:
+    """For each of sniff's media the number of the innermost one that holds it whole."""
+    out: list[int | None] = []
+    open_: list[int] = []
+    for i, (start, length, _) in enumerate(found):
+        while open_ and sum(found[open_[-1]][:2]) <= start:
+            open_.pop()
+        out.append(next((j for j in reversed(open_) if sum(found[j][:2]) >= start + length), None))
+        open_.append(i)
+    return out
 
 
 def sniff_column(df: DataFrame, blob: str, declared: str, keep: list[str]) -> DataFrame:
-    """keep + declared, sniffed, corrected and parts (start, length, type) of every embedded medium.
+    """keep + declared, sniffed, corrected and parts (start, length, type, parent) of every embedded medium.
 
     A blob that starts with an intact medium that fills it gets that medium's type; null and empty
-    blobs and such without one keep what was declared. parts lists every intact medium.
+    blobs and such without one keep what was declared. parts lists every intact medium;
+    parent is the number (from 0) of the part that holds it, null for outermost ones.
     """
     fields = [f for f in df.select(*keep).schema]
-    parts = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
+    parts = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("parent", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = automaton()
@@ -203,7 +250,7 @@ def sniff_column(df: DataFrame, blob: str, declared: str, keep: list[str]) -> Da
                     sure = TYPES[found[0][2]] if found and found[0][:2] == (0, len(data)) else None
                     types.append(sure)
                     fixed.append(sure or said)
-                    all_parts.append([{"start": a, "length": n, "type": TYPES[k]} for a, n, k in found])
+                    all_parts.append([{"start": a, "length": n, "type": TYPES[k], "parent": p} for (a, n, k), p in zip(found, parents(found))])
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(f.name) for f in fields], batch.column("__declared"), pa.array(types, pa.string()), pa.array(fixed, pa.string()), pa.array(all_parts, parts)],
                     [*[f.name for f in fields], "declared", "sniffed", "corrected", "parts"],
@@ -211,7 +258,7 @@ def sniff_column(df: DataFrame, blob: str, declared: str, keep: list[str]) -> Da
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     source = df.select(*keep, F.col(blob).alias("__blob"), F.col(declared).alias("__declared"))
-    return source.mapInArrow(run, f"{kinds}, declared string, sniffed string, corrected string, parts array<struct<start: bigint, length: bigint, type: string>>")
+    return source.mapInArrow(run, f"{kinds}, declared string, sniffed string, corrected string, parts array<struct<start: bigint, length: bigint, type: string, parent: int>>")
 
 
 def media_of(docs: DataFrame, key: str, text: str, declared: str = "application/octet-stream") -> DataFrame:
@@ -235,34 +282,32 @@ def media_of(docs: DataFrame, key: str, text: str, declared: str = "application/
 def features(media: DataFrame) -> DataFrame:
     """Per blob of media_of's table: what was sniffed, and digests of the samples carved from the stored bytes.
 
-    feature names the sniffed type, its place and length, the declared type when it was wrong, and the
-    samples' mean and sum of absolute differences.
+    feature names the sniffed type, the samples' number, mean and sum of absolute differences, the declared
+    type when it was wrong, and media inside as type@start+length/parent (numbers as in sniff_column's parts).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        signs = automaton()
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for whole in batches:
             for batch in blocks(whole, "media"):
                 rows = []
-                for key, n, said, cell in zip(batch.column("key").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("declared").to_pylist(), batch.column("media")):
+                for key, n, said, type_, parts, cell in zip(*(batch.column(c).to_pylist() for c in ("key", "n_bytes", "declared", "corrected", "parts")), batch.column("media")):
                     data = cell.as_py()
-                    (at, length, kind), *inner = sniff(data, signs)
-                    if (at, length, kind) != (0, len(data), "wav"):
+                    if type_ != TYPES["wav"]:
                         raise ValueError(f"row {key}: stored media isn't intact")
+                    inner = ",".join(f"{p['type']}@{p['start']}+{p['length']}/{p['parent']}" for p in parts[1:])
                     start, size = wav_samples(data)
                     payload = data[start : start + size]
                     wave = np.frombuffer(payload, np.uint8).astype(np.int16)
-                    type_ = TYPES[kind]
-                    feature = f"{type_};samples={size};mean={int(wave.sum(dtype=np.int64)) / size:.6f};delta={int(np.abs(np.diff(wave)).sum(dtype=np.int64))}" + f";declared={said}" * (said != type_)
+                    feature = f"{type_};samples={size};mean={int(wave.sum(dtype=np.int64)) / size:.6f};delta={int(np.abs(np.diff(wave)).sum(dtype=np.int64))}" + f";declared={said}" * (said != type_) + f";inner={inner}" * bool(inner)
                     rows.append((key, n, size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
-    return media.mapInArrow(
+    return sniff_column(media, "media", "declared", ["key", "n_bytes", "media"]).mapInArrow(
         run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
 

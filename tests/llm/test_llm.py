@@ -391,6 +391,38 @@ def test_sniffing(spark):
     assert [p.type for p in got[4].parts] == ["image/png", "image/gif"]
 
 
+def test_nested_media(spark):
+    import io
+    import zipfile
+
+    signs = media.automaton()
+    thumb = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04cd\x01\x02\xff\xd9"
+    photo = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(thumb) + 2) + thumb + b"\xff\xda\x00\x04cd\x09\xff\xd9"
+    assert media.sniff(photo, signs) == [(0, len(photo), "jpeg"), (6, len(thumb), "jpeg")]
+
+    def archive(**files):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for name, data in files.items():
+                z.writestr(name, data)
+        return held.getvalue()
+
+    outer = archive(a=png(), b=archive(c=b"text"), d=b"end")
+    got = media.sniff(outer, signs)
+    assert [k for _, _, k in got] == ["zip", "png", "zip"] and got[0][:2] == (0, len(outer)) and media.parents(got) == [None, 0, 0]
+    pdf = b"%PDF-1.4\nxref\nstartxref\n9\n%%EOF\n"
+    update = lambda old: old + png() + b"\nxref\nstartxref\n" + str(len(old + png()) + 1).encode() + b"\n%%EOF\r\n"
+    for data in (pdf, update(pdf), update(update(pdf)), pdf + b"1 0 obj\nstartxref\n0\n%%EOF\n"):
+        assert media.sniff(data, signs)[0] == (0, len(data), "pdf")
+    assert [x for x in media.sniff(pdf + pdf + b"xx", signs)] == [(0, len(pdf), "pdf"), (len(pdf), len(pdf), "pdf")]
+    assert media.sniff(pdf + png() + b"startxref %%EOF", signs)[0] == (0, len(pdf), "pdf")
+    frame = spark.createDataFrame([(1, len(photo), "x/y", media.wav_of(photo + outer))], "key long, n_bytes long, declared string, media binary")
+    parts = media.sniff_column(frame, "media", "declared", ["key"]).first().parts
+    assert [(p.type.split("/")[1], p.parent) for p in parts] == [("wav", None), ("jpeg", 0), ("jpeg", 1), ("zip", 0), ("png", 3), ("zip", 3)]
+    feature = media.features(frame).first().feature
+    assert f"inner=image/jpeg@44+{len(photo)}/0,image/jpeg@50+{len(thumb)}/1,application/zip@" in feature
+
+
 def test_media_payloads(spark):
     rows = odd_rows()
     got = media.features(media.media_of(docs(spark, rows), "doc_id", "text")).collect()
