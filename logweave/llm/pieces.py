@@ -30,6 +30,7 @@ from logweave.llm.common import Scratch, blocks, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+LITERAL = "\ud800"  # stands for a mark that the text itself holds, inside tasks only; no text can hold this one
 CHUNK = 16_384  # characters; longer documents are scanned in parallel
 BLOCK = 64  # chunks whose matrices are combined at once
 SCALE = 1_000_000  # of scores that aren't whole numbers
@@ -40,6 +41,11 @@ PLAIN = 48  # characters of a word that the library may segment
 LEAST = -4_000_000
 
 
+def marked(text: str) -> str:
+    """The text with marks for spaces; a mark of its own becomes LITERAL. Lengths don't change."""
+    return text.replace(MARK, LITERAL).replace(" ", MARK)
+
+
 class Pieces:
     """Pieces and integer scores of a SentencePiece model, with byte pieces for characters it lacks."""
 
@@ -49,6 +55,7 @@ class Pieces:
         self.names = [model.id_to_piece(i) for i in range(size)]
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i) for i in range(size)]
         self.bytes = {int(self.names[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
+        self.shown = [n.replace(MARK, " ") for n in self.names]
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = model.unk_id()
         scores = [model.get_score(i) for i in range(size)]
@@ -111,7 +118,7 @@ class Pieces:
         found = self.score.get(piece)
         if found:
             return [found[0]]
-        return [self.bytes.get(b, self.unknown) for b in piece.encode("utf-8", "replace")]
+        return [self.bytes.get(b, self.unknown) for b in piece.replace(LITERAL, MARK).encode("utf-8", "replace")]
 
     def best(self, text: str) -> tuple[list[int], int]:
         """Ids and score of the best segmentation; of equal ones that whose last pieces are longest."""
@@ -154,18 +161,19 @@ class Pieces:
         return got
 
     def decode(self, ids: list[int]) -> str:
-        out, held = [], bytearray()
-        for i in ids:
+        """The text of ids. Marks in pieces are spaces; one in bytes is itself, unless the vocabulary has no piece for spaces."""
+        out, held, spaced = [], bytearray(), MARK in self.score
+        for i in [*ids, None]:
             if i in self.byte_of:
                 held.append(self.byte_of[i])
-            else:
-                if held:
-                    out.append(held.decode("utf-8", "replace"))
-                    held.clear()
-                out.append(self.names[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ").removeprefix(" ")
+                continue
+            if held:
+                text = held.decode("utf-8", "replace")
+                out.append(text if spaced else text.replace(MARK, " "))
+                held.clear()
+            if i is not None:
+                out.append(self.shown[i])
+        return "".join(out).removeprefix(" ")
 
     def transfer(self, text: str, size: int, first: bool, last: bool) -> np.ndarray:
         """The (entry, exit) matrix of a chunk of `size` characters; text goes on for the longest piece after it.
@@ -246,16 +254,18 @@ def _states(steps: list[tuple[int, int]], numbers: list[int], rows: pa.Table, na
     return pa.table({**{n: rows.column(n) for n in names}, "n": pa.array(numbers, pa.int32()), "i": pa.array([x for x, _ in steps], pa.int32()), "j": pa.array([x for _, x in steps], pa.int32())})
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, chunk: int = CHUNK, exact: bool = False) -> DataFrame:
     """(key, text_sha256, n_chunks, ids) per row. Null texts are empty; empty ones have no ids.
 
-    A space stands before every text, as the vocabulary expects; the mark itself reads as a space, so
+    A space stands before every text, as the vocabulary expects. exact: a mark that the text itself holds is
+    spelled by its byte pieces, and text_sha256 is that of the text; else it reads as a space, and
     text_sha256 is that of the text with marks as spaces. Equal rows are encoded alike; other columns
     are left out. A document's ids make one row.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pieces")
-    rows = docs.select(F.col(key).alias("key"), F.replace(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(MARK), F.lit(" ")).alias("text"))
+    whole_text = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(key).alias("key"), (whole_text if exact else F.replace(whole_text, F.lit(MARK), F.lit(" "))).alias("text"))
     rows = rows.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
     kind = dict(rows.dtypes)["key"]
     giant = F.length("text") >= 2 * chunk
@@ -264,7 +274,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
         pieces = pieces_of(vocabulary)
         for held in batches:
             for batch in blocks(held, "text"):
-                texts = [MARK + t.replace(" ", MARK) if t else "" for t in batch.column("text").to_pylist()]
+                texts = [marked(" " + t) if t else "" for t in batch.column("text").to_pylist()]
                 pieces.learn(texts)
                 ids = [np.array(pieces.encode(t) if t else [], np.int32) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("sha"), pa.array([1] * len(ids), pa.int32()), pa.array(ids, pa.list_(pa.int32()))], ["key", "sha", "n_chunks", "ids"])
@@ -273,7 +283,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
         longest = pieces_of(vocabulary).longest
         for held in batches:
             for k, sha, t in zip(*(held.column(c).to_pylist() for c in ("key", "sha", "text"))):
-                t = MARK + t.replace(" ", MARK)
+                t = " " + t
                 n = len(t) // chunk  # the last chunk takes the rest
                 for at in range(0, n, 64):
                     part = range(at, min(at + 64, n))
@@ -287,8 +297,9 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(vocabulary)
         for b in (x for held in batches for x in blocks(held, "window")):
-            pieces.learn(b.column("window").to_pylist())
-            made = [pieces.transfer(t, size, n == 0, n == of - 1).ravel() for t, size, n, of in zip(*(b.column(c).to_pylist() for c in ("window", "size", "n", "n_chunks")))]
+            windows = [marked(t) for t in b.column("window").to_pylist()]
+            pieces.learn(windows)
+            made = [pieces.transfer(t, size, n == 0, n == of - 1).ravel() for t, size, n, of in zip(windows, *(b.column(c).to_pylist() for c in ("size", "n", "n_chunks")))]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("sha"), b.column("n"), pa.array(made, pa.list_(pa.int64()))], ["key", "sha", "n", "m"])
 
     def product(rows: pa.Table) -> pa.Table:
@@ -311,8 +322,9 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(vocabulary)
         for b in (x for held in batches for x in blocks(held, "window")):
-            pieces.learn(b.column("window").to_pylist())
-            ids = [np.array(pieces.encode(t[i : size + j]), np.int32) for t, size, i, j in zip(*(b.column(c).to_pylist() for c in ("window", "size", "i", "j")))]
+            windows = [marked(t) for t in b.column("window").to_pylist()]
+            pieces.learn(windows)
+            ids = [np.array(pieces.encode(t[i : size + j]), np.int32) for t, size, i, j in zip(windows, *(b.column(c).to_pylist() for c in ("size", "i", "j")))]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("sha"), b.column("n_chunks"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["key", "sha", "n_chunks", "n", "ids"])
 
     short = rows.where(~giant).mapInArrow(whole, f"key {kind}, sha string, n_chunks int, ids array<int>")
@@ -352,7 +364,7 @@ def decode(encoded: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) ->
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """doc_id, n_chunks, n_pieces, ids and whether decoding them gives the text back."""
-    back = decode(encode(docs), ["doc_id", "text_sha256", "n_chunks", "ids"])
+    back = decode(encode(docs, exact=True), ["doc_id", "text_sha256", "n_chunks", "ids"])
     same = F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")
     return back.select("doc_id", "n_chunks", F.size("ids").alias("n_pieces"), "ids", same.alias("round_trip"))
 

@@ -218,6 +218,17 @@ def test_encode_round_trip(spark):
     assert pieces.encode(docs(spark, [])).count() == 0
 
 
+def test_round_trip_keeps_literal_marks(spark):
+    rows = [(1, "▁"), (2, "a ▁▁ b▁c é▁日 ▁"), (3, " ▁ x"), (4, ""), (5, None), (6, "▁▂▃ bars 😀▁" * 90), (7, "plain text")]
+    assert all(r.round_trip for r in pieces.round_trip(docs(spark, rows)).collect())
+    for chunk in (pieces.CHUNK, 256):
+        encoded = pieces.encode(docs(spark, rows), chunk=chunk, exact=True)
+        got = {r.doc_id: r for r in pieces.decode(encoded, ["doc_id", "n_chunks", "text_sha256"]).collect()}
+        assert {i: got[i].decoded for i, _ in rows} == {i: t or "" for i, t in rows}
+        assert all(got[i].text_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for i, t in rows)
+    assert got[6].n_chunks > 2
+
+
 # --- MinHash
 
 
