@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Python tasks work on at most about this many bytes of text at once.
 BLOCK_BYTES = 2 << 20
@@ -34,6 +37,26 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+# shuffle files go when a query ends, and Arrow batches of long texts stay small
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """SETTINGS for the queries that are run inside."""
+    before = {name: spark.conf.get(name, None) for name in SETTINGS}
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 class Scratch:
     """Parquet tables in the shared folder; they cut lineage and outlive lost executors."""
 
@@ -46,14 +69,52 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        with cleaned(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Remove a table that no later read needs."""
+    def drop(self, *names: str) -> None:
+        """Remove tables that no later read needs."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with a number after each that a column of df has already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        n, free = 0, name
+        while free.lower() in taken:
+            n += 1
+            free = f"{name}{n}"
+        taken.add(free.lower())
+        out.append(free)
+    return out
+
+
+BITS = 25
+
+
+def possibly(ids: DataFrame, rows: DataFrame, column: str = "id") -> DataFrame:
+    """rows (column, ...) without most of those whose value isn't in ids (id), before anything is shuffled.
+
+    A bitmap of 2^25 bits over the ids is broadcast (4 MB at any input size). With very many ids it
+    lets more rows through; the join after it decides.
+    """
+    spark = ids.sparkSession
+    (name,) = fresh(rows, "__bitmap")
+    place = ids.select(F.pmod("id", F.lit(1 << BITS)).alias("h")).distinct()
+    words = place.groupBy(F.shiftright("h", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    with cleaned(spark):
+        words = words.toArrow()
+    bitmap = np.zeros(1 << BITS - 6, np.int64)
+    bitmap[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    one = spark.createDataFrame(pa.table({name: pa.array([bitmap], pa.list_(pa.int64()))}))
+    h = f"pmod(`{column}`, {1 << BITS})"
+    hit = F.expr(f"(shiftrightunsigned(get(`{name}`, cast({h} >> 6 as int)), cast({h} & 63 as int)) & 1) = 1")
+    return rows.where(F.col(column).isNotNull()).join(F.broadcast(one), hit).drop(name)
 
 
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,10 @@
 """From hash buckets to connected components: verified links without all pairs of a bucket.
 
-Buckets can hold very many near copies of one text. Each member first tries the one of its buckets'
-hubs that shares most with others (a star), so a group of n copies costs n comparisons. Members of
-buckets that still hold several components then meet by an exact prefix filter on their rarest
+Buckets can hold very many near copies of one text. In each round the few members of a bucket that
+share most with others (its hubs) are compared with all members, so a round costs a multiple of the
+rows, and a group of n copies of one text costs n comparisons. A hub is then done with its bucket;
+buckets whose other members lie in one component are done as well. Most buckets are small and end
+after a round or two. Members of those that stay open meet by an exact prefix filter on their rarest
 items, so copies that all differ from each other aren't paired n * n times, and no link between
 members of a bucket is lost.
 """
@@ -11,12 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import Scratch
+from logweave.llm.common import Scratch, possibly
 
-STAR_ROUNDS = 3
+HUBS = 4  # of a bucket in one round
+ROUNDS = 3
 EXTENSION = 16  # more items of a prefix that are compared before a pair is formed
 
 
@@ -49,8 +52,7 @@ def union_find(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
             links = links.join(hooks.select(F.col("id").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
         links = links.where("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct()
         links = scratch.save(links, f"{tag}-links{n}")
-        for name in (f"links{n - 1}", f"roots{n - 1}", f"hooks{n}-{jump}"):
-            scratch.drop(f"{tag}-{name}")
+        scratch.drop(*(f"{tag}-{name}" for name in (f"links{n - 1}", f"roots{n - 1}", f"hooks{n}-{jump}")))
     return roots
 
 
@@ -65,14 +67,8 @@ def set_overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def prefix_pairs(sets: DataFrame, num: int, den: int, extension: int = EXTENSION) -> DataFrame:
-    """Pairs (a, b) of sets (id, items, root) with different roots that can have den * common >= num * union.
-
-    Prefix filter: with items in order of rarity, such sets share an item among their first ones, whose
-    number follows from both sizes, and n + 1 items among the first ones and n more (n: extension, whose
-    items each row of a prefix carries; 0 for long prefixes). So none is missed, and sets that differ in more rare items than that never meet. An item's rows of the root that holds
-    most of them aren't paired with each other.
-    """
+def prefix_tokens(sets: DataFrame, num: int, den: int, extension: int = EXTENSION) -> DataFrame:
+    """One row per item of the prefixes of sets (id, items, root): id, root, size, alone, k (its place), item, and `order` if there is an extension."""
     sized = sets.select("id", "root", F.size("items").alias("size"), F.explode("items").alias("item"))
     rarity = sized.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     # items of one set only can't be shared: they take places in the prefix, but need no rows
@@ -81,10 +77,21 @@ def prefix_pairs(sets: DataFrame, num: int, den: int, extension: int = EXTENSION
     room = F.col("size") - F.expr(f"cast((size * {num} + {den - 1}) div {den} as int)") + 1 - alone
     first = own.where(room > 0).withColumns({"alone": alone, "order": F.transform(F.slice("known", F.lit(1), (room + extension).cast("int")), lambda x: x["item"])})
     carried = ["id", "root", "size", "alone", *["order"] * bool(extension)]
-    tokens = first.select(*carried, F.posexplode(F.slice("order", F.lit(1), room.cast("int"))).alias("k", "item"))
+    return first.select(*carried, F.posexplode(F.slice("order", F.lit(1), room.cast("int"))).alias("k", "item"))
+
+
+def prefix_pairs(tokens: DataFrame, num: int, den: int, extension: int = EXTENSION) -> DataFrame:
+    """Pairs (a, b) of the sets of prefix_tokens with different roots that can have den * common >= num * union.
+
+    Prefix filter: with items in order of rarity, such sets share an item among their first ones, whose
+    number follows from both sizes, and n + 1 items among the first ones and n more (n: extension, whose
+    items each row of a prefix carries; 0 for long prefixes). So none is missed, and sets that differ in
+    more rare items than that never meet. An item's rows of the root that holds most of them aren't
+    paired with each other. tokens should be a stored table: it is read three times.
+    """
     most = tokens.groupBy("item", "root").agg(F.count("*").alias("n")).groupBy("item").agg(F.max(F.struct("n", "root")).getField("root").alias("major"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = tokens.join(most.drop("roots"), "item")
-    few, all_ = mixed.where("root <> major").alias("x"), mixed.alias("y")
+    few = tokens.join(most.drop("roots"), "item").where("root <> major").alias("x")
+    all_ = tokens.alias("y")
     need = F.expr(f"cast(((x.size + y.size) * {num} + {num + den - 1}) div {num + den} as int)")
     more = F.least(F.lit(extension), need - 1)
     left = lambda t: F.col(f"{t}.size") - need - F.col(f"{t}.alone") + 1  # noqa: E731  places of the shorter prefix that can match
@@ -100,37 +107,54 @@ def prefix_pairs(sets: DataFrame, num: int, den: int, extension: int = EXTENSION
 def link(members: DataFrame, overlap: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame], num: int, den: int, scratch: Scratch, extension: int = EXTENSION) -> DataFrame:
     """(id, root) of ids with at least one link: den * common >= num * union, exactly, between members of a bucket.
 
-    members (bucket, id) without repeats; overlap adds common and union, the sizes for the items of
-    the ids a and b, to a table of pairs; items gives (id, items) of a table of ids, items without repeats.
+    members (bucket, id, n) without repeats, n the number of an id's items; overlap adds common and union,
+    the sizes for the items of the ids a and b, to a table of pairs; items gives (id, items) of a table of
+    ids, items without repeats. Sets whose sizes alone rule a link out are never compared.
     """
     linked = F.col("common") * den >= F.col("union") * num
-    edges, rest = None, members
-    for n in range(STAR_ROUNDS):
-        # who shares most buckets with most others: the text that a group was copied from
-        crowd = rest.groupBy("bucket").agg(F.count("*").alias("n"))
-        weight = scratch.save(rest.join(crowd, "bucket").groupBy("id").agg(F.sum("n").alias("w")), f"weight{n}")
-        ranked = rest.join(weight, "id").withColumn("rank", F.struct("w", "id"))
-        hubs = ranked.groupBy("bucket").agg(F.max("rank").alias("hub"))
-        tries = ranked.join(hubs, "bucket").where("rank < hub").groupBy("id").agg(F.max("hub").getField("id").alias("hub"))
-        found = scratch.save(overlap(tries.select(F.col("hub").alias("a"), F.col("id").alias("b"))).where(linked).select("a", "b"), f"stars{n}")
+    crowd = members.groupBy("bucket").agg(F.count("*").alias("crowd"))
+    # who shares most buckets with most others: the text that a group was copied from
+    weight = members.join(crowd, "bucket").groupBy("id").agg(F.sum("crowd").alias("w"))
+    rest = scratch.save(members.join(weight, "id").withColumn("root", F.col("id")), "rest0")
+    edges = roots = None
+    for n in range(ROUNDS):
+        # the window keeps a few rows of a bucket per task before it shuffles
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("w"), "id"))
+        hubs = rest.withColumn("place", place).where(F.col("place") <= HUBS)
+        hubs = scratch.save(hubs.select("bucket", "w", *[F.col(c).alias(f"hub_{c}") for c in ("id", "n", "root")]), f"hubs{n}")
+        sizes = (F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num) & (F.col("root") != F.col("hub_root"))
+        tries = rest.drop("w").join(hubs.drop("w"), "bucket").where(sizes).select(F.col("hub_id").alias("a"), F.col("id").alias("b"))
+        tries = tries.groupBy(F.least("a", "b"), F.greatest("a", "b")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b")
+        found = scratch.save(overlap(tries).where(linked).select("a", "b"), f"stars{n}")
         edges = found if edges is None else edges.unionByName(found)
-        if n + 1 < STAR_ROUNDS:
-            done = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            rest = scratch.save(in_buckets(rest.join(done, "id", "left_anti")), f"rest{n}")
-            if rest.isEmpty():
-                break
-    roots = union_find(edges, scratch, "stars")
-    at = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    mixed = at.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
-    open_ = scratch.save(at.join(mixed, "bucket", "left_semi").select("id", "root").distinct(), "open")
-    pairs = scratch.save(prefix_pairs(items(open_.select("id")).join(open_, "id"), num, den, extension), "pairs")
-    more = scratch.save(overlap(pairs).where(linked).select("a", "b"), "more")
-    if more.isEmpty():
-        return roots
-    return union_find(edges.unionByName(more), scratch, "all")
+        if not found.isEmpty():
+            roots = union_find(edges, scratch, f"all{n}")
+        if roots is not None:
+            rest = rest.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rest = rest.join(hubs.select("bucket", F.col("hub_id").alias("id")), ["bucket", "id"], "left_anti")
+        mixed = rest.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
+        rest = scratch.save(rest.join(mixed, "bucket", "left_semi"), f"rest{n + 1}")
+        scratch.drop(f"rest{n}", f"hubs{n}")
+        if rest.isEmpty():
+            break
+    else:
+        open_ = scratch.save(rest.select("id", "root").distinct(), "open")
+        tokens = scratch.save(prefix_tokens(items(open_.select("id")).join(open_, "id"), num, den, extension), "tokens")
+        pairs = scratch.save(prefix_pairs(tokens, num, den, extension), "pairs")
+        more = scratch.save(overlap(pairs).where(linked).select("a", "b"), "more")
+        scratch.drop("tokens", "pairs", "open")
+        if roots is None or not more.isEmpty():
+            roots = union_find(edges.unionByName(more), scratch, "last")
+    return roots if roots is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("root")).limit(0)
 
 
 def in_buckets(keys: DataFrame) -> DataFrame:
     """keys (bucket, id, ...) that another id shares. The count is a partial aggregate and AQE can split the join, so hot buckets are cheap."""
     shared = keys.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("bucket")
     return keys.join(shared, "bucket", "left_semi")
+
+
+def crowded(keys: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """keys (bucket, id, ...) whose bucket has several rows. Only counts of buckets are shuffled for most of them. The table `name` must outlive the result."""
+    shared = scratch.save(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("id")), name)
+    return possibly(shared, keys, "bucket").join(shared.withColumnRenamed("id", "bucket"), "bucket", "left_semi")

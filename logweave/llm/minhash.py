@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import BLOCK_BYTES, Scratch, blocks, table
-from logweave.llm.linking import in_buckets, link, set_overlap
+from logweave.llm.common import Scratch, blocks, fresh, possibly, table
+from logweave.llm.linking import crowded, in_buckets, link, set_overlap
 
 SHINGLE = 3
 BANDS = 8  # of each of the two collections
 ROWS = 3  # minimum hashes of a band
+BLOCK_BYTES = 1 << 18  # of text that are hashed at once: each byte takes several 8-byte numbers
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -97,10 +98,12 @@ def min_hashes(sets: list[np.ndarray], n: int) -> np.ndarray:
     """(set, n) smallest hashes under n random functions; all sets must have items."""
     flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    out = np.empty((len(sets), n), np.uint32)
+    out, mixed = np.empty((n, len(sets)), np.uint32), np.empty_like(flat)
     for j in range(n):
-        out[:, j] = np.minimum.reduceat((flat ^ _SEEDS[j]) * _ODD[j], starts)
-    return out
+        np.bitwise_xor(flat, _SEEDS[j], out=mixed)
+        np.multiply(mixed, _ODD[j], out=mixed)
+        np.minimum.reduceat(mixed, starts, out=out[j])
+    return out.T
 
 
 def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
@@ -113,27 +116,25 @@ def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, n_shingles, set_key, halves) per row; set_key is the same for equal sets, halves has 2 * bands keys (null: empty set)."""
+    """(id, row, n_shingles, node, halves) per row: row is a hash of the text, node one of the shingle set, halves are 2 * bands keys (node and halves are null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in blocks(whole, "text"):
+            for batch in blocks(whole, "text", BLOCK_BYTES):
                 sets = shingle_sets(batch.column("text").to_pylist(), k)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                halves, keys = [None] * len(sets), [None] * len(sets)
+                halves, nodes = [None] * len(sets), [None] * len(sets)
                 if full:
                     got = band_keys(min_hashes([sets[i] for i in full], 2 * bands * rows), rows)
                     for i, row in zip(full, got.astype(np.int64)):
                         halves[i] = row
-                        both = np.array([sets[i].sum(dtype=np.uint64), mix64(sets[i]).sum(dtype=np.uint64)])
-                        keys[i] = both.tobytes() + len(sets[i]).to_bytes(4, "little")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(halves, pa.list_(pa.int64()))],
-                    ["id", "n_shingles", "set_key", "halves"],
-                )
+                        both = np.array([sets[i].sum(dtype=np.uint64), mix64(sets[i]).sum(dtype=np.uint64), len(sets[i])], np.uint64)
+                        nodes[i] = int(np.bitwise_xor.reduce(mix64(both * np.array([_BASE, 1, _BASE], np.uint64) + np.arange(3, dtype=np.uint64))).astype(np.int64))
+                made = [pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(halves, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), *made], ["id", "row", "n_shingles", "node", "halves"])
 
-    rows_ = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    return rows_.mapInArrow(run, "id long, n_shingles long, set_key binary, halves array<long>")
+    rows_ = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("row"), F.col(text).cast("binary").alias("text"))
+    return rows_.mapInArrow(run, "id long, row long, n_shingles long, node long, halves array<long>")
 
 
 def item_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -141,55 +142,87 @@ def item_sets(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in blocks(whole, "text"):
+            for batch in blocks(whole, "text", BLOCK_BYTES):
                 sets = [s.view(np.int64) for s in shingle_sets(batch.column("text").to_pylist(), k)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "items"])
 
     return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, items array<long>")
 
 
-def tensored(sets: DataFrame, bands: int = BANDS) -> DataFrame:
+def tensored(sets: DataFrame, scratch: Scratch, bands: int = BANDS) -> DataFrame:
     """(bucket, id) of sets (id, halves) for all tables in which a set shares its bucket.
 
     Each half is counted first; only pairs of shared halves are formed, so most sets form none.
     """
     halves = sets.select("id", F.posexplode("halves").alias("slot", "bucket"))
-    shared = in_buckets(halves.select("bucket", "id", "slot"))
+    shared = crowded(halves.select("bucket", "id", "slot"), scratch, "shared")
     own = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("slot", "bucket"))).alias("own"))  # 2 * bands at most
     first, second = F.filter("own", lambda x: x["slot"] < bands), F.filter("own", lambda x: x["slot"] >= bands)
     pairs = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a["bucket"], b["bucket"]))))
-    return in_buckets(own.select(F.explode(pairs).alias("bucket"), "id").distinct())
+    tables = scratch.save(own.select(F.explode(pairs).alias("bucket"), "id").distinct(), "tables")
+    return in_buckets(tables)
+
+
+def components(docs: DataFrame, key: str, text: str, shingle: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(id, row, n_shingles, component) per row; component is the smallest id of the linked rows, null without an id, and the own id if nothing is linked."""
+    rows = scratch.save(signatures(docs, key, text, shingle), "signatures")
+    alive = rows.where(F.col("id").isNotNull() & F.col("node").isNotNull())
+    place = F.struct("id", "row")
+    first = alive.groupBy("node").agg(F.min(place).alias("rep"), F.first("halves").alias("halves"), F.first("n_shingles").alias("n"))
+    first = scratch.save(first.select(F.col("node").alias("id"), "rep", "halves", "n"), "sets")
+    members = scratch.save(tensored(first, scratch).join(first.select("id", "n"), "id").select("bucket", "id", "n"), "members")
+    scratch.drop("shared", "tables")
+    # one row stands for all whose sets are equal; only such rows' texts are shuffled
+    wanted = first.join(members.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("node"), "rep.id", F.col("rep.row").alias("row"))
+    wanted = scratch.save(wanted, "wanted")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("row"), F.col(text).alias("text"))
+    texts = possibly(wanted.select(F.col("row").alias("id")), texts, "row").join(wanted, ["id", "row"]).select(F.col("node").alias("id"), "text").dropDuplicates(["id"])
+    sets = scratch.save(item_sets(texts, shingle), "items")
+    roots = link(members, lambda pairs: set_overlap(pairs, sets), lambda ids: sets.join(ids, "id", "left_semi"), num, den, scratch)
+    named = first.select("id", F.col("rep.id").alias("least")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    smallest = named.groupBy("root").agg(F.min("least").alias("component"))
+    named = scratch.save(named.join(smallest, "root").select(F.col("id").alias("node"), "component"), "named")
+    out = rows.drop("halves").join(named, "node", "left")
+    return out.select("id", "row", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, num: int = 85, den: int = 100) -> DataFrame:
-    """(key, n_shingles, component_id, kept) per row: documents with den * common >= num * union of their shingle sets are linked.
+    """(key, n_shingles, component_id, kept) per row: rows with den * common >= num * union of their shingle sets are linked.
 
     Texts are lower-cased (A-Z) and cut at white space; a text with fewer words than a shingle is one
     shingle, an empty or null one is empty and alone. component_id is the smallest id that can be
     reached, kept says that it is the row's own; a null id takes no part, its row is kept and has no
-    component. Rows that repeat an id are one node; equal sets are compared once.
+    component. Rows that repeat an id are linked by their texts like all others; equal sets are compared
+    once. Only key and text are read, so no other column can clash. An empty table gives no rows. Nodes
+    are 64-bit hashes of sets: two different sets of n share one with probability n / 2^64.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
-    rows = scratch.save(signatures(docs, key, text, shingle), "signatures")
-    alive = rows.where(F.col("id").isNotNull() & F.col("set_key").isNotNull())
-    first = scratch.save(alive.groupBy("set_key").agg(F.min("id").alias("id"), F.first("halves").alias("halves")), "sets")
-    members = scratch.save(tensored(first), "members")
-    wanted = members.select("id").distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    # an id that repeats with other texts is one node; its smallest set stands for it
-    sets = scratch.save(item_sets(texts, shingle).groupBy("id").agg(F.min("items").alias("items")), "items")
-    roots = link(members, lambda pairs: set_overlap(pairs, sets), lambda ids: sets.join(ids, "id", "left_semi"), num, den, scratch)
-    named = first.select("set_key", "id").join(roots, "id", "left").select("set_key", F.coalesce("root", "id").alias("component"))
-    out = rows.join(named, "set_key", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    found = components(docs, key, text, shingle, num, den, Scratch(docs.sparkSession, "minhash"))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+    return found.select(F.col("id").alias(key), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without the rows that aren't the first of their group. Rows whose id is null or whose text is empty stay."""
-    gone = near_duplicates(docs, key, text, shingle, num, den).where("not kept").select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    """docs with one row of each group: that with the smallest id, then the smallest hash of its text.
+
+    Rows that repeat both are one row; which of their other columns stay isn't defined. Rows whose id is
+    null or whose text has no words stay. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "keep-first")
+    found = components(docs, key, text, shingle, num, den, scratch).where("component is not null and n_shingles > 0")
+    found = scratch.save(found.groupBy("component", "id", "row").agg(F.count("*").alias("copies")), "found")
+    first = found.groupBy("component").agg(F.min(F.struct("id", "row")).alias("first"))
+    judged = found.join(first, "component").withColumn("stays", F.struct("id", "row") == F.col("first"))
+    doc, row = fresh(docs, "__doc", "__row")
+    names = [F.col("id").alias(doc), F.col("row").alias(row)]
+    gone = scratch.save(judged.where("not stays or copies > 1").select(*names, "stays"), "gone")
+    hashed = docs.withColumns({doc: F.col(key).cast("long"), row: F.xxhash64(F.col(text).cast("string"))})
+    rest = hashed.join(gone.drop("stays"), [doc, row], "left_anti").select(*docs.columns)
+    twice = gone.where("stays").drop("stays")
+    if twice.isEmpty():
+        return rest
+    one = possibly(twice.select(F.col(row).alias("id")), hashed, row).join(twice, [doc, row], "left_semi").dropDuplicates([doc, row])
+    return rest.unionByName(one.select(*docs.columns))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import Scratch, blocks, table
-from logweave.llm.lines import possibly
+from logweave.llm.common import Scratch, blocks, fresh, possibly, table
 
 ORDER = 6
 DISCOUNT = 0.75

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 
 from logweave.llm import chat, langid, lines, media, minhash, mixing, neighbours, pieces, toxicity, warc
-from logweave.llm.linking import prefix_pairs, union_find
+from logweave.llm.linking import prefix_pairs, prefix_tokens, union_find
 from logweave.llm.common import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -270,7 +270,7 @@ def test_prefix_filter_loses_nothing(spark):
     for i in range(60, 90):
         sets[i] = (sets[i - 60] | {rng.randrange(60)}) - {rng.randrange(60)}
     frame = spark.createDataFrame([(i, sorted(s), i) for i, s in sets.items()], "id long, items array<long>, root long")
-    got, plain = ({(r.a, r.b) for r in prefix_pairs(frame, 80, 100, n).collect()} for n in (16, 0))
+    got, plain = ({(r.a, r.b) for r in prefix_pairs(prefix_tokens(frame, 80, 100, n), 80, 100, n).collect()} for n in (16, 0))
     want = {(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     assert want and want <= got and want <= plain
 
