@@ -101,7 +101,8 @@ def possibly(ids: DataFrame, rows: DataFrame, column: str = "id") -> DataFrame:
     """rows (column, ...) without most of those whose value isn't in ids (id), before anything is shuffled.
 
     A bitmap of 2^25 bits over the ids is broadcast (4 MB at any input size). With very many ids it
-    lets more rows through; the join after it decides.
+    lets more rows through; the join after it decides. That should be an inner join: Spark moves a semi
+    join below this one, so all rows would be shuffled for it.
     """
     spark = ids.sparkSession
     (name,) = fresh(rows, "__bitmap")

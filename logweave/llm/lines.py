@@ -190,7 +190,7 @@ def line_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     members = scratch.save(in_buckets(several), "members")
     wanted = scratch.save(members.select("id").distinct(), "wanted")
     scratch.drop("shared", "several")
-    texts = possibly(wanted, lines_of(docs, key, text).select("id", "line")).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    texts = possibly(wanted, lines_of(docs, key, text).select("id", "line")).join(wanted, "id").groupBy("id").agg(F.min("line").alias("line"))
     texts = scratch.save(texts, "texts")
     members = members.join(sized(texts, k), "id").select("bucket", "id", "n")
     roots = link(members, lambda pairs: text_overlap(pairs, texts, k), lambda ids: text_items(texts.join(ids, "id", "left_semi"), k), num, den, scratch, extension=0)

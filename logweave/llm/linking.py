@@ -157,4 +157,4 @@ def in_buckets(keys: DataFrame) -> DataFrame:
 def crowded(keys: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """keys (bucket, id, ...) whose bucket has several rows. Only counts of buckets are shuffled for most of them. The table `name` must outlive the result."""
     shared = scratch.save(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("id")), name)
-    return possibly(shared, keys, "bucket").join(shared.withColumnRenamed("id", "bucket"), "bucket", "left_semi")
+    return possibly(shared, keys, "bucket").join(shared.withColumnRenamed("id", "bucket"), "bucket")

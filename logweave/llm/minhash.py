@@ -221,7 +221,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     twice = gone.where("stays").drop("stays")
     if twice.isEmpty():
         return rest
-    one = possibly(twice.select(F.col(row).alias("id")), hashed, row).join(twice, [doc, row], "left_semi").dropDuplicates([doc, row])
+    one = possibly(twice.select(F.col(row).alias("id")), hashed, row).join(twice, [doc, row]).dropDuplicates([doc, row])
     return rest.unionByName(one.select(*docs.columns))
 
 
