@@ -11,6 +11,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logweave.llm import chat, langid, lines, media, minhash, mixing, neighbours, pieces, toxicity, warc
@@ -165,42 +166,54 @@ def vocabulary():
     return pieces.Pieces(pieces.VOCABULARY)
 
 
-def test_scan_equals_whole_viterbi(vocabulary):
-    rng = random.Random(5)
-    for k in range(40):
-        parts = ["the ", "quick", "international", " ", "  ", "é", "日本", "x", "ing", "\n"] if k % 2 else ["abc", "the", "ing", "tion", "日", "inter", "national", "e"]
-        text = pieces.MARK + "".join(rng.choice(parts) for _ in range(80)).replace(" ", pieces.MARK)
-        best, score = vocabulary.best(text)
-        for chunk in (20, 37):
-            n = len(text) // chunk
-            if n < 2:
-                continue
-            ends = [len(text) if i == n - 1 else (i + 1) * chunk for i in range(n)]
-            made = [vocabulary.transfer(text[i * chunk : e + vocabulary.longest], e - i * chunk, i == 0, i == n - 1) for i, e in enumerate(ends)]
-            total = made[0]
-            for m in made[1:]:
-                total = pieces.combine(total, m)
-            assert total[0, 0] == score
-            ids = [x for (i, e), (a, b) in zip(enumerate(ends), pieces._steps(made)) for x in vocabulary.encode(text[i * chunk + a : e + b])]
-            assert vocabulary.decode(ids) == vocabulary.decode(best)
-            known = {vocabulary.score[n][0]: vocabulary.score[n][1] for n in vocabulary.score}
-            if not any(x in vocabulary.byte_of for x in ids + best):
-                assert sum(known[x] for x in ids) == score
-
-
-def test_words_match_the_library(tmp_path):
-    from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
-
-    model = sentencepiece_model_pb2.ModelProto()
-    model.ParseFromString(open(pieces.VOCABULARY, "rb").read())
-    model.trainer_spec.model_type = 1  # the same pieces and scores read as a unigram lattice
-    for piece in model.pieces:  # the library adds 32-bit floats, in which the blanks' scores swallow all others
-        piece.score = max(piece.score, -50_000.0)
-    path = tmp_path / "unigram.model"
-    path.write_bytes(model.SerializeToString())
-    library, vocabulary = SentencePieceProcessor(model_file=str(path)), pieces.Pieces(str(path))
-    for text in ("the quick brown foxes jumped", "une école à Paris", "internationalisation", "12 x 日本"):
-        assert list(vocabulary.encode(pieces.MARK + text.replace(" ", pieces.MARK))) == library.encode(text)
+@pytest.fixture(scope="module")
+def library():
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=pieces.VOCABULARY)
+
+
+def hard_texts(rng, n):
+    """Words, texts without any blank, runs of one character, unknown characters and literal marks."""
+    for k in range(n):
+        size = rng.randrange(200, 700)
+        parts = (["the ", "quick", "international", " ", "  ", "é", "日本", "x", "ing", "\n", "\t"], list("abcdefgh"), ["abc", "the", "ing", "tion", "日", "inter", "national", "e"], list("ab aé日😀▁\n\t  <>"), ["="], [" "])[k % 6]
+        yield "".join(rng.choice(parts) for _ in range(size // max(1, len(parts[0]))))
+
+
+def scanned(vocabulary, text, chunk):
+    """A text's ids by chunks alone: matrices, their path, and each chunk between its states."""
+    n = len(text) // chunk
+    cut = []
+    for i in range(n):
+        begin, end = max(0, i * chunk - vocabulary.longest), len(text) if i == n - 1 else (i + 1) * chunk
+        cut.append((text[begin : end + vocabulary.longest], i * chunk - begin, end - i * chunk, i == 0, i == n - 1))
+    made = [vocabulary.transfer(*x) for x in cut]
+    total = made[0]
+    for m in made[1:]:
+        total = pieces.combine(total, m)
+    assert total.tolist() == [[0]]
+    ids = []
+    for (window, begin, size, first, last), (i, j) in zip(cut, pieces.best_path(made)):
+        ids += vocabulary.encode(window[begin if first else vocabulary.states(window, begin)[i][1] : begin + size if last else vocabulary.states(window, begin + size)[j][1]])
+    return ids
+
+
+def test_scan_equals_the_whole_encoding(vocabulary):
+    for text in hard_texts(random.Random(5), 36):
+        whole = vocabulary.encode(" " + text)
+        assert scanned(vocabulary, " " + text, 64) == whole == vocabulary.encode_array(pa.array([" " + text]))[1].tolist()
+
+
+def test_ids_are_those_of_the_models_own_encoder(spark, library):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id: library.encode(r.text or "") for r in table.collect()}
+    for chunk in (pieces.CHUNK, 200):  # with 200 characters, most documents are scanned
+        got = pieces.encode(table, chunk=chunk)
+        assert {r.doc_id: r.ids for r in got.collect()} == want
+    rows = list(enumerate(hard_texts(random.Random(6), 24)))  # a literal mark reads as a space here
+    got = {r.doc_id: r.ids for r in pieces.encode(docs(spark, rows), chunk=64).collect()}
+    assert got == {i: library.encode(t) for i, t in rows}
 
 
 def test_encode_round_trip(spark):
@@ -221,6 +234,8 @@ def test_encode_round_trip(spark):
 def test_round_trip_keeps_literal_marks(spark):
     rows = [(1, "▁"), (2, "a ▁▁ b▁c é▁日 ▁"), (3, " ▁ x"), (4, ""), (5, None), (6, "▁▂▃ bars 😀▁" * 90), (7, "plain text")]
     assert all(r.round_trip for r in pieces.round_trip(docs(spark, rows)).collect())
+    broken = spark.createDataFrame([(1, [3 + 0xE2, 3 + 0x96]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.decoded for r in pieces.decode(broken, ["doc_id"]).collect()} == {1: "\ufffd", 2: "", 3: ""}
     for chunk in (pieces.CHUNK, 256):
         encoded = pieces.encode(docs(spark, rows), chunk=chunk, exact=True)
         got = {r.doc_id: r for r in pieces.decode(encoded, ["doc_id", "n_chunks", "text_sha256"]).collect()}
