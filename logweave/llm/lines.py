@@ -25,16 +25,15 @@ NUM, DEN = 80, 100
 BLOCK = 1 << 16  # bytes of lines that are signed at once, so their hashes stay in the processor's cache
 
 
-def normal(line: Column) -> Column:
-    """What counts as the same line: case and outer white space don't matter."""
-    return F.lower(F.trim(line, F.lit(" \t\r\x0b\x0c\xa0")))
+BLANK = " \t\r\x0b\x0c\xa0"  # around a line; these and case don't tell lines apart
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, row, line_no, line, id): row is a hash of the whole text, id is null for blank lines, else 64 bits of the normal line's hash."""
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    split = rows.select("doc", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    cut = split.withColumn("line", normal(F.col("line")))
+    """(doc, row, line_no, line, id): row is a hash of the whole text, line is in lower case and trimmed, id is null for blank lines, else 64 bits of the line's hash."""
+    whole = F.col(text).cast("string")
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(whole).alias("row"), F.lower(whole).alias("text"))  # once a text, not once a line
+    split = rows.select("doc", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    cut = split.withColumn("line", F.trim("line", F.lit(BLANK)))
     return cut.withColumn("id", F.when(F.col("line") != "", F.xxhash64("line")))
 
 
@@ -116,26 +115,30 @@ def signed(lines: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = R
     return lines.select("doc", "row", "line_no", "id", "line").mapInArrow(run, "doc long, row long, line_no int, id long, bands array<long>")
 
 
+_PAIR = np.uint64(54)  # bits of a shingle's hash beside the number of its pair
+
+
+def paired(texts: list[str], k: int) -> np.ndarray:
+    """The distinct shingles of each text: 54 bits of their hashes below the text's number, sorted. At most 1,024 texts."""
+    flat, starts = char_shingles(texts, k, 2)
+    number = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(np.append(starts, len(flat))))
+    flat = np.sort(number << _PAIR | flat >> np.uint64(64 - 54))
+    return flat[np.append(True, flat[1:] != flat[:-1])] if len(flat) else flat
+
+
 def text_overlap(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """pairs (a, b, ...) with common and union of the character shingles of their texts (id, line)."""
     left = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
     right = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     fields = list(pairs.schema)
 
-    def grams(text: str) -> set[str]:
-        return {text[i : i + k] for i in range(len(text) - k + 1)} or {text}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in blocks(whole, "line_b"):
-                common, union, last, seen = [], [], None, set()
-                for a, b in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()):
-                    if a != last:  # a star's centre comes many times in a row
-                        last, seen = a, grams(a)
-                    other = grams(b)
-                    n = len(seen & other)
-                    common.append(n)
-                    union.append(len(seen) + len(other) - n)
+            for batch in (x.slice(at, 512) for x in blocks(whole, "line_b", 1 << 18) for at in range(0, x.num_rows, 512)):
+                a, b = (paired(batch.column(c).to_pylist(), k) for c in ("line_a", "line_b"))
+                both = np.sort(np.concatenate([a, b]))
+                common = np.bincount(both[1:][both[1:] == both[:-1]] >> _PAIR, minlength=batch.num_rows)
+                union = np.bincount(both >> _PAIR, minlength=batch.num_rows) - common
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array(common, pa.int64()), pa.array(union, pa.int64())], [*[f.name for f in fields], "common", "union"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
