@@ -2,8 +2,8 @@
 
 Texts are lower-cased, everything but letters becomes one space, and n-grams of one to three
 characters are hashed into buckets. Training sums counts per language and bucket over all rows
-that may be learned from; the matrix of log-probabilities has a fixed number of cells and is
-broadcast. Scoring gathers the matrix rows of a text's n-grams and adds them up in numpy.
+that may be learned from. The matrix of log-probabilities is broadcast in blocks of languages, each
+of a fixed size. Scoring gathers the matrix rows of a text's n-grams and adds them up in numpy.
 """
 
 from __future__ import annotations
@@ -12,17 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import blocks, table
+from logweave.llm.common import Scratch, blocks, fresh, table
 
 BUCKETS = 1 << 15
-CELLS = 1 << 23  # languages * buckets is at most this, so the broadcast is at most 32 MB
+LANGUAGES = 64  # of a block: its matrix is 8 MB; more languages are scored in more passes
 ORDERS = (1, 2, 3)
 PRIOR = 0.5
 UNKNOWN = "und"
-PIECE = 1 << 20  # characters of one text that are turned into n-grams at once
+PIECE = 1 << 20  # characters that are turned into n-grams at once
 _LETTERS: list[np.ndarray] = []
 
 
@@ -35,42 +37,56 @@ def _fold() -> np.ndarray:
     return _LETTERS[0]
 
 
-def grams(texts: list[str], buckets: int, orders: tuple[int, ...] = ORDERS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order, (bucket, number of the text) of all n-grams. A space stands around every text."""
-    joined = " " + " ".join(texts) + " "
-    points = _fold()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    owner = np.concatenate([owner[:1], owner]) if len(owner) else owner
-    keep = np.ones(len(points), bool)
-    keep[1:] = (points[1:] != 32) | (points[:-1] != 32) | (owner[1:] != owner[:-1])
-    points, owner = points[keep], owner[keep]
+def folded(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, int]]:
+    """(rows, points, owner, skip): lower-case letters of some texts, one blank for all else, one before and one after each text.
+
+    owner numbers the texts among rows. Very long texts come in parts; the first `skip` points of a part
+    are the last ones of the part before and only begin n-grams.
+    """
+
+    def points(text: str) -> np.ndarray:
+        return _fold()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+    def single(x: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.ones(len(x), bool)
+        keep[1:] = (x[1:] != 32) | (x[:-1] != 32) | (owner[1:] != owner[:-1])
+        return x[keep], owner[keep]
+
+    at = 0
+    while at < len(texts):
+        rows, held = [], 0
+        while at < len(texts) and (not rows or held + len(texts[at]) <= PIECE) and len(texts[at]) <= PIECE:
+            rows.append(at)
+            held += len(texts[at])
+            at += 1
+        if rows:
+            owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(texts[i]) + 2 for i in rows])
+            yield rows, *single(points("".join([f" {texts[i]} " for i in rows])), owner), 0
+            continue
+        before = np.zeros(0, np.uint32)
+        for begin in range(0, len(texts[at]), PIECE):
+            end = begin + PIECE
+            part = " " * (begin == 0) + texts[at][begin:end] + " " * (end >= len(texts[at]))
+            x = np.concatenate([before, points(part)])
+            x, owner = single(x, np.zeros(len(x), np.int32))
+            yield [at], x, owner, len(before)
+            before = x[-(max(ORDERS) - 1) :]
+        at += 1
+
+
+def grams(points: np.ndarray, owner: np.ndarray, skip: int, buckets: int, orders: tuple[int, ...] = ORDERS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order, (bucket, number of the text) of all n-grams that don't end in the first `skip` points. Blanks alone are none."""
     key = np.zeros(len(points), np.uint32)
     for n in range(1, max(orders) + 1):
-        key = key[: len(points) - n + 1] * np.uint32(0x01000193) ^ points[n - 1 :] * np.uint32(0x9E3779B1)
+        key = key[: max(len(points) - n + 1, 0)] * np.uint32(0x01000193) ^ points[n - 1 :] * np.uint32(0x9E3779B1)
         if n in orders:
             mixed = key ^ key >> np.uint32(15)
             mixed = mixed * np.uint32(0x85EBCA6B) + np.uint32(n)
-            one = (owner[n - 1 :] == owner[: len(owner) - n + 1]) & ((points[n - 1 :] != 32) if n == 1 else True)
+            one = (owner[n - 1 :] == owner[: len(key)]) & ((points[n - 1 :] != 32) if n == 1 else True)
+            one[: max(0, skip - n + 1)] = False
             yield (mixed >> np.uint32(8))[one] % np.uint32(buckets), owner[n - 1 :][one]
 
 
-def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """Texts, and parts of very long ones, about PIECE characters at a time."""
-    rows, held, size = [], [], 0
-    for i, text in enumerate(texts):
-        for at in range(0, max(len(text), 1), PIECE):
-            part = text[at : at + PIECE]
-            if held and size + len(part) > PIECE:
-                yield rows, held
-                rows, held, size = [], [], 0
-            rows.append(i)
-            held.append(part)
-            size += len(part)
-    if held:
-        yield rows, held
-
-
 def count(rows: DataFrame, buckets: int) -> DataFrame:
     """(lang, bucket, n) over rows of (text, lang), summed within tasks before the shuffle."""
 
@@ -85,16 +101,19 @@ def count(rows: DataFrame, buckets: int) -> DataFrame:
 
         for whole in batches:
             for batch in blocks(whole, "text"):
-                texts = [t or "" for t in batch.column("text").to_pylist()]
                 names = batch.column("lang").to_pylist()
-                for rows_, parts in _pieces(texts):
+                for rows_, points, owner, skip in folded([t or "" for t in batch.column("text").to_pylist()]):
                     langs = sorted({names[i] for i in rows_})
                     code = np.array([langs.index(names[i]) for i in rows_], np.int64)
-                    for bucket, owner in grams(parts, buckets):
-                        got = np.bincount(code[owner] * buckets + bucket, minlength=len(langs) * buckets).reshape(len(langs), buckets)
-                        for lang, n in zip(langs, got):
+                    for k, lang in enumerate(langs):
+                        one = points, owner
+                        if len(langs) > 1:
+                            mine = (code == k)[owner]
+                            one = points[mine], owner[mine]
+                        for bucket, _ in grams(*one, skip, buckets):
+                            n = np.bincount(bucket, minlength=buckets)
                             sums[lang] = sums[lang] + n if lang in sums else n
-                    if len(sums) * buckets > 4 * CELLS // 8:
+                    if len(sums) > 2 * LANGUAGES:
                         yield from out()
         yield from out()
 
@@ -102,66 +121,75 @@ def count(rows: DataFrame, buckets: int) -> DataFrame:
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(rows: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the matrix (bucket, language) of log-probabilities, float32.
+def fit(rows: DataFrame, buckets: int = BUCKETS) -> list[tuple[list[str], np.ndarray]]:
+    """Blocks of languages in order, each with its matrix (bucket, language) of log-probabilities, float32.
 
-    With very many languages there are fewer buckets, so the matrix stays within CELLS cells.
+    The driver gets the names and LANGUAGES * buckets counts at a time, however many rows there are.
     """
-    langs = rows.select("lang").distinct().count()
-    while langs * buckets > CELLS and buckets > 1:
-        buckets //= 2
-    if langs * buckets > CELLS:
-        raise ValueError(f"{langs} languages: that many can't be told apart by a matrix of {CELLS} cells")
-    counted = count(rows, buckets).toArrow()
-    names = sorted(set(counted.column("lang").to_pylist())) if counted.num_rows else []
-    place = {x: i for i, x in enumerate(names)}
-    n = np.full((buckets, len(names)), PRIOR)
-    n[counted.column("bucket").to_numpy(), [place[x] for x in counted.column("lang").to_pylist()]] += counted.column("n").to_numpy()
-    return names, np.log(n / n.sum(0)).astype(np.float32)
-
-
-def predict(docs: DataFrame, keep: list[str], names: list[str], matrix: np.ndarray) -> DataFrame:
-    """keep + lang_pred and score, the posterior of lang_pred with equal priors (length-tempered, 0 to 1)."""
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)
+    scratch = Scratch(rows.sparkSession, "langid")
+    counted = scratch.save(count(rows, buckets), "counts")
+    names = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    out = []
+    for at in range(0, len(names), LANGUAGES):
+        block = names[at : at + LANGUAGES]
+        got = counted.where(F.col("lang").isin(block)).toArrow()
+        n = np.full((buckets, len(block)), PRIOR)
+        n[got.column("bucket").to_numpy(), pc.index_in(got.column("lang"), pa.array(block)).to_numpy()] += got.column("n").to_numpy()
+        out.append((block, np.log(n / n.sum(0)).astype(np.float32)))
+    return out
+
+
+def predict(docs: DataFrame, keep: list[str], blocks_: list[tuple[list[str], np.ndarray]]) -> DataFrame:
+    """keep + lang_pred and score, the posterior of lang_pred with equal priors (length-tempered, 0 to 1); docs has a column text."""
+    text, best, most, mass = fresh(docs.select(*keep), "__text", "__best", "__most", "__mass")
+    rows = docs.select(*keep, F.col("text").cast("string").alias(text), F.lit(UNKNOWN).alias(best), F.lit(float("-inf")).alias(most), F.lit(0.0).alias(mass))
     fields = list(docs.select(*keep).schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = shared.value
-        buckets = len(matrix)
-        for whole in batches:
-            for batch in blocks(whole, "__text"):
-                texts = [t or "" for t in batch.column("__text").to_pylist()]
-                total, size = np.zeros((len(texts), len(names))), np.zeros(len(texts))
-                for rows, parts in _pieces(texts):
-                    at = np.array(rows)
-                    for bucket, owner in grams(parts, buckets):
-                        if not len(owner):
-                            continue
-                        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                        np.add.at(total, at[owner[starts]], np.add.reduceat(matrix[bucket], starts, axis=0, dtype=np.float64))
-                        np.add.at(size, at[owner[starts]], np.diff(np.r_[starts, len(owner)]))
-                best = total.argmax(1) if names else np.zeros(len(texts), int)
-                # n-grams overlap: their evidence counts as that of the square root of their number
-                cool = total / np.sqrt(np.maximum(size, 1.0))[:, None]
-                p = np.exp(cool - cool.max(1, keepdims=True)) if names else np.zeros((len(texts), 1))
-                known = size > 0
-                lang = [names[b] if k and names else UNKNOWN for b, k in zip(best, known)]
-                score = np.where(known & bool(names), p.max(1) / np.maximum(p.sum(1), 1e-300), 0.0)
-                yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array(lang, pa.string()), pa.array(score)], [*[f.name for f in fields], "lang_pred", "score"])
-
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    for names, matrix in blocks_:
+        shared = docs.sparkSession.sparkContext.broadcast(matrix)
+
+        def run(batches: Iterator[pa.RecordBatch], names: list[str] = names, shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            matrix = shared.value
+            buckets = len(matrix)
+            for whole in batches:
+                for batch in blocks(whole, text):
+                    texts = [t or "" for t in batch.column(text).to_pylist()]
+                    total, size = np.zeros((len(texts), len(names))), np.zeros(len(texts))
+                    for own, points, owner, skip in folded(texts):
+                        at = np.array(own)
+                        for bucket, whose in grams(points, owner, skip, buckets):
+                            if not len(whose):
+                                continue
+                            starts = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]])
+                            np.add.at(total, at[whose[starts]], np.add.reduceat(matrix[bucket], starts, axis=0, dtype=np.float64))
+                            np.add.at(size, at[whose[starts]], np.diff(np.r_[starts, len(whose)]))
+                    # n-grams overlap: their evidence counts as that of the square root of their number
+                    cool = total / np.sqrt(np.maximum(size, 1.0))[:, None]
+                    before, sums = (batch.column(c).to_numpy(zero_copy_only=False) for c in (most, mass))
+                    here = cool.max(1)
+                    now = np.maximum(before, here)
+                    sums = sums * np.exp(before - now) + np.exp(cool - now[:, None]).sum(1)
+                    known = size > 0
+                    lang = [names[i] if k and h > b else old for i, k, h, b, old in zip(cool.argmax(1), known, here, before, batch.column(best).to_pylist())]
+                    made = [pa.array(lang, pa.string()), pa.array(np.where(known, now, -np.inf)), pa.array(np.where(known, sums, 0.0))]
+                    yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], batch.column(text), *made], [*[f.name for f in fields], text, best, most, mass])
+
+        rows = rows.mapInArrow(run, f"{kinds}, `{text}` string, `{best}` string, `{most}` double, `{mass}` double")
+    score = F.when(F.col(mass) > 0, 1 / F.greatest(F.col(mass), F.lit(1.0))).otherwise(F.lit(0.0))
+    return rows.select(*keep, F.col(best).alias("lang_pred"), score.alias("score"))
 
 
 def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, lang_pred, score) of all rows; learned from rows where `learn` holds and lang isn't null.
 
-    Texts that are null or hold no letter, and all texts if nothing was learned, are `und` with score
-    0. Ties go to the first language in order. Repeated rows count as often as they occur.
+    A blank stands before and after every text, so counts and scores don't depend on what other rows
+    there are in a task. Texts that are null or hold no letter, and all texts if nothing was learned, are
+    `und` with score 0. Ties go to the first language in order. Repeated rows count as often as they
+    occur, null ids are rows like others. Whole texts of any length are read, in parts that share the
+    characters of n-grams over the cut. Only these columns are read, so no other can clash.
     """
-    rows = docs.where(learn & F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).alias("lang"))
-    names, matrix = fit(rows)
-    return predict(docs.select(F.col(key), F.col(text).alias("text")), [key], names, matrix)
+    rows = docs.where(learn & F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    return predict(docs.select(F.col(key), F.col(text).alias("text")), [key], fit(rows))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
