@@ -4,7 +4,11 @@ Both halves of the vectors are quantised with codebooks of their own; a cell is
 centroids. A query walks the pairs by falling sum of its two half products with a heap, until the
 cells passed hold a share of all rows, and only their rows are scored exactly. The share is fitted:
 the smallest of a grid that finds nearly all true neighbours within the bounded sample that the
-codebooks are fitted on. All rows are indexed. Queries meet rows block by block.
+codebooks are fitted on. All rows are indexed.
+
+Rows and queries lie in blocks of neighbouring cells; a cell with very many rows has several blocks.
+A query goes to the blocks that hold a cell it passes, a block of rows to the blocks of queries that
+come to it, so what isn't passed isn't moved either.
 """
 
 from __future__ import annotations
@@ -69,15 +73,34 @@ class Index:
             if i + 1 < len(a) and done[i + 1] == j:
                 heapq.heappush(heap, (-(a[i + 1] + b[j]), i + 1, j))
 
-    def visited(self, query: np.ndarray, wanted: int) -> np.ndarray:
-        """Flags of the cells passed until they hold `wanted` rows, or all."""
-        flags = np.zeros(len(self.counts), bool)
-        held = 0
+    def last(self, query: np.ndarray, wanted: int) -> float:
+        """The sum of the cell at which `wanted` rows, or all, have been passed: cells of at least that sum are passed."""
+        held, sums, a, b = 0, 0.0, self.first @ query[: self.half], self.second @ query[self.half :]
         for cell in self.walk(query):
-            flags[cell] = True
+            i, j = divmod(cell, len(b))
+            sums = float(a[i] + b[j])
             if (held := held + self.counts[cell]) >= wanted:
                 break
-        return flags
+        return sums
+
+    def passed(self, queries: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """(query, cell) flags of the cells passed."""
+        a, b = queries[:, : self.half] @ self.first.T, queries[:, self.half :] @ self.second.T
+        return ((a[:, :, None] + b[:, None, :]) >= (last - 1e-9 * (1 + np.abs(last)))[:, None, None]).reshape(len(queries), -1)
+
+
+def cut_blocks(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, number of blocks) of each cell: blocks of about `size` rows in the order of cells; a larger cell has blocks of its own."""
+    first, many, block, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
+    for cell, n in enumerate(counts.tolist()):
+        if held and held + n > size:
+            block, held = block + 1, 0
+        first[cell] = block
+        held += n
+        if n > size:
+            many[cell] = -(-n // size)
+            block, held = block + int(many[cell]), 0
+    return first, many
 
 
 def fit_index(sample: np.ndarray, k: int, centroids: int = CENTROIDS, recall: float = RECALL) -> Index:
@@ -141,35 +164,52 @@ def nearest_neighbours(vectors: DataFrame, is_query: str, k: int = 20, key: str
                 yield pa.RecordBatch.from_arrays([batch.column("vkey"), batch.column("v"), pa.array(cells.astype(np.int32)), batch.column("asks")], ["vkey", "v", "cell", "asks"])
 
     placed = scratch.save(distinct.select("vkey", "v", "asks").mapInArrow(place_rows, "vkey long, v array<double>, cell int, asks boolean"), "cells")
-    for row in placed.groupBy("cell").count().collect():  # at most CENTROIDS squared
-        index.counts[row["cell"]] = row["count"]
+    asking = np.zeros(len(index.counts), np.int64)
+    for row in placed.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("asks").alias("asking")).collect():  # at most CENTROIDS squared
+        index.counts[row["cell"]], asking[row["cell"]] = row["n"], row["asking"]
     n = int(index.counts.sum())
-    asking = placed.where("asks").count()
     wanted = max(int(np.ceil(index.share * n)), k + 1)
-    full = spark.sparkContext.broadcast(index)
-
-    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    row_cut, query_cut = cut_blocks(index.counts, ROW_BLOCK), cut_blocks(asking, QUERY_BLOCK)
+    full = spark.sparkContext.broadcast((index, row_cut, query_cut))  # a few numbers a cell
+
+    def block_of(cut: tuple[np.ndarray, np.ndarray], cells: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        first, many = cut
+        return (first[cells] + (keys * 0x9E3779B1 >> 16) % many[cells]).astype(np.int32)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, (first, many), query_cut = full.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                v, keys = _matrix(batch.column("v")), batch.column("vkey").to_numpy()
+                last = np.array([index.last(q, wanted) for q in v])
+                flags = index.passed(v, last)
+                reached = [np.unique(np.concatenate([np.arange(first[c], first[c] + many[c]) for c in np.flatnonzero(f & (index.counts > 0))])).astype(np.int32) for f in flags]
+                made = [pa.array(last), pa.array(block_of(query_cut, batch.column("cell").to_numpy(), keys)), pa.array(reached, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column("vkey"), batch.column("v"), *made], ["vkey", "v", "last", "qb", "reached"])
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row_cut = full.value[1]
         for batch in batches:
-            if batch.num_rows:
-                flags = [np.packbits(full.value.visited(q, wanted)).tobytes() for q in _matrix(batch.column("v"))]
-                yield pa.RecordBatch.from_arrays([batch.column("vkey"), batch.column("v"), pa.array(flags, pa.binary())], ["vkey", "v", "cells"])
+            rb = block_of(row_cut, batch.column("cell").to_numpy(), batch.column("vkey").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("vkey"), batch.column("v"), batch.column("cell"), pa.array(rb)], ["vkey", "v", "cell", "rb"])
 
-    row_blocks, query_blocks = max(1, -(-n // ROW_BLOCK)), max(1, -(-asking // QUERY_BLOCK))
-    block = lambda blocks_: F.pmod(F.xxhash64("vkey"), F.lit(blocks_)).cast("int")
-    spread = lambda blocks_: F.explode(F.sequence(F.lit(0), F.lit(blocks_ - 1)))
-    queries = placed.where("asks").select("vkey", "v").repartition(max(1, min(asking // 64, 4096))).mapInArrow(passed, "vkey long, v array<double>, cells binary")
-    queries = queries.withColumn("qb", block(query_blocks)).withColumn("rb", spread(row_blocks))
-    entries = placed.select("vkey", "v", "cell").withColumn("rb", block(row_blocks)).withColumn("qb", spread(query_blocks))
+    queries = placed.where("asks").select("vkey", "v", "cell").repartition(max(1, min(int(asking.sum()) // 64, 4096)))
+    queries = scratch.save(queries.mapInArrow(ask, "vkey long, v array<double>, last double, qb int, reached array<int>"), "queries")
+    queries = queries.select("vkey", "v", "last", "qb", F.explode("reached").alias("rb"))
+    meet = queries.select(F.col("qb").alias("qb"), F.col("rb").alias("rb")).distinct()
+    entries = placed.select("vkey", "v", "cell").mapInArrow(lay, "vkey long, v array<double>, cell int, rb int").join(meet, "rb")
 
     def score(q: pa.Table, e: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if q.num_rows and e.num_rows:
+            index = full.value[0]
             e = e.sort_by("vkey")
             qv, ev = (_matrix(t.column("v").combine_chunks()) for t in (q, e))
             qk, ek, cell = q.column("vkey").to_numpy(), e.column("vkey").to_numpy(), e.column("cell").to_numpy()
-            cells = q.column("cells").to_pylist()
+            last = q.column("last").to_numpy()
             for at in range(0, len(qk), 256):
-                flags = np.unpackbits(np.frombuffer(b"".join(cells[at : at + 256]), np.uint8).reshape(-1, len(cells[at])), axis=1).astype(bool)
+                flags = index.passed(qv[at : at + 256], last[at : at + 256])
                 use = np.flatnonzero(flags.any(0)[cell])  # rows of cells that any of these queries passes
                 if not len(use):
                     continue

@@ -152,10 +152,51 @@ def test_language_learns_and_handles_odd_rows(spark):
     assert langid.identify(frame.limit(0), langid.F.lit(True)).count() == 0
 
 
-def test_language_counts_are_exact():
-    whole = sum(np.bincount(b, minlength=64) for b, _ in langid.grams(["ab cd", "É1x"], 64))
-    apart = sum(np.bincount(b, minlength=64) for t in ("ab cd", "É1x") for b, _ in langid.grams([t], 64))
-    assert whole.sum() > 0 and abs(int(whole.sum()) - int(apart.sum())) <= 2
+def letter_grams(text):
+    """The n-grams as the docstrings define them, one text at a time."""
+    out = [" "]
+    for c in text:
+        low = c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " "
+        if low != " " or out[-1] != " ":
+            out.append(low)
+    s = "".join(out) + " " * (out[-1] != " ")
+    return collections.Counter(s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1) if s[i : i + n] != " ") if s.strip() else collections.Counter({" ": 0})
+
+
+def test_language_model_is_naive_bayes(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choices("ab cdÉß1\n" if i % 3 else "xyz cd", k=rng.randint(0, 60))), ["aa", "bb"][i % 3 == 0]) for i in range(60)] + [(60, None), (61, "12"), (62, "ab" * 300)]
+    frame = docs(spark, rows)
+    counts = {lang: sum((letter_grams(t) for _, t, name in rows[:60] if name == lang), collections.Counter()) for lang in ("aa", "bb")}
+
+    def bucket(gram):
+        x = np.frombuffer(gram.encode("utf-32-le"), np.uint32)
+        return [int(b[0]) for b, _ in langid.grams(x, np.zeros(len(x), np.int32), 0, langid.BUCKETS, (len(gram),))][0]
+
+    sums = {lang: collections.Counter() for lang in counts}
+    for lang, grams in counts.items():
+        for gram, n in grams.items():
+            sums[lang][bucket(gram)] += n
+    logs = {lang: (lambda g, n=n, all_=sum(n.values()) + 0.5 * langid.BUCKETS: np.log((n[bucket(g)] + 0.5) / all_)) for lang, n in sums.items()}
+    first = None
+    for piece, languages, parts in ((1 << 20, 64, 1), (7, 64, 5), (50, 1, 3)):  # cuts inside texts, one language a pass, other partitions
+        monkeypatch.setattr(langid, "PIECE", piece)
+        monkeypatch.setattr(langid, "LANGUAGES", languages)
+        model = [(names, matrix) for names, matrix in langid.fit(frame.where("lang is not null").repartition(parts))]
+        got = {r.doc_id: r for r in langid.predict(frame.repartition(parts), ["doc_id"], model).collect()}
+        first = first or got
+        for i, t, *_ in rows:
+            grams = letter_grams(t or "")
+            if not sum(grams.values()):
+                assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+                continue
+            v = {lang: sum(n * f(g) for g, n in grams.items()) / sum(grams.values()) ** 0.5 for lang, f in logs.items()}
+            best = max(v, key=v.get)
+            assert abs(got[i].score - 1 / sum(np.exp(x - v[best]) for x in v.values())) < 1e-4
+            assert got[i].lang_pred == best or abs(v["aa"] - v["bb"]) < 1e-4
+        if piece == 1 << 20:
+            again = {r.doc_id: r for r in langid.predict(frame.repartition(7), ["doc_id"], model).collect()}
+            assert again == got  # bit for bit
 
 
 # --- SentencePiece
