@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from logweave.llm.common import Scratch, blocks, table
 
 FRAME = 576  # payloads are padded to a multiple of this many samples
 PAD = b"\xff"
+NOTE = b"a note beside the medium\n"
 # The magic bytes of each format.
 MAGIC = {
     b"RIFF": "wav", b"\x89PNG\r\n\x1a\n": "png", b"GIF87a": "gif", b"GIF89a": "gif", b"BM": "bmp",
@@ -41,6 +43,49 @@ def wav_of(samples: bytes, rate: int = 8000) -> bytes:
     return b"".join((b"RIFF", struct.pack("<I", size), b"WAVE", fmt, b"data", struct.pack("<I", len(samples)), samples, b"\0" * pad))
 
 
+def png_of(samples: bytes) -> bytes:
+    """An 8-bit grey image of FRAME columns, its rows unfiltered and stored."""
+    part = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    rows = np.frombuffer(samples, np.uint8).reshape(-1, FRAME)
+    lines = np.concatenate([np.zeros((len(rows), 1), np.uint8), rows], 1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", FRAME, len(rows), 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines, 0)) + part(b"IEND", b"")
+
+
+def bmp_of(samples: bytes) -> bytes:
+    """An 8-bit grey image of FRAME columns; rows go from bottom to top."""
+    rows = np.frombuffer(samples, np.uint8).reshape(-1, FRAME)
+    grey = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 4, 1)
+    grey[:, 3] = 0
+    start = 14 + 40 + 1024
+    head = struct.pack("<2sIIIIiiHHIIiiII", b"BM", start + len(samples), 0, start, 40, FRAME, len(rows), 1, 8, 0, len(samples), 0, 0, 256, 0)
+    return head + grey.tobytes() + rows[::-1].tobytes()
+
+
+def zip_of(name: bytes, data: bytes) -> bytes:
+    """An archive of one stored entry."""
+    same = struct.pack("<HHHHHIIIHH", 20, 0, 0, 0, 33, zlib.crc32(data), len(data), len(data), len(name), 0)
+    entry = b"PK\x03\x04" + same + name + data
+    listed = b"PK\x01\x02" + struct.pack("<H", 20) + same + struct.pack("<HHHII", 0, 0, 0, 0, 0) + name
+    return entry + listed + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, 1, 1, len(listed), len(entry), 0)
+
+
+def samples_of(data: bytes, kind: str) -> bytes:
+    """The samples of an intact WAV, or of an image that png_of or bmp_of made."""
+    if kind == "wav":
+        start, size = wav_samples(data)
+        return data[start : start + size]
+    if kind == "bmp":
+        start, height = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<i", data, 22)[0]
+        return np.frombuffer(data, np.uint8, height * FRAME, start).reshape(height, FRAME)[::-1].tobytes()
+    place, packed = 8, []
+    while place < len(data):
+        size = int.from_bytes(data[place : place + 4], "big")
+        if data[place + 4 : place + 8] == b"IDAT":
+            packed.append(data[place + 8 : place + 8 + size])
+        place += 12 + size
+    return np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(-1, FRAME + 1)[:, 1:].tobytes()
+
+
 def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     """(name, start, size) of RIFF chunks."""
     while at + 8 <= end:
@@ -66,11 +111,11 @@ def wav_samples(data: bytes, at: int = 0) -> tuple[int, int] | None:
     return found[b"data"]
 
 
-def _wav(data: bytes, at: int) -> int | None:
+def _wav(data: bytes, at: int, marks: Marks) -> int | None:
     return 8 + int.from_bytes(data[at + 4 : at + 8], "little") if wav_samples(data, at) else None
 
 
-def _png(data: bytes, at: int) -> int | None:
+def _png(data: bytes, at: int, marks: Marks) -> int | None:
     place, first = at + 8, True
     while place + 12 <= len(data):
         size = int.from_bytes(data[place : place + 4], "big")
@@ -85,7 +130,7 @@ def _png(data: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(data: bytes, at: int) -> int | None:
+def _gif(data: bytes, at: int, marks: Marks) -> int | None:
     def blocks_end(place: int) -> int | None:
         while place < len(data):
             if data[place] == 0:
@@ -111,7 +156,7 @@ def _gif(data: bytes, at: int) -> int | None:
     return None
 
 
-def _bmp(data: bytes, at: int) -> int | None:
+def _bmp(data: bytes, at: int, marks: Marks) -> int | None:
     if at + 26 > len(data):
         return None
     size, zero, start, header = struct.unpack_from("<IIII", data, at + 2)
@@ -119,13 +164,41 @@ def _bmp(data: bytes, at: int) -> int | None:
     return size if fits else None
 
 
-def _jpeg(data: bytes, at: int) -> int | None:
+class Marks:
+    """Places of the marks that end media, each kind searched once per blob."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.held: dict[bytes, np.ndarray] = {}
+
+    def places(self, pattern: bytes) -> np.ndarray:
+        if pattern not in self.held:
+            self.held[pattern] = np.array([m.start() for m in re.finditer(pattern, self.data)], np.int64)
+        return self.held[pattern]
+
+    def sections(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each %%EOF of a PDF that a startxref stands before: its start, end with the line end, that startxref and the number after it (-1: none)."""
+        if b"pdf" not in self.held:
+            ends = [(m.start(), m.end()) for m in _EOF.finditer(self.data)]
+            marks = self.places(b"startxref")
+            rows = []
+            for start, end in ends:
+                i = int(np.searchsorted(marks, start)) - 1
+                if i >= 0 and (not rows or marks[i] >= rows[-1][1]):
+                    digits = self.data[marks[i] + 9 : min(start, marks[i] + 60)].strip()
+                    rows.append((start, end, int(marks[i]), int(digits) if digits.isdigit() and len(digits) < 19 else -1))
+            self.held[b"pdf"] = np.array(rows, np.int64).reshape(-1, 4)
+        return tuple(self.held[b"pdf"].T)
+
+
+def _jpeg(data: bytes, at: int, marks: Marks) -> int | None:
     place = at + 2
     while place + 4 <= len(data) and data[place] == 0xFF:
         kind, size = data[place + 1], int.from_bytes(data[place + 2 : place + 4], "big")
         if kind == 0xDA:
-            end = data.find(b"\xff\xd9", place + 2 + size)
-            return None if end < 0 else end + 2 - at
+            ends = marks.places(b"\xff\xd9")
+            i = np.searchsorted(ends, place + 2 + size)
+            return None if i == len(ends) else int(ends[i]) + 2 - at
         if kind < 0xC0 or size < 2:
             return None
         place += 2 + size
@@ -133,55 +206,52 @@ def _jpeg(data: bytes, at: int) -> int | None:
 
 
 _EOF = re.compile(rb"%%EOF(?:\r\n|\n|\r)?")
-_XREF = re.compile(rb"xref|\d+\s+\d+\s+obj")
+_XREF = re.compile(rb"xref|\d{1,10}\s{1,10}\d{1,10}\s{1,10}obj")
 _MAGIC = re.compile(b"|".join(map(re.escape, MAGIC)))
 
 
-def _other(data: bytes, at: int, end: int) -> bool:
+def _other(data: bytes, at: int, end: int, marks: Marks) -> bool:
     """Whether another PDF's header or an intact medium of another format begins here or later, before the end."""
-    return any(MAGIC[m.group()] == "pdf" or VALID[MAGIC[m.group()]](data, m.start()) for m in _MAGIC.finditer(data, at, end))
+    return any(MAGIC[m.group()] == "pdf" or VALID[MAGIC[m.group()]](data, m.start(), marks) for m in _MAGIC.finditer(data, at, end))
 
 
-def _pdf(data: bytes, at: int) -> int | None:
+def _pdf(data: bytes, at: int, marks: Marks) -> int | None:
     """Up to the last %%EOF and its line end.
 
     A section after the first %%EOF belongs to the PDF if its startxref leads into it (an update, also one
     that holds other media), or if no other medium begins in between.
     """
-    over, other, seen = None, False, at
-    for eof in _EOF.finditer(data, at):
-        before = seen if over is None else over
-        mark = data.rfind(b"startxref", before, eof.start())
-        if mark < 0:
-            continue
-        if over is None:
-            over = seen = eof.end()
-            continue
-        digits = data[mark + 9 : eof.start()].strip()
-        place = at + int(digits) if digits.isdigit() and len(digits) < 20 else -1
-        update = over <= place < mark and _XREF.match(data, place) is not None
-        if not update:
-            other = other or _other(data, seen, eof.start())
-            seen = eof.end()
-            if other:
-                continue
-        over = seen = eof.end()
-        other = False
-    return None if over is None else over - at
-
-
-def _zip(data: bytes, at: int) -> int | None:
+    start, end, mark, digits = marks.sections()
+    i = int(np.searchsorted(mark, at))
+    if i == len(mark):
+        return None
+    over = int(end[i])
+    while i + 1 < len(mark):
+        place = at + digits[i + 1 :]
+        updates = np.flatnonzero((digits[i + 1 :] >= 0) & (place >= over) & (place < mark[i + 1 :]))
+        update = next((i + 1 + int(j) for j in updates if _XREF.match(data, int(place[j]))), None)
+        if update == i + 1 or not _other(data, over, int(start[i + 1]), marks):
+            i += 1
+        elif update is not None:
+            i = update
+        else:
+            break
+        over = int(end[i])
+    return over - at
+
+
+def _zip(data: bytes, at: int, marks: Marks) -> int | None:
     """Up to the end record whose offsets fit; entries that hold archives have end records of their own."""
-    end = data.find(b"PK\x05\x06", at)
-    while 0 <= end <= len(data) - 22:
-        size, offset, note = struct.unpack_from("<IIH", data, end + 12)
-        if at + offset + size == end and end + 22 + note <= len(data):
-            return end + 22 + note - at
-        end = data.find(b"PK\x05\x06", end + 1)
-    return None
+    ends = marks.places(b"PK\x05\x06")
+    if b"zip" not in marks.held:
+        whole = ends[ends <= len(data) - 22]
+        marks.held[b"zip"] = np.array([(e, *struct.unpack_from("<IIH", data, e + 12)) for e in whole.tolist()], np.int64).reshape(-1, 4)
+    end, size, offset, note = marks.held[b"zip"].T
+    fits = np.flatnonzero((end >= at) & (at + offset + size == end) & (end + 22 + note <= len(data)))
+    return int(end[fits[0]] + 22 + note[fits[0]]) - at if len(fits) else None
 
 
-def _gzip(data: bytes, at: int) -> int | None:
+def _gzip(data: bytes, at: int, marks: Marks) -> int | None:
     inner = zlib.decompressobj(31)
     try:
         for place in range(at, len(data), 1 << 16):  # decoded piece by piece; bombs don't fill memory
@@ -210,9 +280,10 @@ def automaton() -> ahocorasick.Automaton:
 def sniff(data: bytes, signs: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, length, format) of all intact media, nested ones too, in order of place."""
     found: list[tuple[int, int, str]] = []
+    marks = Marks(data)
     for last, (kind, size) in signs.iter(data.decode("latin-1")):
         start = last + 1 - size
-        if length := VALID[kind](data, start):
+        if length := VALID[kind](data, start, marks):
             found.append((start, length, kind))
     return sorted(found)
 
@@ -261,19 +332,34 @@ def sniff_column(df: DataFrame, blob: str, declared: str, keep: list[str]) -> Da
     return source.mapInArrow(run, f"{kinds}, declared string, sniffed string, corrected string, parts array<struct<start: bigint, length: bigint, type: string, parent: int>>")
 
 
-def media_of(docs: DataFrame, key: str, text: str, declared: str = "application/octet-stream") -> DataFrame:
-    """A media column: each text's UTF-8 bytes (null: none), padded to whole frames, as the samples of a WAV."""
+def stored_form(payload: bytes) -> tuple[str, bytes]:
+    """(declared type, blob) of a payload; what it becomes follows from its digest alone, so equal texts have equal blobs.
+
+    A WAV, PNG or BMP, or a WAV in a ZIP; one in four stands behind a note and before another. The
+    declared type is one of TYPES or none, mostly a wrong one.
+    """
+    digest = hashlib.sha256(payload).digest()
+    form = digest[0] % 4
+    made = wav_of(payload) if form == 0 else png_of(payload) if form == 1 else bmp_of(payload) if form == 2 else zip_of(b"sound.wav", wav_of(payload))
+    if digest[1] % 4 == 0:
+        made = NOTE + made + NOTE
+    return [*TYPES.values(), "application/octet-stream"][digest[2] % (len(TYPES) + 1)], made
+
+
+def media_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """A media column of mixed formats, see stored_form: each text's UTF-8 bytes (null: none), padded to whole frames, as 8-bit samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in blocks(whole, "text"):
-                made, sizes = [], []
+                made, said, sizes = [], [], []
                 for cell in batch.column("text"):
                     data = cell.as_py() or b""
                     sizes.append(len(data))
-                    made.append(wav_of(data + PAD * (-len(data) % FRAME if data else FRAME)))
-                said = pa.array([declared] * len(made), pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int64()), said, pa.array(made, pa.binary())], ["key", "n_bytes", "declared", "media"])
+                    declared, blob = stored_form(data + PAD * (-len(data) % FRAME if data else FRAME))
+                    said.append(declared)
+                    made.append(blob)
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int64()), pa.array(said, pa.string()), pa.array(made, pa.binary())], ["key", "n_bytes", "declared", "media"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
     return rows.mapInArrow(run, "key long, n_bytes long, declared string, media binary")
@@ -282,13 +368,13 @@ def media_of(docs: DataFrame, key: str, text: str, declared: str = "application/
 def features(media: DataFrame) -> DataFrame:
     """Per blob of media_of's table: what was sniffed, and digests of the samples carved from the stored bytes.
 
-    feature names the sniffed type, the samples' number, mean and sum of absolute differences, the declared
-    type when it was wrong, and media inside as type@start+length/parent (numbers as in sniff_column's parts).
+    The first outermost part is the medium; of an archive, its first part. media_bytes and media_sha256 are
+    the whole blob's. feature names the carved medium's type and place, the samples' number, mean and sum of
+    absolute differences, the blob's corrected and declared type, and the number of media within the samples.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
+        kind_of = {v: k for k, v in TYPES.items()}
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for whole in batches:
@@ -296,14 +382,17 @@ def features(media: DataFrame) -> DataFrame:
                 rows = []
                 for key, n, said, type_, parts, cell in zip(*(batch.column(c).to_pylist() for c in ("key", "n_bytes", "declared", "corrected", "parts")), batch.column("media")):
                     data = cell.as_py()
-                    if type_ != TYPES["wav"]:
+                    part = next((i for i, p in enumerate(parts) if p["parent"] is None), None)
+                    if part is not None and parts[part]["type"] == TYPES["zip"]:
+                        part = next((i for i, p in enumerate(parts) if p["parent"] == part), None)
+                    if part is None or parts[part]["type"] not in (TYPES["wav"], TYPES["png"], TYPES["bmp"]):
                         raise ValueError(f"row {key}: stored media isn't intact")
-                    inner = ",".join(f"{p['type']}@{p['start']}+{p['length']}/{p['parent']}" for p in parts[1:])
-                    start, size = wav_samples(data)
-                    payload = data[start : start + size]
+                    start, size, carved = parts[part]["start"], parts[part]["length"], parts[part]["type"]
+                    payload = samples_of(data[start : start + size], kind_of[carved])
                     wave = np.frombuffer(payload, np.uint8).astype(np.int16)
-                    feature = f"{type_};samples={size};mean={int(wave.sum(dtype=np.int64)) / size:.6f};delta={int(np.abs(np.diff(wave)).sum(dtype=np.int64))}" + f";declared={said}" * (said != type_) + f";inner={inner}" * bool(inner)
-                    rows.append((key, n, size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+                    inner = sum(p["start"] > start and p["start"] + p["length"] <= start + size for p in parts)
+                    feature = f"{carved}@{start}+{size};samples={len(payload)};mean={int(wave.sum(dtype=np.int64)) / len(payload):.6f};delta={int(np.abs(np.diff(wave)).sum(dtype=np.int64))};blob={type_};declared={said};inner={inner}"
+                    rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
@@ -313,6 +402,10 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All document texts stored as WAV blobs of an undeclared type, read back, sniffed, checked and carved."""
+    """All document texts stored as media of mixed formats under mostly wrong types, read back, sniffed, checked, corrected and carved.
+
+    Null texts are empty ones, repeated rows are rows of their own, null ids stay null, an empty table gives
+    no rows; other columns aren't read, so none can clash.
+    """
     stored = Scratch(spark, "media").save(media_of(table(spark, sf_dir, "documents"), "doc_id", "text"), "blobs")
     return features(stored)

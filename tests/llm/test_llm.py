@@ -487,7 +487,7 @@ def test_nested_media(spark):
     parts = media.sniff_column(frame, "media", "declared", ["key"]).first().parts
     assert [(p.type.split("/")[1], p.parent) for p in parts] == [("wav", None), ("jpeg", 0), ("jpeg", 1), ("zip", 0), ("png", 3), ("zip", 3)]
     feature = media.features(frame).first().feature
-    assert f"inner=image/jpeg@44+{len(photo)}/0,image/jpeg@50+{len(thumb)}/1,application/zip@" in feature
+    assert feature.startswith("audio/wav@0+") and feature.endswith(";blob=audio/wav;declared=x/y;inner=5")
 
 
 def test_media_payloads(spark):
@@ -502,6 +502,53 @@ def test_media_payloads(spark):
     assert collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
 
 
+def test_media_are_carved_and_corrected(spark):
+    """All forms, with and without notes around them, also of texts that hold media marks themselves."""
+    rows = [(i, t) for i, t in enumerate([f"text {i} BM RIFF %PDF- startxref 0 %%EOF" * (i % 7) for i in range(120)])]
+    blobs = {r.key: r for r in media.media_of(docs(spark, rows), "doc_id", "text").collect()}
+    assert len({media.hashlib.sha256((t or "").encode()).digest() for _, t in rows}) > 90
+    got = {r.doc_id: r for r in media.features(media.media_of(docs(spark, rows), "doc_id", "text")).collect()}
+    seen = collections.Counter()
+    for i, t in rows:
+        data = t.encode()
+        full = data + b"\xff" * (-len(data) % 576 if data else 576)
+        digest = hashlib.sha256(full).digest()
+        blob, r = bytes(blobs[i].media), got[i]
+        made = (media.wav_of, media.png_of, media.bmp_of, lambda x: media.zip_of(b"sound.wav", media.wav_of(x)))[digest[0] % 4](full)
+        noted = digest[1] % 4 == 0
+        assert blob == (media.NOTE + made + media.NOTE if noted else made)
+        assert r.media_sha256 == hashlib.sha256(blob).hexdigest() and r.payload_sha256 == hashlib.sha256(full).hexdigest()
+        wave = np.frombuffer(full, np.uint8).astype(int)
+        kind = ("audio/wav", "image/png", "image/bmp", "audio/wav")[digest[0] % 4]
+        want = ("audio/wav", "image/png", "image/bmp", "application/zip")[digest[0] % 4] if not noted else blobs[i].declared
+        place = (len(media.NOTE) if noted else 0) + (30 + len("sound.wav") if digest[0] % 4 == 3 else 0)
+        size = len(made) if digest[0] % 4 < 3 else len(media.wav_of(full))
+        assert r.feature.startswith(f"{kind}@{place}+{size};samples={len(full)};mean={wave.sum() / len(full):.6f};delta={np.abs(np.diff(wave)).sum()};blob={want};declared={blobs[i].declared};inner=")
+        seen[digest[0] % 4, noted] += 1
+    assert len(seen) == 8
+    assert media.features(media.media_of(docs(spark, []), "doc_id", "text")).count() == 0
+
+
+def test_archives_and_images_are_readable():
+    import io
+    import zipfile
+
+    data = bytes(range(256)) * 9
+    z = zipfile.ZipFile(io.BytesIO(media.zip_of(b"sound.wav", media.wav_of(data))))
+    assert z.testzip() is None and z.read("sound.wav") == media.wav_of(data)
+    assert media.samples_of(media.png_of(data), "png") == media.samples_of(media.bmp_of(data), "bmp") == data
+
+
+def test_hostile_blobs_take_linear_time():
+    import time
+
+    signs = media.automaton()
+    for part in (b"%PDF-", b"%PDF-1 startxref 0 ", b"PK\x03\x04", b"PK\x05\x06" + bytes(18), b"\xff\xd8\xff\xda\x00\x04", b"GIF89a", b"BM"):
+        began = time.perf_counter()
+        media.sniff(part * 40_000, signs)
+        assert time.perf_counter() - began < 5
+
+
 # --- neighbours
 
 
