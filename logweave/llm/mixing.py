@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import Scratch, table
+from logweave.llm.common import Scratch, fresh, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS = (14, 14, 32)  # bits of the 60-bit hash that each histogram resolves; few documents reach the last
@@ -128,12 +128,12 @@ def repeat_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     The one document in which a source's budget ends counts only if it fits. Rows without words can't
     be counted by words; they stay once. Repeated rows of an id are taken alike, ids are matched null-safe.
     """
-    plan = mix(docs, key, text, source).where("size > 0")
-    plan = plan.select(F.col(key).alias("__key"), F.col("size").alias("__size"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__times")).groupBy("__key", "__size").agg(F.max("__times").alias("__times"))
-    sized = docs.withColumn("__words", word_count(F.col(text)))
-    found = sized.join(plan, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__words") == F.col("__size")), "left")
-    times = F.coalesce("__times", F.lit(1))
-    return found.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    id_, words, size, times, copy = fresh(docs, "__key", "__words", "__size", "__times", "__copy")
+    plan = mix(docs, key, text, source).where("size > 0").select(F.col(key).alias(id_), F.col("size").alias(size), F.floor(F.col("taken") / F.col("size")).cast("int").alias(times))
+    plan = plan.groupBy(id_, size).agg(F.max(times).alias(times))
+    found = docs.withColumn(words, word_count(F.col(text))).join(plan, F.col(key).eqNullSafe(F.col(id_)) & (F.col(words) == F.col(size)), "left")
+    found = found.withColumn(times, F.coalesce(times, F.lit(1))).where(F.col(times) > 0)
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

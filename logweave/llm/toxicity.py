@@ -344,19 +344,24 @@ def fit(
     return model, weights, bias
 
 
-def score_rows(docs: DataFrame, keep: list[str], fitted: tuple[Model | None, np.ndarray, float], text: str = "text", name: str = "score") -> DataFrame:
-    """keep + the probability that a row's text is toxic. Null and empty texts get that of a text without words."""
+def score_rows(docs: DataFrame, keep: list[str], fitted: tuple[Model | Tables | None, np.ndarray, float], text: str = "text", name: str = "score") -> DataFrame:
+    """keep + the probability that a row's text is toxic. Null and empty texts get that of a text without words, equal texts equal ones.
+
+    The columns kept travel as one struct, so none can clash with those made here; `name` shouldn't be among them.
+    """
     model, weights, bias = fitted
     if model is None:
         return docs.select(*keep, F.lit(bias).alias(name))
     logit = sum((c * float(w) for c, w in zip(feature_columns(), weights)), F.lit(bias))
-    return rates(docs, keep, model, text).select(*keep, (1 / (1 + F.exp(-logit))).alias(name))
+    held = docs.select(F.struct(*keep).alias("kept"), F.col(text).alias("text"))
+    return rates(held, ["kept"], model).select("kept.*", (1 / (1 + F.exp(-logit))).alias(name))
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most: float = 0.5) -> DataFrame:
-    """docs without the rows that score `most` or more."""
-    scored = score_rows(docs, docs.columns, fit(docs, labels, usable), name="__score")
-    return scored.where(F.col("__score") < most).drop("__score")
+    """docs without the rows that score `most` or more; all else stays as it is, also null texts, null ids and repeated rows. An empty table stays empty."""
+    (score,) = fresh(docs, "__score")
+    scored = score_rows(docs, docs.columns, fit(docs, labels, usable), name=score)
+    return scored.where(F.col(score) < most).drop(score)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -429,6 +429,93 @@ def test_toxicity_models_know_all_labelled_texts(spark, monkeypatch):
     assert np.allclose([r[2:] for r in a], [r[2:] for r in b], atol=1e-4)
 
 
+def kneser_ney(texts, order, discount):
+    """Ratios of words by direct sums over all n-grams, as the docstrings define them."""
+    tops = [collections.Counter(), collections.Counter()]
+    for text, label in texts:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            s = f"\x02{w}\x03"
+            for i in range(1, len(s)):
+                tops[label][s[max(0, i - order + 1) : i + 1]] += 1
+    every = set(tops[0]) | set(tops[1])
+    levels, current = [], every
+    for _ in range(order - 1):
+        current = collections.Counter(g[1:] for g in current if len(g) > 1)
+        levels.append(current)
+
+    def shared(gram, n):
+        after = [v for g, v in levels[n].items() if g[:-1] == gram[:-1]]
+        own = max(levels[n][gram] - discount, 0) / sum(after)
+        weight = discount * len(after) / sum(after)
+        return own + weight * (1 / len(after) if len(gram) == 1 else shared(gram[1:], n + 1))
+
+    def ratio(gram):
+        p, sides = None, []
+        for top in tops:
+            after = [v for g, v in top.items() if g[:-1] == gram[:-1]]
+            left = discount * len(after) / sum(after) if after else 1.0
+            if gram in every:
+                p = shared(gram[1:], 0) if p is None else p
+                sides.append(max(top[gram] - discount, 0) / sum(after) + left * p if after else p)
+            else:
+                sides.append(left)
+        return float(np.log(sides[1] / sides[0]))
+
+    return lambda w: sum(ratio(f"\x02{w}\x03"[max(0, i - order + 1) : i + 1]) for i in range(1, len(w) + 2))
+
+
+def test_toxicity_ratios_are_kneser_ney(spark):
+    rng = random.Random(21)
+    texts = [(" ".join("".join(rng.choices("abcé", k=rng.randint(1, 8))) for _ in range(6)), i % 2) for i in range(24)] + [("", 0), ("damn awful", 1)]
+    rows = spark.createDataFrame(texts, "text string, label int")
+    direct = kneser_ney(texts, toxicity.ORDER, toxicity.DISCOUNT)
+    words = sorted({w for t, _ in texts for w in t.split()}) + ["unseen", "abcabcabc", "z", "damned"]
+    model = toxicity.fit_models(rows)
+    assert np.allclose(model.words(words), [direct(w) for w in words], atol=1e-4)
+    again = toxicity.fit_models(rows.repartition(3))
+    assert again.words(words).tolist() == model.words(words).tolist()
+
+
+def test_toxicity_columns_may_clash(spark):
+    rng = random.Random(22)
+    rows = [(i, " ".join(rng.choices(["fine", "good", "day"] if i % 3 else ["awful", "damn", "idiot"], k=12)), 777, "x") for i in range(240)] + [(None, "fine day", 1, None), (900, None, 1, None), (901, "", 1, None), (7, rng.choice(["good"]), 2, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __words long, __score string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 240)], "doc_id long, toxic int")
+    got = toxicity.filter_toxic(frame, labels)
+    assert got.columns == frame.columns
+    kept = collections.Counter(tuple(r) for r in got.collect())
+    want = collections.Counter(r for r in rows if not (r[1] or "").split(" ")[0] in ("awful", "damn", "idiot"))
+    assert kept == want
+    assert toxicity.filter_toxic(frame.limit(0), labels).count() == 0
+
+
+def test_mixing_columns_may_clash(spark):
+    rows = [(i, "a b c d"[: 1 + 2 * (i % 4)], "s", 777, i) for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, __words long, __copy long")
+    got = mixing.repeat_documents(frame)
+    assert got.columns == frame.columns and {tuple(r) for r in got.collect()} <= set(rows)
+    assert mixing.repeat_documents(frame.limit(0)).count() == 0
+
+
+def test_rows_that_repeat_an_id_keep_their_texts(spark):
+    """Another text under a known id is a document of its own; a whole row that repeats is one."""
+    same = "one unique sentence about rivers\nkeep a"
+    rows = [(1, same, 5, 1), (2, same, 5, 1), (2, "an entirely different unique sentence\nkeep c", 5, 1), (2, same, 6, 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __gone long, __row long")
+    got = collections.Counter(tuple(r) for r in lines.drop_lines(frame).collect())
+    assert got == collections.Counter([rows[0], (2, "", 5, 1), rows[2], (2, "", 6, 2)])
+    long = "\n".join(f"line number {i} of many" if i % 2 else "the same words each time" for i in range(400))
+    out = lines.drop_lines(docs(spark, [(1, long)])).first().text.split("\n")
+    truth_ = line_truth([(1, long)])
+    assert out == [x for i, x in enumerate(long.split("\n")) if truth_[(1, i)] == (1, i)]
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, words, 1), (2, words, 2), (2, "quite another text " * 9, 3), (1, words, 4), (None, words, 5), (3, None, 6), (3, "", 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __doc long")
+    kept = minhash.keep_first(frame).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:4]) for r in kept) == [(0, "word"), (1, "word"), (2, "quit"), (3, ""), (3, "")]
+    assert minhash.keep_first(frame).columns == frame.columns and minhash.keep_first(frame.limit(0)).count() == 0
+
+
 # --- media
 
 
