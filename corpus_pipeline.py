@@ -47,7 +47,7 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-# Models, signatures and pieces have no SQL form; tests compare the stages with brute force.
+# Models, signatures and pieces have no SQL form; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
