@@ -118,23 +118,24 @@ def link(members: DataFrame, overlap: Callable[[DataFrame], DataFrame], items: C
     rest = scratch.save(members.join(weight, "id").withColumn("root", F.col("id")), "rest0")
     edges = roots = None
     for n in range(ROUNDS):
-        # the window keeps a few rows of a bucket per task before it shuffles
+        # the window keeps a few rows of a bucket per task before it shuffles; whole buckets end, so places stay
         place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("w"), "id"))
-        hubs = rest.withColumn("place", place).where(F.col("place") <= HUBS)
-        hubs = scratch.save(hubs.select("bucket", "w", *[F.col(c).alias(f"hub_{c}") for c in ("id", "n", "root")]), f"hubs{n}")
+        hubs = rest.withColumn("place", place).where(F.col("place") <= HUBS * (n + 1))
+        hubs = scratch.save(hubs.select("bucket", "place", *[F.col(c).alias(f"hub_{c}") for c in ("id", "n", "root")]), f"hubs{n}")
         sizes = (F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num) & (F.col("root") != F.col("hub_root"))
-        tries = rest.drop("w").join(hubs.drop("w"), "bucket").where(sizes).select(F.col("hub_id").alias("a"), F.col("id").alias("b"))
+        tries = rest.drop("w").join(hubs.where(F.col("place") > HUBS * n), "bucket").where(sizes).select(F.col("hub_id").alias("a"), F.col("id").alias("b"))
         tries = tries.groupBy(F.least("a", "b"), F.greatest("a", "b")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b")
         found = scratch.save(overlap(tries).where(linked).select("a", "b"), f"stars{n}")
         edges = found if edges is None else edges.unionByName(found)
         if not found.isEmpty():
             roots = union_find(edges, scratch, f"all{n}")
-        if roots is not None:
-            rest = rest.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        rest = rest.join(hubs.select("bucket", F.col("hub_id").alias("id")), ["bucket", "id"], "left_anti")
-        mixed = rest.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
-        rest = scratch.save(rest.join(mixed, "bucket", "left_semi"), f"rest{n + 1}")
-        scratch.drop(f"rest{n}", f"hubs{n}")
+        at = lambda rows, id_: rows.withColumn("root", F.col(id_)) if roots is None else rows.drop("root").join(roots.withColumnRenamed("id", id_), id_, "left").withColumn("root", F.coalesce("root", id_))  # noqa: B023, E731
+        named = scratch.save(at(rest, "id"), f"named{n}")
+        # open: what is left without the hubs has several roots
+        each = named.select("bucket", "root", F.lit(1).alias("one")).unionByName(at(hubs.select("bucket", "hub_id"), "hub_id").select("bucket", "root", F.lit(-1).alias("one")))
+        open_ = each.groupBy("bucket", "root").agg(F.sum("one").alias("left")).where("left > 0").groupBy("bucket").agg(F.count("*").alias("roots")).where("roots > 1").select("bucket")
+        rest = scratch.save(named.join(open_, "bucket", "left_semi"), f"rest{n + 1}")
+        scratch.drop(f"rest{n}", f"hubs{n}", f"named{n}")
         if rest.isEmpty():
             break
     else:
