@@ -35,9 +35,9 @@ MARK = "▁"
 CHUNK = 16_384  # characters; documents of two chunks or more are scanned in parallel
 BLOCK = 64  # chunks whose matrices are combined at once
 LOW = -(1 << 60)
-CACHE = 1 << 18  # words that a worker remembers
+CACHE = 1 << 16  # words that a worker remembers
 PLAIN = 256  # characters of such a word at most
-TEXT_BYTES = 4 << 20  # of text that a task encodes at once
+TEXT_BYTES = 1 << 20  # of text that a task encodes at once
 
 
 class Pieces:
@@ -358,8 +358,8 @@ def decode(encoded: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 texts = pieces.decode_array(part.column(ids))
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in fields], texts], [*[f.name for f in fields], text])
 
