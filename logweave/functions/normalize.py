@@ -10,13 +10,26 @@ from pyspark.sql import functions as F
 from logweave.bindings import LOG, log_view
 from logweave.session import table
 
-RFC5424 = r"^<(\d{1,3})>(\d{1,2}) (\S+) (\S+) (\S+) (\S+) (\S+) (-|\[.*?\])\s?(.*)"
-RFC3164 = r"^<(\d{1,3})>(\w{3} [ \d]\d \d{2}:\d{2}:\d{2}) (\S+) ([^\s:\[]+)(?:\[(\d+)\])?: ?(.*)"
+# The header layouts of the two syslog RFCs.
+RFC5424 = r"(?s)^<(\d{1,3})>(\d)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+((?:\[[^\]]*\])+|-)\s?(.*)$"
+RFC3164 = r"(?s)^(?:<(\d{1,3})>)?([A-Z][a-z]{2}\s+\d{1,2}\s+\d{1,2}:\d{2}:\d{2})\s+(\S+)\s+(?:(?!(?:CEF|LEEF):\d)([^\s\[:]+)(?:\[(\d+)\])?:\s*)?(.*)$"
 IPV4 = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"
 DELIMITERS = (";", "|", "\t", ",")
-MAX_PAIRS = 256
-PARSE_CHARS = 4096
+# Key names and words that the rules look for.
+USER_KEYS = ("user", "username", "usr", "account", "acct", "login", "uid", "userid")
+SECRET_KEYS = ("pass", "passwd", "password", "pwd", "token", "secret", "apikey", "api_key", "key", "session", "sessionid", "cookie", "auth", "authorization", "credential", "signature")
+NOT_USERS = ("invalid", "user", "password", "uid", "unknown", "root@", "authentication", "from")
+WORST_WORDS = ("critical", "alert", "panic", "fatal")
+BAD_WORDS = ("fail", "failed", "failure", "error", "denied", "deny", "blocked", "refused")
+AUTH_WORDS = ("login", "logon", "logoff", "auth", "authentication", "password", "ssh", "sudo", "su", "kerberos")
+NETWORK_WORDS = ("allow", "allowed", "deny", "denied", "drop", "dropped", "accept", "accepted", "block", "blocked", "traffic", "firewall")
+PROCESS_WORDS = ("exec", "execve", "spawn", "pid", "process", "command", "cmdline")
+VALUE = r"""("[^"\n]*"|'[^'\n]*'|[^\s,;]+)"""
+
+
+def any_word(words: tuple[str, ...]) -> str:
+    return r"(?i)\b(?:" + "|".join(words) + r")\b"
 
 #: (contract, order, template, pattern, captures, class_uid); the first that matches wins.
 TEMPLATES = (
@@ -26,24 +39,49 @@ TEMPLATES = (
 )
 
 
+def groups(text: str | Column, pattern: str, n: int) -> Column:
+    """All n groups of a pattern that matches a whole text, by one pass; null where it doesn't match. The last one may hold anything."""
+    text = F.col(text) if isinstance(text, str) else text
+    marked = F.regexp_replace(text, pattern, "\x01" + "\x02".join(f"${i}" for i in range(1, n + 1)))
+    return F.when(marked.startswith("\x01") & ~text.startswith("\x01"), F.split(F.substring(marked, 2, 2147483647), "\x02", n))
+
+
 def syslog_fields(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Header fields of RFC 5424 lines, else of RFC 3164 ones; other lines are `none` with the whole text as body."""
-    new = F.col(line).rlike(RFC5424)
-    old = F.col(line).rlike(RFC3164)
-    pick = lambda a, b: F.when(new, F.regexp_extract(line, RFC5424, a)).when(old, F.regexp_extract(line, RFC3164, b))
-    pri = F.coalesce(pick(1, 1), F.lit("")).try_cast("int")
-    return lines.withColumns({
-        "variant": F.when(new, "rfc5424").when(old, "rfc3164").otherwise("none"), "pri": pri, "facility": F.floor(pri / 8).cast("int"),
-        "severity": pri % 8, "host": pick(4, 3), "app": pick(5, 4), "pid": F.nullif(pick(6, 5), F.lit("")), "body": F.coalesce(pick(9, 6), F.col(line)),
-    })
+    """Header fields of RFC 5424 lines, else of RFC 3164 ones, with or without a priority; fields a header lacks are null.
+
+    A CEF or LEEF tag is payload, not an app; bodies of several lines stay whole. Other lines are `none`,
+    `rejected`, with the whole text as body.
+    """
+    parts = lines.withColumn("__new", groups(line, RFC5424, 9)).withColumn("__old", F.when(F.col("__new").isNull(), groups(line, RFC3164, 6)))
+    new, old = F.col("__new"), F.col("__old")
+    pick = lambda a, b: F.nullif(F.coalesce(new[a] if a is not None else None, old[b] if b is not None else None), F.lit(""))
+    only = lambda a: F.nullif(new[a], F.lit("-"))
+    pri = pick(0, 0).try_cast("int")
+    return parts.withColumns({
+        "variant": F.when(new.isNotNull(), "rfc5424").when(old.isNotNull(), "rfc3164").otherwise("none"), "rejected": new.isNull() & old.isNull(),
+        "pri": pri, "facility": F.floor(pri / 8).cast("int"), "severity": pri % 8, "version": only(1), "timestamp": F.coalesce(only(2), old[1]), "host": F.coalesce(only(3), old[2]),
+        "app": F.coalesce(only(4), F.nullif(old[3], F.lit(""))), "pid": F.coalesce(only(5), F.nullif(old[4], F.lit(""))), "msgid": only(6), "sd": only(7), "body": F.coalesce(new[8], old[5], F.col(line)),
+    }).drop("__new", "__old")
 
 
-def kv_fields(lines: DataFrame, key: str, line: str) -> DataFrame:
-    """One row per key=value pair (at most 256 a line); quotes around values are dropped."""
-    pattern = F.lit(r'([A-Za-z_][\w.]*)=("[^"]*"|[^\s"]*)')
-    pairs = F.slice(F.arrays_zip(F.regexp_extract_all(line, pattern, F.lit(1)).alias("k"), F.regexp_extract_all(line, pattern, F.lit(2)).alias("v")), 1, MAX_PAIRS)
-    out = lines.select(key, F.posexplode(pairs).alias("ord", "kv"))
-    return out.select(key, "ord", F.col("kv.k").alias("name"), F.trim(F.col("kv.v"), F.lit('"')).alias("value"))
+def kv_pairs(text: str | Column, most: int | None = None) -> Column:
+    """Array of (k, v) of all key=value pairs, quotes around values dropped; `most`: only the first ones."""
+    pattern = F.lit(r"([A-Za-z_][\w.\-]*)\s*=\s*" + VALUE)
+    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("k"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("v"))
+    pairs = F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), F.regexp_replace(p["v"], r"^([\"'])(.*)\1$", "$2").alias("v")))
+    return pairs if most is None else F.slice(pairs, 1, most)
+
+
+def kv_fields(lines: DataFrame, key: str, line: str, most: int | None = None) -> DataFrame:
+    """One row per key=value pair; quotes around values are dropped. `most` limits the pairs of a line, `truncated` says so."""
+    pairs = kv_pairs(line, most)
+    cut = F.lit(False) if most is None else F.size(kv_pairs(line)) > most
+    return lines.select(key, cut.alias("truncated"), F.posexplode(pairs).alias("ord", "kv")).select(key, "ord", F.col("kv.k").alias("name"), F.col("kv.v").alias("value"), "truncated")
+
+
+def kv_density(line: str | Column) -> Column:
+    """Pairs per word; text is taken for key=value from two pairs and one half on."""
+    return F.size(kv_pairs(line)) / F.size(F.split(F.trim(line), r"\s+"))
 
 
 def json_fields(rows: DataFrame, key: str, column: str, names: list[str]) -> DataFrame:
@@ -108,7 +146,7 @@ def template_overlap(lines: DataFrame, body: str = "body", templates=TEMPLATES)
     """How often a later template would have matched a line that an earlier one takes."""
     hits = F.array_compact(F.array(*[F.when(F.col(body).rlike(p), F.lit(n)) for _, _, n, p, _, _ in templates]))
     pairs = lines.select(hits.alias("hits")).where(F.size("hits") > 1)
-    return pairs.select(F.element_at("hits", 1).alias("winner"), F.explode(F.slice("hits", 2, 8)).alias("shadowed")).groupBy("winner", "shadowed").agg(F.count("*").alias("n"))
+    return pairs.select(F.element_at("hits", 1).alias("winner"), F.explode(F.slice("hits", F.lit(2), F.size("hits"))).alias("shadowed")).groupBy("winner", "shadowed").agg(F.count("*").alias("n"))
 
 
 def map_fields(matched: DataFrame) -> DataFrame:
@@ -150,74 +188,140 @@ def unmapped_of(mapped: DataFrame) -> DataFrame:
     return mapped.select("event_uid", F.explode(F.map_filter("captures", lambda k, v: ~k.isin("user", "src", "attempts"))).alias("name", "value"))
 
 
-FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss", "yyyy MMM dd HH:mm:ss")
+# How times are written, tried in this order: (guard, pattern, what it lacks).
+FORMATS = (
+    (r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{1,6}(?:Z|[+-]\d\d:\d\d)$", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", ""),
+    (r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{1,6}[+-]\d{4}$", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXX", ""),
+    (r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:Z|[+-]\d\d:\d\d)$", "yyyy-MM-dd'T'HH:mm:ssXXX", ""),
+    (r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d[+-]\d{4}$", "yyyy-MM-dd'T'HH:mm:ssXX", ""),
+    (r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{1,6}$", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "zone"),
+    (r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$", "yyyy-MM-dd'T'HH:mm:ss", "zone"),
+    (r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{1,6}$", "yyyy-MM-dd HH:mm:ss.SSSSSS", "zone"),
+    (r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$", "yyyy-MM-dd HH:mm:ss", "zone"),
+    (r"^\d\d/\d\d/\d{4} \d\d:\d\d:\d\d$", "dd/MM/yyyy HH:mm:ss", "zone"),
+    (r"^\d\d-\d\d-\d{4} \d\d:\d\d:\d\d$", "dd-MM-yyyy HH:mm:ss", "zone"),
+    (r"^[A-Z][a-z]{2} +\d{1,2} \d\d:\d\d:\d\d$", "MMM d HH:mm:ss", "year"),
+    (r"^[A-Z][a-z]{2} +\d{1,2} \d{4} \d\d:\d\d:\d\d$", "MMM d yyyy HH:mm:ss", "zone"),
+    (r"^\d\d/[A-Z][a-z]{2}/\d{4}:\d\d:\d\d:\d\d [+-]\d{4}$", "dd/MMM/yyyy:HH:mm:ss XX", ""),
+)
+
 
+def event_time(rows: DataFrame, text: str, received: str, tz: str | Column = "UTC", formats: tuple = ()) -> DataFrame:
+    """event_time, its epoch_ms, time_source, time_format, tz_assumed, year_inferred and skew_s, the seconds from event to arrival.
 
-def event_time(rows: DataFrame, text: str, received: str) -> DataFrame:
-    """The first format that fits; a time without a year takes the arrival's, one less if that is over a day ahead; else the arrival."""
-    parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in FORMATS[:3]])
+    Contract formats come first, then FORMATS; an offset in the text wins over tz (a name, or a column of
+    names). A time without a year takes the arrival's, one less if that is over a day ahead. What fits no
+    format takes the arrival. Guards keep texts of other shapes from the date parser.
+    """
+    zone = F.lit(tz) if isinstance(tz, str) else tz
+    value = F.regexp_replace(F.trim(text), " +", " ")
     arrived = F.col(received).cast("timestamp")
-    with_year = lambda y: F.try_to_timestamp(F.concat(y.cast("string"), F.lit(" "), F.col(text)), F.lit(FORMATS[3]))
-    this = with_year(F.year(received))
-    inferred = F.when(this > arrived + F.expr("interval 1 day"), with_year(F.year(received) - 1)).otherwise(this)
-    out = rows.withColumn("event_time", F.coalesce(parsed, inferred, arrived))
-    return out.withColumns({"time_source": F.when(parsed.isNotNull(), "format").when(inferred.isNotNull(), "yearless").otherwise("arrival"), "skew_s": F.unix_seconds(arrived) - F.unix_seconds("event_time")})
-
-
-def detect_layers(lines: DataFrame, line: str) -> DataFrame:
-    """Which parser each line would take first."""
-    text = F.substring(line, 1, PARSE_CHARS)
-    pairs = F.size(F.regexp_extract_all(text, F.lit(r"[A-Za-z_]\w*=\S+"), F.lit(0)))
-    words = F.size(F.split(F.trim(text), r"\s+"))
-    cuts = F.greatest(*[F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in DELIMITERS])
-    path = (
-        F.when(text.rlike(r"^<\d{1,3}>"), "auto:syslog").when(text.rlike(r"^\s*[\{\[]"), "auto:json").when(text.rlike("^CEF:"), "auto:cef").when(text.rlike("^LEEF:"), "auto:leef")
-        .when((pairs >= 2) & (pairs / words >= 0.5), "auto:kv").when(cuts >= 3, "auto:delimited").otherwise("auto:text")
-    )
-    return lines.withColumn("parse_path", path)
+    dated = lambda y, pattern: F.try_to_timestamp(F.concat(y.cast("string"), F.lit(" "), value, F.lit(" "), zone), F.lit(f"yyyy {pattern} VV"))
+    found = []
+    for guard, pattern, lacks in (*formats, *FORMATS):
+        if lacks == "year":
+            this = dated(F.year(received), pattern)
+            at = F.when(this > arrived + F.expr("interval 1 day"), dated(F.year(received) - 1, pattern)).otherwise(this)
+        elif lacks == "zone":
+            at = F.try_to_timestamp(F.concat(value, F.lit(" "), zone), F.lit(f"{pattern} VV"))
+        else:
+            at = F.try_to_timestamp(value, F.lit(pattern))
+        found.append(F.when(value.rlike(guard), F.struct(at.alias("at"), F.lit(pattern).alias("format"), F.lit(lacks).alias("lacks"))))
+    usable = F.array_compact(F.array(*found))
+    out = rows.withColumn("__t", F.get(F.filter(usable, lambda x: x["at"].isNotNull()), F.lit(0)))
+    known = F.col("__t.at").isNotNull()
+    out = out.withColumn("event_time", F.coalesce("__t.at", arrived))
+    return out.withColumns({
+        "epoch_ms": F.unix_millis("event_time"), "time_source": F.when(known, "event").otherwise("received"), "time_format": F.col("__t.format"), "tz_assumed": F.when(known & (F.col("__t.lacks") != ""), zone),
+        "year_inferred": F.coalesce(F.col("__t.lacks") == "year", F.lit(False)), "skew_s": F.unix_seconds(arrived) - F.unix_seconds("event_time"),
+    }).drop("__t")
+
+
+def detect_layers(lines: DataFrame, line: str, most_chars: int | None = None) -> DataFrame:
+    """The layers a line seems to have: a syslog header, and what its body (or the line) is. `most_chars`: judge by the first ones only."""
+
+    def inner(text: Column) -> Column:
+        cuts = F.greatest(*[F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in DELIMITERS])
+        return (
+            F.when(text.rlike(r"^\s*[\{\[]"), "json").when(text.rlike(r"^CEF:\d"), "cef").when(text.rlike(r"^LEEF:\d"), "leef")
+            .when((F.size(kv_pairs(text)) >= 2) & (kv_density(text) >= 0.5), "kv").when(cuts >= 3, "delimited").otherwise("text")
+        )
+
+    judged = lines if most_chars is None else lines.withColumn(line, F.substring(line, 1, most_chars))
+    body = F.coalesce(F.get(groups(line, RFC5424, 9), F.lit(8)), F.get(groups(line, RFC3164, 6), F.lit(5)))
+    judged = judged.withColumn("__body", body)
+    path = F.when(F.col("__body").isNotNull(), F.concat(F.lit("auto:syslog>"), inner(F.col("__body")))).otherwise(F.concat(F.lit("auto:"), inner(F.col(line))))
+    return judged.withColumn("parse_path", path).drop("__body")
+
+
+USER_VALUE = r"(?i)\b(" + "|".join(USER_KEYS) + r")(\s*[=:]\s*)" + VALUE
+USER_PROSE = r"(?i)\b(for\s+invalid\s+user|for\s+user|user|account|for|by)\s+([A-Za-z_][\w.\-]{1,63})"
 
 
 def class_hint(lines: DataFrame, line: str) -> DataFrame:
-    """A guess of the event class by ordered rules."""
-    low = F.lower(line)
-    ips = F.size(F.array_distinct(F.regexp_extract_all(line, F.lit(IPV4), F.lit(0))))
-    hint = F.when(low.rlike(r"\b(get|post|put|delete) /|http/"), 4002).when(low.rlike("login|logon|password|auth"), 3002).when((ips >= 2) | low.rlike("port"), 4001).when(low.rlike("process|exec"), 1007).otherwise(0)
-    return lines.withColumn("hint", hint)
+    """A guess of the event class by ordered rules, http before auth before network before process, and how far to trust it; none is 0."""
+    ips = F.size(F.regexp_extract_all(line, F.lit(IPV4), F.lit(0)))
+    http = F.col(line).rlike(r"(?i)(\bGET\b|\bPOST\b|\bPUT\b|\bDELETE\b|\bHEAD\b|HTTP/\d)")
+    auth, network, process = (F.col(line).rlike(any_word(w)) for w in (AUTH_WORDS, NETWORK_WORDS, PROCESS_WORDS))
+    user = F.col(line).rlike(USER_VALUE) | F.col(line).rlike(USER_PROSE)
+    port = F.col(line).rlike(r"(?i)\bport\s+\d{1,5}\b|\d\.\d{1,3}:\d{1,5}\b")
+    rule = F.when(http, F.struct(F.lit(4002), F.when(ips > 0, "medium").otherwise("low"))).when(auth, F.struct(F.lit(3002), F.when(user, "medium").otherwise("low")))
+    rule = rule.when(network & (ips >= 2), F.struct(F.lit(4001), F.when(port, "medium").otherwise("low"))).when(process, F.struct(F.lit(1007), F.lit("low")))
+    out = lines.withColumn("__rule", rule.cast("struct<hint: int, confidence: string>"))
+    return out.withColumns({"hint": F.coalesce("__rule.hint", F.lit(0)), "confidence": F.col("__rule.confidence")}).drop("__rule")
 
 
 def severity_words(lines: DataFrame, line: str) -> DataFrame:
-    """N24"""
-    low = F.lower(line)
-    return lines.withColumn("word_severity", F.when(low.rlike(r"\b(critical|alert|panic|fatal)\b"), 4).when(low.rlike(r"\b(fail\w*|error|denied|reject\w*)\b"), 3).otherwise(0))
+    """4 for the worst words, 3 for bad ones, else 0."""
+    return lines.withColumn("word_severity", F.when(F.col(line).rlike(any_word(WORST_WORDS)), 4).when(F.col(line).rlike(any_word(BAD_WORDS)), 3).otherwise(0))
+
+
+# The shapes of words and what stands for them in a signature, in order; groups of a pattern are kept.
+SHAPES = (
+    (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "<UUID>"),
+    (r"(?U)^(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?$", "<IP>"),
+    (r"(?U)^\d{1,4}[-/:T]\d{1,2}(?:[-/:T.]\d{1,4})*Z?$", "<TS>"),
+    (r"^(?=.*::|(?:[^:]*:){3})[0-9a-fA-F:]*:[0-9a-fA-F:]*:[0-9a-fA-F:]*$", "<IP>"),
+    (r"(?U)^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$", "<EMAIL>"),
+    (r"(?U)^([A-Za-z_][\w.\-]*)=.*$", "$1=<V>"),
+    (r"(?U)^([A-Za-z_][\w.\-]*):.+$", "$1:<V>"),
+    (r"^[0-9a-fA-F]{8,}$", "<HEX>"),
+    (r"(?U)^.*\d.*$", "<NUM>"),
+)
+PLAIN_WORD = r"^[g-zG-Z][A-Za-z]*$|^[A-Za-z]{1,7}$"  # no shape fits such a word
 
 
 def template_signature(lines: DataFrame, scope: Column, line: str) -> DataFrame:
-    """The masked shape of a line and the hash of scope and shape."""
-    digits = r"[0-9]"
+    """The masked shape of a line, word by word, and the hash of scope and shape. White space between words counts as one blank."""
 
     def mask(t: Column) -> Column:
-        return (
-            F.when(t.rlike(r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"), "<UUID>").when(t.rlike(r"^\d{1,3}(\.\d{1,3}){3}(:\d+)?$"), "<IP>").when(t.rlike(r"^\d{2}:\d{2}:\d{2}"), "<TS>")
-            .when(t.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), "<EMAIL>").when(t.rlike(r"^[\w.\-]+=."), F.concat(F.substring_index(t, "=", 1), F.lit("=<V>"))).when(t.rlike(r"^[\w.\-]+:[^/]"), F.concat(F.substring_index(t, ":", 1), F.lit(":<V>")))
-            .when(t.rlike(r"^[0-9a-fA-F]{8,}$") & t.rlike(digits), "<HEX>").when(t.rlike(digits), "<NUM>").otherwise(t)
-        )
+        chain = F.when(t.rlike(PLAIN_WORD), t)
+        for pattern, shown in SHAPES:
+            chain = chain.when(t.rlike(pattern), F.regexp_replace(t, pattern, shown) if "$" in shown else F.lit(shown))
+        return chain.otherwise(t)
 
-    shape = F.array_join(F.transform(F.split(F.trim(line), r"\s+"), mask), " ")
+    shape = F.array_join(F.transform(F.split(F.regexp_replace(line, r"(?U)^\s+|\s+$", ""), r"(?U)\s+"), mask), " ")
     return lines.withColumn("shape", shape).withColumn("sig", F.concat(F.lit("t_"), F.substring(F.sha2(F.concat(scope, F.lit("\x1f"), F.col("shape")), 256), 1, 12)))
 
 
 def mask_pii(lines: DataFrame, line: str) -> DataFrame:
-    """Secrets, numbered e-mails and users masked, long blobs cut; IPs stay. Numbers count distinct values of a line."""
-    text = F.regexp_replace(line, r"(?i)\b(password|passwd|secret|token|api_key)([=:]\s*)\S+", "$1$2<SECRET>")
+    """Secrets, then e-mails, long blobs, and users after their keys or in prose; IPs stay. Numbers count distinct values of a line."""
+    text = F.regexp_replace(line, r"(?i)\b(" + "|".join(SECRET_KEYS) + r")(\s*[=:]\s*)(\"[^\"]*\"|'[^']*'|\S+)", "$1$2<SECRET>")
 
-    def numbered(text: Column, pattern: str, group: int, name: str) -> Column:
-        values = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
-        made = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1))), text, lambda t, i: F.when(i <= F.size(values), F.replace(t, F.get(values, i - 1), F.concat(F.lit(f"<{name}_"), i.cast("string"), F.lit(">")))).otherwise(t))
-        return made
+    def numbered(text: Column, values: Column, name: str, before: str, after: str) -> Column:
+        """Each distinct value replaced by its number where it stands between before (one group) and after; longer ones first."""
+        placed = F.transform(F.array_distinct(values), lambda v, i: F.struct(-F.length(v), v.alias("v"), i.alias("i")))
+        one = lambda t, x: F.regexp_replace(t, F.concat(F.lit(before), F.lit("\\Q"), F.replace(x["v"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E" + after)), F.concat(F.lit(f"$1<{name}_"), (x["i"] + 1).cast("string"), F.lit(">")))
+        return F.aggregate(F.array_sort(placed), text, one)
 
-    text = numbered(text, EMAIL, 0, "EMAIL")
-    text = F.regexp_replace(text, r"\b[A-Za-z0-9+/]{32,}={0,2}", "<BLOB>")
-    return lines.withColumn("masked", numbered(text, r"\buser=(\w+)", 1, "USER"))
+    made = lines.withColumn("__masked", text)
+    made = made.withColumn("__masked", numbered(F.col("__masked"), F.regexp_extract_all("__masked", F.lit(EMAIL), F.lit(0)), "EMAIL", "()", ""))
+    made = made.withColumn("__masked", F.regexp_replace(F.regexp_replace("__masked", r"\b[0-9a-fA-F]{24,}\b", "<BLOB>"), r"\b[A-Za-z0-9+/]{24,}={0,2}", "<BLOB>"))
+    keyed = F.filter(F.regexp_extract_all("__masked", F.lit(USER_VALUE), F.lit(3)), lambda v: ~v.startswith("<"))
+    told = F.filter(F.regexp_extract_all("__masked", F.lit(USER_PROSE), F.lit(2)), lambda v: ~F.lower(v).isin(*NOT_USERS))
+    place = r"(?i)(\b(?:(?:" + "|".join(USER_KEYS) + r")\s*[=:]\s*|(?:for\s+invalid\s+user|for\s+user|user|account|for|by)\s+))"
+    made = made.withColumn("masked", numbered(F.col("__masked"), F.concat(keyed, told), "USER", place, r"(?![\w\-])"))
+    return made.drop("__masked")
 
 
 def hmac_hex(value: Column, key: bytes) -> Column:
@@ -229,10 +333,19 @@ def hmac_hex(value: Column, key: bytes) -> Column:
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, value.cast("binary")), 256))), 256)
 
 
-def mask_route(events: DataFrame, key: bytes, value: str, payload: str) -> DataFrame:
-    """A value replaced by its keyed hash wherever it stands in the payload; short values are redacted in place only."""
-    hidden = F.concat(F.lit("h_"), F.substring(hmac_hex(F.col(value), key), 1, 16))
-    return events.withColumn("hidden", hidden).withColumn("masked", F.when(F.length(value) >= 4, F.replace(F.col(payload), F.col(value), F.col("hidden"))).otherwise(F.col(payload)))
+def mask_route(events: DataFrame, key: bytes, plan: dict[str, str], payload: str) -> DataFrame:
+    """Columns hidden by a route's plan, `hmac` (the same value gives the same name) or `redact`.
+
+    A value of four characters or more also goes from the payload wherever it stands; shorter ones only
+    in place. The key is the route's own.
+    """
+    out, swept = events, F.col(payload)
+    for column, how in plan.items():
+        hidden = F.concat(F.lit("h_"), F.substring(hmac_hex(F.col(column), key), 1, 16)) if how == "hmac" else F.when(F.col(column).isNotNull(), "[REDACTED]")
+        out = out.withColumn(f"__{column}", hidden)
+        swept = F.when(F.length(column) >= 4, F.replace(swept, F.col(column), F.col(f"__{column}"))).otherwise(swept)
+    out = out.withColumn(payload, swept)
+    return out.withColumns({c: F.col(f"__{c}") for c in plan}).drop(*[f"__{c}" for c in plan])
 
 
 def siem_rules(events: DataFrame) -> DataFrame:
@@ -299,13 +412,23 @@ def _mixed(s: SparkSession, d: str) -> DataFrame:
 
 
 _MSG = "concat('CEF:0|ac\\\\|me|ngfw|1.', user_id, '|', event_id, '|login ', source_id, '|', event_id % 10, '|src=10.0.0.', user_id % 256, ' msg=hello big world dpt=', event_id % 1000)"
-_WHEN = """case event_id % 4 when 0 then date_format(received_time - interval 30 seconds, "yyyy-MM-dd'T'HH:mm:ss") when 1 then date_format(received_time - interval 1 hour, 'yyyy-MM-dd HH:mm:ss') when 2 then date_format(received_time - interval 2 minutes, 'MMM dd HH:mm:ss') else 'nonsense' end"""
+_AT = "received_time - interval 30 seconds"
+_LOCAL = f"from_utc_timestamp({_AT}, 'Asia/Kolkata')"
+_WHEN = f"""case event_id % 9 when 0 then date_format({_LOCAL}, "yyyy-MM-dd'T'HH:mm:ss") when 1 then date_format({_LOCAL}, 'yyyy-MM-dd HH:mm:ss.SSS') when 2 then date_format({_LOCAL}, 'MMM dd HH:mm:ss') when 3 then concat(date_format({_AT}, "yyyy-MM-dd'T'HH:mm:ss"), 'Z')
+ when 4 then concat(date_format({_AT} + interval 2 hours, 'dd/MMM/yyyy:HH:mm:ss'), ' +0200') when 5 then date_format({_LOCAL}, 'dd/MM/yyyy HH:mm:ss') when 6 then date_format({_LOCAL}, 'MMM dd yyyy HH:mm:ss') when 7 then concat(date_format({_AT} - interval 5 hours, "yyyy-MM-dd'T'HH:mm:ss.SSS"), '-05:00') else 'nonsense' end"""
+_HEADERS = """case event_id % 5 when 0 then line when 1 then concat('<', event_id % 192, '>1 2026-09-26T14:05:11.003Z host-', user_id % 20, ' app ', event_id, ' ID47 [x@1 a="b"][y c="d"] the message')
+ when 2 then concat('Sep 26 14:05:11 host-', user_id % 20, ' app: body here') when 3 then concat('<134>Sep 6 14:05:11 fw01 CEF:0|acme|ngfw|1|', event_id, '|x|5|a=b') else concat('no header ', event_id) end"""
+_WORDS = """case event_id % 8 when 0 then 'GET /index from 10.0.0.1' when 1 then 'HTTP/1.1 200' when 2 then concat('sudo by user root', user_id) when 3 then 'ssh closed' when 4 then 'Deny tcp 10.0.0.1 to 10.0.0.2 port 22'
+ when 5 then 'traffic 10.0.0.1 10.0.0.2' when 6 then 'execve failed' else 'panic: disk rejected' end"""
+_SHAPED = """concat(case event_id % 9 when 0 then '2026-09-26' when 1 then 'fe80::1' when 2 then 'deadbeef' when 3 then 'k=' when 4 then 'k:/x' when 5 then '9k=v' when 6 then 'a.b@c.org' when 7 then '10.0.0.1:99999' else '12:30:01' end, '  ', line, ' 3F2504E0-4F89-11D3-9A0C-0305E82C3301 ')"""
+_PAIRS = "concat(line, ' a = 1 b=\"x y\",c=\\'z\\'; d.e=', event_id) as line"
+_PRIVATE = """concat('login for user neel', user_id % 7, ' password=hunter', event_id, ' mail a', user_id % 5, '@example.org and a', user_id % 5, '@example.org from 10.0.0.1 key ', case when event_id % 2 = 0 then 'deadbeefdeadbeefdeadbeef' else 'short' end, ' user=neel', user_id % 7, ' acct: ops', event_id % 3, ' user=neel')"""
 CANDIDATE = (TEMPLATES[1], ("auth", 2, "failed", r"^user=(\w+) FAILED login from (\S+) via (\S+) attempts:([0-2])$", ("user", "src", "via", "attempts"), 3002), TEMPLATES[2])
 _SPAN = "event_uid, line, regexp_extract(line, 'from ([0-9.]+)', 1) as value"
 
 QUERIES = {
-    "syslog_fields": lambda s, d: parsed(s, d).select("event_uid", "variant", "pri", "facility", "severity", "host", "app", "pid", "body"),
-    "kv_fields": lambda s, d: kv_fields(log_view(s, d), "event_uid", "line"),
+    "syslog_fields": lambda s, d: syslog_fields(log_view(s, d).selectExpr("event_uid", f"{_HEADERS} as line")).select("event_uid", "variant", "rejected", "pri", "facility", "severity", "version", "timestamp", "host", "app", "pid", "msgid", "sd", "body"),
+    "kv_fields": lambda s, d: kv_fields(log_view(s, d).selectExpr("event_uid", _PAIRS), "event_uid", "line"),
     "json_fields": lambda s, d: json_fields(log_view(s, d).selectExpr("event_uid", "case when event_id % 17 = 0 then substring(props, 2) else concat(props, ' tail') end as j"), "event_uid", "j", ["k"]),
     "delimited_fields": lambda s, d: delimited_fields(log_view(s, d).selectExpr("event_uid", "case when event_id % 3 = 0 then concat(event_id, '; ', user_id, ';', source_id, ' ;x') else concat(event_id, '|a|', user_id, '|b') end as line"), "event_uid", "line"),
     "base64_fields": lambda s, d: base64_fields(log_view(s, d).selectExpr("event_uid", "case when event_id % 19 = 0 then '!!' else base64(cast(source_id as binary)) end as b"), "b").drop("b"),
@@ -320,14 +443,14 @@ QUERIES = {
     "assemble_event": lambda s, d: assemble_event(mapped(s, d)).select("event_uid", "event.class_uid", "event.category_uid", "event.type_uid", F.sha2("event.message", 256).alias("message_sha")),
     "observables_of": lambda s, d: observables_of(mapped(s, d)),
     "unmapped_of": lambda s, d: unmapped_of(mapped(s, d)),
-    "event_time": lambda s, d: event_time(log_view(s, d).selectExpr("event_uid", "received_time", f"{_WHEN} as t"), "t", "received_time").select("event_uid", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("event_time"), "time_source", "skew_s"),
+    "event_time": lambda s, d: event_time(log_view(s, d).selectExpr("event_uid", "received_time", f"{_WHEN} as t"), "t", "received_time", "Asia/Kolkata").select("event_uid", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("event_time"), "time_source", "tz_assumed", "year_inferred", "skew_s"),
     "detect_layers": lambda s, d: detect_layers(_mixed(s, d), "line").groupBy(F.substring("id", 1, 1).alias("shape"), "parse_path").agg(F.count("*").alias("n")),
-    "class_hint": lambda s, d: class_hint(_mixed(s, d), "line").groupBy(F.substring("id", 1, 1).alias("shape"), "hint").agg(F.count("*").alias("n")),
-    "severity_words": lambda s, d: severity_words(_mixed(s, d), "line").groupBy(F.substring("id", 1, 1).alias("shape"), "word_severity").agg(F.count("*").alias("n")),
-    "template_signature": lambda s, d: template_signature(parsed(s, d), F.col("source_id"), "body").groupBy("source_id", "shape", "sig").agg(F.count("*").alias("n")),
-    "mask_pii": lambda s, d: mask_pii(table(s, d, "documents"), "text").select("doc_id", F.sha2("masked", 256).alias("masked_sha"), F.length("masked").alias("chars"), F.size(F.regexp_extract_all("masked", F.lit("<EMAIL_[0-9]+>"), F.lit(0))).alias("emails")),
+    "class_hint": lambda s, d: class_hint(log_view(s, d).selectExpr("event_uid", f"{_WORDS} as line"), "line").select("event_uid", "hint", "confidence"),
+    "severity_words": lambda s, d: severity_words(log_view(s, d).selectExpr("event_uid", f"{_WORDS} as line"), "line").select("event_uid", "word_severity"),
+    "template_signature": lambda s, d: template_signature(log_view(s, d).selectExpr("source_id", f"{_SHAPED} as line"), F.col("source_id"), "line").groupBy("source_id", "shape", "sig").agg(F.count("*").alias("n")),
+    "mask_pii": lambda s, d: mask_pii(log_view(s, d).selectExpr("event_uid", f"{_PRIVATE} as line"), "line").select("event_uid", "masked"),
     "pii_census": lambda s, d: table(s, d, "documents").groupBy("source").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"), F.lit(0)))).alias("ips"), F.sum(F.size(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0)))).alias("emails")),
-    "mask_route": lambda s, d: mask_route(log_view(s, d).selectExpr("event_uid", "concat('user', user_id) as who", "concat('login of user', user_id, ' as user', user_id, ' from x') as msg"), b"route-key", "who", "msg").select("event_uid", "hidden", "masked"),
+    "mask_route": lambda s, d: mask_route(log_view(s, d).selectExpr("event_uid", "concat('user', user_id) as who", "concat('n', user_id, '@x.org') as mail", "cast(event_id % 7 as string) as code", "concat('login of user', user_id, ' n', user_id, '@x.org as user', user_id, ' code ', event_id % 7) as msg"), b"route-key", {"mail": "redact", "who": "hmac", "code": "redact"}, "msg").select("event_uid", "who", "mail", "code", "msg"),
     "siem_rules": lambda s, d: siem_rules(log_view(s, d)).select("event_uid", "rule_id", "level"),
     "decode_lines": lambda s, d: decode_lines(table(s, d, "documents").select("doc_id", F.expr("case when doc_id % 10 = 3 then concat(cast(text as binary), unhex('FF')) else cast(text as binary) end").alias("raw")), "raw").select("doc_id", "encoding", F.length("decoded").alias("chars")),
     "byte_spans": lambda s, d: byte_spans(table(s, d, "documents").select("doc_id", "text", F.lit("ion").alias("needle")), "text", "needle").select("doc_id", "start", "end"),
@@ -337,11 +460,17 @@ QUERIES = {
     "library_match": lambda s, d: library_match(parsed(s, d), {"full": TEMPLATES, "ok-only": TEMPLATES[1:2]}),
 }
 
+_PADS = [bytes(b ^ x for b in b"route-key".ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
 _P = f"{LOG}, p as (select *, regexp_extract(line, '^<[0-9]+>.{{15}} [^ ]+ app.[0-9]+.: (.*)$', 1) as body, concat('10.0.', user_id % 256, '.', event_id % 256) as src, event_id % 5 as att from log), m as (select *, case when event_id % 4 = 2 then 'failed' when att <= 3 then 'ok' else 'any' end as template from p)"
 _TAKE = "case when event_id % 4 = 2 then true else att <= 3 end"
 ORACLES = {
-    "syslog_fields": f"""{_P} select event_uid, 'rfc3164' as variant, (event_id % 192)::int as pri, ((event_id % 192) // 8)::int as facility, (event_id % 192 % 8)::int as severity, concat('host-', user_id % 20) as host, 'app' as app, event_id::varchar as pid, body from p""",
-    "kv_fields": f"{LOG} select event_uid, 0::int as ord, 'user' as name, concat('u', user_id) as value from log",
+    "syslog_fields": f"""{_P}, x as (select *, event_id % 5 as k, (case event_id % 5 when 0 then event_id % 192 when 1 then event_id % 192 when 3 then 134 end)::int as pr, concat('host-', user_id % 20) as h from p)
+ select event_uid, case k when 1 then 'rfc5424' when 4 then 'none' else 'rfc3164' end as variant, k = 4 as rejected, pr as pri, (pr // 8)::int as facility, (pr % 8)::int as severity, case k when 1 then '1' end as version,
+ case k when 0 then 'Jan 01 00:00:00' when 1 then '2026-09-26T14:05:11.003Z' when 2 then 'Sep 26 14:05:11' when 3 then 'Sep 6 14:05:11' end as timestamp, case k when 4 then null when 3 then 'fw01' else h end as host,
+ case when k <= 2 then 'app' end as app, case when k <= 1 then event_id::varchar end as pid, case k when 1 then 'ID47' end as msgid, case k when 1 then '[x@1 a="b"][y c="d"]' end as sd,
+ case k when 0 then body when 1 then 'the message' when 2 then 'body here' when 3 then concat('CEF:0|acme|ngfw|1|', event_id, '|x|5|a=b') else concat('no header ', event_id) end as body from x""",
+    "kv_fields": f"""{LOG}, x as (select event_uid, unnest([{{'ord': 0, 'name': 'user', 'value': concat('u', user_id)}}, {{'ord': 1, 'name': 'a', 'value': '1'}}, {{'ord': 2, 'name': 'b', 'value': 'x y'}}, {{'ord': 3, 'name': 'c', 'value': 'z'}}, {{'ord': 4, 'name': 'd.e', 'value': event_id::varchar}}], recursive := true) from log)
+ select event_uid, ord::int as ord, name, value, false as truncated from x""",
     "json_fields": f"{LOG} select event_uid, case when event_id % 17 <> 0 then json_extract_string(props, '$.k') end as k, event_id % 17 = 0 as rejected from log",
     "delimited_fields": f"""{LOG}, x as (select event_uid, case when event_id % 3 = 0 then ';' else '|' end as delimiter, case when event_id % 3 = 0 then [event_id::varchar, user_id::varchar, source_id, 'x'] else [event_id::varchar, 'a', user_id::varchar, 'b'] end as v from log)
  select event_uid, delimiter, (generate_subscripts(v, 1) - 1)::int as col, unnest(v) as value from x""",
@@ -358,13 +487,17 @@ ORACLES = {
     "assemble_event": f"{_P} select event_uid, (case when template = 'any' then 3001 else 3002 end)::int as class_uid, 3::int as category_uid, (case template when 'any' then 300100 when 'failed' then 300202 else 300201 end)::int as type_uid, sha256(body) as message_sha from m",
     "observables_of": f"""{_P} select event_uid, 'ip_1' as name, src as value from m where template <> 'any' union all select event_uid, 'user', concat('u', user_id) from m union all select event_uid, 'host_1', concat('host-', user_id % 20) from m""",
     "unmapped_of": f"""{_P} select event_uid, 'via' as name, '10.2.3.4' as value from m where template <> 'any' union all select event_uid, 'rest', concat('from ', src, ' via 10.2.3.4 attempts:', att) from m where template = 'any'""",
-    "event_time": f"""{LOG}, x as (select event_uid, received_time, event_id % 4 as k, date_trunc('second', case event_id % 4 when 0 then received_time - interval 30 seconds when 1 then received_time - interval 1 hour when 2 then received_time - interval 2 minutes else received_time end) as t from log)
- select event_uid, strftime(t, '%Y-%m-%d %H:%M:%S') as event_time, case k when 2 then 'yearless' when 3 then 'arrival' else 'format' end as time_source, (epoch(date_trunc('second', received_time)) - epoch(t))::bigint as skew_s from x""",
-    "detect_layers": f"""{LOG}, k(shape, parse_path) as (values ('l', 'auto:syslog'), ('j', 'auto:json'), ('k', 'auto:kv'), ('c', 'auto:cef'), ('s', 'auto:delimited')) select shape, parse_path, count(*) as n from k, log group by all""",
-    "class_hint": f"""{LOG}, k(shape, hint) as (values ('l', 3002), ('j', 0), ('k', 0), ('c', 0), ('s', 0)) select shape, hint::int as hint, count(*) as n from k, log group by all""",
-    "severity_words": f"""{LOG}, k(shape) as (values ('l'), ('j'), ('k'), ('c'), ('s')) select shape, (case when shape = 'l' and event_id % 4 = 2 then 3 when shape in ('k', 'c', 's') and source_id = 'error' then 3 else 0 end)::int as word_severity, count(*) as n from k, log group by all""",
-    "template_signature": f"""{_P}, s as (select source_id, concat('user=<V> ', case when event_id % 4 = 2 then 'FAILED' else 'OK' end, ' login from <IP> via <IP> attempts:<V>') as shape from p)
+    "event_time": f"""{LOG}, x as (select event_uid, received_time, event_id % 9 as k, date_trunc('second', case event_id % 9 when 8 then received_time else received_time - interval 30 seconds end) as t from log)
+ select event_uid, strftime(t, '%Y-%m-%d %H:%M:%S') as event_time, case k when 8 then 'received' else 'event' end as time_source, case when k in (0, 1, 2, 5, 6) then 'Asia/Kolkata' end as tz_assumed, k = 2 as year_inferred, (epoch(date_trunc('second', received_time)) - epoch(t))::bigint as skew_s from x""",
+    "detect_layers": f"""{LOG}, k(shape, parse_path) as (values ('l', 'auto:syslog>text'), ('j', 'auto:json'), ('k', 'auto:kv'), ('c', 'auto:cef'), ('s', 'auto:delimited')) select shape, parse_path, count(*) as n from k, log group by all""",
+    "class_hint": f"""{LOG} select event_uid, (case event_id % 8 when 0 then 4002 when 1 then 4002 when 2 then 3002 when 3 then 3002 when 4 then 4001 when 5 then 4001 when 6 then 1007 else 0 end)::int as hint, case when event_id % 8 in (0, 2, 4) then 'medium' when event_id % 8 <> 7 then 'low' end as confidence from log""",
+    "severity_words": f"""{LOG} select event_uid, (case event_id % 8 when 4 then 3 when 6 then 3 when 7 then 4 else 0 end)::int as word_severity from log""",
+    "template_signature": f"""{_P}, s as (select source_id, concat(case event_id % 9 when 0 then '<TS>' when 1 then '<IP>' when 2 then '<HEX>' when 3 then 'k=<V>' when 4 then 'k:<V>' when 5 then '<NUM>' when 6 then '<EMAIL>' when 7 then '<IP>' else '<TS>' end,
+ ' <NUM> <NUM> <TS> <NUM> <NUM> user=<V> ', case when event_id % 4 = 2 then 'FAILED' else 'OK' end, ' login from <IP> via <IP> attempts:<V> <UUID>') as shape from p)
  select source_id, shape, concat('t_', substring(sha256(concat(source_id, chr(31), shape)), 1, 12)) as sig, count(*) as n from s group by all""",
+    "mask_pii": f"""{LOG} select event_uid, concat('login for user <USER_1> password=<SECRET> mail <EMAIL_1> and <EMAIL_1> from 10.0.0.1 key ', case when event_id % 2 = 0 then '<BLOB>' else 'short' end, ' user=<USER_1> acct: <USER_2> user=<USER_3>') as masked from log""",
+    "mask_route": f"""{LOG}, h as (select event_id, event_uid, user_id, concat('h_', substring(sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || concat('user', user_id)::blob))), 1, 16)) as who from log)
+ select event_uid, who, '[REDACTED]' as mail, '[REDACTED]' as code, concat('login of ', who, ' [REDACTED] as ', who, ' code ', event_id % 7) as msg from h""",
     "pii_census": r"""select source, sum(len(regexp_extract_all(text, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}')))::bigint as ips, sum(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+')))::bigint as emails from documents group by 1""",
     "siem_rules": f"""{LOG}, r as (select event_uid, (case when tier = 4 then 100104 when tier = 3 then 100103 when class_uid = 3002 and candidate_tier = 2 then 100110 when event_id % 9 = 0 then 100120 else 100100 end)::int as rule_id from log)
  select event_uid, rule_id, (case rule_id when 100104 then 7 when 100103 then 5 when 100110 then 5 when 100120 then 4 else 3 end)::int as level from r""",
