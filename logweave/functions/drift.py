@@ -10,53 +10,96 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.bindings import LOG, log_view
-from logweave.functions.normalize import TEMPLATES, assign_tier, map_fields, mapped, match_templates, parsed, template_signature
-
-MAX_TOKENS, MAX_CHARS = 192, 4096
-#: Token kinds in the order in which they claim text; a span belongs to the first that takes it.
-KINDS = (
-    ("kv", re.compile(r"\b([A-Za-z_]\w*)=(\S+)", re.A)),
-    ("url", re.compile(r"()\b(https?://[^\s\"'<>]+)", re.A)),
-    ("email", re.compile(r"()\b([\w.+-]+@[\w-]+\.[\w.-]+)", re.A)),
-    ("time", re.compile(r"()\b(\d{2}:\d{2}:\d{2})\b", re.A)),
-    ("ip", re.compile(r"()\b(\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?)\b", re.A)),
-    ("ckv", re.compile(r"\b([A-Za-z_]\w*):(\d\S*)", re.A)),
-    ("hash", re.compile(r"()\b([0-9a-f]{32,64})\b", re.A)),
-    ("int", re.compile(r"()\b(\d+)\b", re.A)),
-    ("word", re.compile(r"()([A-Za-z][\w-]*)", re.A)),
+from logweave.functions.normalize import BAD_WORDS, NOT_USERS, TEMPLATES, USER_KEYS, assign_tier, class_hint, detect_layers, event_time, map_fields, mapped, match_templates, parsed, severity_words, template_signature
+from logweave.session import stored
+
+# What ids, addresses and times look like.
+SHAPES = {
+    "uuid": r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b",
+    "url": r"\b[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s\"'<>]+",
+    "email": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
+    "timestamp": r"\b(?:\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d{1,9})?(?:Z|[+\-]\d\d:?\d\d)?|\d\d[-/]\d\d[-/]\d{4}[T ]\d\d:\d\d:\d\d\b|[A-Z][a-z]{2}\s+\d{1,2}\s+\d\d:\d\d:\d\d\b)",
+    "ip": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
+    "ipv6": r"(?<![0-9A-Fa-f:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,7}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Fa-f:])",
+    "hash": r"\b(?:[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})\b",
+}
+_SHAPED = "|".join(SHAPES.values())
+_QUOTED = r"\"[^\"\n]*\"|'[^'\n]*'"
+#: One alternation: of tokens that could begin at a place the first kind wins, of others the one that begins first.
+#: A pair whose value holds one of SHAPES isn't a pair.
+TOKEN = re.compile(
+    rf"\b(?P<user_key>(?i:{'|'.join(USER_KEYS)}))\s*[=:]\s*(?P<user>{_QUOTED}|[^\s,;]+)"
+    rf"|\b(?P<told>(?i:for\s+invalid\s+user|for\s+user|user|for|by|account))\s+(?P<who>(?!(?i:{'|'.join(map(re.escape, NOT_USERS))})\b)[A-Za-z_][\w.\-]{{1,63}})"
+    + "".join(f"|(?P<{kind}>{pattern})" + r"(?::(?P<ip_port>\d{1,5})\b)?" * (kind == "ip") for kind, pattern in SHAPES.items())
+    + rf"|(?P<quoted>\"[^\"\n]*\")|(?P<kv_key>\b[A-Za-z_][\w.\-]*)\s*=\s*(?P<kv>{_QUOTED}|(?![^\s,;]{{0,255}}?(?:{_SHAPED}))[^\s,;]+)"
+    rf"|(?P<ckv_key>\b[A-Za-z_][\w.\-]*):\s*(?P<ckv>\"[^\"\n]*\"|(?![^\s,;]{{0,255}}?(?:{_SHAPED}))[^\s,;:]+)"
+    r"|\bport\s+(?P<port>\d{1,5})\b|(?P<hostname>\b[A-Za-z][\w\-]*(?:\.[A-Za-z][\w\-]*)+\b)|(?P<int>-?\b\d+\b)|(?P<word>\b[A-Za-z][\w.\-]*\b)",
+    re.A,
 )
+_WORD = re.compile(r"\S+")
+_KEYS = {"user": "user_key", "kv": "kv_key", "ckv": "ckv_key"}
 
 
 def tokens_of(text: str) -> list[tuple[str, str, str, int, int]]:
-    """(kind, key, value, start, end) in order of place; each kind takes only what no earlier one took."""
-    text, taken, out = text[:MAX_CHARS], bytearray(min(len(text), MAX_CHARS)), []
-    for kind, pattern in KINDS:
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if len(out) < MAX_TOKENS and not any(taken[a:b]):
-                taken[a:b] = b"\1" * (b - a)
-                out.append((kind, m[1], m[2], *m.span(2)))
-    return sorted(out, key=lambda t: t[3])
+    """(kind, key, value, start, end) of a line's tokens in order; quotes around values don't count."""
+    out = []
+    for m in TOKEN.finditer(text):
+        kind = m.lastgroup
+        if kind == "who":
+            for w in _WORD.finditer(text, m.start("told"), m.end("told")):
+                out.append(("word", "", w[0], w.start(), w.end()))
+            kind = "user"
+            value, at = m["who"], m.start("who")
+        else:
+            if kind == "ip_port":
+                out.append(("ip", "", m["ip"], *m.span("ip")))
+                kind, value, at = "port", m["ip_port"], m.start("ip_port")
+            else:
+                value, at = m[kind], m.start(kind)
+        if kind in _KEYS or kind == "quoted":
+            inside = value[0] in "\"'" and len(value) > 1 and value[-1] == value[0]
+            value, at = (value[1:-1], at + 1) if inside else (value, at)
+        out.append((kind, m[_KEYS[kind]] or "" if kind in _KEYS else "", value, at, at + len(value)))
+    return out
 
 
-def token_table(lines: DataFrame, key: str, line: str) -> DataFrame:
-    """One row per token. Greedy claims depend on order, so a line is scanned in Python, batch by batch."""
+def token_table(lines: DataFrame, key: str, line: str, most_tokens: int | None = None, most_chars: int | None = None) -> DataFrame:
+    """One row per token. most_tokens and most_chars look at the first ones of a line only; `truncated` says so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
         for batch in batches:
-            rows = [(k, n, *t) for k, text in zip(batch.column("k").to_pylist(), batch.column("line").to_pylist()) for n, t in enumerate(tokens_of(text or ""))]
+            rows = []
+            for k, text in zip(batch.column("k").to_pylist(), batch.column("line").to_pylist()):
+                text = text or ""
+                found = tokens_of(text if most_chars is None else text[:most_chars])
+                cut = most_chars is not None and len(text) > most_chars or most_tokens is not None and len(found) > most_tokens
+                rows += [(k, n, *t, cut) for n, t in enumerate(found[:most_tokens])]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["k", "ord", "kind", "name", "value", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["k", "ord", "kind", "name", "value", "start", "end", "truncated"])
 
-    got = lines.select(F.col(key).cast("string").alias("k"), F.col(line).alias("line")).mapInArrow(run, "k string, ord int, kind string, name string, value string, start int, end int")
+    got = lines.select(F.col(key).cast("string").alias("k"), F.col(line).alias("line")).mapInArrow(run, "k string, ord int, kind string, name string, value string, start int, end int, truncated boolean")
     return got.withColumnRenamed("k", key)
 
 
+OBSERVED = {"ip": "ip", "ipv6": "ip", "user": "user", "hostname": "host", "email": "email", "url": "url", "uuid": "uuid", "hash": "hash"}
+
+
 def generic_extract(tokens: DataFrame, key: str) -> DataFrame:
-    """Numbered observables of lines without a template, each value once per line."""
-    base = tokens.where(F.col("kind").isin("ip", "email", "url")).groupBy(key, "kind", "value").agg(F.min("ord").alias("ord"))
-    return base.withColumn("name", F.concat("kind", F.lit("_"), F.row_number().over(Window.partitionBy(key, "kind").orderBy("ord")))).select(key, "name", "value")
+    """Numbered observables of lines without a template, each value once per line (the first user is `user`), and pairs as unmapped.<key>."""
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in OBSERVED.items() for x in kv]), F.col("kind"))
+    base = tokens.where(F.col("kind").isin(*OBSERVED)).groupBy(key, named.alias("base"), "value").agg(F.min("ord").alias("ord"))
+    place = F.row_number().over(Window.partitionBy(key, "base").orderBy("ord"))
+    seen = base.withColumn("n", place).select(key, F.when((F.col("base") == "user") & (F.col("n") == 1), "user").otherwise(F.concat("base", F.lit("_"), "n")).alias("name"), "value")
+    pairs = tokens.where(F.col("kind").isin("kv", "ckv")).groupBy(key, F.concat(F.lit("unmapped."), "name").alias("name")).agg(F.max_by("value", "ord").alias("value"))
+    return seen.unionByName(pairs)
+
+
+def tier3_events(lines: DataFrame, key: str, line: str, received: str) -> DataFrame:
+    """What is known of a line without a template: parse path, time, severity and a class hint; class_uid stays 0 and no endpoint is named."""
+    stamp = F.regexp_extract(line, SHAPES["timestamp"], 0)
+    timed = event_time(class_hint(severity_words(detect_layers(lines, line), line), line).withColumn("__stamp", F.nullif(stamp, F.lit(""))), "__stamp", received)
+    return timed.select(key, F.lit(0).alias("class_uid"), "parse_path", "event_time", "time_source", F.col("word_severity").alias("severity_id"), "hint", "confidence")
 
 
 def drift_groups(dlq: DataFrame, samples: int = 5) -> DataFrame:
@@ -100,7 +143,8 @@ def suggest_fields(tokens: DataFrame, shapes: DataFrame, key: str) -> DataFrame:
     before = F.lower(F.lag("value").over(Window.partitionBy(key).orderBy("ord")))
     path = (
         F.when((F.col("kind") == "ip") & before.isin("from", "src"), "src_endpoint.ip").when((F.col("kind") == "ip") & before.isin("to", "dst", "via"), "dst_endpoint.ip")
-        .when((F.col("kind") == "kv") & (F.col("name") == "user"), "user.name").when((F.col("kind") == "int") & (before == "port"), "src_endpoint.port")
+        .when(F.col("kind") == "user", "user.name").when(F.col("kind") == "port", "src_endpoint.port")
+        .when((F.col("kind") == "word") & F.lower("value").isin(*BAD_WORDS), "status_id:2").when((F.col("kind") == "word") & F.lower("value").isin("ok", "success", "accepted", "succeeded"), "status_id:1")
     )
     found = tokens.withColumn("path", path).where(F.col("path").isNotNull()).join(shapes, key)
     return found.groupBy("shape", "ord", "path").agg(F.count("*").alias("n"))
@@ -155,42 +199,59 @@ def _dlq(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tokens(s: SparkSession, d: str) -> DataFrame:
-    return token_table(parsed(s, d), "event_uid", "body")
+    """Stored once: the queries below read it several times."""
+    return stored(token_table(parsed(s, d), "event_uid", "body"), "tokens")
+
+
+def _shapes(tokens: DataFrame) -> DataFrame:
+    return sample_shape_groups(tokens, "event_uid")
+
+
+def _positions(tokens: DataFrame) -> DataFrame:
+    return variable_positions(tokens, _shapes(tokens), "event_uid")
+
+
+def _suggested(tokens: DataFrame) -> DataFrame:
+    return suggest_fields(tokens, _shapes(tokens), "event_uid")
 
 
-def _shapes(s: SparkSession, d: str) -> DataFrame:
-    return sample_shape_groups(_tokens(s, d), "event_uid")
+def _generalized(tokens: DataFrame) -> DataFrame:
+    return generalize_groups(_positions(tokens), _suggested(tokens))
 
 
-def _positions(s: SparkSession, d: str) -> DataFrame:
-    return variable_positions(_tokens(s, d), _shapes(s, d), "event_uid")
+_KINDS = """concat(case event_id % 8 when 0 then 'id 3f2504e0-4f89-11d3-9a0c-0305e82c3301' when 1 then 'see https://x.org/a?b=1' when 2 then 'mail a.b@c.org' when 3 then 'at 2026-09-26T14:05:11Z' when 4 then 'to fe80::1:2'
+ when 5 then 'sum d41d8cd98f00b204e9800998ecf8427e' when 6 then 'said "big news"' else 'for invalid user admin' end, ' on gw.example.net port 22 src=10.0.0.1 x=y z:7 -5')"""
 
 
 QUERIES = {
-    "token_table": lambda s, d: _tokens(s, d).groupBy("kind", "name").agg(F.count("*").alias("n"), F.count_distinct("value").alias("values"), F.sum("start").alias("starts")),
+    "token_table": lambda s, d: token_table(log_view(s, d).selectExpr("event_uid", f"{_KINDS} as line"), "event_uid", "line").select("event_uid", "ord", "kind", "name", "value", "start"),
     "generic_extract": lambda s, d: generic_extract(_tokens(s, d), "event_uid"),
+    "tier3_events": lambda s, d: tier3_events(log_view(s, d).selectExpr("event_uid", "received_time", "concat('2026-01-02 03:04:05 sudo denied for user u', user_id) as line"), "event_uid", "line", "received_time").withColumn("event_time", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss")),
     "drift_groups": lambda s, d: drift_groups(_dlq(s, d)),
     "resolve_covered": lambda s, d: resolve_covered(parsed(s, d).select(F.col("body").alias("sample")), TEMPLATES[:2]).groupBy("state").agg(F.count("*").alias("n")),
-    "sample_shape_groups": lambda s, d: _shapes(s, d).groupBy("shape").agg(F.count("*").alias("n")),
-    "variable_positions": lambda s, d: _positions(s, d).select("shape", "ord", "varies"),
-    "display_template": lambda s, d: display_template(_positions(s, d)),
-    "suggest_fields": lambda s, d: suggest_fields(_tokens(s, d), _shapes(s, d), "event_uid"),
-    "generalize_groups": lambda s, d: generalize_groups(_positions(s, d), suggest_fields(_tokens(s, d), _shapes(s, d), "event_uid")),
+    "sample_shape_groups": lambda s, d: _shapes(_tokens(s, d)).groupBy("shape").agg(F.count("*").alias("n")),
+    "variable_positions": lambda s, d: _positions(_tokens(s, d)).select("shape", "ord", "varies"),
+    "display_template": lambda s, d: display_template(_positions(_tokens(s, d))),
+    "suggest_fields": lambda s, d: _suggested(_tokens(s, d)),
+    "generalize_groups": lambda s, d: _generalized(_tokens(s, d)),
     "mine_templates": lambda s, d: mine_templates(parsed(s, d), "source_id", "body"),
     "diff_tables": lambda s, d: diff_tables(log_view(s, d).select("event_uid", "tier", "source_id"), log_view(s, d).selectExpr("event_uid", "case when event_id % 7 = 0 then 9 else tier end as tier", "case when event_id % 11 = 0 then null else source_id end as source_id"), "event_uid", ["tier", "source_id"]),
     "verify_draft": lambda s, d: verify_draft(parsed(s, d)),
 }
 
 _P = f"{LOG}, p as (select *, case when event_id % 4 = 2 then 'FAILED' else 'OK' end as word, concat('10.0.', user_id % 256, '.', event_id % 256) as src, event_id % 5 as att from log)"
-_SHAPE = "concat('<kv> ', word, ' login from <ip> via <ip> <ckv>')"
+_SHAPE = "concat('<user> ', word, ' login from <ip> via <ip> <ckv>')"
 ORACLES = {
-    "token_table": f"""{_P}, t as (select unnest([{{'kind': 'kv', 'name': 'user', 'value': concat('u', user_id), 'start': 5}},
- {{'kind': 'word', 'name': '', 'value': word, 'start': 7 + length(user_id::varchar)}}, {{'kind': 'word', 'name': '', 'value': 'login', 'start': 8 + length(user_id::varchar) + length(word)}},
- {{'kind': 'word', 'name': '', 'value': 'from', 'start': 14 + length(user_id::varchar) + length(word)}}, {{'kind': 'ip', 'name': '', 'value': src, 'start': 19 + length(user_id::varchar) + length(word)}},
- {{'kind': 'word', 'name': '', 'value': 'via', 'start': 20 + length(user_id::varchar) + length(word) + length(src)}}, {{'kind': 'ip', 'name': '', 'value': '10.2.3.4', 'start': 24 + length(user_id::varchar) + length(word) + length(src)}},
- {{'kind': 'ckv', 'name': 'attempts', 'value': att::varchar, 'start': 42 + length(user_id::varchar) + length(word) + length(src)}}], recursive := true) from p)
- select kind, name, count(*) as n, count(distinct value) as "values", sum(start)::bigint as starts from t group by 1, 2""",
-    "generic_extract": f"{_P} select event_uid, 'ip_1' as name, src as value from p union all select event_uid, 'ip_2', '10.2.3.4' from p where src <> '10.2.3.4'",
+    "token_table": f"""{LOG}, t(k, ord, kind, name, value, start) as (values (0, 0, 'word', '', 'id', 0), (0, 1, 'uuid', '', '3f2504e0-4f89-11d3-9a0c-0305e82c3301', 3), (1, 0, 'word', '', 'see', 0), (1, 1, 'url', '', 'https://x.org/a?b=1', 4),
+ (2, 0, 'word', '', 'mail', 0), (2, 1, 'email', '', 'a.b@c.org', 5), (3, 0, 'word', '', 'at', 0), (3, 1, 'timestamp', '', '2026-09-26T14:05:11Z', 3), (4, 0, 'word', '', 'to', 0), (4, 1, 'ipv6', '', 'fe80::1:2', 3),
+ (5, 0, 'word', '', 'sum', 0), (5, 1, 'hash', '', 'd41d8cd98f00b204e9800998ecf8427e', 4), (6, 0, 'word', '', 'said', 0), (6, 1, 'quoted', '', 'big news', 6), (7, 0, 'word', '', 'for', 0), (7, 1, 'word', '', 'invalid', 4), (7, 2, 'word', '', 'user', 12), (7, 3, 'user', '', 'admin', 17)),
+ u(ord, kind, name, value, start) as (values (0, 'word', '', 'on', 1), (1, 'hostname', '', 'gw.example.net', 4), (2, 'port', '', '22', 24), (3, 'word', '', 'src', 27), (4, 'ip', '', '10.0.0.1', 31), (5, 'kv', 'x', 'y', 42), (6, 'ckv', 'z', '7', 46), (7, 'int', '', '-5', 48)),
+ w(k, n, chars) as (values (0, 2, 39), (1, 2, 23), (2, 2, 14), (3, 2, 23), (4, 2, 12), (5, 2, 36), (6, 2, 15), (7, 4, 22))
+ select event_uid, t.ord::int as ord, kind, t.name, t.value, start::int as start from log join t on event_id % 8 = k
+ union all select event_uid, (u.ord + n)::int, kind, u.name, u.value, (start + chars)::int from log join w on event_id % 8 = k, u""",
+    "generic_extract": f"""{_P} select event_uid, 'ip_1' as name, src as value from p union all select event_uid, 'ip_2', '10.2.3.4' from p where src <> '10.2.3.4'
+ union all select event_uid, 'user', concat('u', user_id) from p union all select event_uid, 'unmapped.attempts', att::varchar from p""",
+    "tier3_events": f"""{LOG} select event_uid, 0::int as class_uid, 'auto:text' as parse_path, '2026-01-02 03:04:05' as event_time, 'event' as time_source, 3::int as severity_id, 3002::int as hint, 'medium' as confidence from log""",
     "drift_groups": f"""{_P}, q as (select source_id, event_uid, concat('user=u', user_id, ' ', word, ' login from ', src, ' via 10.2.3.4 attempts:', att) as sample,
  concat('t_', substring(sha256(concat(source_id, chr(31), 'user=<V> ', word, ' login from <IP> via <IP> attempts:<V>')), 1, 12)) as sig from p where tier >= 3),
  f as (select source_id, sig, sample, min(event_uid) as uid from q group by all), k as (select * from f qualify row_number() over (partition by source_id, sig order by uid) <= 5)
@@ -200,8 +261,9 @@ ORACLES = {
     "sample_shape_groups": f"{_P} select {_SHAPE} as shape, count(*) as n from p group by 1",
     "variable_positions": f"{_P} select distinct {_SHAPE} as shape, (x.i)::int as ord, x.i in (0, 4, 6, 7) as varies from p, (select unnest(range(8)) as i) x",
     "display_template": f"{_P} select distinct {_SHAPE} as shape, concat('<*> ', word, ' login from <*> via <*> <*>') as template from p",
-    "suggest_fields": f"""{_P}, x(ord, path) as (values (0::int, 'user.name'), (4::int, 'src_endpoint.ip'), (6::int, 'dst_endpoint.ip')) select {_SHAPE} as shape, ord, path, count(*) as n from p, x group by all""",
-    "generalize_groups": f"{_P} select distinct {_SHAPE} as shape, concat('<user.name> ', word, ' login from <src_endpoint.ip> via <dst_endpoint.ip> <*>') as pattern from p",
+    "suggest_fields": f"""{_P}, x(ord, path) as (values (0::int, 'user.name'), (4::int, 'src_endpoint.ip'), (6::int, 'dst_endpoint.ip')), y as (select {_SHAPE} as shape, ord, path from p, x union all select {_SHAPE}, 1::int, case word when 'FAILED' then 'status_id:2' else 'status_id:1' end from p)
+ select shape, ord, path, count(*) as n from y group by all""",
+    "generalize_groups": f"{_P} select distinct {_SHAPE} as shape, concat('<user.name> ', case word when 'FAILED' then '<status_id:2>' else '<status_id:1>' end, ' login from <src_endpoint.ip> via <dst_endpoint.ip> <*>') as pattern from p",
     "mine_templates": f"{_P} select source_id, case when count(distinct word) > 1 then 'user=<V> <*> login from <IP> via <IP> attempts:<V>' else concat('user=<V> ', min(word), ' login from <IP> via <IP> attempts:<V>') end as template, count(*) as n from p group by 1",
     "diff_tables": f"{LOG} select event_uid, 'tier' as path from log where event_id % 7 = 0 union all select event_uid, 'source_id' from log where event_id % 11 = 0",
     "verify_draft": f"""{_P}, v as (select word <> 'FAILED' and att <= 3 as ok from p) select (case when ok then 1 else 2 end)::int as tier, count(*) as n, count(*) filter (ok) as src_ip, count(*) as user_name, count(*) filter (ok) as status_id from v group by ok""",

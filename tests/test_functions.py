@@ -82,8 +82,38 @@ def test_mask_pii_numbers_values(spark):
 def test_tokens_claim_once():
     for text in ("user=neel.k FAILED login from 45.12.3.9:22 attempts:3", "a=" * 5000, "", "https://x.y/z a@b.c 12:30:00"):
         got = drift.tokens_of(text)
-        assert len(got) <= drift.MAX_TOKENS
-        assert all(a[4] <= b[3] for a, b in zip(got, got[1:]))
+        assert all(a[4] <= b[3] for a, b in zip(got, got[1:])) and all(text[a:b] == v for _, _, v, a, b in got)
+    got = drift.tokens_of("Failed for invalid user admin from 45.12.3.9:22 port 77 key='a b' url=http://x/y")
+    assert [(k, n, v) for k, n, v, _, _ in got] == [
+        ("word", "", "Failed"), ("word", "", "for"), ("word", "", "invalid"), ("word", "", "user"), ("user", "", "admin"), ("word", "", "from"), ("ip", "", "45.12.3.9"), ("port", "", "22"),
+        ("port", "", "77"), ("kv", "key", "a b"), ("word", "", "url"), ("url", "", "http://x/y"),
+    ]
+
+
+def test_token_limits_are_told(spark):
+    rows = spark.createDataFrame([("a", "one two three"), ("b", "one")], "k string, line string")
+    got = {(r.k, r.value, r.truncated) for r in drift.token_table(rows, "k", "line", most_tokens=2).collect()}
+    assert got == {("a", "one", True), ("a", "two", True), ("b", "one", False)}
+    assert drift.token_table(rows, "k", "line").count() == 4
+
+
+def test_signature_shapes(spark):
+    """One vector for each shape, and for what only looks like one."""
+    want = {
+        "3f2504e0-4f89-11d3-9a0c-0305e82c3301": "<UUID>", "10.0.0.1:80": "<IP>", "2026-09-26": "<TS>", "2026-09-26T14:05:11Z": "<TS>", "12:30": "<TS>", "fe80::1": "<IP>", "1:2:3:4": "<TS>", "ab:cd:ef:01": "<IP>",
+        "a@b.org": "<EMAIL>", "a@b": "a@b", "k=": "k=<V>", "k:/x": "k:<V>", "k:": "k:", "9k=v": "<NUM>", "deadbeef": "<HEX>", "deadbee": "deadbee", "x1": "<NUM>", "plain": "plain",
+    }
+    got = {r.line: r.shape for r in normalize.template_signature(spark.createDataFrame([(x,) for x in want], "line string"), F.lit("s"), "line").collect()}
+    assert got == want
+
+
+def test_event_times(spark):
+    rows = [("2026-09-26 14:05:11", "2026-09-26 09:00:00"), ("2026-09-26T14:05:11+05:30", "2026-09-26 09:00:00"), ("Dec 31 23:59:00", "2027-01-01 00:05:00"), ("no time", "2026-09-26 09:00:00")]
+    frame = spark.createDataFrame(rows, "t string, received string").withColumn("received", F.col("received").cast("timestamp"))
+    got = {r.t: r for r in normalize.event_time(frame, "t", "received", "Asia/Kolkata").collect()}
+    assert got[rows[0][0]].epoch_ms == got[rows[1][0]].epoch_ms == 1790411711000 and (got[rows[0][0]].tz_assumed, got[rows[1][0]].tz_assumed) == ("Asia/Kolkata", None)
+    assert got[rows[2][0]].year_inferred and got[rows[2][0]].event_time.year == 2026
+    assert (got[rows[3][0]].time_source, got[rows[3][0]].skew_s) == ("received", 0)
 
 
 def test_multiline_joins(spark):
