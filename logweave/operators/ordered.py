@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -123,6 +125,30 @@ def _indexed(s: SparkSession, d: str) -> DataFrame:
     return build_search_index(log_view(s, d).selectExpr("event_uid", "tenant_id", "array(source_id, concat('u', user_id), concat('host-', user_id % 20), source_id) as terms", "concat('t_', substring(sha2(source_id, 256), 1, 12)) as sig", "sha2(line, 256) as sha"))
 
 
+def template_events(signed: DataFrame, sig: str, source: str, n: int) -> DataFrame:
+    """The newest events of a signature and source, each in its latest revision, with the place of the raw record."""
+    own = signed.where((F.col("sig") == sig) & (F.col("source_id") == source))
+    latest = replacing_merge(own, ["event_uid"], [F.desc("revision")])
+    return newest(latest.select("event_uid", "revision", "received_time", F.concat_ws(":", "source_id", "event_id").alias("raw_ref")), n, F.desc("received_time"), F.desc("event_uid"))
+
+
+def top_templates(signed: DataFrame, k: int) -> DataFrame:
+    """The k most frequent shapes of each source, each event counted once."""
+    counts = signed.groupBy("source_id", "sig", "shape").agg(F.count_distinct("event_uid").alias("n"))
+    return top_n_per_key(counts, ["source_id"], [F.desc("n"), F.col("sig")], k)
+
+
+def _signed(s: SparkSession, d: str) -> DataFrame:
+    """The log view in one or two revisions with the signatures of its bodies."""
+    from logweave.functions.normalize import syslog_fields, template_signature
+
+    rows = syslog_fields(log_view(s, d)).withColumn("revision", F.explode(F.expr("if(event_id % 3 = 0, array(1, 2), array(1))")))
+    return template_signature(rows, F.col("source_id"), "body")
+
+
+_SHAPE = "user=<V> {} login from <IP> via <IP> attempts:<V>"
+_FAILED_SIG = "t_" + hashlib.sha256(f"click\x1f{_SHAPE.format('FAILED')}".encode()).hexdigest()[:12]
+
 QUERIES = {
     "latest_revision": lambda s, d: replacing_merge(table(s, d, "lineitem"), ["l_orderkey"], [F.desc("l_linenumber"), *map(F.desc, _TIE)]).selectExpr(*_LINES.split(", ")),
     "one_per_revision": lambda s, d: replacing_merge(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], [*map(F.desc, _TIE)]).selectExpr(*_LINES.split(", ")),
@@ -142,8 +168,8 @@ QUERIES = {
     "drift_inbox": lambda s, d: newest(log_view(s, d).where("tier = 3").groupBy("source_id", "user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_seen")), 40, F.desc("last_seen"), F.col("source_id"), F.col("user_id")),
     "audit_tail": lambda s, d: newest(log_view(s, d), 30, F.desc("event_id"), where=F.col("tenant_id") == "t2").select("event_uid"),
     "roots_with_audit": lambda s, d: newest(ledger_links(_roots(s, d)).groupBy("entry").pivot("check", ["link", "order"]).agg(F.bool_and("ok")).select("entry", F.col("link").alias("link_ok"), F.col("order").alias("order_ok")), 20, F.desc("entry")),
-    "template_events": lambda s, d: replacing_merge(log_view(s, d).where("user_id = 7"), ["source_id"], [F.desc("event_uid")]).select("source_id", "event_uid"),
-    "top_templates": lambda s, d: top_n_per_key(log_view(s, d).groupBy("source_id", "user_id").agg(F.count("*").alias("n")), ["source_id"], [F.desc("n"), F.col("user_id")], 3),
+    "template_events": lambda s, d: template_events(_signed(s, d), _FAILED_SIG, "click", 25).withColumn("received_time", F.date_format("received_time", "yyyy-MM-dd HH:mm:ss")),
+    "top_templates": lambda s, d: top_templates(_signed(s, d), 3),
     "contract_diff": lambda s, d: contract_diff(table(s, d, "orders").selectExpr("concat('p', o_orderkey) as path", "o_orderstatus as value").where("not path like '%3'"), table(s, d, "orders").selectExpr("concat('p', o_orderkey) as path", "case when o_custkey % 5 = 0 then 'X' else o_orderstatus end as value").where("not path like '%4'")),
     "related_sigs": lambda s, d: related_sigs(log_view(s, d).selectExpr("source_id", "user_id % 10 as cluster", "concat('s', user_id % 50) as sig").distinct()),
 }
@@ -180,8 +206,9 @@ ORACLES = {
     "drift_inbox": f"{LOG} select source_id, user_id, count(*) as n, max(event_id) as last_seen from log where tier = 3 group by all order by last_seen desc, source_id, user_id limit 40",
     "audit_tail": f"{LOG} select event_uid from log where tenant_id = 't2' order by event_id desc limit 30",
     "roots_with_audit": f"{_ROOTS} select entry::int as entry, link_ok, order_ok from checked order by entry desc limit 20",
-    "template_events": f"{LOG} select source_id, max(event_uid) as event_uid from log where user_id = 7 group by 1",
-    "top_templates": f"{LOG}, c as (select source_id, user_id, count(*) as n from log group by all) select *, row_number() over (partition by source_id order by n desc, user_id)::int as place from c qualify place <= 3",
+    "template_events": f"{LOG} select event_uid, (case when event_id % 3 = 0 then 2 else 1 end)::int as revision, strftime(received_time, '%Y-%m-%d %H:%M:%S') as received_time, concat('click:', event_id) as raw_ref from log where source_id = 'click' and event_id % 4 = 2 order by log.received_time desc, event_uid desc limit 25",
+    "top_templates": f"""{LOG}, t as (select source_id, replace('{_SHAPE}', '{{}}', case when event_id % 4 = 2 then 'FAILED' else 'OK' end) as shape, count(*) as n from log group by 1, 2),
+ c as (select *, concat('t_', substring(sha256(concat(source_id, chr(31), shape)), 1, 12)) as sig from t) select *, row_number() over (partition by source_id order by n desc, sig)::int as place from c qualify place <= 3""",
     "contract_diff": """with o as (select concat('p', o_orderkey) as path, o_orderstatus as v from orders where not concat('p', o_orderkey) like '%3'),
  n as (select concat('p', o_orderkey) as path, case when o_custkey % 5 = 0 then 'X' else o_orderstatus end as v from orders where not concat('p', o_orderkey) like '%4')
  select path, case when o.v is null then 'added' when n.v is null then 'removed' else 'changed' end as change from o full join n using (path) where o.v is distinct from n.v""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -190,7 +192,33 @@ def _sources(s: SparkSession) -> DataFrame:
     return s.createDataFrame([("BUILDING", "acme", False), ("MACHINERY", "globex", True)], "source_id string, vendor string, paused boolean")
 
 
+def _ocsf(events: DataFrame) -> Column:
+    """The whole event as compact JSON."""
+    return F.to_json(F.struct(*events.columns))
+
+
+def _siem(events: DataFrame) -> Column:
+    """A line of key=value pairs; values with blanks are quoted, nulls are left out."""
+    pair = lambda c: F.concat(F.lit(f"{c}="), F.when(F.col(c).cast("string").rlike(r"[\s\"]"), F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit("'")), F.lit('"'))).otherwise(F.col(c).cast("string")))
+    return F.concat_ws(" ", *[pair(c) for c in events.columns])
+
+
+RENDERERS = {"ocsf": _ocsf, "siem": _siem}
+
+
+def render(events: DataFrame, routes: tuple[dict, ...] = ROUTES) -> DataFrame:
+    """(route_id, event_uid, value): what each route takes, written in its format; formats are looked up in RENDERERS by name."""
+    out = []
+    for route in routes:
+        if route["format"] not in RENDERERS:
+            raise ValueError(f"unknown format {route['format']}; known: {', '.join(sorted(RENDERERS))}")
+        taken = route_filter(events, route)
+        out.append(taken.select(F.lit(route["id"]).alias("route_id"), "event_uid", RENDERERS[route["format"]](taken).alias("value")))
+    return reduce(DataFrame.unionByName, out)
+
+
 QUERIES = {
+    "render": lambda s, d: render(log_view(s, d).selectExpr("event_uid", "tier", "source_id", "tenant_id", "case when event_id % 2 = 0 then concat(source_id, ' x') end as note")),
     "tenant_filter": lambda s, d: tenant_filter(log_view(s, d), "t1").unionByName(tenant_filter(log_view(s, d), "*")).groupBy("tenant_id").agg(F.count("*").alias("n")),
     "route_filter": lambda s, d: route_filter(log_view(s, d), ROUTES[1]).select("event_uid", "tenant_id", "tier"),
     "classify_query": lambda s, d: classify_query(log_view(s, d).select(F.expr("case event_id % 4 when 0 then source_id when 1 then sha2(line, 256) when 2 then concat('t_', substring(sha2(line, 256), 1, 12)) else event_uid end").alias("q"))).groupBy("kind").agg(F.count("*").alias("n")),
@@ -230,6 +258,9 @@ _CL = f"""{LOG}, a as (select event_uid, unnest([{{'path': 'user.name', 'value':
   from (select * from a where value is not null) a full join (select * from c where value is not null) c using (event_uid, path))"""
 
 ORACLES = {
+    "render": f"""{LOG}, e as (select *, case when event_id % 2 = 0 then concat(source_id, ' x') end as note from log)
+ select 'soc' as route_id, event_uid, concat('{{"event_uid":"', event_uid, '","tier":', tier, ',"source_id":"', source_id, '","tenant_id":"', tenant_id, '"', case when note is null then '' else concat(',"note":"', note, '"') end, '}}') as value from e where tier in (1, 2)
+ union all select 'errors', event_uid, concat('event_uid=', event_uid, ' tier=', tier, ' source_id=', source_id, ' tenant_id=', tenant_id, case when note is null then '' else concat(' note="', note, '"') end) from e where source_id = 'error' and tenant_id in ('t0', 't1')""",
     "tenant_filter": f"{LOG} select tenant_id, count(*) * (case when tenant_id = 't1' then 2 else 1 end) as n from log group by 1",
     "route_filter": f"{LOG} select event_uid, tenant_id, tier from log where source_id = 'error' and tenant_id in ('t0', 't1')",
     "classify_query": f"""{LOG} select case when regexp_matches(lower(q), '{UID}') then 'uid' when regexp_matches(q, '^t_[0-9a-f]{{12}}$') then 'sig' when regexp_matches(lower(q), '^[0-9a-f]{{8,64}}$') then 'sha' else 'term' end as kind, count(*) as n

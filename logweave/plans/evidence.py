@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.bindings import LOG, log_view
+from logweave.session import stored
 
 GENESIS = "LOGWEAVE-GENESIS"
 SEGMENT = "LOGWEAVE-SEGMENT"
@@ -38,26 +39,38 @@ def chain_segment(records: DataFrame, key: list[str], prev: str) -> DataFrame:
 
 
 def hash_chain(records: DataFrame, label: str = GENESIS) -> DataFrame:
-    """V1 over whole partitions: (topic, offset, chain_hash) of every record.
+    """V1 over whole partitions: (topic, part, offset, chain_hash) of every record.
 
-    Each hash depends on the one before it, so a topic's records stream through one task in offset
-    order; only the running hash is held, and topics run in parallel. Long topics that are cut into
-    segments with heads of their own (chain_segment) run in parallel too.
+    Each hash depends on the one before it, so the records of a (topic, part) stream through one task in
+    offset order; only the running hash is held, and partitions run in parallel. Partitions that are cut
+    into segments with heads of their own (chain_segment) run in parallel too.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        topic, last = None, b""
+        at, last = None, b""
         for batch in batches:
             out = []
-            for t, sha, uid, offset in zip(*(batch.column(c).to_pylist() for c in ("topic", "raw_sha", "uid16", "offset"))):
-                if t != topic:
-                    topic, last = t, hashlib.sha256(f"{label}{UNIT}{t}{UNIT}0".encode()).digest()
+            for t, part, sha, uid, offset in zip(*(batch.column(c).to_pylist() for c in ("topic", "part", "raw_sha", "uid16", "offset"))):
+                if (t, part) != at:
+                    at, last = (t, part), hashlib.sha256(f"{label}{UNIT}{t}{UNIT}{part}".encode()).digest()
                 last = hashlib.sha256(last + bytes.fromhex(sha) + uid + offset.to_bytes(8, "big")).digest()
                 out.append(last.hex())
-            yield pa.RecordBatch.from_arrays([batch.column("topic"), batch.column("offset"), pa.array(out, pa.string())], ["topic", "offset", "chain_hash"])
+            yield pa.RecordBatch.from_arrays([batch.column("topic"), batch.column("part"), batch.column("offset"), pa.array(out, pa.string())], ["topic", "part", "offset", "chain_hash"])
 
-    rows = records.select("topic", "offset", "raw_sha", "uid16").repartition("topic").sortWithinPartitions("topic", "offset")
-    return rows.mapInArrow(fold, "topic string, offset long, chain_hash string")
+    rows = records.select("topic", F.col("part").cast("long"), "offset", "raw_sha", "uid16").repartition("topic", "part").sortWithinPartitions("topic", "part", "offset")
+    return rows.mapInArrow(fold, "topic string, part long, offset long, chain_hash string")
+
+
+def verify_chain(records: DataFrame, recorded: DataFrame) -> DataFrame:
+    """V7: per (topic, part) whether the recomputed head is the recorded one, and the offset at which the chains part first.
+
+    recorded has the chain hash of each offset. A record that only one side has is a break as well.
+    """
+    again = hash_chain(records).withColumnRenamed("chain_hash", "again")
+    both = recorded.select("topic", "part", "offset", "chain_hash").join(again, ["topic", "part", "offset"], "full_outer")
+    same = F.col("chain_hash").eqNullSafe(F.col("again"))
+    got = both.groupBy("topic", "part").agg(F.max_by(same, "offset").alias("head_ok"), F.min(F.when(~same, F.col("offset"))).alias("first_break"), F.count_if(~same).alias("broken"))
+    return got
 
 
 def segment_digest(segments: DataFrame) -> DataFrame:
@@ -119,7 +132,7 @@ def verify_raw_hash(envelopes: DataFrame) -> DataFrame:
 
 def chain_gaps(segments: DataFrame) -> DataFrame:
     """Each segment begins with the hash at which the one before it ended, at a higher offset."""
-    w = Window.partitionBy("topic").orderBy("segment_no")
+    w = Window.partitionBy("topic", "part").orderBy("segment_no")
     return segments.withColumns({"linked": F.coalesce(F.col("prev_hash") == F.lag("last_hash").over(w), F.lit(True)), "rising": F.coalesce(F.col("first_offset") > F.lag("last_offset").over(w), F.lit(True))})
 
 
@@ -144,19 +157,76 @@ def canonical_payload(roots: DataFrame) -> DataFrame:
     return roots.withColumn("payload_sha", F.sha2(payload, 256))
 
 
+def link_roots(roots: DataFrame) -> DataFrame:
+    """V8: each window's payload hash with that of the window before it; a ledger has one row per window, few at any input size."""
+    return roots.withColumn("prev_sha", F.lag("payload_sha").over(Window.orderBy("window_start")))
+
+
+def ledger_audit(ledger: DataFrame) -> DataFrame:
+    """PASS or FAIL per check, and overall: links to the window before, order without overlap, and whether each payload is what its hash says."""
+    w = Window.orderBy("window_start")
+    again = canonical_payload(ledger.drop("payload_sha")).select("window_start", F.col("payload_sha").alias("again"))
+    rows = ledger.join(again, "window_start").withColumns({"before": F.lag("payload_sha").over(w), "end_before": F.lag("window_end").over(w)})
+    checks = {
+        "links": F.col("prev_sha").eqNullSafe(F.col("before")), "order": (F.col("window_end") > F.col("window_start")) & (F.coalesce("end_before", "window_start") <= F.col("window_start")),
+        "schema": F.coalesce((F.size("segments") == F.col("leaf_count")) & (F.col("payload_sha") == F.col("again")), F.lit(False)),
+    }
+    counted = rows.agg(*[F.count_if(~ok).alias(n) for n, ok in checks.items()])
+    long = counted.select(F.stack(F.lit(4), *[x for n in checks for x in (F.lit(n), F.col(n))], F.lit("overall"), sum(F.col(n) for n in checks)).alias("check", "failures"))
+    return long.withColumn("verdict", F.when(F.col("failures") == 0, "PASS").otherwise("FAIL"))
+
+
+STEPS = ("fetch", "readable", "raw_hash", "chain", "digest", "inclusion", "root_link")
+
+
+def verify_report(fetched: DataFrame, chains: DataFrame, segments: DataFrame, windows: DataFrame) -> DataFrame:
+    """Seven steps per event with a status; a failed step skips the later ones, and windows that aren't closed make the last two pending.
+
+    fetched: event_uid, topic, part, segment_no, offset, seen_b64 (null: not found), raw_sha. chains: V7's
+    first_break. segments: digest_ok, included, window. windows: window, link_ok, closed.
+    """
+    raw = F.try_to_binary("seen_b64", F.lit("base64"))
+    rows = fetched.join(chains.select("topic", "part", "first_break"), ["topic", "part"], "left").join(segments, ["topic", "part", "segment_no"], "left").join(windows, "window", "left")
+    flags = (
+        F.col("seen_b64").isNotNull(), raw.isNotNull(), F.sha2(raw, 256) == F.col("raw_sha"), F.coalesce(F.col("offset") < F.col("first_break"), F.lit(True)), F.col("digest_ok"),
+        F.when(F.coalesce("closed", F.lit(False)), F.col("included")), F.when(F.coalesce("closed", F.lit(False)), F.col("link_ok")),
+    )
+    judged = F.array(*[F.struct(F.lit(n).alias("step"), F.when(F.coalesce(ok, F.lit(False)), "ok").when(ok.isNull() & F.lit(n in STEPS[5:]), "pending_seal").otherwise("failed").alias("status")) for n, ok in zip(STEPS, flags)])
+    rows = rows.select("event_uid", judged.alias("steps"))
+    failed = F.array_position(F.transform("steps", lambda x: x["status"]), F.lit("failed"))
+    rows = rows.withColumn("at", F.when(failed > 0, failed).otherwise(len(STEPS) + 1))
+    out = F.transform("steps", lambda x, i: F.struct(x["step"].alias("step"), F.when(i + 1 > F.col("at"), "skipped").otherwise(x["status"]).alias("status"), F.when(i + 1 > F.col("at"), F.concat(F.lit("after "), F.get("steps", (F.col("at") - 1).cast("int"))["step"])).alias("detail")))
+    return rows.select("event_uid", F.inline(out))
+
+
+def tamper_matrix(records: DataFrame, segments: DataFrame, seen_segments: DataFrame, windows: DataFrame) -> DataFrame:
+    """V13 by kind: findings of find_tampering, segments that are gone, digests not under their root, and broken links between windows."""
+    key = ["topic", "part", "segment_no"]
+    name = F.concat_ws("-", *key)
+    gone = segments.join(seen_segments.select(*key), key, "left_anti").select(name.alias("subject"), F.lit("segment_missing").alias("finding"))
+    under = seen_segments.where("not included").select(name.alias("subject"), F.lit("digest_not_under_root").alias("finding"))
+    broken = windows.where("not link_ok").select(F.col("window").cast("string").alias("subject"), F.lit("link_broken").alias("finding"))
+    return records.select(F.col("event_uid").alias("subject"), "finding").unionByName(gone).unionByName(under).unionByName(broken)
+
+
 def records(s: SparkSession, d: str) -> DataFrame:
-    return log_view(s, d).select("event_uid", "event_id", F.col("source_id").alias("topic"), F.col("event_id").alias("offset"), F.floor(F.col("event_id") / 1000).cast("long").alias("segment_no"), F.sha2("line", 256).alias("raw_sha"), F.unhex(F.md5("event_uid")).alias("uid16"), "received_time")
+    return log_view(s, d).select("event_uid", "event_id", F.col("source_id").alias("topic"), F.expr("user_id % 3").cast("long").alias("part"), F.col("event_id").alias("offset"), F.floor(F.col("event_id") / 1000).cast("long").alias("segment_no"), "line", F.sha2("line", 256).alias("raw_sha"), F.unhex(F.md5("event_uid")).alias("uid16"), "received_time")
+
+
+def blobs(records: DataFrame) -> DataFrame:
+    """Per segment its number of records, offsets, sealing time and blob hash; a segment holds at most 1000 records."""
+    return records.groupBy("topic", "part", "segment_no").agg(
+        F.count("*").alias("n"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"), F.max("received_time").cast("timestamp").alias("sealed_at"),
+        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", "raw_sha"))), lambda r: r["raw_sha"]), ""), 256).alias("blob_sha"),
+    )
 
 
 def chained(s: SparkSession, d: str) -> DataFrame:
     """Segments of the log view with the chain hashes at which they begin and end."""
-    rows = records(s, d).join(hash_chain(records(s, d)), ["topic", "offset"])
-    ends = rows.groupBy("topic", "segment_no").agg(
-        F.count("*").alias("n"), F.max_by("chain_hash", "offset").alias("last_hash"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"),
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", "raw_sha"))), lambda r: r["raw_sha"]), ""), 256).alias("blob_sha"),
-    )  # a segment holds at most 1000 records
-    before = F.coalesce(F.lag("last_hash").over(Window.partitionBy("topic").orderBy("segment_no")), genesis(F.col("topic"), F.lit(0)))
-    return ends.withColumns({"prev_hash": before, "segment_id": F.concat("topic", F.lit("-"), "segment_no")})
+    rows = records(s, d).select("topic", "part", "offset", "segment_no").join(hash_chain(records(s, d)), ["topic", "part", "offset"])
+    ends = blobs(records(s, d)).join(rows.groupBy("topic", "part", "segment_no").agg(F.max_by("chain_hash", "offset").alias("last_hash")), ["topic", "part", "segment_no"])
+    before = F.coalesce(F.lag("last_hash").over(Window.partitionBy("topic", "part").orderBy("segment_no")), genesis(F.col("topic"), F.col("part")))
+    return ends.withColumns({"prev_hash": before, "segment_id": F.concat_ws("-", "topic", "part", "segment_no")})
 
 
 def heads(s: SparkSession, d: str) -> DataFrame:
@@ -193,13 +263,55 @@ def _included(s: SparkSession, d: str) -> DataFrame:
     return verify_inclusion(bad, inclusion_proofs(leaves, most), merkle_roots(leaves, most)).groupBy("included").agg(F.count("*").alias("n"))
 
 
-def verify_report(s: SparkSession, d: str) -> DataFrame:
-    """Steps of the verification of every event, one row per step; a failed step fails the later ones."""
-    seen = records(s, d).withColumn("seen_sha", F.when(F.col("event_id") % 501 == 0, F.sha2(F.col("raw_sha"), 256)).when(F.col("event_id") % 777 == 5, F.lit(None)).otherwise(F.col("raw_sha")))
-    bad = F.max(F.when(~F.col("seen_sha").eqNullSafe(F.col("raw_sha")), 1).otherwise(0)).over(Window.partitionBy("topic", "segment_no")) == 1
-    flags = seen.withColumns({"fetch": F.col("seen_sha").isNotNull(), "raw_hash": F.coalesce(F.col("seen_sha") == F.col("raw_sha"), F.lit(False)), "chain": ~bad})
-    flags = flags.withColumn("chain", F.col("raw_hash") & F.col("chain"))
-    return flags.select("event_uid", F.stack(F.lit(3), F.lit("fetch"), "fetch", F.lit("raw_hash"), "raw_hash", F.lit("chain"), "chain").alias("step", "ok"))
+_SEEN = "case when event_id % 777 = 5 then null when event_id % 613 = 7 then '!!' when event_id % 501 = 0 then base64(cast('x' as binary)) else base64(cast(line as binary)) end as seen_b64"
+CLOSED = "2024-01-28 00:00:00"
+
+
+def _observed(s: SparkSession, d: str) -> DataFrame:
+    """The records as the store gives them back: some gone, some unreadable, some changed."""
+    return records(s, d).selectExpr("*", _SEEN)
+
+
+def _as_seen(s: SparkSession, d: str) -> DataFrame:
+    return _observed(s, d).withColumn("raw_sha", F.coalesce(F.sha2(F.try_to_binary("seen_b64", F.lit("base64")), 256), F.sha2(F.lit(""), 256)))
+
+
+def _ledger(s: SparkSession, d: str) -> DataFrame:
+    """Daily windows of sealed segments, linked; some links and some counts are forged."""
+    seg = blobs(records(s, d)).withColumn("segment_id", F.concat_ws("-", "topic", "part", "segment_no"))
+    day = F.floor(F.col("window_start") / 86400)
+    linked = link_roots(canonical_payload(root_windows(seg, 86400)))
+    return linked.withColumns({"prev_sha": F.when(day % 11 == 3, "forged").otherwise(F.col("prev_sha")), "leaf_count": F.when(day % 7 == 2, F.col("leaf_count") + 1).otherwise(F.col("leaf_count"))})
+
+
+def _judged(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(segments, windows) for the report: recomputed digests, inclusion under the day's recorded root (some forged), links."""
+    key = ["topic", "part", "segment_no"]
+    kept = stored(segment_digest(chained(s, d)), "digests")
+    again = segment_digest(kept.drop("blob_sha", "digest").join(blobs(_as_seen(s, d)).select(*key, "blob_sha"), key)).select(*key, F.col("digest").alias("again"))
+    day = F.floor(F.unix_seconds("sealed_at") / 86400)
+    idx = F.row_number().over(Window.partitionBy("window").orderBy("segment_id")) - 1
+    leaves = kept.join(again, key).withColumn("window", day).withColumn("idx", idx.cast("long")).select(*key, "window", "idx", "digest", "again", "sealed_at")
+    leaves = stored(leaves, "leaves")
+    most = _most(leaves)
+    own = leaves.select("window", "idx", F.col("digest").alias("leaf"))
+    roots = merkle_roots(own, most).withColumn("root", F.when(F.col("window") % 7 == 2, F.sha2("root", 256)).otherwise(F.col("root")))
+    under = verify_inclusion(leaves.select("window", "idx", F.col("again").alias("leaf")), inclusion_proofs(own, most), roots)
+    segments = leaves.join(under, ["window", "idx"]).select(*key, "window", (F.col("digest") == F.col("again")).alias("digest_ok"), "included")
+    w = Window.orderBy("window_start")
+    link = F.col("prev_sha").eqNullSafe(F.lag("payload_sha").over(w))
+    windows = _ledger(s, d).select(F.floor(F.col("window_start") / 86400).alias("window"), link.alias("link_ok"), (F.col("window_end") <= F.unix_seconds(F.lit(CLOSED).cast("timestamp"))).alias("closed"))
+    return segments, windows
+
+
+def _report(s: SparkSession, d: str) -> DataFrame:
+    return verify_report(_observed(s, d), verify_chain(_as_seen(s, d), hash_chain(records(s, d))), *_judged(s, d))
+
+
+def _matrix(s: SparkSession, d: str) -> DataFrame:
+    segments, windows = _judged(s, d)
+    changed = find_tampering(records(s, d), _as_seen(s, d).where("seen_b64 is not null"))
+    return tamper_matrix(changed, segments, segments.where("segment_no % 9 <> 4"), windows)
 
 
 def _windows(s: SparkSession, d: str) -> DataFrame:
@@ -210,50 +322,61 @@ def _windows(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "hash_chain": lambda s, d: chained(s, d).select("segment_id", "n", "prev_hash", "last_hash"),
     "segment_heads": lambda s, d: heads(s, d).select("topic", "segment_no", "n", "head"),
-    "verify_chain": lambda s, d: heads(s, d).select("topic", "segment_no", F.posexplode("hashes").alias("i", "h")).groupBy("topic").agg(F.count_distinct("h").alias("hashes"), F.count("*").alias("n")),
-    "chain_gaps": lambda s, d: chain_gaps(chained(s, d)).groupBy("topic").agg(F.bool_and("linked").alias("linked"), F.bool_and("rising").alias("rising"), F.count("*").alias("segments")),
+    "verify_chain": lambda s, d: verify_chain(_as_seen(s, d), hash_chain(records(s, d))),
+    "chain_gaps": lambda s, d: chain_gaps(chained(s, d)).groupBy("topic", "part").agg(F.bool_and("linked").alias("linked"), F.bool_and("rising").alias("rising"), F.count("*").alias("segments")),
     "segment_digest": lambda s, d: segment_digest(chained(s, d)).select("segment_id", "digest"),
     "merkle_roots": _merkle,
     "inclusion_proofs": _proofs,
     "verify_inclusion": _included,
     "verify_raw_hash": lambda s, d: verify_raw_hash(log_view(s, d).selectExpr("event_uid", "base64(cast(line as binary)) as raw_b64", "case when event_id % 501 = 0 then sha2('x', 256) else sha2(line, 256) end as raw_sha256")).groupBy("ok").agg(F.count("*").alias("n")),
-    "segment_manifest": lambda s, d: records(s, d).where("segment_no = 2").orderBy("offset").select("topic", "offset", "event_uid", "raw_sha"),
+    "segment_manifest": lambda s, d: records(s, d).join(blobs(records(s, d)).select("topic", "part", "segment_no", "n", "first_offset", "last_offset"), ["topic", "part", "segment_no"]).select("topic", "part", "segment_no", "n", "first_offset", "last_offset", "offset", "event_uid", "raw_sha"),
     "find_tampering": lambda s, d: find_tampering(records(s, d).where("event_id % 400 <> 7"), records(s, d).where("event_id % 300 <> 11").withColumn("raw_sha", F.when(F.col("event_id") % 501 == 0, "changed").otherwise(F.col("raw_sha")))),
-    "verify_report": verify_report,
+    "verify_report": _report,
+    "tamper_matrix": _matrix,
     "window_roots": lambda s, d: _windows(s, d).withColumn("segments", F.array_join("segments", ",")),
-    "ledger_audit": lambda s, d: canonical_payload(root_windows(log_view(s, d).groupBy("segment_no").agg(F.max("received_time").cast("timestamp").alias("sealed_at")).withColumn("segment_id", F.concat(F.lit("seg"), "segment_no")), 86400)).agg(F.count("*").alias("roots"), F.sum("leaf_count").alias("leaves"), F.bool_and(F.col("window_end") - F.col("window_start") == 86400).alias("pass_schema")),
+    "ledger_audit": lambda s, d: ledger_audit(_ledger(s, d)),
 }
 
-_REC = f"{LOG}, rec as (select *, source_id as topic, sha256(line) as raw_sha, unhex(md5(event_uid)) as uid16, unhex(lpad(to_hex(event_id), 16, '0')) as off8 from log)"
 _HEADS = f"""with recursive log as (select * from (select * from ({LOG[len('with log as ('):-1]})) t), rec as (select source_id as topic, segment_no, event_id, unhex(sha256(line)) || unhex(md5(event_uid)) || unhex(lpad(to_hex(event_id), 16, '0')) as item,
  row_number() over (partition by source_id, segment_no order by event_id) as n from log),
  f as (select topic, segment_no, 0::bigint as n, sha256(concat('{GENESIS}', chr(31), topic, chr(31), segment_no)) as h from (select distinct topic, segment_no from rec)
  union all select f.topic, f.segment_no, f.n + 1, sha256(unhex(f.h) || r.item) from f join rec r on r.topic = f.topic and r.segment_no = f.segment_no and r.n = f.n + 1)"""
 _LEAF = f"{LOG}, l as (select strftime(received_time, '%Y-%m-%d %H') as w, row_number() over (partition by strftime(received_time, '%Y-%m-%d %H') order by event_id) - 1 as idx, sha256(line) as leaf from log)"
 _UP = "select w, idx // 2 as idx, case when count(*) = 2 then sha256(unhex('01') || unhex(arg_min(h, idx)) || unhex(arg_max(h, idx))) else min(h) end as h from {0} group by w, idx // 2"
-_CHAIN = f"""with recursive log as (select * from (select * from ({LOG[len('with log as ('):-1]})) t), rec as (select source_id as topic, segment_no, event_id, sha256(line) as raw, unhex(sha256(line)) || unhex(md5(event_uid)) || unhex(lpad(to_hex(event_id), 16, '0')) as item,
- row_number() over (partition by source_id order by event_id) as n from log),
- f as (select topic, 0::bigint as n, sha256(concat('{GENESIS}', chr(31), topic, chr(31), 0)) as h from (select distinct topic from rec)
- union all select f.topic, f.n + 1, sha256(unhex(f.h) || r.item) from f join rec r on r.topic = f.topic and r.n = f.n + 1),
- seg as (select r.topic, segment_no, count(*) as n, arg_max(f.h, event_id) as last_hash, sha256(string_agg(raw, '' order by event_id)) as blob from rec r join f on f.topic = r.topic and f.n = r.n group by 1, 2),
- seg2 as (select *, concat(topic, '-', segment_no) as segment_id, coalesce(lag(last_hash) over (partition by topic order by segment_no), sha256(concat('{GENESIS}', chr(31), topic, chr(31), 0))) as prev_hash from seg)"""
+_CHAIN = f"""with recursive log as (select * from (select * from ({LOG[len('with log as ('):-1]})) t), rec as (select source_id as topic, user_id % 3 as part, segment_no, event_id, sha256(line) as raw, unhex(sha256(line)) || unhex(md5(event_uid)) || unhex(lpad(to_hex(event_id), 16, '0')) as item,
+ row_number() over (partition by source_id, user_id % 3 order by event_id) as n from log),
+ f as (select topic, part, 0::bigint as n, sha256(concat('{GENESIS}', chr(31), topic, chr(31), part)) as h from (select distinct topic, part from rec)
+ union all select f.topic, f.part, f.n + 1, sha256(unhex(f.h) || r.item) from f join rec r on r.topic = f.topic and r.part = f.part and r.n = f.n + 1),
+ seg as (select r.topic, r.part, segment_no, count(*) as n, arg_max(f.h, event_id) as last_hash, sha256(string_agg(raw, '' order by event_id)) as blob from rec r join f on f.topic = r.topic and f.part = r.part and f.n = r.n group by 1, 2, 3),
+ seg2 as (select *, concat(topic, '-', part, '-', segment_no) as segment_id, coalesce(lag(last_hash) over (partition by topic, part order by segment_no), sha256(concat('{GENESIS}', chr(31), topic, chr(31), part))) as prev_hash from seg)"""
+_SEG = f"""{LOG}, r as (select *, source_id as topic, user_id % 3 as part, event_id % 777 <> 5 as f, event_id % 613 <> 7 as re, event_id % 501 <> 0 as h from log),
+ brk as (select topic, part, min(event_id) filter (not (f and re and h)) as first_break, max(event_id) as last_offset, count(*) as n from r group by 1, 2),
+ seg as (select topic, part, segment_no, bool_and(f and re and h) as digest_ok, max(received_time) as sealed_at from r group by 1, 2, 3),
+ seg2 as (select *, epoch(date_trunc('day', sealed_at))::bigint // 86400 as "window", digest_ok and (epoch(date_trunc('day', sealed_at))::bigint // 86400) % 7 <> 2 as included from seg),
+ win as (select distinct "window", "window" % 11 <> 3 as link_ok, ("window" + 1) * 86400 <= epoch(timestamp '2024-01-28')::bigint as closed from seg2)"""
 ORACLES = {
     "hash_chain": f"{_CHAIN} select segment_id, n, prev_hash, last_hash from seg2",
     "segment_digest": f"{_CHAIN} select segment_id, sha256(concat('{SEGMENT}', chr(31), segment_id, chr(31))::blob || unhex(prev_hash) || unhex(last_hash) || unhex(lpad(to_hex(n), 16, '0')) || unhex(blob)) as digest from seg2",
     "segment_heads": f"{_HEADS} select topic, segment_no, max(n) as n, arg_max(h, n) as head from f group by 1, 2",
-    "verify_chain": f"{_HEADS} select topic, count(distinct h) as hashes, count(*) as n from f where n > 0 group by 1",
+    "verify_chain": f"{_SEG} select r.topic, r.part, max(first_break) is null as head_ok, max(first_break) as first_break, count(*) filter (event_id >= first_break) as broken from r join brk on r.topic = brk.topic and r.part = brk.part group by 1, 2",
     "merkle_roots": f"{_LEAF}, l0 as (select w, idx, sha256(unhex('00') || unhex(leaf)) as h from l), " + ", ".join(f"l{i + 1} as ({_UP.format(f'l{i}')})" for i in range(10)) + ' select w as "window", h as root from l10',
     "verify_inclusion": f"{_LEAF} select idx <> 3 as included, count(*) as n from l group by 1",
     "verify_raw_hash": f"{LOG} select event_id % 501 <> 0 as ok, count(*) as n from log group by 1",
-    "segment_manifest": f"""{LOG} select source_id as topic, event_id as "offset", event_uid, sha256(line) as raw_sha from log where segment_no = 2""",
+    "segment_manifest": f"""{LOG} select source_id as topic, user_id % 3 as part, segment_no, count(*) over w as n, min(event_id) over w as first_offset, max(event_id) over w as last_offset, event_id as "offset", event_uid, sha256(line) as raw_sha from log window w as (partition by source_id, user_id % 3, segment_no)""",
     "find_tampering": f"""{LOG}, x as (select event_uid, case when event_id % 300 = 11 and event_id % 400 = 7 then null when event_id % 300 = 11 then 'missing' when event_id % 400 = 7 then 'added' when event_id % 501 = 0 then 'bytes_changed' end as finding from log) select * from x where finding is not null""",
-    "verify_report": f"""{LOG}, a as (select *, event_id % 777 <> 5 or event_id % 501 = 0 as f, event_id % 501 <> 0 and event_id % 777 <> 5 as r from log),
- b as (select *, r and bool_and(r) over (partition by source_id, segment_no) as c from a)
- select event_uid, 'fetch' as step, f as ok from b union all select event_uid, 'raw_hash', r from b union all select event_uid, 'chain', c from b""",
+    "verify_report": f"""{_SEG}, e as (select event_uid, f, re, h, coalesce(event_id < first_break, true) as c, digest_ok, included, link_ok, closed from r join brk on r.topic = brk.topic and r.part = brk.part join seg2 on seg2.topic = r.topic and seg2.part = r.part and seg2.segment_no = r.segment_no join win on win."window" = seg2."window"),
+ a as (select event_uid, closed, case when not f then 1 when not re then 2 when not h then 3 when not c then 4 when not digest_ok then 5 when closed and not included then 6 when closed and not link_ok then 7 else 8 end as bad from e),
+ n(i, step) as (values (1, 'fetch'), (2, 'readable'), (3, 'raw_hash'), (4, 'chain'), (5, 'digest'), (6, 'inclusion'), (7, 'root_link'))
+ select event_uid, n.step, case when n.i > bad then 'skipped' when n.i = bad then 'failed' when n.i >= 6 and not closed then 'pending_seal' else 'ok' end as status, case when n.i > bad then concat('after ', m.step) end as detail from a cross join n left join n m on m.i = bad""",
+    "tamper_matrix": f"""{_SEG} select event_uid as subject, 'missing' as finding from r where not f union all select event_uid, 'bytes_changed' from r where f and not (re and h)
+ union all select concat(topic, '-', part, '-', segment_no), 'segment_missing' from seg2 where segment_no % 9 = 4 union all select concat(topic, '-', part, '-', segment_no), 'digest_not_under_root' from seg2 where segment_no % 9 <> 4 and not included
+ union all select "window"::varchar, 'link_broken' from win where not link_ok""",
     "window_roots": f"""{LOG}, s as (select segment_no, max(received_time) as sealed, concat('seg', segment_no) as id from log group by segment_no),
  w as (select (epoch(date_trunc('second', sealed))::bigint // 604800) * 604800 as window_start, count(*) as leaf_count, string_agg(id, ',' order by sealed, id) as segments, string_agg('"' || id || '"', ',' order by sealed, id) as quoted from s group by 1)
  select window_start, window_start + 604800 as window_end, leaf_count, segments, sha256(concat('{{"leaf_count":', leaf_count, ',"segments":[', quoted, '],"window_end":', window_start + 604800, ',"window_start":', window_start, '}}')) as payload_sha
  from w where window_start + 604800 <= epoch(timestamp '2024-01-29')::bigint""",
-    "ledger_audit": f"""{LOG}, s as (select segment_no, max(received_time) as sealed from log group by 1) select count(distinct date_trunc('day', sealed)) as roots, count(*) as leaves, true as pass_schema from s""",
-    "chain_gaps": f"{LOG} select source_id as topic, true as linked, true as rising, count(distinct segment_no) as segments from log group by 1",
+    "ledger_audit": f"""{_SEG}, c as (select count(*) filter (not link_ok) as links, count(*) filter ("window" % 7 = 2) as forged from win)
+ select 'links' as "check", links as failures, case when links = 0 then 'PASS' else 'FAIL' end as verdict from c union all select 'order', 0, 'PASS' from c union all select 'schema', forged, case when forged = 0 then 'PASS' else 'FAIL' end from c
+ union all select 'overall', links + forged, case when links + forged = 0 then 'PASS' else 'FAIL' end from c""",
+    "chain_gaps": f"{LOG} select source_id as topic, user_id % 3 as part, true as linked, true as rising, count(distinct segment_no) as segments from log group by 1, 2",
 }

@@ -91,14 +91,24 @@ def explode_push_batches(bodies: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Size and hash of every uploaded file's exact bytes."""
+    """Size, hash and number of lines of every uploaded file's exact bytes."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.lit("post_hoc").alias("custody"))
+    ends = F.octet_length("content") - F.octet_length(F.replace(F.col("content").cast("string"), F.lit("\n"), F.lit("")))
+    return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), ends.cast("long").alias("events"), F.lit("post_hoc").alias("custody"))
+
+
+def load_dimension(spark: SparkSession, path: str, kind: str, schema: str | None = None) -> DataFrame:
+    """A lookup table from CSV files with a header, or from JSON lines or documents. Rows that don't fit the schema fail the load."""
+    if kind not in ("csv", "json"):
+        raise ValueError(f"a dimension is csv or json, not {kind}")
+    reader = spark.read.option("mode", "FAILFAST")
+    reader = reader.schema(schema) if schema else reader
+    return reader.option("header", True).csv(path) if kind == "csv" else reader.option("multiLine", False).json(path)
 
 
 def fetch_raw(refs: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(found, missing) envelopes by topic and offset."""
-    at = ["topic", "offset"]
+    """(found, missing) envelopes by topic, partition and offset."""
+    at = ["topic", "partition", "offset"]
     return refs.join(raw, at), refs.join(raw.select(*at), at, "left_anti")
 
 
@@ -169,9 +179,20 @@ def envelopes(s: SparkSession, d: str) -> DataFrame:
 
 
 def _files(s: SparkSession, d: str) -> DataFrame:
+    """Uploads of at most 1,000 lines; how many files a part has follows from how it is written, their sums don't."""
     path = shared_path(s, "uploads")
-    table(s, d, "pages").select(F.concat(F.lit("p"), F.col("page_id") % 7).alias("part"), F.col("html").alias("value")).repartition(1).sortWithinPartitions("part").write.partitionBy("part").text(path)
-    return file_manifest(s, f"{path}/*/*.txt").select("bytes", "custody")
+    lines = F.replace(F.col("html"), F.lit("\n"), F.lit(" "))
+    table(s, d, "pages").select(F.concat(F.lit("p"), F.col("page_id") % 7).alias("part"), lines.alias("value")).write.partitionBy("part").option("maxRecordsPerFile", 1000).text(path)
+    found = file_manifest(s, f"{path}/*/*.txt").withColumn("part", F.regexp_extract("path", "part=([^/]+)", 1))
+    return found.groupBy("part", "custody").agg(F.sum("bytes").alias("bytes"), F.sum("events").alias("events"), F.bool_and(F.length("sha256") == 64).alias("hashed"))
+
+
+def _dimension(s: SparkSession, d: str) -> DataFrame:
+    path = shared_path(s, "dimensions")
+    table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey").write.option("header", True).csv(f"{path}/nation")
+    table(s, d, "region").select("r_regionkey", "r_name").write.json(f"{path}/region")
+    nations = load_dimension(s, f"{path}/nation", "csv", "n_nationkey int, n_name string, n_regionkey int")
+    return nations.join(load_dimension(s, f"{path}/region", "json", "r_regionkey int, r_name string"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
 
 
 def _norm(s: SparkSession, d: str) -> DataFrame:
@@ -212,13 +233,13 @@ QUERIES = {
     "parse_envelope": lambda s, d: parse_envelope(envelopes(s, d))[0].select("event_uid", "raw_len", "framing.parts", "replay.revision"),
     "parse_envelope_rejects": lambda s, d: parse_envelope(envelopes(s, d))[1].groupBy("reason_code", "tier").agg(F.count("*").alias("n")),
     "current_state": lambda s, d: current_state(log_view(s, d).selectExpr("user_id", "event_id", "case when value < 5 then null else value end as payload"), "user_id", "event_id", "payload"),
-    "load_dimension": lambda s, d: table(s, d, "nation").join(F.broadcast(table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name"),
+    "load_dimension": _dimension,
     "stamp": lambda s, d: stamp(log_view(s, d), "line", 60).select("event_uid", "raw_sha256", "raw_len", "truncated"),
     "size_cap": lambda s, d: size_cap(log_view(s, d), "line", 33).select("event_uid", F.sha2("parse_bytes", 256).alias("sha"), F.octet_length("line").alias("full")),
     "explode_push_batches": lambda s, d: explode_push_batches(log_view(s, d).selectExpr("event_id", "concat(props, case when event_id % 5 = 0 then ' ' else '' end, '{\"b\": 1, \"a\": \"x\"}', case when event_id % 13 = 0 then '{oops' else '' end) as body"), "event_id", "body"),
     "file_manifest": _files,
-    "fetch_raw": lambda s, d: fetch_raw(log_view(s, d).selectExpr("source_id as topic", "event_id * 2 as offset", "event_uid as ref"), log_view(s, d).selectExpr("source_id as topic", "event_id as offset", "line"))[0].select("ref", F.sha2("line", 256).alias("sha")),
-    "fetch_raw_missing": lambda s, d: fetch_raw(log_view(s, d).selectExpr("source_id as topic", "event_id * 2 as offset", "event_uid as ref"), log_view(s, d).selectExpr("source_id as topic", "event_id as offset", "line"))[1].select("ref"),
+    "fetch_raw": lambda s, d: fetch_raw(log_view(s, d).selectExpr("source_id as topic", "cast(event_id * 2 % 4 as int) as partition", "event_id * 2 as offset", "event_uid as ref"), log_view(s, d).selectExpr("source_id as topic", "cast(event_id % 4 as int) as partition", "event_id as offset", "line"))[0].select("ref", F.sha2("line", 256).alias("sha")),
+    "fetch_raw_missing": lambda s, d: fetch_raw(log_view(s, d).selectExpr("source_id as topic", "cast(event_id * 2 % 4 as int) as partition", "event_id * 2 as offset", "event_uid as ref"), log_view(s, d).selectExpr("source_id as topic", "cast(event_id % 4 as int) as partition", "event_id as offset", "line"))[1].select("ref"),
     "validate_rows": lambda s, d: validate_rows(stamp(log_view(s, d), "line"), _SPEC)[1].select("event_uid", F.array_join("reasons", ",").alias("reasons")),
     "retain": lambda s, d: retain(log_view(s, d), "received_time", "2024-01-30 00:00:00", 9).groupBy("source_id").agg(F.count("*").alias("n")),
     "raw_index": lambda s, d: raw_index(parse_envelope(envelopes(s, d))[0]),
@@ -241,7 +262,7 @@ ORACLES = {
     "size_cap": f"{LOG} select event_uid, sha256(line[1:33]) as sha, strlen(line)::int as \"full\" from log",
     "explode_push_batches": f"""{LOG}, x as (select event_id, 0::int as n, replace(props, ': ', ':') as event, null::varchar as reject from log union all select event_id, 1, '{{"a":"x","b":1}}', null from log
  union all select event_id, 2, null, 'malformed' from log where event_id % 13 = 0) select * from x""",
-    "file_manifest": "select (sum(strlen(coalesce(html, ''))) + count(*))::bigint as bytes, 'post_hoc' as custody from pages group by page_id % 7",
+    "file_manifest": "select concat('p', page_id % 7) as part, (sum(strlen(coalesce(html, ''))) + count(*))::bigint as bytes, count(*) as events, true as hashed, 'post_hoc' as custody from pages group by 1",
     "fetch_raw": f"{LOG} select a.event_uid as ref, sha256(b.line) as sha from log a join log b on a.source_id = b.source_id and b.event_id = a.event_id * 2",
     "fetch_raw_missing": f"{LOG} select a.event_uid as ref from log a where not exists (select 1 from log b where a.source_id = b.source_id and b.event_id = a.event_id * 2)",
     "validate_rows": f"{LOG} select event_uid, {_REASONS} as reasons from log where {_REASONS} <> ''",

@@ -48,14 +48,19 @@ def test_merkle_roots_and_proofs(spark):
 
 def test_hash_chain(spark):
     rng = random.Random(1)
-    rows = [(t, o, hashlib.sha256(f"{t}{o}".encode()).hexdigest(), bytes(rng.randrange(256) for _ in range(16))) for t in "ab" for o in range(20)]
+    rows = [(t, p, o, hashlib.sha256(f"{t}{p}{o}".encode()).hexdigest(), bytes(rng.randrange(256) for _ in range(16))) for t in "ab" for p in (0, 1) for o in range(20)]
     rng.shuffle(rows)
-    got = {(r.topic, r.offset): r.chain_hash for r in evidence.hash_chain(spark.createDataFrame(rows, "topic string, offset long, raw_sha string, uid16 binary")).collect()}
-    for t in "ab":
-        last = hashlib.sha256(f"{evidence.GENESIS}\x1f{t}\x1f0".encode()).digest()
-        for _, o, sha, uid in sorted(r for r in rows if r[0] == t):
+    kinds = "topic string, part long, offset long, raw_sha string, uid16 binary"
+    chains = evidence.hash_chain(spark.createDataFrame(rows, kinds))
+    got = {(r.topic, r.part, r.offset): r.chain_hash for r in chains.collect()}
+    for t, p in {r[:2] for r in rows}:
+        last = hashlib.sha256(f"{evidence.GENESIS}\x1f{t}\x1f{p}".encode()).digest()
+        for _, _, o, sha, uid in sorted(r for r in rows if r[:2] == (t, p)):
             last = hashlib.sha256(last + bytes.fromhex(sha) + uid + o.to_bytes(8, "big")).digest()
-            assert got[t, o] == last.hex()
+            assert got[t, p, o] == last.hex()
+    forged = [(t, p, o, "00" * 32 if (t, p, o) == ("a", 1, 7) else sha, uid) for t, p, o, sha, uid in rows if (t, p, o) != ("b", 0, 19)]
+    checked = {(r.topic, r.part): (r.head_ok, r.first_break, r.broken) for r in evidence.verify_chain(spark.createDataFrame(forged, kinds), chains).collect()}
+    assert checked == {("a", 0): (True, None, 0), ("a", 1): (False, 7, 13), ("b", 0): (False, 19, 1), ("b", 1): (True, None, 0)}
 
 
 @pytest.mark.parametrize("key", [b"k", b"x" * 100])
