@@ -355,10 +355,26 @@ def siem_rules(events: DataFrame) -> DataFrame:
     return events.withColumn("rule_id", rule).withColumn("level", level)
 
 
-def decode_lines(rows: DataFrame, raw: str) -> DataFrame:
-    """Strict UTF-8, else the replacement form with a flag."""
+def decode_lines(rows: DataFrame, raw: str, codecs: tuple[str, ...] = ()) -> DataFrame:
+    """Encoding, decoded, confidence, invalid_bytes and lossy: strict UTF-8, else the first codec whose text encodes to the same bytes, else replacement characters.
+
+    Codecs are names that Spark can decode without failing on any bytes, such as ISO-8859-1.
+    """
     text = F.col(raw).cast("string")
-    return rows.withColumns({"encoding": F.when(F.is_valid_utf8(text), "utf-8").otherwise("lossy"), "decoded": F.make_valid_utf8(text)})
+    good = F.is_valid_utf8(text)
+    name, value = F.lit("lossy"), F.make_valid_utf8(text)
+    for codec in reversed(codecs):
+        same = F.encode(F.decode(F.col(raw), codec), codec) == F.col(raw)
+        name, value = F.when(same, codec.lower()).otherwise(name), F.when(same, F.decode(F.col(raw), codec)).otherwise(value)
+    made = rows.withColumns({"encoding": F.when(good, "utf-8").otherwise(name), "decoded": F.when(good, text).otherwise(value)})
+    lossy = F.col("encoding") == "lossy"
+    marks = F.length("decoded") - F.length(F.replace("decoded", F.lit("\ufffd"), F.lit("")))
+    return made.withColumns({"lossy": lossy, "invalid_bytes": F.when(lossy, marks).otherwise(0), "confidence": F.when(F.col("encoding") == "utf-8", 1.0).when(lossy, 0.0).otherwise(0.5)})
+
+
+def encoding_census(decoded: DataFrame, source: str) -> DataFrame:
+    """How each source's lines are encoded."""
+    return decoded.groupBy(source, "encoding").agg(F.count("*").alias("n"), F.sum("invalid_bytes").alias("invalid_bytes"))
 
 
 def byte_spans(rows: DataFrame, text: str, value: str) -> DataFrame:
@@ -452,7 +468,8 @@ QUERIES = {
     "pii_census": lambda s, d: table(s, d, "documents").groupBy("source").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"), F.lit(0)))).alias("ips"), F.sum(F.size(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0)))).alias("emails")),
     "mask_route": lambda s, d: mask_route(log_view(s, d).selectExpr("event_uid", "concat('user', user_id) as who", "concat('n', user_id, '@x.org') as mail", "cast(event_id % 7 as string) as code", "concat('login of user', user_id, ' n', user_id, '@x.org as user', user_id, ' code ', event_id % 7) as msg"), b"route-key", {"mail": "redact", "who": "hmac", "code": "redact"}, "msg").select("event_uid", "who", "mail", "code", "msg"),
     "siem_rules": lambda s, d: siem_rules(log_view(s, d)).select("event_uid", "rule_id", "level"),
-    "decode_lines": lambda s, d: decode_lines(table(s, d, "documents").select("doc_id", F.expr("case when doc_id % 10 = 3 then concat(cast(text as binary), unhex('FF')) else cast(text as binary) end").alias("raw")), "raw").select("doc_id", "encoding", F.length("decoded").alias("chars")),
+    "decode_lines": lambda s, d: decode_lines(table(s, d, "documents").select("doc_id", F.expr("case when doc_id % 10 = 3 then concat(cast(text as binary), unhex('FF')) else cast(text as binary) end").alias("raw")), "raw").select("doc_id", "encoding", "lossy", "confidence", "invalid_bytes", F.length("decoded").alias("chars")),
+    "encoding_census": lambda s, d: encoding_census(decode_lines(table(s, d, "documents").select("source", F.expr("case when doc_id % 10 = 3 then unhex('E9FF') else cast('x' as binary) end").alias("raw")), "raw", ("ISO-8859-1",)), "source"),
     "byte_spans": lambda s, d: byte_spans(table(s, d, "documents").select("doc_id", "text", F.lit("ion").alias("needle")), "text", "needle").select("doc_id", "start", "end"),
     "provenance_check": lambda s, d: provenance_check(byte_spans(log_view(s, d).selectExpr("event_uid", "event_id", "line", "regexp_extract(line, 'from ([0-9.]+)', 1) as value"), "line", "value").withColumn("value", F.expr("case when event_id % 23 = 0 then concat(value, 'x') else value end"))).groupBy("ok").agg(F.count("*").alias("n")),
     "required_coverage": lambda s, d: required_coverage(mapped(s, d), ("user_name", "src_ip", "status_id")),
@@ -501,7 +518,8 @@ ORACLES = {
     "pii_census": r"""select source, sum(len(regexp_extract_all(text, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}')))::bigint as ips, sum(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+')))::bigint as emails from documents group by 1""",
     "siem_rules": f"""{LOG}, r as (select event_uid, (case when tier = 4 then 100104 when tier = 3 then 100103 when class_uid = 3002 and candidate_tier = 2 then 100110 when event_id % 9 = 0 then 100120 else 100100 end)::int as rule_id from log)
  select event_uid, rule_id, (case rule_id when 100104 then 7 when 100103 then 5 when 100110 then 5 when 100120 then 4 else 3 end)::int as level from r""",
-    "decode_lines": "select doc_id, case when doc_id % 10 = 3 then 'lossy' else 'utf-8' end as encoding, (length(text) + (doc_id % 10 = 3)::int)::int as chars from documents",
+    "encoding_census": "select source, case when doc_id % 10 = 3 then 'iso-8859-1' else 'utf-8' end as encoding, count(*) as n, 0 as invalid_bytes from documents group by 1, 2",
+    "decode_lines": "select doc_id, case when doc_id % 10 = 3 then 'lossy' else 'utf-8' end as encoding, doc_id % 10 = 3 as lossy, case when doc_id % 10 = 3 then 0.0 else 1.0 end as confidence, (doc_id % 10 = 3)::int as invalid_bytes, (length(text) + (doc_id % 10 = 3)::int)::int as chars from documents",
     "byte_spans": "select doc_id, case when instr(text, 'ion') > 0 then strlen(substring(text, 1, instr(text, 'ion') - 1))::int end as start, case when instr(text, 'ion') > 0 then strlen(substring(text, 1, instr(text, 'ion') - 1))::int + 3 end as \"end\" from documents",
     "provenance_check": f"{LOG} select event_id % 23 <> 0 as ok, count(*) as n from log group by 1",
     "required_coverage": f"""{_P}, x as (select template, unnest([{{'path': 'user_name', 'f': 1}}, {{'path': 'src_ip', 'f': (template <> 'any')::int}}, {{'path': 'status_id', 'f': (template <> 'any')::int}}], recursive := true) from m)

@@ -29,14 +29,17 @@ def receipts_dedupe(receipts: DataFrame) -> DataFrame:
     return receipts.dropDuplicates(["revision", "route_id", "status", "day"])
 
 
-def join_multiline(lines: DataFrame, key: str, order: str, line: str) -> DataFrame:
-    """A line that begins with white space or `at ` continues the one before it; blank lines outside a run are dropped."""
+def join_multiline(lines: DataFrame, key: str, order: str, line: str, most_chars: int | None = None) -> DataFrame:
+    """A line that begins with white space or `at ` continues the one before it; empty lines are dropped. most_chars cuts a joined text, `truncated` says so."""
     w = Window.partitionBy(key).orderBy(order)
     more = F.col(line).rlike(r"^(\s|at )")
     kept = lines.where(F.trim(line) != "").withColumn("run", F.sum(F.when(more, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return kept.groupBy(key, "run").agg(
+    joined = kept.groupBy(key, "run").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line))), lambda x: x[line]), "\n").alias("text"), F.count("*").alias("parts"), F.min(order).alias("first_line")
     )
+    if most_chars is None:
+        return joined.withColumn("truncated", F.lit(False))
+    return joined.withColumn("truncated", F.length("text") > most_chars).withColumn("text", F.substring("text", 1, most_chars))
 
 
 def assign_segments(records: DataFrame, key: str, order: str, size: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,33 +58,52 @@ def route_minute(got: DataFrame) -> DataFrame:
     )
 
 
-def recent(df: DataFrame, column: str, span: str, asof: str = "asof") -> DataFrame:
-    """Rows of the last `span` before the newest one; the newest time is one aggregated row."""
-    newest = df.agg(F.max(column).alias(asof))
-    return df.crossJoin(F.broadcast(newest)).where(F.expr(f"{column} >= {asof} - interval {span}"))
+def recent(df: DataFrame, column: str, span: str, asof: str | None = None) -> DataFrame:
+    """Rows of the last `span` before asof, or before the newest row. The time is a literal in the plan, so the filter reaches the scan."""
+    newest = asof or df.agg(F.max(column)).first()[0]
+    if newest is None:
+        return df.limit(0)
+    return df.where(F.col(column) >= F.lit(str(newest)).cast(df.schema[column].dataType) - F.expr(f"interval {span}"))
+
+
+def since_of(df: DataFrame, since: str | None, column: str = "minute") -> DataFrame:
+    return df if since is None else df.where(F.col(column) >= F.lit(since).cast(df.schema[column].dataType))
 
 
-def eps(log: DataFrame, span: str = "1 day", seconds: int = 86400) -> DataFrame:
+def eps(log: DataFrame, span: str = "60 seconds", seconds: int = 60, asof: str | None = None) -> DataFrame:
     """Events per second of each source in the last span."""
-    return recent(log, "received_time", span).groupBy("source_id").agg((F.count("*") / seconds).alias("eps"))
+    return recent(log, "received_time", span, asof).groupBy("source_id").agg((F.count("*") / seconds).alias("eps"))
 
 
-def source_strip(minutes: DataFrame) -> DataFrame:
-    """Totals per source, largest first."""
-    return minutes.groupBy("source_id").agg(
+def source_strip(minutes: DataFrame, since: str | None = None) -> DataFrame:
+    """Totals per source since a time, largest first."""
+    return since_of(minutes, since).groupBy("source_id").agg(
         F.sum("raw_count").alias("raw"), F.sum("raw_bytes").alias("bytes"), F.max("last_received").alias("last_seen"), *[F.sum(f"tier{t}").alias(f"tier{t}") for t in TIERS]
     )
 
 
-def route_totals(minutes: DataFrame) -> DataFrame:
-    """Sums and health per route."""
-    sums = minutes.groupBy("route_id").agg(*[F.sum(c).alias(c) for c in ("delivered", "failed", "filtered")])
+def route_totals(minutes: DataFrame, since: str | None = None) -> DataFrame:
+    """Sums and health per route since a time."""
+    sums = since_of(minutes, since).groupBy("route_id").agg(*[F.sum(c).alias(c) for c in ("delivered", "failed", "filtered")])
     health = (
         F.when(F.col("delivered") + F.col("failed") == 0, "idle").when(F.col("failed") == 0, "ok").when(F.col("failed") >= F.col("delivered"), "failing").otherwise("degraded")
     )
     return sums.withColumn("health", health)
 
 
+def overview_parts(log: DataFrame, got: DataFrame, since: str | None = None) -> DataFrame:
+    """A10: all parts of the overview as (part, item, metric, value): rates, sources, routes, tiers, the vault and its newest window."""
+    row = lambda df, part, item, metrics: df.select(F.lit(part).alias("part"), item.alias("item"), F.stack(F.lit(len(metrics)), *[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))]).alias("metric", "value"))
+    strip = source_strip(source_minute(log), since)
+    tiers = strip.agg(*[F.sum(f"tier{t}").alias(f"tier{t}") for t in TIERS])
+    vault = log.agg(F.count_distinct("segment_no").alias("segments"), F.max("segment_no").alias("newest_segment"))
+    parts = [
+        row(eps(log), "eps", F.col("source_id"), ["eps"]), row(strip, "source", F.col("source_id"), ["raw", "bytes"]), row(route_totals(route_minute(got), since), "route", F.col("route_id"), ["delivered", "failed", "filtered"]),
+        row(tiers, "tiers", F.lit("all"), [f"tier{t}" for t in TIERS]), row(vault, "vault", F.lit("all"), ["segments", "newest_segment"]),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def overview(log: DataFrame) -> DataFrame:
     """A10: tier totals by source, by tenant and over all, in one pass with grouping sets."""
     return log.groupingSets([["tenant_id", "source_id"], ["tenant_id"], []], "tenant_id", "source_id").agg(
@@ -140,16 +161,16 @@ def diffs_of(log: DataFrame) -> DataFrame:
     return log.withColumn("changed_fields", changed).withColumn("regressions", F.expr("filter(changed_fields, x -> candidate_tier > tier and x <> 'status_id')"))
 
 
-def route_stats(minutes: DataFrame) -> DataFrame:
-    """Totals per route and its series of days as text (day:delivered/failed, in order)."""
-    days = minutes.groupBy("route_id", F.date_format("minute", "yyyy-MM-dd").alias("day")).agg(F.sum("delivered").alias("delivered"), F.sum("failed").alias("failed"))
-    series = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("day", "delivered", "failed"))), lambda x: F.concat(x["day"], F.lit(":"), x["delivered"], F.lit("/"), x["failed"])), ",")
-    return days.groupBy("route_id").agg(F.sum("delivered").alias("delivered"), F.sum("failed").alias("failed"), series.alias("series"))
+def route_stats(minutes: DataFrame, since: str | None = None) -> DataFrame:
+    """Totals per route and its series of minutes as text (minute:delivered/failed, in order)."""
+    kept = since_of(minutes, since).withColumn("at", F.date_format("minute", "yyyy-MM-dd HH:mm"))
+    series = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "delivered", "failed"))), lambda x: F.concat(x["at"], F.lit(":"), x["delivered"], F.lit("/"), x["failed"])), ",")
+    return kept.groupBy("route_id").agg(F.sum("delivered").alias("delivered"), F.sum("failed").alias("failed"), series.alias("series"))
 
 
-def tier_history(minutes: DataFrame) -> DataFrame:
-    """Tier counts by hour."""
-    return minutes.groupBy(F.date_trunc("hour", "minute").alias("hour")).agg(*[F.sum(f"tier{t}").alias(f"tier{t}") for t in TIERS])
+def tier_history(minutes: DataFrame, since: str | None = None) -> DataFrame:
+    """Tier counts by minute, oldest first."""
+    return since_of(minutes, since).groupBy("minute").agg(*[F.sum(f"tier{t}").alias(f"tier{t}") for t in TIERS]).orderBy("minute")
 
 
 def source_dimensions(log: DataFrame) -> DataFrame:
@@ -194,21 +215,24 @@ def _log(f):
     return lambda spark, d: f(log_view(spark, d))
 
 
+SINCE = "2024-01-10 00:00:00"  # that the queries are registered with
+
 QUERIES = {
     "source_minute": _source_minute,
     "source_minute_skew": _log(source_minute_skew),
     "route_minute": lambda s, d: route_minute(receipts(s, d)).withColumns({"minute": text_time("minute"), "last_at": text_time("last_at")}),
     "eps_1m": _log(eps),
-    "source_strip": lambda s, d: source_strip(source_minute(log_view(s, d))).withColumn("last_seen", text_time("last_seen")).orderBy(F.desc("raw"), "source_id"),
-    "route_totals": lambda s, d: route_totals(route_minute(receipts(s, d))),
+    "source_strip": lambda s, d: source_strip(source_minute(log_view(s, d)), SINCE).withColumn("last_seen", text_time("last_seen")).orderBy(F.desc("raw"), "source_id"),
+    "route_totals": lambda s, d: route_totals(route_minute(receipts(s, d)), SINCE),
     "overview": _log(overview),
+    "overview_parts": lambda s, d: overview_parts(log_view(s, d), receipts(s, d), SINCE),
     "source_health": lambda s, d: source_health(log_view(s, d), _expected(s)),
     "shadow_totals": lambda s, d: shadow_totals(diffs_of(log_view(s, d))),
     "shadow_samples": lambda s, d: shadow_samples(log_view(s, d)),
     "shadow_transitions": _log(shadow_transitions),
     "shadow_fields": lambda s, d: shadow_fields(diffs_of(log_view(s, d))),
-    "route_stats": lambda s, d: route_stats(route_minute(receipts(s, d))),
-    "tier_history": lambda s, d: tier_history(source_minute(log_view(s, d))).withColumn("hour", text_time("hour")),
+    "route_stats": lambda s, d: route_stats(route_minute(receipts(s, d)), SINCE),
+    "tier_history": lambda s, d: tier_history(source_minute(log_view(s, d)), SINCE).withColumn("minute", text_time("minute")),
     "source_dimensions": _log(source_dimensions),
     "route_rates": lambda s, d: route_rates(route_minute(receipts(s, d))),
     "vault_status": lambda s, d: vault_status(log_view(s, d)).withColumn("last_sealed", text_time("last_sealed")),
@@ -231,10 +255,10 @@ ORACLES = {
  from log group by tenant_id, source_id, date_trunc('minute', received_time)""",
     "source_minute_skew": f"{LOG} select source_id, quantile_cont(skew_ms, 0.5)::double as skew_p50, count(*) as n from log group by source_id",
     "route_minute": f"{_RM} select route_id, strftime(minute, '%Y-%m-%d %H:%M:%S') as minute, delivered, failed, filtered, strftime(last_at, '%Y-%m-%d %H:%M:%S') as last_at from rm",
-    "eps_1m": f"{LOG} select source_id, count(*) / 86400.0::double as eps from log where received_time >= (select max(received_time) from log) - interval 1 day group by 1",
-    "source_strip": f"{LOG} select source_id, count(*) as raw, sum(strlen(line))::bigint as bytes, strftime(max(received_time), '%Y-%m-%d %H:%M:%S') as last_seen, {_T} from log group by 1",
+    "eps_1m": f"{LOG} select source_id, count(*) / 60.0::double as eps from log where received_time >= (select max(received_time) from log) - interval 60 seconds group by 1",
+    "source_strip": f"{LOG} select source_id, count(*) as raw, sum(strlen(line))::bigint as bytes, strftime(max(received_time), '%Y-%m-%d %H:%M:%S') as last_seen, {_T} from log where date_trunc('minute', received_time) >= timestamp '{SINCE}' group by 1",
     "route_totals": f"""{_R} select *, case when delivered + failed = 0 then 'idle' when failed = 0 then 'ok' when failed >= delivered then 'failing' else 'degraded' end as health from (
- select route_id, count(*) filter (status = 'delivered') as delivered, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'filtered') as filtered from rec group by 1)""",
+ select route_id, count(*) filter (status = 'delivered') as delivered, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'filtered') as filtered from rec where date_trunc('minute', at_time) >= timestamp '{SINCE}' group by 1)""",
     "overview": f"{LOG} select tenant_id, source_id, grouping_id(tenant_id, source_id)::int as level, count(*) as events, {_T} from log group by grouping sets ((tenant_id, source_id), (tenant_id), ())",
     "source_health": f"""{LOG}, got as (select source_id, count(*) / 432000.0::double as eps, {_T}, arg_max(contract_ref, (received_time, event_uid)) as contract_ref, quantile_cont(skew_ms, 0.5)::double as skew_p50
  from log where received_time >= (select max(received_time) from log) - interval 5 days group by 1)
@@ -247,9 +271,14 @@ ORACLES = {
     "shadow_fields": f"""{_D}, h as (select contract_ref, 'changed' as kind, unnest(changed_fields) as field from diffs union all select contract_ref, 'regressed', unnest(regressions) from diffs),
  c as (select contract_ref, kind, field, count(*) as n from h group by all)
  select *, row_number() over (partition by contract_ref, kind order by n desc, field)::int as place from c qualify place <= 10""",
-    "route_stats": f"""{_RM}, days as (select route_id, strftime(minute, '%Y-%m-%d') as day, sum(delivered)::bigint as delivered, sum(failed)::bigint as failed from rm group by 1, 2)
- select route_id, sum(delivered)::bigint as delivered, sum(failed)::bigint as failed, string_agg(concat(day, ':', delivered, '/', failed), ',' order by day) as series from days group by 1""",
-    "tier_history": f"{LOG} select strftime(date_trunc('hour', received_time), '%Y-%m-%d %H:%M:%S') as hour, {_T} from log group by date_trunc('hour', received_time)",
+    "route_stats": f"""{_RM} select route_id, sum(delivered)::bigint as delivered, sum(failed)::bigint as failed, string_agg(concat(strftime(minute, '%Y-%m-%d %H:%M'), ':', delivered, '/', failed), ',' order by minute) as series from rm where minute >= timestamp '{SINCE}' group by 1""",
+    "tier_history": f"{LOG} select strftime(date_trunc('minute', received_time), '%Y-%m-%d %H:%M:%S') as minute, {_T} from log where date_trunc('minute', received_time) >= timestamp '{SINCE}' group by 1",
+    "overview_parts": f"""{_R}, k as (select * from log where date_trunc('minute', received_time) >= timestamp '{SINCE}'), r as (select * from rec where date_trunc('minute', at_time) >= timestamp '{SINCE}')
+ select 'eps' as part, source_id as item, 'eps' as metric, count(*) / 60.0::double as value from log where received_time >= (select max(received_time) from log) - interval 60 seconds group by 2
+ union all select 'source', source_id, 'raw', count(*)::double from k group by 2 union all select 'source', source_id, 'bytes', sum(strlen(line))::double from k group by 2
+ union all select 'route', route_id, s.status, count(*) filter (r.status = s.status)::double from r, (values ('delivered'), ('failed'), ('filtered')) s(status) group by 2, 3
+ union all select 'tiers', 'all', concat('tier', t.t), count(*) filter (k.tier = t.t)::double from k, (values (1), (2), (3), (4)) t(t) group by 3
+ union all select 'vault', 'all', 'segments', count(distinct segment_no)::double from log union all select 'vault', 'all', 'newest_segment', max(segment_no)::double from log""",
     "source_dimensions": f"""{LOG} select source_id, arg_max(user_id % 4, (received_time, event_uid)) as zone, arg_max(case when event_id % 2 = 0 then 'udp' else 'tcp' end, (received_time, event_uid)) as transport
  from log where received_time >= (select max(received_time) from log) - interval 1 day group by 1""",
     "route_rates": f"{_RM} select route_id, sum(delivered) / count(distinct minute)::double as delivered_rate, sum(failed) / count(distinct minute)::double as failed_rate from rm group by 1",

@@ -46,11 +46,19 @@ def current_state(changes: DataFrame, key: str, order: str, payload: str) -> Dat
     return last.select(key, F.col(f"last.{payload}").alias(payload)).where(F.col(payload).isNotNull())
 
 
-def stamp(lines: DataFrame, line: str, cap: int = MAX_BYTES) -> DataFrame:
-    """Seal lines before anything is parsed: hash and length of the stored bytes, base64, cap and flag."""
+def stamp(lines: DataFrame, line: str, cap: int = MAX_BYTES, place: list[str] | None = None) -> DataFrame:
+    """Seal lines before anything is parsed: hash and length of the stored bytes, base64, cap and flag.
+
+    `place`: columns that name a line's origin (file and position); with them come sealed_uid, the same on
+    every run, and defaults for lines whose source or tenant isn't registered.
+    """
     raw = F.col(line).cast("binary")
     kept = F.substring(raw, 1, cap)
-    return lines.withColumns({"raw_sha256": F.sha2(kept, 256), "raw_len": F.octet_length(kept).cast("long"), "truncated": F.octet_length(raw) > cap, "raw_b64": F.base64(kept)})
+    out = lines.withColumns({"raw_sha256": F.sha2(kept, 256), "raw_len": F.octet_length(kept).cast("long"), "truncated": F.octet_length(raw) > cap, "raw_b64": F.base64(kept)})
+    if place is None:
+        return out
+    defaults = {c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(v)) for c, v in (("source_id", "unregistered"), ("tenant_id", "unassigned")) if c in lines.columns}
+    return out.withColumns({"sealed_uid": F.substring(F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in place], F.col("raw_sha256")), 256), 1, 32), **defaults})
 
 
 def size_cap(lines: DataFrame, line: str, cap: int) -> DataFrame:
@@ -234,7 +242,7 @@ QUERIES = {
     "parse_envelope_rejects": lambda s, d: parse_envelope(envelopes(s, d))[1].groupBy("reason_code", "tier").agg(F.count("*").alias("n")),
     "current_state": lambda s, d: current_state(log_view(s, d).selectExpr("user_id", "event_id", "case when value < 5 then null else value end as payload"), "user_id", "event_id", "payload"),
     "load_dimension": _dimension,
-    "stamp": lambda s, d: stamp(log_view(s, d), "line", 60).select("event_uid", "raw_sha256", "raw_len", "truncated"),
+    "stamp": lambda s, d: stamp(log_view(s, d).withColumn("source_id", F.expr("case when event_id % 5 = 0 then '' when event_id % 7 = 0 then null else source_id end")), "line", 60, ["event_id"]).select("event_uid", "source_id", "raw_sha256", "raw_len", "truncated", "sealed_uid"),
     "size_cap": lambda s, d: size_cap(log_view(s, d), "line", 33).select("event_uid", F.sha2("parse_bytes", 256).alias("sha"), F.octet_length("line").alias("full")),
     "explode_push_batches": lambda s, d: explode_push_batches(log_view(s, d).selectExpr("event_id", "concat(props, case when event_id % 5 = 0 then ' ' else '' end, '{\"b\": 1, \"a\": \"x\"}', case when event_id % 13 = 0 then '{oops' else '' end) as body"), "event_id", "body"),
     "file_manifest": _files,
@@ -258,7 +266,7 @@ ORACLES = {
     "parse_envelope_rejects": f"{LOG} select 'schema_invalid' as reason_code, 4::int as tier, count(*) as n from log where not ({_OK})",
     "current_state": f"{LOG} select user_id, payload from (select user_id, arg_max(event_id, event_id) as last, (max(struct_pack(e := event_id, v := value))).v as payload from log group by 1) where payload >= 5",
     "load_dimension": "select n_name, r_name from nation join region on n_regionkey = r_regionkey",
-    "stamp": f"{LOG} select event_uid, sha256(line[1:60]) as raw_sha256, least(60, strlen(line))::bigint as raw_len, strlen(line) > 60 as truncated from log",
+    "stamp": f"{LOG} select event_uid, case when event_id % 5 = 0 or event_id % 7 = 0 then 'unregistered' else source_id end as source_id, substring(sha256(concat(event_id, chr(31), sha256(line[1:60]))), 1, 32) as sealed_uid, sha256(line[1:60]) as raw_sha256, least(60, strlen(line))::bigint as raw_len, strlen(line) > 60 as truncated from log",
     "size_cap": f"{LOG} select event_uid, sha256(line[1:33]) as sha, strlen(line)::int as \"full\" from log",
     "explode_push_batches": f"""{LOG}, x as (select event_id, 0::int as n, replace(props, ': ', ':') as event, null::varchar as reject from log union all select event_id, 1, '{{"a":"x","b":1}}', null from log
  union all select event_id, 2, null, 'malformed' from log where event_id % 13 = 0) select * from x""",
