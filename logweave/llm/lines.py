@@ -150,7 +150,7 @@ def text_items(texts: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in blocks(whole, "line"):
+            for batch in blocks(whole, "line", 1 << 18):
                 lines = batch.column("line").to_pylist()
                 flat, starts = char_shingles(lines, k, 2)
                 items = [np.unique(x) for x in np.split(flat, starts[1:])] if lines else []
@@ -164,7 +164,7 @@ def sized(texts: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in blocks(whole, "line"):
+            for batch in blocks(whole, "line", 1 << 18):
                 flat, starts = char_shingles(batch.column("line").to_pylist(), k, 2)
                 counts = [len(np.unique(x)) for x in np.split(flat, starts[1:])] if batch.num_rows else []
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64())], ["id", "n"])

@@ -32,7 +32,7 @@ OFTEN_CHARS = 48  # characters of such a word at most
 LEVELS = (0.0, 1.0, 2.0, 3.0, 4.0, 6.0)
 WORD = re.compile(r"[^\W\d_]+")
 START, END = "\x02", "\x03"
-CACHE = 1 << 20  # words whose ratio a task remembers
+CACHE = 1 << 16  # words whose ratio a task remembers, beside those of the block at hand
 FEATURES = ["__words", "__total", *[f"__over{i}" for i in range(len(LEVELS))]]
 
 
@@ -133,7 +133,7 @@ def count_grams(rows: DataFrame, order: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in blocks(whole, "text", 8 << 20):
+            for batch in blocks(whole, "text", 2 << 20):
                 counts: list[dict[str, int]] = [{}, {}]
                 for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                     held = counts[label]
@@ -276,7 +276,7 @@ def rates(rows: DataFrame, keep: list[str], model: Model | Tables | Often, text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = shared.value, {}
         for whole in batches:
-            for batch in blocks(whole, "__text"):
+            for batch in blocks(whole, "__text", 1 << 20):
                 texts = [WORD.findall((t or "").lower()) for t in batch.column("__text").to_pylist()]
                 if len(cache) > CACHE:
                     cache.clear()
