@@ -55,6 +55,7 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
                 spark.conf.unset(name)
             else:
                 spark.conf.set(name, value)
+        pa.default_memory_pool().release_unused()  # what the driver collected before
 
 
 class Scratch:
