@@ -2,9 +2,9 @@
 
 Every vector has a few bits per dimension beside it: the cell its component lies in. For a set of
 centroids, lookup tables hold the least and the greatest contribution that a cell can make to each
-centroid's distance (less the distance to a common point, which is the same for all of them), so
-the sums over a row of cells are distance intervals. Where one interval lies below all others, the
-nearest centroid is known without the vector; where intervals overlap the vector itself is fetched.
+centroid's distance, so the sums over a row of cells are distance intervals. Where one interval lies
+below all others, the nearest centroid is known without the vector; where intervals overlap the
+vector itself is fetched.
 
 Sums of clusters are exact integers and follow the moves: a round compares the nearest centroid
 under the old and the new centroids, and only vectors that are open or have moved are fetched. The
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from logweave.llm.common import Scratch, cleaned, table
 
 DIMS, CLUSTERS, ROUNDS, SCALE, SEED = 64, 8, 10, 1024, 3
-BITS = 6  # of a cell
+BITS = 7  # of a cell, so cells take 56 bytes of a row and the vector 256
 SAMPLE = 8192  # vectors that the borders of the cells are taken from at most; any borders give right results
 LIMIT = 1 << 27  # of an integer component; beyond, squared distances don't fit a long
 PART_ROWS, MAX_PARTS = 4096, 4096  # rows of a part; more parts than that become larger instead
@@ -62,27 +62,43 @@ class Cells:
 
 
 class Bounds:
-    """Lookup tables of distance intervals to a set of centroids, and the exact comparison behind them."""
+    """Lookup tables of distance intervals to a set of centroids, and the exact comparison behind them.
+
+    Distances are told less the distance to a reference centroid, so that terms common to both fall away
+    and the intervals are narrow; each row's reference is the centroid whose interval has the nearest middle.
+    """
 
     def __init__(self, cells: Cells, centroids: np.ndarray):
-        self.centroids, self.dims = centroids, cells.dims
-        point = centroids.sum(0) // len(centroids)
-        factor = -2 * (centroids - point)  # of x in distance(x, centroid) - distance(x, point)
-        self.base = (centroids**2 - point**2).sum(1)
-        ends = [factor.T[:, None, :] * side[:, :, None] for side in (cells.low, cells.high)]
-        self.least, self.most = np.minimum(*ends), np.maximum(*ends)  # (dimension, cell, centroid)
-
-    def intervals(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low, high = np.tile(self.base, (len(cells), 1)), np.tile(self.base, (len(cells), 1))
+        self.cells, self.centroids, self.dims, self.tables = cells, centroids, cells.dims, {}
+
+    def table(self, reference: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Least and greatest contribution by (dimension, cell, centroid) to distance(x, centroid) - distance(x, reference), and what all cells have in common."""
+        if reference not in self.tables:
+            point = self.centroids[reference]
+            factor = -2 * (self.centroids - point)
+            ends = [factor.T[:, None, :] * side[:, :, None] for side in (self.cells.low, self.cells.high)]
+            self.tables[reference] = (np.minimum(*ends), np.maximum(*ends), (self.centroids**2 - point**2).sum(1))
+        return self.tables[reference]
+
+    def intervals(self, cells: np.ndarray, reference: int) -> tuple[np.ndarray, np.ndarray]:
+        least, most, base = self.table(reference)
+        low, high = np.tile(base, (len(cells), 1)), np.tile(base, (len(cells), 1))
         for d in range(self.dims):
-            low += self.least[d][cells[:, d]]
-            high += self.most[d][cells[:, d]]
+            low += least[d][cells[:, d]]
+            high += most[d][cells[:, d]]
         return low, high
 
+    def middles(self, cells: np.ndarray) -> np.ndarray:
+        low, high = self.intervals(cells, 0)
+        return (low + high) / 2
+
     def candidates(self, cells: np.ndarray) -> np.ndarray:
-        """(row, centroid) flags of the centroids whose interval reaches below the end of every other one."""
-        low, high = self.intervals(cells)
-        return low <= high.min(axis=1, keepdims=True)
+        """(row, centroid) flags of the centroids that may be as near as the row's reference, which is one of them."""
+        reference, out = self.middles(cells).argmin(1), np.empty((len(cells), len(self.centroids)), bool)
+        for r in np.unique(reference):
+            own = reference == r
+            out[own] = self.intervals(cells[own], r)[0] <= 0
+        return out
 
     def nearest(self, x: np.ndarray, among: np.ndarray) -> np.ndarray:
         """The nearest of the candidates, the smaller number of equally near ones."""
@@ -91,10 +107,9 @@ class Bounds:
 
     def clearness(self, cells: np.ndarray) -> np.ndarray:
         """By how much the second nearest centroid is farther than the nearest, by the middles of the intervals."""
-        low, high = self.intervals(cells)
-        if low.shape[1] < 2:
+        if len(self.centroids) < 2:
             return np.zeros(len(cells))
-        two = np.partition((low + high) / 2, 1, axis=1)
+        two = np.partition(self.middles(cells), 1, axis=1)
         return two[:, 1] - two[:, 0]
 
 
