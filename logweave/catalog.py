@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweave.functions import drift, layers, normalize
+from logweave.functions import contracts, drift, layers, normalize
 from logweave.operators import ordered, relational
 from logweave.plans import evidence, rollup
 from logweave.sources import ingest
@@ -10,6 +10,6 @@ from logweave.streaming import jobs
 
 QUERIES = {}
 ORACLES = {}
-for module in (rollup, relational, ordered, normalize, layers, evidence, ingest, drift, jobs):
+for module in (rollup, relational, ordered, normalize, layers, contracts, evidence, ingest, drift, jobs):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

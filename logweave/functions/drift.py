@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.bindings import LOG, log_view
-from logweave.functions.normalize import BAD_WORDS, NOT_USERS, TEMPLATES, USER_KEYS, assign_tier, class_hint, detect_layers, event_time, map_fields, mapped, match_templates, parsed, severity_words, template_signature
+from logweave.functions.normalize import BAD_WORDS, NOT_USERS, USER_KEYS, class_hint, detect_layers, event_time, parsed, severity_words, template_signature
 from logweave.session import stored
 
 # What ids, addresses and times look like.
@@ -112,14 +112,6 @@ def drift_groups(dlq: DataFrame, samples: int = 5) -> DataFrame:
     return groups.join(kept, ["source_id", "sig"])
 
 
-def resolve_covered(items: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """Open items whose sample a template covers now. Templates are literals, so no join is needed."""
-    covered = F.lit(False)
-    for t in templates:
-        covered = covered | F.col("sample").rlike(t[3])
-    return items.withColumn("state", F.when(covered, "resolved").otherwise("open"))
-
-
 def sample_shape_groups(tokens: DataFrame, key: str) -> DataFrame:
     """Lines by the shape of their tokens: kinds, and the text of words."""
     part = F.when(F.col("kind") == "word", F.col("value")).otherwise(F.concat(F.lit("<"), "kind", F.lit(">")))
@@ -188,12 +180,6 @@ def diff_tables(expected: DataFrame, actual: DataFrame, key: str, columns: list[
     return both.select(key, F.stack(F.lit(len(columns)), *[x for c in columns for x in (F.lit(c), ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")))]).alias("path", "differs")).where("differs").drop("differs")
 
 
-def verify_draft(lines: DataFrame, templates=TEMPLATES[1:]) -> DataFrame:
-    """Tiers of the samples under a drafted contract, and how often each path is located."""
-    got = assign_tier(map_fields(match_templates(lines, templates=templates)))
-    return got.groupBy(F.col("got_tier").alias("tier")).agg(F.count("*").alias("n"), F.count("src_ip").alias("src_ip"), F.count("user_name").alias("user_name"), F.count("status_id").alias("status_id"))
-
-
 def _dlq(s: SparkSession, d: str) -> DataFrame:
     return template_signature(parsed(s, d).where("tier >= 3"), F.col("source_id"), "body").select("source_id", "sig", "event_uid", F.col("body").alias("sample"))
 
@@ -228,7 +214,6 @@ QUERIES = {
     "generic_extract": lambda s, d: generic_extract(_tokens(s, d), "event_uid"),
     "tier3_events": lambda s, d: tier3_events(log_view(s, d).selectExpr("event_uid", "received_time", "concat('2026-01-02 03:04:05 sudo denied for user u', user_id) as line"), "event_uid", "line", "received_time").withColumn("event_time", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss")),
     "drift_groups": lambda s, d: drift_groups(_dlq(s, d)),
-    "resolve_covered": lambda s, d: resolve_covered(parsed(s, d).select(F.col("body").alias("sample")), TEMPLATES[:2]).groupBy("state").agg(F.count("*").alias("n")),
     "sample_shape_groups": lambda s, d: _shapes(_tokens(s, d)).groupBy("shape").agg(F.count("*").alias("n")),
     "variable_positions": lambda s, d: _positions(_tokens(s, d)).select("shape", "ord", "varies"),
     "display_template": lambda s, d: display_template(_positions(_tokens(s, d))),
@@ -236,7 +221,6 @@ QUERIES = {
     "generalize_groups": lambda s, d: _generalized(_tokens(s, d)),
     "mine_templates": lambda s, d: mine_templates(parsed(s, d), "source_id", "body"),
     "diff_tables": lambda s, d: diff_tables(log_view(s, d).select("event_uid", "tier", "source_id"), log_view(s, d).selectExpr("event_uid", "case when event_id % 7 = 0 then 9 else tier end as tier", "case when event_id % 11 = 0 then null else source_id end as source_id"), "event_uid", ["tier", "source_id"]),
-    "verify_draft": lambda s, d: verify_draft(parsed(s, d)),
 }
 
 _P = f"{LOG}, p as (select *, case when event_id % 4 = 2 then 'FAILED' else 'OK' end as word, concat('10.0.', user_id % 256, '.', event_id % 256) as src, event_id % 5 as att from log)"
@@ -257,7 +241,6 @@ ORACLES = {
  f as (select source_id, sig, sample, min(event_uid) as uid from q group by all), k as (select * from f qualify row_number() over (partition by source_id, sig order by uid) <= 5)
  select g.*, u.sample_uids from (select source_id, sig, count(*) as n, min(event_uid) as first_uid, max(event_uid) as last_uid from q group by 1, 2) g
  join (select source_id, sig, string_agg(uid, ',' order by uid) as sample_uids from k group by 1, 2) u using (source_id, sig)""",
-    "resolve_covered": f"{_P} select case when word = 'FAILED' or att <= 3 then 'resolved' else 'open' end as state, count(*) as n from p group by 1",
     "sample_shape_groups": f"{_P} select {_SHAPE} as shape, count(*) as n from p group by 1",
     "variable_positions": f"{_P} select distinct {_SHAPE} as shape, (x.i)::int as ord, x.i in (0, 4, 6, 7) as varies from p, (select unnest(range(8)) as i) x",
     "display_template": f"{_P} select distinct {_SHAPE} as shape, concat('<*> ', word, ' login from <*> via <*> <*>') as template from p",
@@ -266,5 +249,4 @@ ORACLES = {
     "generalize_groups": f"{_P} select distinct {_SHAPE} as shape, concat('<user.name> ', case word when 'FAILED' then '<status_id:2>' else '<status_id:1>' end, ' login from <src_endpoint.ip> via <dst_endpoint.ip> <*>') as pattern from p",
     "mine_templates": f"{_P} select source_id, case when count(distinct word) > 1 then 'user=<V> <*> login from <IP> via <IP> attempts:<V>' else concat('user=<V> ', min(word), ' login from <IP> via <IP> attempts:<V>') end as template, count(*) as n from p group by 1",
     "diff_tables": f"{LOG} select event_uid, 'tier' as path from log where event_id % 7 = 0 union all select event_uid, 'source_id' from log where event_id % 11 = 0",
-    "verify_draft": f"""{_P}, v as (select word <> 'FAILED' and att <= 3 as ok from p) select (case when ok then 1 else 2 end)::int as tier, count(*) as n, count(*) filter (ok) as src_ip, count(*) as user_name, count(*) filter (ok) as status_id from v group by ok""",
 }

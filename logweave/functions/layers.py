@@ -1,32 +1,49 @@
 """Contracts as tables: layers that are peeled in order, patterns with typed captures, and a map from captures to paths.
 
 Nothing here knows the names of any source: a contract's layers, templates and map rows are data.
+
+Every value keeps its place. A text that a layer leaves has an offset map, an array of (at, src): from
+position `at` of the text on, characters stand from position `src` of the line on; the last entry is the
+end. A syslog body is one stretch, an escaped JSON string one for each escape, and the map of a text inside
+a text is composed of both. Patterns are written so that their groups tile the text, so the lengths of the
+groups before a capture are its place, and one pass gives values and places.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.bindings import LOG, log_view
-from logweave.functions.normalize import DELIMITERS, RFC3164, RFC5424, groups, kv_pairs
+from logweave.functions.normalize import DELIMITERS, time_of
 
 MAX_DEPTH = 4
+ENTRIES = "array<struct<k: string, v: string, s: int, e: int>>"
+CUTS = "array<struct<at: int, src: int>>"
+LAYER = f"struct<entries: {ENTRIES}, text: string, cuts: {CUTS}>"
 
 
 @dataclass(frozen=True)
 class Template:
-    """A pattern such as `user=<name> from <src:ip> <*>`; the first of a contract that matches a whole text wins."""
+    """A pattern such as `user=<name> from <src:ip> <*>`; the first of a contract that matches a whole text wins.
+
+    regex, if given, is taken instead of the pattern: an expression for the whole text whose named groups (?<name>...) are the captures.
+    """
 
     name: str
-    pattern: str
+    pattern: str = ""
     class_uid: int = 0
     required: tuple[str, ...] = ()
+    activity_id: int = 0
+    regex: str = ""
 
 
 @dataclass(frozen=True)
@@ -47,169 +64,440 @@ class Contract:
     layers: tuple[tuple[str, dict, bool], ...]  # kind, parameters, optional
     templates: tuple[Template, ...] = ()
     rows: tuple[MapRow, ...] = field(default=())
+    tz: str = "UTC"  # of times without an offset
+    formats: tuple = ()  # of times, tried before the general ones, as in normalize.FORMATS
 
 
-def entries(pairs: Column) -> Column:
-    """A map of an array of (k, v); of equal keys the last one counts."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+# --- places
 
 
-def named(names: list[str], values: list[Column]) -> Column:
-    """The map of those names whose value isn't null or empty."""
-    made = F.create_map(*[x for n, v in zip(names, values) for x in (F.lit(n), v)])
-    return F.map_filter(made, lambda k, v: v.isNotNull() & (v != ""))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-# --- layers: (text, parameters) -> (fields, the text that is left), fields null where the layer doesn't apply
+def held(value: Column) -> Column:
+    """A column that the optimizer leaves where it is: as it can't move filters or merge projections across it, a long expression isn't copied into each place that uses it."""
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
-def _syslog(text: Column, given: dict) -> tuple[Column, Column]:
-    new, old = groups(text, RFC5424, 9), groups(text, RFC3164, 6)
-    fields = F.when(new.isNotNull(), named([f"syslog.{n}" for n in ("pri", "version", "timestamp", "host", "app", "pid", "msgid", "sd")], [F.nullif(new[i], F.lit("-")) for i in range(8)])).when(
-        old.isNotNull(), named([f"syslog.{n}" for n in ("pri", "timestamp", "host", "app", "pid")], [old[i] for i in range(5)])
+def starts(pieces: Column, gap: int = 0, block: int = 64) -> Column:
+    """Where each of the pieces of a text begins, `gap` characters lying between two. Blocks keep the work linear in the pieces."""
+    joined = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / block).cast("int")), lambda b: F.length(F.array_join(F.slice(pieces, b * block + 1, F.lit(block)), "")))
+    upto = lambda lengths: F.transform(lengths, lambda _, b: F.aggregate(F.slice(lengths, F.lit(1), b), F.lit(0), lambda a, x: a + x))
+    inside = lambda base: F.transform(
+        pieces, lambda _, i: F.get(base, F.floor(i / block).cast("int")) + F.length(F.array_join(F.slice(pieces, F.floor(i / block).cast("int") * block + 1, i % block), "")) + i * gap
     )
-    return fields, F.coalesce(new[8], old[5])
+    return F.when(F.size(pieces) > 0, let(let(joined, upto), inside))
+
+
+def tiles(text: Column, pattern: str, marked: str, whole: int | None = None) -> Column:
+    """(v, s, e) of the pieces into which the groups of a pattern cut a text: `marked` is the replacement, with \\x02 between pieces.
+
+    whole: the number of groups of a pattern that must match the whole text, null where it doesn't.
+    A text's own marks don't count: it is cut with others in their place, and values come from the text itself.
+    """
+    safe = F.translate(text, "\x01\x02", "\ufffd\ufffd")
+    made = F.regexp_replace(safe, pattern, marked)
+    pieces = F.split(made, "\x02", -1) if whole is None else F.when(made.startswith("\x01"), F.split(F.substring(made, 2, 2147483647), "\x02", whole))
+    cut = lambda p, at: F.when(safe == text, p).otherwise(F.substring(text, at + 1, F.length(p)))
+    return let(pieces, lambda ps: let(starts(ps), lambda st: F.transform(ps, lambda p, i: F.struct(cut(p, st[i]).alias("v"), st[i].alias("s"), (st[i] + F.length(p)).alias("e")))))
+
+
+def whole_tiles(text: Column, pattern: str, n: int) -> Column:
+    return tiles(text, pattern, "\x01" + "\x02".join(f"${i}" for i in range(1, n + 1)), n)
+
+
+def entry(k: str | Column, tile: Column) -> Column:
+    return F.struct((F.lit(k) if isinstance(k, str) else k).alias("k"), tile["v"].alias("v"), tile["s"].alias("s"), tile["e"].alias("e"))
+
+
+def stretch(tile: Column) -> Column:
+    """The offset map of a text that stands in another as it is."""
+    return F.array(F.struct(F.lit(0).alias("at"), tile["s"].alias("src")), F.struct((tile["e"] - tile["s"]).alias("at"), tile["e"].alias("src")))
+
+
+def placed(offsets: Column, at: Column) -> Column:
+    """The line's position for a position of a text, null without an offset map."""
+    last = F.element_at(F.filter(offsets, lambda m: m["at"] <= at), -1)
+    return F.when(F.size(offsets) == 2, F.get(offsets, F.lit(0))["src"] + at).otherwise(let(last, lambda m: m["src"] + at - m["at"]))
+
+
+def composed(offsets: Column, cuts: Column) -> Column:
+    """The offset map of a text whose cuts tell its places in an outer text, offsets those of the outer text in the line."""
+    own = F.transform(cuts, lambda c: F.struct(c["at"].alias("at"), placed(offsets, c["src"]).alias("src")))
+    runs = F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), lambda i: F.struct(F.get(cuts, i)["at"].alias("at"), F.get(cuts, i)["src"].alias("src"), (F.get(cuts, i + 1)["at"] - F.get(cuts, i)["at"]).alias("n")))
+    inside = lambda r: F.transform(F.filter(offsets, lambda m: (m["at"] > r["src"]) & (m["at"] < r["src"] + r["n"])), lambda m: F.struct((r["at"] + m["at"] - r["src"]).alias("at"), m["src"].alias("src")))
+    both = F.array_sort(F.array_distinct(F.concat(own, F.flatten(F.transform(runs, inside)))))
+    return F.when(F.size(offsets) == 2, own).when(F.size(cuts) < 2, own).otherwise(both)
+
+
+def layer_of(entries: Column, text: Column | None = None, cuts: Column | None = None) -> Column:
+    """What a layer gives: entries, and the text it leaves with that text's cuts; without a text the next layer sees the same one."""
+    none = F.lit(None)
+    return F.struct(entries.alias("entries"), (none if text is None else text).alias("text"), (none if cuts is None else cuts).alias("cuts")).cast(LAYER)
+
+
+def filled(entries: Column) -> Column:
+    return F.filter(entries, lambda x: F.coalesce(x["v"] != "", F.lit(False)))
+
+
+# --- layers: (text, parameters) -> (entries, the text that is left, its cuts), null where the layer doesn't apply
+
+# The header layouts of the two syslog RFCs, every part a group.
+NEW_SYSLOG = r"(?s)^(<)(\d{1,3})(>)(\d)(\s+)(\S+)(\s+)(\S+)(\s+)(\S+)(\s+)(\S+)(\s+)(\S+)(\s+)((?:\[[^\]]*\])+|-)(\s?)(.*)$"
+OLD_SYSLOG = r"(?s)^(?:(<)(\d{1,3})(>))?([A-Z][a-z]{2}\s+\d{1,2}\s+\d{1,2}:\d{2}:\d{2})(\s+)(\S+)(\s+)(?:(?!(?:CEF|LEEF):\d)([^\s\[:]+)(?:(\[)(\d+)(\]))?(:\s*))?(.*)$"
+NEW_NAMES = {1: "pri", 3: "version", 5: "timestamp", 7: "host", 9: "app", 11: "pid", 13: "msgid", 15: "sd"}
+OLD_NAMES = {1: "pri", 3: "timestamp", 5: "host", 7: "app", 9: "pid"}
+
+
+def _syslog(text: Column, given: dict) -> Column:
+    def made(t: Column, names: dict[int, str], body: int) -> Column:
+        pri = F.get(t, F.lit(1))["v"].try_cast("int")
+        counted = [F.struct(F.lit(f"syslog.{n}").alias("k"), v.cast("string").alias("v"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e")) for n, v in (("facility", F.floor(pri / 8)), ("severity", pri % 8))]
+        fields = F.filter(F.array(*[entry(f"syslog.{n}", t[i]) for i, n in names.items()], *counted), lambda x: F.coalesce(~x["v"].isin("", "-"), F.lit(False)))
+        return layer_of(fields, t[body]["v"], stretch(t[body]))
+
+    new = let(whole_tiles(text, NEW_SYSLOG, 18), lambda t: F.when(t.isNotNull(), made(t, NEW_NAMES, 17)))
+    old = let(whole_tiles(text, OLD_SYSLOG, 13), lambda t: F.when(t.isNotNull(), made(t, OLD_NAMES, 12)))
+    return F.when(text.startswith("<") & text.rlike(r"^<\d{1,3}>\d\s"), F.coalesce(new, old)).otherwise(old)
+
+
+TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.+-])|true\b|false\b|null\b))')
+ESCAPE = re.compile(r"(?:\\u[0-9a-fA-F]{4})+|\\.")
+
+
+def unescaped(raw: str) -> tuple[str, list[tuple[int, int]]]:
+    """A JSON string's text and its cuts: a new stretch begins behind every escape."""
+    out, cuts, size, at = [], [(0, 0)], 0, 0
+    for m in ESCAPE.finditer(raw):
+        value = json.loads(f'"{m[0]}"')
+        out += raw[at : m.start()], value
+        size += m.start() - at
+        cuts += (size, m.start()), (size + len(value), m.end())
+        size, at = size + len(value), m.end()
+    text = "".join([*out, raw[at:]]).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text, sorted({(a, s) for a, s in [*cuts, (len(text), len(raw))]}) if len(cuts) > 1 else [(0, 0), (len(text), len(raw))]
+
+
+def json_scan(text: str, chosen: str | None = None) -> dict | None:
+    """Scalars of the first JSON value of a text as entries (path, value, place), places of strings without their quotes; what stands behind it is json.__rest.
+
+    The chosen string member becomes the text. None: no object or array begins the text, or it is broken.
+    """
+    entries, stack, at, want, left = [], [], 0, "value", (None, None)
+    name = "json"
+    while True:
+        m = TOKEN.match(text, at)
+        if m is None:
+            return None
+        mark, at = m[1], m.end()
+        if mark and mark in "{[" and want in ("value", "first"):
+            stack.append((mark, name, 0))
+            want = "key or end" if mark == "{" else "first"
+            name = f"{name}[0]" if mark == "[" else name
+            continue
+        if mark and mark in "}]" and stack and stack[-1][0] == {"}": "{", "]": "["}[mark] and want in ("more", "key or end" if mark == "}" else "first"):
+            stack.pop()
+        elif mark == "," and want == "more":
+            kind, base, n = stack.pop()
+            stack.append((kind, base, n + 1))
+            name, want = (f"{base}[{n + 1}]", "value") if kind == "[" else (base, "key")
+            continue
+        elif m[2] and want in ("key", "key or end"):
+            key = unescaped(m[2][1:-1])[0]
+            colon = TOKEN.match(text, at)
+            if colon is None or colon[1] != ":":
+                return None
+            at, name, want = colon.end(), f"{stack[-1][1]}.{key}", "value"
+            continue
+        elif (m[2] or m[3]) and want in ("value", "first") and stack:
+            s, e = (m.start(2) + 1, m.end(2) - 1) if m[2] else m.span(3)
+            value, cuts = unescaped(m[2][1:-1]) if m[2] else (m[3], [])
+            entries.append((name, value, s, e))
+            if m[2] and chosen is not None and name == f"json.{chosen}":
+                left = value, [(a, s + b) for a, b in cuts]
+        else:
+            return None
+        want = "more"
+        if not stack:
+            break
+    rest = text[at:].strip()
+    if rest:
+        s = text.index(rest, at)
+        entries.append(("json.__rest", rest, s, s + len(rest)))
+    return {"entries": entries, "text": left[0], "cuts": left[1]}
+
+
+def _json(text: Column, given: dict) -> Column:
+    """All scalars of the first JSON value by their path; a small scanner tells their places, which no built-in function does."""
+    chosen = given.get("text_field")
 
+    @F.pandas_udf(LAYER)
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = [None if t is None else json_scan(t, chosen) for t in texts]
+            yield pd.DataFrame({c: [None if r is None else r[c] for r in rows] for c in ("entries", "text", "cuts")})
 
-def _json(text: Column, given: dict) -> tuple[Column, Column]:
-    """Top-level members of the first JSON object; what stands behind it is the field json.__rest."""
-    whole = F.from_json(F.when(text.rlike(r"^\s*\{"), text), "map<string,string>")
-    fields = F.map_from_entries(F.transform(F.map_entries(whole), lambda e: F.struct(F.concat(F.lit("json."), e["key"]).alias("key"), e["value"].alias("value"))))
-    return fields, whole[given["text_field"]] if "text_field" in given else text
+    made = scan(F.when(text.rlike(r"^[ \t\n\r]*[\{\[]"), text))
+    return made
 
 
-def _kv(text: Column, given: dict) -> tuple[Column, Column]:
-    pairs = kv_pairs(text)
-    return F.when(F.size(pairs) > 0, entries(F.transform(pairs, lambda p: F.struct(F.concat(F.lit("kv."), p["k"]).alias("k"), p["v"].alias("v"))))), text
+PAIR = r"""([A-Za-z_][\w.\-]*+)(\s*+=\s*+)("[^"\n]*"|'[^'\n]*'|[^\s,;]++)|([A-Za-z_][\w.\-]*+)"""
 
 
-def _spaced(text: Column) -> Column:
+def kv_entries(text: Column, prefix: str = "") -> Column:
+    """key=value pairs with the places of their values, quotes left out; words that begin no pair are passed as a whole, so the work is linear."""
+    pieces = tiles(text, PAIR, "\x02$1\x02$2\x02$3\x02$4\x02")  # gap, key, sign, value, other word; and again
+    pair = lambda k, v: let(v["v"].rlike(r"(?s)^([\"']).*\1$") & (F.length(v["v"]) > 1), lambda q: F.struct(
+        F.concat(F.lit(prefix), k["v"]).alias("k"), F.when(q, F.substring(v["v"], F.lit(2), F.length(v["v"]) - 2)).otherwise(v["v"]).alias("v"), (v["s"] + q.cast("int")).alias("s"), (v["e"] - q.cast("int")).alias("e"),
+    ))
+    found = lambda ps: F.filter(F.sequence(F.lit(1), F.size(ps), F.lit(5)), lambda i: (i < F.size(ps)) & (F.coalesce(F.get(ps, i)["v"], F.lit("")) != ""))
+    return let(pieces, lambda ps: F.transform(found(ps), lambda i: pair(F.get(ps, i), F.get(ps, i + 2))))
+
+
+def _kv(text: Column, given: dict) -> Column:
+    return let(kv_entries(text, given.get("prefix", "kv") + "."), lambda pairs: F.when(F.size(pairs) > 0, layer_of(pairs)))
+
+
+def spaced_entries(text: Column, prefix: str) -> Column:
     """key=value pairs whose values run to the next key."""
-    parts = F.filter(F.split(text, r"[ \t](?=[\w.]+=)"), lambda p: F.instr(p, "=") > 0)
-    return F.transform(parts, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.regexp_replace(p, r"(?s)^[^=]*=", "").alias("v")))
+    pieces = tiles(text, r"(^|[ \t])([\w.]+)(=)", "\x02$1\x02$2\x02$3\x02")  # value before, blank, key, sign; and again
+    value = lambda v: F.struct(F.rtrim(v["v"]).alias("v"), v["s"].alias("s"), (v["s"] + F.length(F.rtrim(v["v"]))).alias("e"))
+    return let(pieces, lambda ps: F.transform(F.filter(F.sequence(F.lit(2), F.size(ps) + 2, F.lit(4)), lambda i: i < F.size(ps)), lambda i: let(value(F.get(ps, i + 2)), lambda v: entry(F.concat(F.lit(prefix), F.get(ps, i)["v"]), v))))
+
 
+def _header(kind: str, first: str, names: tuple[str, ...], text_from: str, part: str) -> Callable[[Column, dict], Column]:
+    pattern = "(?s)^" + first + rf"(\|)({part})" * (len(names) - 1) + r"(\|)(.*)$"
+    n = 2 * len(names) + 2  # mark, value and bar by turns, then the rest
 
-def _header(kind: str, pattern: str, names: tuple[str, ...], text_from: str) -> Callable[[Column, dict], tuple[Column, Column]]:
-    def layer(text: Column, given: dict) -> tuple[Column, Column]:
-        parts = groups(text, pattern, len(names) + 1)
-        head = F.arrays_zip(F.array(*[F.lit(f"{kind}.{n}") for n in names]).alias("k"), F.slice(parts, 1, len(names)).alias("v"))
-        head = F.transform(head, lambda p: F.struct(p["k"].alias("k"), F.regexp_replace(p["v"], r"\\([|\\])", "$1").alias("v")))
-        more = F.transform(_spaced(parts[len(names)]), lambda p: F.struct(F.concat(F.lit(f"{kind}."), p["k"]).alias("k"), p["v"].alias("v")))
-        fields = F.when(parts.isNotNull(), entries(F.concat(head, more)))
-        return fields, fields[f"{kind}.{given.get('text_field', text_from)}"]
+    def layer(text: Column, given: dict) -> Column:
+        chosen = names.index(given.get("text_field", text_from))
+
+        def made(t: Column) -> Column:
+            head = [entry(f"{kind}.{x}", F.struct(F.regexp_replace(t[2 * i + 1]["v"], r"\\([|\\])", "$1").alias("v"), t[2 * i + 1]["s"].alias("s"), t[2 * i + 1]["e"].alias("e"))) for i, x in enumerate(names)]
+            rest = t[n - 1]
+            more = F.transform(spaced_entries(rest["v"], f"{kind}."), lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"), (x["s"] + rest["s"]).alias("s"), (x["e"] + rest["s"]).alias("e")))
+            own = t[2 * chosen + 1]
+            plain = F.instr(own["v"], "\\") == 0
+            return layer_of(filled(F.concat(F.array(*head), more)), F.regexp_replace(own["v"], r"\\([|\\])", "$1"), F.when(plain, stretch(own)))
+
+        return let(whole_tiles(text, pattern, n), lambda t: F.when(t.isNotNull(), made(t)))
 
     return layer
 
 
-def _delimited(text: Column, given: dict) -> tuple[Column, Column]:
+def _delimited(text: Column, given: dict) -> Column:
     """Columns by the given names, or col_1, col_2 and so on."""
     by = given.get("delimiter", DELIMITERS[0])
-    values = F.transform(F.split(text, re.escape(by), -1), lambda v: F.trim(v))
-    names = F.array(*[F.lit(n) for n in given["columns"]]) if "columns" in given else F.transform(values, lambda v, i: F.concat(F.lit("col_"), i + 1))
+    names = F.array(*[F.lit(n) for n in given["columns"]]) if "columns" in given else F.array().cast("array<string>")
     least = len(given["columns"]) if "columns" in given else 2
-    pairs = F.transform(values, lambda v, i: F.struct(F.concat(F.lit("delimited."), F.coalesce(F.get(names, i), F.concat(F.lit("col_"), i + 1))).alias("k"), v.alias("v")))
-    fields = F.when(F.size(values) >= least, entries(pairs))
-    return fields, fields["delimited." + given["text_field"]] if "text_field" in given else text
-
-
-def _regex(text: Column, given: dict) -> tuple[Column, Column]:
-    """Named groups (?<name>...) of a pattern that is found anywhere."""
-    names = re.findall(r"\(\?<([A-Za-z]\w*)>", given["pattern"])
-    made = named([f"regex.{n}" for n in names], [F.regexp_extract(text, given["pattern"], i) for i in range(1, len(names) + 1)])
-    return F.when(text.rlike(given["pattern"]), made), text
-
-
-def _base64(text: Column, given: dict) -> tuple[Column, Column]:
+    one = lambda v, s, i: F.struct(
+        F.concat(F.lit("delimited."), F.coalesce(F.get(names, i), F.concat(F.lit("col_"), i + 1))).alias("k"), F.trim(v).alias("v"), (s + F.length(v) - F.length(F.ltrim(v))).alias("s"), (s + F.length(F.rtrim(v))).alias("e"),
+    )
+    entries = let(F.split(text, re.escape(by), -1), lambda vs: let(starts(vs, len(by)), lambda st: F.when(F.size(vs) >= least, F.transform(vs, lambda v, i: one(v, st[i], i)))))
+    own = lambda es: F.element_at(F.filter(es, lambda x: x["k"] == "delimited." + given["text_field"]), -1)
+    made = lambda es: layer_of(filled(es), own(es)["v"], stretch(own(es))) if "text_field" in given else layer_of(filled(es))
+    return let(entries, lambda es: F.when(es.isNotNull(), made(es)))
+
+
+def flat_groups(pattern: str) -> tuple[str, list[str | None]] | None:
+    """A pattern whose named groups lie side by side as one whose groups tile what it matches, with their names; None for other patterns."""
+    flags = re.match(r"\(\?[a-zA-Z]+\)", pattern)
+    at, depth, out, names, plain = flags.end() if flags else 0, 0, [], [], ""
+    own = ""
+    while at < len(pattern):
+        c = pattern[at]
+        step = 1
+        if c == "\\":
+            step = 2
+            if pattern[at + 1 : at + 2] in "123456789k":
+                return None
+        elif c == "[":
+            step = re.match(r"\[\^?\]?(?:\\.|[^\]\\])*\]", pattern[at:]).end()
+        elif c == "(":
+            named_ = re.match(r"\(\?<([A-Za-z]\w*)>", pattern[at:])
+            if named_ and depth:
+                return None
+            depth += 1
+            if named_:
+                out.append(f"({plain})")
+                names += None, named_[1]
+                plain, own, at = "", "(", at + named_.end()
+                continue
+            if not pattern.startswith("(?", at):
+                own, plain = (own + "(?:", plain) if own else (own, plain + "(?:")
+                at += 1
+                continue
+        elif c == ")":
+            depth -= 1
+            if own and not depth:
+                if pattern[at + 1 : at + 2] in tuple("*+?{"):
+                    return None
+                out.append(own + ")")
+                own, at = "", at + 1
+                continue
+        elif c == "|" and not depth:
+            return None
+        piece = pattern[at : at + step]
+        own, plain = (own + piece, plain) if own else (own, plain + piece)
+        at += step
+    return (flags[0] if flags else "") + "".join([*out, f"({plain})"]), [*names, None]
+
+
+def _regex(text: Column, given: dict) -> Column:
+    """Named groups (?<name>...) of a pattern that is found anywhere; groups inside others, optional ones and alternatives have no places."""
+    pattern = given["pattern"]
+    flat = flat_groups(pattern)
+    if flat is not None:
+        body, names = flat
+        flags = re.match(r"(?:\(\?[a-zA-Z]+\))?", body)
+        tiled = whole_tiles(text, f"{flags[0]}(?s)^(.*?){body[flags.end():]}(.*)$", len(names) + 2)
+        return let(tiled, lambda t: F.when(t.isNotNull(), layer_of(filled(F.array(*[entry(f"regex.{n}", t[i + 1]) for i, n in enumerate(names) if n])))))
+    none = F.lit(None).cast("int")
+    names = [(m[1], len(re.findall(r"(?<!\\)\((?!\?)|\(\?<[A-Za-z]", pattern[: m.start()])) + 1) for m in re.finditer(r"\(\?<([A-Za-z]\w*)>", pattern)]
+    made = [F.struct(F.lit(f"regex.{n}").alias("k"), F.regexp_extract(text, pattern, i).alias("v"), none.alias("s"), none.alias("e")) for n, i in names]
+    return F.when(text.rlike(pattern), layer_of(filled(F.array(*made).cast(ENTRIES))))
+
+
+def _base64(text: Column, given: dict) -> Column:
+    """The decoded text, whose parts have no places in the line."""
     raw = F.try_to_binary(F.trim(text), F.lit("base64"))
-    decoded = F.make_valid_utf8(raw.cast("string"))
-    return F.when(raw.isNotNull() & (F.length(text) > 0), named(["base64.length"], [F.length(raw).cast("string")])), decoded
+    size = F.array(F.struct(F.lit("base64.length").alias("k"), F.length(raw).cast("string").alias("v"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e")))
+    return F.when(raw.isNotNull() & (F.length(text) > 0), layer_of(size, F.make_valid_utf8(raw.cast("string"))))
 
 
-LAYERS: dict[str, Callable[[Column, dict], tuple[Column, Column]]] = {
+LAYERS: dict[str, Callable[[Column, dict], Column]] = {
     "syslog": _syslog, "json": _json, "kv": _kv, "delimited": _delimited, "regex": _regex, "base64": _base64,
-    "cef": _header("cef", r"(?s)^CEF:(\d+)" + r"\|((?:\\.|[^|\\])*)" * 6 + r"\|(.*)$", ("version", "vendor", "product", "device_version", "event_class", "name", "severity"), "name"),
-    "leef": _header("leef", r"(?s)^LEEF:([\d.]+)" + r"\|([^|]*)" * 4 + r"\|(.*)$", ("version", "vendor", "product", "product_version", "event_id"), "event_id"),
+    "cef": _header("cef", r"(CEF:)(\d+)", ("version", "vendor", "product", "device_version", "event_class", "name", "severity"), "name", r"(?:\\.|[^|\\])*+"),
+    "leef": _header("leef", r"(LEEF:)([\d.]+)", ("version", "vendor", "product", "product_version", "event_id"), "event_id", r"[^|]*+"),
 }
 
 
 def register_layer(kind: str, layer: Callable[[Column, dict], tuple[Column, Column]]) -> None:
-    """a parser of one's own for peel_by_contract: a column of texts and a contract's parameters to (fields, rest)."""
+    """a parser of one's own for peel_by_contract: a column of texts and a contract's parameters to (fields, rest).
+
+    fields is a map of texts, null where the parser doesn't apply; rest is the text for the next layer. Such values have no places.
+    """
     if kind in LAYERS:
         raise ValueError(f"layer {kind} is there already")
-    LAYERS[kind] = layer
+
+    def wrapped(text: Column, given: dict) -> Column:
+        fields, rest = layer(text, given)
+        none = F.lit(None).cast("int")
+        entries = F.transform(F.map_entries(fields), lambda x: F.struct(x["key"].alias("k"), x["value"].alias("v"), none.alias("s"), none.alias("e")))
+        return F.when(fields.isNotNull(), layer_of(filled(entries), rest, F.when(rest == text, F.array(F.struct(F.lit(0), F.lit(0)), F.struct(F.length(text), F.length(text))).cast(CUTS))))
+
+    LAYERS[kind] = wrapped
 
 
 def peel_by_contract(lines: DataFrame, contracts: tuple[Contract, ...], contract: str = "contract", line: str = "line", depth: int = MAX_DEPTH) -> DataFrame:
-    """Lines with fields (a map), text (what the last layer left), parse_path (an array) and error.
+    """Lines with fields and spans (maps of texts and of their (start, end) in the line), text (what the last layer left), offsets (its offset map), parse_path and error.
 
     A contract's layers are taken in order; an optional one that doesn't apply is skipped, another one ends
     the peeling with the reason, as does the depth. Later layers win a clash of names. Lines of no known
-    contract keep their text. Each step is one chain of branches over the contracts, without a shuffle.
+    contract keep their text. Contracts that have the same layer at a step share one branch; each layer's
+    result is a column of its own, so nothing is parsed twice. No shuffle.
     """
-    state = F.struct(F.create_map().cast("map<string,string>").alias("fields"), F.col(line).cast("string").alias("text"), F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("error"))
+    size = F.length(F.col(line).cast("string"))
+    state = F.struct(
+        F.array().cast(ENTRIES).alias("entries"), F.col(line).cast("string").alias("text"), F.array(F.struct(F.lit(0), F.lit(0)), F.struct(size, size)).cast(CUTS).alias("offsets"), F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("error"),
+    )
     out = lines.withColumn("__s", state)
+    now = F.col("__s")
     for step in range(max((len(c.layers) for c in contracts), default=0)):
-        chain = None
-        now = F.col("__s")
+        shared: dict[str, tuple[str, dict, dict[bool, list[str]]]] = {}
         for c in (c for c in contracts if step < len(c.layers)):
             kind, given, optional = c.layers[step]
-            failed = lambda why: F.struct(now["fields"].alias("fields"), now["text"].alias("text"), now["path"].alias("path"), F.lit(why).alias("error"))  # noqa: B023, E731
-            if step >= depth:
-                result = failed(f"layer depth over {depth}")
-            elif kind not in LAYERS:
-                result = failed(f"unknown envelope layer {kind}")
-            else:
-                fields, rest = LAYERS[kind](now["text"], given)
-                kept = F.map_filter(now["fields"], lambda k, v: ~F.coalesce(F.map_contains_key(fields, k), F.lit(False)))  # noqa: B023
-                taken = F.struct(F.map_concat(kept, fields).alias("fields"), F.coalesce(rest, now["text"]).alias("text"), F.concat(now["path"], F.array(F.lit(kind))).alias("path"), now["error"].alias("error"))
-                result = F.when(fields.isNotNull(), taken).otherwise(now if optional else failed(f"layer {kind} doesn't apply"))
-            hit = (F.col(contract) == c.id) & now["error"].isNull()
-            chain = F.when(hit, result) if chain is None else chain.when(hit, result)
-        out = out.withColumn("__s", chain.otherwise(now))
-    return out.withColumns({"fields": F.col("__s.fields"), "text": F.col("__s.text"), "parse_path": F.col("__s.path"), "error": F.col("__s.error")}).drop("__s")
+            shared.setdefault(f"{kind} {sorted(given.items())!r}", (kind, given, {}))[2].setdefault(optional, []).append(c.id)
+        failed = lambda why: F.struct(*[now[x].alias(x) for x in ("entries", "text", "offsets", "path")], F.lit(why).alias("error"))
+        chain = now
+        for i, (kind, given, users) in enumerate(shared.values()):
+            active = F.col(contract).isin([x for ids in users.values() for x in ids]) & now["error"].isNull()
+            if step >= depth or kind not in LAYERS:
+                chain = F.when(active, failed(f"layer depth over {depth}" if step >= depth else f"unknown envelope layer {kind}")).otherwise(chain)
+                continue
+            out = out.withColumn(f"__l{i}", held(LAYERS[kind](F.when(active, now["text"]), given)))
+            got = F.col(f"__l{i}")
+            lined = F.transform(got["entries"], lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"), placed(now["offsets"], x["s"]).alias("s"), placed(now["offsets"], x["e"]).alias("e")))
+            taken = F.struct(
+                F.concat(now["entries"], lined).alias("entries"), F.coalesce(got["text"], now["text"]).alias("text"), F.when(got["text"].isNull(), now["offsets"]).otherwise(composed(now["offsets"], got["cuts"])).alias("offsets"),
+                F.concat(now["path"], F.array(F.lit(kind))).alias("path"), now["error"].alias("error"),
+            )
+            lenient = F.col(contract).isin(users.get(True, []))
+            chain = F.when(active, F.when(got["entries"].isNotNull(), taken).when(lenient, now).otherwise(failed(f"layer {kind} doesn't apply"))).otherwise(chain)
+        out = out.withColumn("__s", held(chain)).drop(*[f"__l{i}" for i in range(len(shared))])
+    # of equal names the last one counts: sorted by name and place in the list, the last of each name stays
+    out = out.withColumn("__e", held(F.array_sort(F.transform(now["entries"], lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"), x["s"].alias("s"), x["e"].alias("e"))))))
+    last = F.filter("__e", lambda x, i: F.coalesce(F.get(F.col("__e"), i + 1)["k"] != x["k"], F.lit(True)))
+    return out.withColumn("__e", held(last)).withColumns({
+        "fields": held(F.map_from_entries(F.transform("__e", lambda x: F.struct(x["k"], x["v"])))),
+        "spans": held(F.map_from_entries(F.transform(F.filter("__e", lambda x: x["s"].isNotNull()), lambda x: F.struct(x["k"], F.struct(x["s"].alias("start"), x["e"].alias("end")))))),
+        "text": now["text"], "offsets": now["offsets"], "parse_path": now["path"], "error": now["error"],
+    }).drop("__s", "__e")
 
 
 # --- templates
 
-#: What a capture of each type may hold.
-CAPTURES = {"token": r"\S+", "string": r"\S+", "word": r"[\w.\-]+", "int": r"[+-]?\d+", "ip": r"(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f:]*:[0-9A-Fa-f:]+)", "rest": r".*", "quoted": r'"[^"]*"'}
+# What a capture of each type may hold; a quoted one stands between the quotes that the pattern writes.
+CAPTURES = {"token": r"\S+", "string": r"\S+", "word": r"[\w.\-]+", "int": r"[+-]?\d+", "ip": r"(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f:]*:[0-9A-Fa-f:.]+)", "rest": r".*", "quoted": r'[^"]*'}
 
 
-def compile_pattern(pattern: str) -> tuple[str, tuple[str, ...]]:
-    """The anchored expression of a template's pattern and the names of its captures, one group each; white space matches any run of it."""
-    out, names, at = [], [], 0
+def compile_pattern(pattern: str) -> tuple[str, tuple[str | None, ...]]:
+    """The anchored expression of a template's pattern, its groups tiling the text, and the name of each group's capture (None between captures); white space matches any run of it."""
+    out, names, at, gap = [], [], 0, ""
     literal = lambda text: re.sub(r"(?:\\?\s)+", r"\\s+", re.escape(text))
     for m in re.finditer(r"<([^<>]*)>", pattern):
-        out.append(literal(pattern[at : m.start()]))
+        gap += literal(pattern[at : m.start()])
         at = m.end()
         name, _, kind = m[1].partition(":")
         if m[1] == "*":
-            out.append(r"\S+")
+            gap += r"\S+"
         elif not re.fullmatch(r"[A-Za-z_]\w*", name) or (kind or "token") not in CAPTURES or name in names:
             raise ValueError(f"bad capture <{m[1]}>")
         else:
-            names.append(name)
-            out.append(f"({CAPTURES[kind or 'token']})")
+            names += None, name
+            out += f"({gap})", f"({CAPTURES[kind or 'token']})"
+            gap = ""
     rest = pattern[at:]
     if "<" in rest:
         raise ValueError("a capture isn't closed")
-    return "(?s)^" + "".join(out) + literal(rest) + "$", tuple(names)
+    return "(?s)^" + "".join([*out, f"({gap}{literal(rest)})"]) + "$", (*names, None)
+
+
+def expression(template: Template) -> tuple[str, tuple[str | None, ...]]:
+    """A template's anchored expression, its groups tiling the text, and their names."""
+    if not template.regex:
+        return compile_pattern(template.pattern)
+    flat = flat_groups(re.sub(r"^\^|(?<!\\)\$$", "", template.regex))
+    if flat is None:
+        raise ValueError(f"the named groups of {template.name} must lie side by side")
+    return f"^{flat[0]}$", tuple(flat[1])
+
+
+MATCH = f"struct<template: string, class_uid: int, activity_id: int, captures: {ENTRIES}>"
+
+
+def template_match(text: Column, template: Template) -> Column:
+    """A template's captures of a text it matches as a whole, else null."""
+    pattern, names = expression(template)
+    head = [F.lit(template.name).alias("template"), F.lit(template.class_uid).alias("class_uid"), F.lit(template.activity_id).alias("activity_id")]
+    return let(whole_tiles(text, pattern, len(names)), lambda t: F.when(t.isNotNull(), F.struct(*head, F.array(*[entry(n, t[i]) for i, n in enumerate(names) if n]).cast(ENTRIES).alias("captures")))).cast(MATCH)
 
 
 def extract_by_template(peeled: DataFrame, contracts: tuple[Contract, ...], contract: str = "contract", text: str = "text") -> DataFrame:
-    """The first template of a row's contract that matches its whole text: template, class_uid and captures (a map); null where none does."""
-    none = F.lit(None).cast("struct<template: string, class_uid: int, captures: map<string,string>>")
-    chain = None
+    """The first template of a row's contract that matches its whole text: template, class_uid, activity_id, captures (a map) and capture_spans, their places in the line; null where none does."""
+    chain = F.lit(None).cast(MATCH)
     for c in contracts:
-        own = none
-        for t in reversed(c.templates):
-            pattern, names = compile_pattern(t.pattern)
-            made = F.create_map(*[x for i, n in enumerate(names, 1) for x in (F.lit(n), F.regexp_extract(text, pattern, i))]).cast("map<string,string>")
-            own = F.when(F.col(text).rlike(pattern), F.struct(F.lit(t.name).alias("template"), F.lit(t.class_uid).alias("class_uid"), made.alias("captures"))).otherwise(own)
-        chain = F.when(F.col(contract) == c.id, own) if chain is None else chain.when(F.col(contract) == c.id, own)
-    out = peeled.withColumn("__m", none if chain is None else chain)
-    return out.withColumns({"template": F.col("__m.template"), "class_uid": F.col("__m.class_uid"), "captures": F.col("__m.captures")}).drop("__m")
+        own = [template_match(F.col(text), t) for t in c.templates]
+        if own:
+            chain = F.when(F.col(contract) == c.id, F.coalesce(*own)).otherwise(chain)
+    out = peeled.withColumn("__m", held(chain))
+    found = F.transform("__m.captures", lambda x: F.struct(x["k"], F.struct(placed(F.col("offsets"), x["s"]).alias("start"), placed(F.col("offsets"), x["e"]).alias("end"))))
+    return out.withColumns({
+        "template": F.col("__m.template"), "class_uid": F.col("__m.class_uid"), "activity_id": F.col("__m.activity_id"), "captures": held(F.map_from_entries(F.transform("__m.captures", lambda x: F.struct(x["k"], x["v"])))),
+        "capture_spans": held(F.map_from_entries(F.filter(found, lambda x: x["col2"]["start"].isNotNull()))),
+    }).drop("__m")
 
 
 # --- mapping
@@ -220,57 +508,101 @@ def coerced(value: Column, to: str) -> Column:
     if to == "int":
         return F.trim(value).try_cast("bigint").cast("string")
     if to == "ip":
-        parts = F.split(value, r"\.")
-        four = value.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & ~F.exists(parts, lambda x: x.cast("int") > 255)
-        six = value.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$") & ~value.rlike(r":::|::.*::|[0-9A-Fa-f]{5}")
-        return F.when(four, F.array_join(F.transform(parts, lambda x: x.cast("int").cast("string")), ".")).when(six, F.lower(value))
+        four = lambda v: v.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & ~F.exists(F.split(v, r"\."), lambda x: x.try_cast("int") > 255)
+        plain = lambda v: F.array_join(F.transform(F.split(v, r"\."), lambda x: x.try_cast("int").cast("string")), ".")
+        tail = F.substring_index(value, ":", -1)
+        head = F.when(F.instr(tail, ".") > 0, F.concat(F.substring(value, F.lit(1), F.length(value) - F.length(tail)), F.lit("0:0"))).otherwise(value)
+        groups = F.size(F.filter(F.split(head, ":"), lambda x: x != ""))
+        six = head.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$") & ~head.rlike(r":::|::.*::|[0-9A-Fa-f]{5}|^:[^:]|[^:]:$") & F.when(F.instr(head, "::") > 0, groups < 8).otherwise(groups == 8)
+        return F.when(four(value), plain(value)).when(six & ((F.instr(tail, ".") == 0) | four(tail)), F.lower(value))
     return value
 
 
-def map_rows(matched: DataFrame, contracts: tuple[Contract, ...], contract: str = "contract", line: str = "line", text: str = "text") -> DataFrame:
-    """Values (path to text), located (path to its byte span in the line), derived, missing and coercion_errors (arrays of paths).
+ROW = "struct<path: string, value: string, s: int, e: int, label: string, used: string, bad: boolean, lost: boolean>"
+
 
-    Each value is either located in the line or derived: const, vocab and ts values and such that aren't
-    found literally are derived. missing are a template's required paths without a value. Of several rows
-    for a path the first that gives a value counts.
+def map_rows(matched: DataFrame, contracts: tuple[Contract, ...], contract: str = "contract", line: str = "line", text: str = "text", received: str | None = None) -> DataFrame:
+    """Values (path to text), located (path to its byte span in the line), derived (path to what made it), used, unresolved, missing and coercion_errors (arrays).
+
+    A value is located if the bytes at its span are the value, else derived: consts, words of a vocabulary,
+    times, and such as were unescaped, changed by their type or decoded. unresolved are paths whose rows
+    find nothing, missing a template's required paths without a value, used the captures and fields that
+    gave a value. Of several rows for a path the first that gives a value counts. Times without a zone are the
+    contract's; those without a year need `received`, the column of arrivals.
     """
-    kinds = "array<struct<path: string, value: string, raw: string, located: boolean, bad: boolean>>"
-    rows, need = None, None
+    rows, need = F.array().cast(f"array<{ROW}>"), F.array().cast("array<string>")
+    captures, fields, none = F.col("captures"), F.col("fields"), F.lit(None).cast("int")
+    arrived = F.lit(None).cast("timestamp") if received is None else F.col(received)
     for c in contracts:
         made = []
         for r in c.rows:
-            raw = {"capture": F.col("captures")[r.ref], "field": F.col("fields")[r.ref], "const": F.lit(r.ref), "text": F.col(text)}.get(r.kind)
-            if r.kind in ("vocab", "ts"):
-                raw = F.coalesce(F.col("captures")[r.ref], F.col("fields")[r.ref])
-            if raw is None:
+            captured, known = captures[r.ref], fields[r.ref]
+            label, used = F.lit(r.kind if not r.ref or r.kind == "const" else f"{r.kind}:{r.ref}"), F.lit(None).cast("string")
+            s = e = none
+            if r.kind == "capture":
+                raw, used, span = captured, F.lit(f"capture:{r.ref}"), F.col("capture_spans")[r.ref]
+            elif r.kind == "field":
+                raw, used, span = known, F.lit(f"field:{r.ref}"), F.col("spans")[r.ref]
+            elif r.kind == "text":
+                raw, span = F.col(text), F.struct(placed(F.col("offsets"), F.lit(0)).alias("start"), placed(F.col("offsets"), F.length(text)).alias("end"))
+            elif r.kind in ("vocab", "ts"):
+                raw, span, used = F.coalesce(captured, known), None, F.when(captured.isNotNull(), F.lit(f"capture:{r.ref}")).otherwise(F.lit(f"field:{r.ref}"))
+            elif r.kind == "const":
+                raw, span = F.lit(r.ref), None
+            else:
                 raise ValueError(f"unknown kind {r.kind}")
+            if span is not None:
+                s, e = span["start"], span["end"]
             value = raw
             if r.kind == "vocab":
                 value = reduce(lambda other, kv: F.when(F.lower(raw) == kv[0].lower(), F.lit(kv[1])).otherwise(other), reversed(r.words), F.lit(None).cast("string"))  # noqa: B023
             elif r.kind == "ts":
-                value = F.unix_millis(F.try_to_timestamp(raw)).cast("string")
-            value = coerced(value, r.to)
+                found = time_of(raw, arrived, F.lit(c.tz), c.formats)
+                value, label = F.unix_millis(found["at"]).cast("string"), F.concat(F.lit("ts:"), F.coalesce(found["format"], F.lit("")))
+            typed = coerced(value, r.to)
             here = F.col("template").isNotNull() if r.template is None else F.col("template") == r.template
-            one = F.struct(F.lit(r.path).alias("path"), value.alias("value"), raw.alias("raw"), F.lit(r.kind in ("capture", "field", "text")).alias("located"), (raw.isNotNull() & (raw != "") & value.isNull()).alias("bad"))
+            bad = value.isNotNull() & (value != "") & typed.isNull()
+            one = F.struct(F.lit(r.path).alias("path"), typed.alias("value"), s.alias("s"), e.alias("e"), label.alias("label"), used.alias("used"), bad.alias("bad"), (F.coalesce(value, F.lit("")) == "").alias("lost")).cast(ROW)
             made.append(F.when(F.coalesce(here, F.lit(False)), one))
-        own = F.array_compact(F.array(*made)).cast(kinds) if made else F.array().cast(kinds)
-        wanted = F.lit(None).cast("array<string>")
-        for t in c.templates:
-            wanted = F.when(F.col("template") == t.name, F.array(*[F.lit(x) for x in t.required]).cast("array<string>")).otherwise(wanted)
-        rows = F.when(F.col(contract) == c.id, own) if rows is None else rows.when(F.col(contract) == c.id, own)
-        need = F.when(F.col(contract) == c.id, wanted) if need is None else need.when(F.col(contract) == c.id, wanted)
-    out = matched.withColumn("__r", F.coalesce(rows, F.array().cast(kinds))).withColumn("__need", F.coalesce(need, F.array().cast("array<string>")))
+        own = F.col(contract) == c.id
+        if made:
+            rows = F.when(own, F.array_compact(F.array(*made))).otherwise(rows)
+        for t in (t for t in c.templates if t.required):
+            need = F.when(own & (F.col("template") == t.name), F.array(*[F.lit(x) for x in t.required])).otherwise(need)
+    out = matched.withColumn("__r", held(rows)).withColumn("__need", held(need))
     good = F.filter("__r", lambda x: x["value"].isNotNull() & (x["value"] != ""))
-    out = out.withColumn("__v", F.filter(good, lambda x, i: ~F.exists(F.slice(good, F.lit(1), i), lambda y: y["path"] == x["path"])))
-    found = lambda x: x["located"] & (F.instr(F.col(line), x["raw"]) > 0) & (x["raw"] == x["value"])
-    span = lambda x: F.octet_length(F.substring(F.col(line), F.lit(1), F.instr(F.col(line), x["raw"]) - 1))
-    return out.withColumns({
-        "values": F.map_from_entries(F.transform("__v", lambda x: F.struct(x["path"], x["value"]))),
-        "located": F.map_from_entries(F.transform(F.filter("__v", found), lambda x: F.struct(x["path"], F.struct(span(x).alias("start"), (span(x) + F.octet_length(x["raw"])).alias("end"))))),
-        "derived": F.array_sort(F.transform(F.filter("__v", lambda x: ~found(x)), lambda x: x["path"])),
-        "coercion_errors": F.array_sort(F.array_distinct(F.transform(F.filter("__r", lambda x: x["bad"]), lambda x: x["path"]))),
+    out = out.withColumn("__g", held(good))
+    out = out.withColumn("__v", held(F.filter("__g", lambda x, i: ~F.exists(F.slice(F.col("__g"), F.lit(1), i), lambda y: y["path"] == x["path"]))))
+    bytes_to = lambda at: F.octet_length(F.substring(F.col(line), F.lit(1), at))
+    spanned = F.transform("__v", lambda x: F.struct(x["path"].alias("path"), x["value"].alias("value"), x["label"].alias("label"), F.when(F.substring(F.col(line), x["s"] + 1, x["e"] - x["s"]) == x["value"], F.struct(bytes_to(x["s"]).alias("start"), bytes_to(x["e"]).alias("end"))).alias("span")))
+    out = out.withColumn("__p", held(spanned))
+    paths = lambda keep: F.array_sort(F.array_distinct(F.transform(F.filter("__r", keep), lambda x: x["path"])))
+    return out.withColumns({name: held(made) for name, made in {
+        "values": F.map_from_entries(F.transform("__p", lambda x: F.struct(x["path"], x["value"]))),
+        "located": F.map_from_entries(F.transform(F.filter("__p", lambda x: x["span"].isNotNull()), lambda x: F.struct(x["path"], x["span"]))),
+        "derived": F.map_from_entries(F.transform(F.filter("__p", lambda x: x["span"].isNull()), lambda x: F.struct(x["path"], x["label"]))),
+        "used": F.array_distinct(F.array_compact(F.transform("__g", lambda x: x["used"]))),
+        "unresolved": F.array_except(paths(lambda x: x["lost"]), F.transform("__v", lambda x: x["path"])),
+        "coercion_errors": paths(lambda x: x["bad"]),
         "missing": F.filter("__need", lambda p: ~F.exists("__v", lambda x: x["path"] == p)),
-    }).drop("__r", "__v", "__need")
+    }.items()}).drop("__r", "__g", "__v", "__p", "__need")
+
+
+def provenance_check(mapped: DataFrame, key: str, line: str = "line") -> DataFrame:
+    """One row per claim (key, path, ok, reason): the bytes at a located path's span are its value, and every value is located or derived.
+
+    Works on map_rows' output or any table with values, located and derived; spans are of bytes. A line is read as UTF-8.
+    """
+    raw = F.col(line).cast("binary")
+    claims = mapped.select(key, raw.alias("__raw"), "located", "derived", F.explode("values").alias("path", "value"))
+    span = F.try_element_at("located", "path")
+    inside = (span["start"] >= 0) & (span["start"] <= span["end"]) & (span["end"] <= F.length("__raw"))
+    cut = F.substring(F.col("__raw"), span["start"] + 1, span["end"] - span["start"])
+    reason = (
+        F.when(span.isNull(), F.when(~F.map_contains_key("derived", F.col("path")), "neither located nor derived")).when(~F.coalesce(inside, F.lit(False)), "span outside the line")
+        .when(cut != F.col("value").cast("binary"), "span cuts another value")
+    )
+    return claims.select(key, "path", reason.isNull().alias("ok"), reason.alias("reason"))
 
 
 def observables(events: DataFrame, key: str, values: str = "values") -> DataFrame:
@@ -285,52 +617,98 @@ def observables(events: DataFrame, key: str, values: str = "values") -> DataFram
 CONTRACTS = (
     Contract(
         "auth", (("syslog", {}, False),),
-        (Template("failed", "user=<who:word> FAILED login from <from_ip:ip> via <gate:ip> attempts:<tries:int>", 3002, ("user.name", "src_endpoint.ip", "time")), Template("other", "user=<who:word> <word> login <*> <tail:rest>", 3001, ("user.name",))),
+        (Template("failed", "user=<who:word> FAILED login from <from_ip:ip> via <gate:ip> attempts:<tries:int>", 3002, ("user.name", "src_endpoint.ip", "time"), 1), Template("other", "user=<who:word> <word> login <*> <tail:rest>", 3002, ("user.name",), 1)),
         (MapRow("user.name", "capture", "who"), MapRow("src_endpoint.ip", "capture", "from_ip", "ip", "failed"), MapRow("unmapped.attempts", "capture", "tries", "int", "failed"), MapRow("status_id", "const", "2", "int", "failed"),
          MapRow("status_id", "vocab", "word", "int", "other", (("ok", "1"), ("failed", "2"))), MapRow("device.hostname", "field", "syslog.host"), MapRow("message", "text")),
     ),
     Contract(
         "gate", (("syslog", {}, True), ("json", {"text_field": "msg"}, False), ("kv", {}, True)),
-        (Template("json", "action=<action:word> port=<port:int>", 4001, ("dst_endpoint.port", "time")),),
-        (MapRow("dst_endpoint.port", "capture", "port", "int"), MapRow("device.hostname", "field", "json.host"), MapRow("action_id", "vocab", "action", "int", None, (("allow", "1"), ("deny", "2"))), MapRow("src_endpoint.ip", "field", "json.ip", "ip"), MapRow("time", "ts", "json.at")),
+        (Template("json", 'say "<word:quoted>" action=<action:word> port=<port:int>', 4001, ("dst_endpoint.port", "time"), 6),),
+        (MapRow("dst_endpoint.port", "capture", "port", "int"), MapRow("device.hostname", "field", "json.host"), MapRow("status_id", "vocab", "action", "int", None, (("allow", "1"), ("deny", "7"))), MapRow("src_endpoint.ip", "field", "json.ip", "ip"),
+         MapRow("user.name", "capture", "word"), MapRow("unmapped.n", "field", "json.n[0].p"), MapRow("time", "ts", "json.at")),
+        "Asia/Kolkata",
     ),
     Contract("deep", (("syslog", {}, False), ("kv", {}, True), ("kv", {}, True), ("kv", {}, True), ("kv", {}, True))),
 )
-_OF = "case event_id % 5 when 0 then 'gate' when 1 then 'deep' when 2 then 'nobody' else 'auth' end as contract"
-_SENT = """case event_id % 5
- when 0 then concat('{"host":"h', user_id, '","ip":"', case when event_id % 3 = 0 then '300.1.1.1' else '10.0.0.1' end, '","at":"2026-01-02 03:04:05","msg":"action=', case when event_id % 2 = 0 then 'deny' else 'allow' end, ' port=', event_id % 1000, '"} tail')
- when 3 then concat('plain ', event_id) else line end as line"""
+#: What lies where in SENT, by event_id % 7: JSON under contract gate, four kv layers, no contract, no syslog header, the log's own line, no line, and broken JSON.
+OF = "case event_id % 7 when 0 then 'gate' when 6 then 'gate' when 1 then 'deep' when 2 then 'nobody' else 'auth' end as contract"
+SENT = """case event_id % 7
+ when 0 then concat('{"host":"h', user_id, '","é":"ü","ip":"', case when event_id % 3 = 0 then '300.1.1.1' else '10.0.0.1' end, '","at":"2026-01-02 03:04:05","n":[{"p":', event_id % 10, '}],"msg":"say ', chr(92), '"hé ', user_id, chr(92), '" action=',
+  case when event_id % 2 = 0 then 'deny' else 'allow' end, ' port=', event_id % 1000, '"} tail')
+ when 3 then concat('plain ', event_id) when 5 then null when 6 then '{"host":' else line end as line"""
+
+
+def sent(s: SparkSession, d: str) -> DataFrame:
+    return log_view(s, d).selectExpr("event_uid", "event_id", "received_time", OF, SENT)
 
 
 def _peeled(s: SparkSession, d: str) -> DataFrame:
-    return peel_by_contract(log_view(s, d).selectExpr("event_uid", _OF, _SENT), CONTRACTS)
+    return peel_by_contract(sent(s, d), CONTRACTS)
 
 
 def _mapped(s: SparkSession, d: str) -> DataFrame:
-    return map_rows(extract_by_template(_peeled(s, d), CONTRACTS), CONTRACTS)
+    return map_rows(extract_by_template(_peeled(s, d), CONTRACTS), CONTRACTS, received="received_time")
+
+
+def _bracketed(text: Column, given: dict) -> tuple[Column, Column]:
+    """A parser of one's own: [name] before the text."""
+    hit = text.rlike(r"^\[\w+\] ")
+    return F.when(hit, F.create_map(F.lit("bracket.name"), F.regexp_extract(text, r"^\[(\w+)\] ", 1))), F.regexp_replace(text, r"^\[\w+\] ", "")
+
+
+def own_layer(s: SparkSession, d: str) -> DataFrame:
+    """lines that begin with a bracketed name, read by a registered parser before the key-value layer."""
+    if "bracketed" not in LAYERS:
+        register_layer("bracketed", _bracketed)
+    lines = log_view(s, d).selectExpr("event_uid", "'own' as contract", "concat(case when event_id % 3 = 0 then '' else '[app] ' end, 'user=u', user_id, ' n=', event_id) as line")
+    got = peel_by_contract(lines, (Contract("own", (("bracketed", {}, False), ("kv", {}, False))),))
+    return got.select("event_uid", "error", F.col("fields")["bracket.name"].alias("name"), F.col("fields")["kv.n"].alias("n"), F.map_contains_key("spans", F.lit("kv.n")).alias("located"))
 
 
+_PATHS = ("user.name", "src_endpoint.ip", "dst_endpoint.port", "status_id", "time", "unmapped.n", "device.hostname")
+_LOCATED = ("user.name", "src_endpoint.ip", "dst_endpoint.port", "unmapped.n", "device.hostname", "message")
 QUERIES = {
-    "peel_by_contract": lambda s, d: _peeled(s, d).select("event_uid", F.array_join("parse_path", ">").alias("parse_path"), "error", F.size("fields").alias("n_fields"), F.coalesce(F.col("fields")["syslog.host"], F.col("fields")["json.host"]).alias("host"), "text"),
-    "extract_by_template": lambda s, d: extract_by_template(_peeled(s, d), CONTRACTS).select("event_uid", "template", "class_uid", F.col("captures")["who"].alias("who"), F.col("captures")["port"].alias("port")),
+    "peel_by_contract": lambda s, d: _peeled(s, d).select("event_uid", F.array_join("parse_path", ">").alias("parse_path"), "error", F.size("fields").alias("n_fields"), F.coalesce(F.col("fields")["syslog.host"], F.col("fields")["json.host"]).alias("host"), "text",
+        *[F.col("spans")[k][e].alias(f"{n}_{e}") for k, n in (("syslog.host", "host"), ("kv.port", "port"), ("json.__rest", "rest")) for e in ("start", "end")]),
+    "extract_by_template": lambda s, d: extract_by_template(_peeled(s, d), CONTRACTS).select("event_uid", "template", "class_uid", F.col("captures")["who"].alias("who"), F.col("captures")["port"].alias("port"), F.col("captures")["word"].alias("word"), F.col("capture_spans")["word"]["start"].alias("word_start"), F.col("capture_spans")["tail"]["start"].alias("tail_start")),
     "map_rows": lambda s, d: _mapped(s, d).select(
-        "event_uid", *[F.col("values")[p].alias(p.replace(".", "_")) for p in ("user.name", "src_endpoint.ip", "dst_endpoint.port", "status_id", "action_id", "time")],
-        *[F.array_join(c, ",").alias(c) for c in ("derived", "missing", "coercion_errors")], (F.col("located")["user.name"]["end"] - F.col("located")["user.name"]["start"]).alias("user_bytes"),
+        "event_uid", *[F.col("values")[p].alias(p.replace(".", "_")) for p in _PATHS], F.array_join(F.array_sort(F.map_keys("derived")), ",").alias("derived"), *[F.array_join(c, ",").alias(c) for c in ("unresolved", "missing", "coercion_errors")],
+        *[F.col("located")[p][e].alias(f"{p.replace('.', '_')}_{e}") for p in _LOCATED for e in ("start", "end")],
     ),
+    "provenance_check": lambda s, d: provenance_check(_mapped(s, d).withColumn("located", F.expr("case when event_id % 161 = 4 then map('user.name', struct(1 as start, 3 as end)) when event_id % 161 = 7 then map_filter(located, (k, v) -> k <> 'user.name') else located end")), "event_uid").groupBy("path", "ok", "reason").agg(F.count("*").alias("n")),
     "contract_observables": lambda s, d: observables(_mapped(s, d), "event_uid"),
+    "own_layer": own_layer,
 }
 
-_Q = f"""{LOG}, q as (select *, event_id % 5 as k, regexp_extract(line, '^<[0-9]+>.{{15}} [^ ]+ app.[0-9]+.: (.*)$', 1) as body, event_id % 4 = 2 as failed from log),
- m as (select *, case when k = 0 then 'json' when k = 4 then case when failed then 'failed' else 'other' end end as t from q)"""
+#: Common table expressions: q with the sent lines, m with the template t of each.
+LINES_SQL = f"""{LOG}, q as (select * exclude (line, contract_ref), line as logged, {OF}, {SENT}, event_id % 7 as k, event_id % 4 = 2 as failed, regexp_extract(line, '^<[0-9]+>.{{15}} [^ ]+ app.[0-9]+.: (.*)$', 1) as body from log),
+ m as (select *, case when k = 0 then 'json' when k = 4 then case when failed then 'failed' else 'other' end end as t, concat('10.0.', user_id % 256, '.', event_id % 256) as src from q)"""
+_AT = lambda what: f"strlen(left(line, instr(line, {what}) - 1))"
+_SPAN = lambda name, when, lead, value: f"case when {when} then ({_AT(lead)} + strlen({lead}))::int end as {name}_start, case when {when} then ({_AT(lead)} + strlen({lead}) + strlen({value}))::int end as {name}_end"
+_CHARS = lambda lead: f"instr(line, {lead}) - 1 + length({lead})"
+_HOST = "case when k in (1, 4) then concat('host-', user_id % 20) when k = 0 then concat('h', user_id) end"
+_CLAIMS = f"""select event_uid, event_id, unnest(case t when 'json' then ['dst_endpoint.port', 'device.hostname', 'status_id', 'user.name', 'unmapped.n', 'time'] when 'failed' then ['user.name', 'src_endpoint.ip', 'unmapped.attempts', 'status_id', 'device.hostname', 'message']
+ when 'other' then ['user.name', 'status_id', 'device.hostname', 'message'] else [] end) as path from m union all select event_uid, event_id, 'src_endpoint.ip' from m where t = 'json' and event_id % 3 <> 0"""
 ORACLES = {
-    "peel_by_contract": f"""{_Q} select event_uid, case k when 0 then 'json>kv' when 1 then 'syslog>kv>kv>kv' when 4 then 'syslog' else '' end as parse_path, case k when 1 then 'layer depth over 4' when 3 then 'layer syslog doesn''t apply' end as error,
- (case k when 0 then 6 when 1 then 6 when 4 then 5 else 0 end)::int as n_fields, case k when 0 then concat('h', user_id) when 2 then null when 3 then null else concat('host-', user_id % 20) end as host,
- case k when 0 then concat('action=', case when event_id % 2 = 0 then 'deny' else 'allow' end, ' port=', event_id % 1000) when 2 then line when 3 then concat('plain ', event_id) else body end as text from q""",
-    "extract_by_template": f"""{_Q} select event_uid, t as template, (case t when 'json' then 4001 when 'failed' then 3002 when 'other' then 3001 end)::int as class_uid, case when k = 4 then concat('u', user_id) end as who, case when k = 0 then (event_id % 1000)::varchar end as port from m""",
-    "map_rows": f"""{_Q} select event_uid, case when k = 4 then concat('u', user_id) end as user_name, case when t = 'failed' then concat('10.0.', user_id % 256, '.', event_id % 256) when k = 0 and event_id % 3 <> 0 then '10.0.0.1' end as src_endpoint_ip,
- case when k = 0 then (event_id % 1000)::varchar end as dst_endpoint_port, case t when 'failed' then '2' when 'other' then '1' end as status_id, case when k = 0 then case when event_id % 2 = 0 then '2' else '1' end end as action_id,
- case when k = 0 then (epoch(timestamp '2026-01-02 03:04:05') * 1000)::bigint::varchar end as time, case when t is null then '' when k = 0 then 'action_id,time' else 'status_id' end as derived, case t when 'failed' then 'time' else '' end as missing,
- case when k = 0 and event_id % 3 = 0 then 'src_endpoint.ip' else '' end as coercion_errors, case when k = 4 then length(user_id::varchar)::int + 1 end as user_bytes from m""",
-    "contract_observables": f"""{_Q} select event_uid, 'ip_1' as name, case when k = 0 then '10.0.0.1' else concat('10.0.', user_id % 256, '.', event_id % 256) end as value, 'from:src_endpoint.ip' as label from m where t = 'failed' or (k = 0 and event_id % 3 <> 0)
- union all select event_uid, 'user', concat('u', user_id), 'from:user.name' from m where k = 4 union all select event_uid, 'host_1', case when k = 0 then concat('h', user_id) else concat('host-', user_id % 20) end, 'from:device.hostname' from m where k in (0, 4)""",
+    "peel_by_contract": f"""{LINES_SQL} select event_uid, case k when 0 then 'json>kv' when 1 then 'syslog>kv>kv>kv' when 4 then 'syslog' else '' end as parse_path, case k when 1 then 'layer depth over 4' when 3 then 'layer syslog doesn''t apply' when 5 then 'layer syslog doesn''t apply' when 6 then 'layer json doesn''t apply' end as error,
+ (case k when 0 then 9 when 1 then 8 when 4 then 7 else 0 end)::int as n_fields, {_HOST} as host,
+ case when k = 0 then concat('say "hé ', user_id, '" action=', case when event_id % 2 = 0 then 'deny' else 'allow' end, ' port=', event_id % 1000) when k in (1, 4) then body else line end as text,
+ case when k in (1, 4) then ({_CHARS("'00:00:00 '")})::int end as host_start, case when k in (1, 4) then ({_CHARS("'00:00:00 '")} + length(concat('host-', user_id % 20)))::int end as host_end,
+ case when k = 0 then ({_CHARS("' port='")})::int end as port_start, case when k = 0 then ({_CHARS("' port='")} + length((event_id % 1000)::varchar))::int end as port_end,
+ case when k = 0 then (length(line) - 4)::int end as rest_start, case when k = 0 then length(line)::int end as rest_end from q""",
+    "extract_by_template": f"""{LINES_SQL} select event_uid, t as template, (case when t = 'json' then 4001 when t is not null then 3002 end)::int as class_uid, case when k = 4 then concat('u', user_id) end as who, case when k = 0 then (event_id % 1000)::varchar end as port,
+ case when k = 0 then concat('hé ', user_id) when t = 'other' then 'OK' end as word, (case when k = 0 then {_CHARS("concat('say ', chr(92), '\"')")} when t = 'other' then {_CHARS("concat('user=u', user_id, ' ')")} end)::int as word_start, (case when t = 'other' then {_CHARS("'login from '")} end)::int as tail_start from m""",
+    "map_rows": f"""{LINES_SQL} select event_uid, case when k = 4 then concat('u', user_id) when k = 0 then concat('hé ', user_id) end as user_name, case when t = 'failed' then src when k = 0 and event_id % 3 <> 0 then '10.0.0.1' end as src_endpoint_ip,
+ case when k = 0 then (event_id % 1000)::varchar end as dst_endpoint_port, case t when 'failed' then '2' when 'other' then '1' when 'json' then case when event_id % 2 = 0 then '7' else '1' end end as status_id,
+ case when k = 0 then ((epoch(timestamp '2026-01-02 03:04:05')::bigint - 19800) * 1000)::varchar end as time, case when k = 0 then (event_id % 10)::varchar end as unmapped_n, case when k = 1 then null else {_HOST} end as device_hostname,
+ case when t is null then '' when k = 0 then 'status_id,time' else 'status_id' end as derived, '' as unresolved, case t when 'failed' then 'time' else '' end as missing, case when k = 0 and event_id % 3 = 0 then 'src_endpoint.ip' else '' end as coercion_errors,
+ {_SPAN("user_name", "k in (0, 4)", "case when k = 4 then ': user=' else concat('say ', chr(92), '\"') end", "case when k = 4 then concat('u', user_id) else concat('hé ', user_id) end")},
+ {_SPAN("src_endpoint_ip", "t = 'failed' or (k = 0 and event_id % 3 <> 0)", "case when k = 4 then 'login from ' else '\"ip\":\"' end", "case when k = 4 then src else '10.0.0.1' end")},
+ {_SPAN("dst_endpoint_port", "k = 0", "' port='", "(event_id % 1000)::varchar")}, {_SPAN("unmapped_n", "k = 0", "'\"p\":'", "(event_id % 10)::varchar")},
+ {_SPAN("device_hostname", "k in (0, 4)", "case when k = 4 then '00:00:00 ' else '\"host\":\"' end", _HOST)}, {_SPAN("message", "k = 4", "concat('app[', event_id, ']: ')", "body")} from m""",
+    "provenance_check": f"""{LINES_SQL}, c as ({_CLAIMS}), r as (select path, case when path = 'user.name' and event_id % 161 = 4 then 'span cuts another value' when path = 'user.name' and event_id % 161 = 7 then 'neither located nor derived'
+ when event_id % 161 = 4 and path in ('src_endpoint.ip', 'unmapped.attempts', 'device.hostname', 'message') then 'neither located nor derived' end as reason from c) select path, reason is null as ok, reason, count(*) as n from r group by all""",
+    "contract_observables": f"""{LINES_SQL} select event_uid, 'ip_1' as name, case when k = 0 then '10.0.0.1' else src end as value, 'from:src_endpoint.ip' as label from m where t = 'failed' or (k = 0 and event_id % 3 <> 0)
+ union all select event_uid, 'user', case when k = 4 then concat('u', user_id) else concat('hé ', user_id) end, 'from:user.name' from m where k in (0, 4) union all select event_uid, 'host_1', {_HOST}, 'from:device.hostname' from m where k in (0, 4)""",
+    "own_layer": f"""{LOG} select event_uid, case when event_id % 3 = 0 then 'layer bracketed doesn''t apply' end as error, case when event_id % 3 <> 0 then 'app' end as name, case when event_id % 3 <> 0 then event_id::varchar end as n, false as located from log""",
 }

@@ -31,14 +31,6 @@ VALUE = r"""("[^"\n]*"|'[^'\n]*'|[^\s,;]+)"""
 def any_word(words: tuple[str, ...]) -> str:
     return r"(?i)\b(?:" + "|".join(words) + r")\b"
 
-#: (contract, order, template, pattern, captures, class_uid); the first that matches wins.
-TEMPLATES = (
-    ("auth", 1, "failed", r"^user=(\w+) FAILED login from (\S+) via (\S+) attempts:(\d+)$", ("user", "src", "via", "attempts"), 3002),
-    ("auth", 2, "ok", r"^user=(\w+) OK login from (\S+) via (\S+) attempts:([0-3])$", ("user", "src", "via", "attempts"), 3002),
-    ("auth", 3, "any", r"^user=(\w+) (?:OK|FAILED) login (.*)$", ("user", "rest"), 3001),
-)
-
-
 def groups(text: str | Column, pattern: str, n: int) -> Column:
     """All n groups of a pattern that matches a whole text, by one pass; null where it doesn't match. The last one may hold anything."""
     text = F.col(text) if isinstance(text, str) else text
@@ -132,62 +124,6 @@ def regex_fields(lines: DataFrame, key: str, line: str, patterns: dict[str, str]
     return lines.select(key, F.explode(hits).alias("h")).select(key, "h.pattern", "h.value")
 
 
-def match_templates(lines: DataFrame, body: str = "body", templates=TEMPLATES) -> DataFrame:
-    """The first template whose whole pattern matches, with its captures. A chain of literal patterns, no shuffle."""
-    chosen, class_uid, captures = F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("map<string,string>")
-    for _, _, name, pattern, names, uid in reversed(templates):
-        hit = F.col(body).rlike(pattern)
-        made = F.create_map(*[x for i, n in enumerate(names, 1) for x in (F.lit(n), F.regexp_extract(body, pattern, i))])
-        chosen, class_uid, captures = F.when(hit, name).otherwise(chosen), F.when(hit, uid).otherwise(class_uid), F.when(hit, made).otherwise(captures)
-    return lines.withColumns({"template": chosen, "template_class": class_uid, "captures": captures})
-
-
-def template_overlap(lines: DataFrame, body: str = "body", templates=TEMPLATES) -> DataFrame:
-    """How often a later template would have matched a line that an earlier one takes."""
-    hits = F.array_compact(F.array(*[F.when(F.col(body).rlike(p), F.lit(n)) for _, _, n, p, _, _ in templates]))
-    pairs = lines.select(hits.alias("hits")).where(F.size("hits") > 1)
-    return pairs.select(F.element_at("hits", 1).alias("winner"), F.explode(F.slice("hits", F.lit(2), F.size("hits"))).alias("shadowed")).groupBy("winner", "shadowed").agg(F.count("*").alias("n"))
-
-
-def map_fields(matched: DataFrame) -> DataFrame:
-    """Mapped paths of matched lines; what can't be converted or is missing is reported by path."""
-    src, attempts = F.col("captures")["src"], F.col("captures")["attempts"]
-    valid = src.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & ~F.exists(F.split(src, r"\."), lambda x: x.try_cast("int") > 255)
-    out = matched.withColumns({"user_name": F.col("captures")["user"], "src_ip": F.when(valid, src), "attempts": attempts.try_cast("int"), "status_id": F.when(F.col("template") == "failed", 2).when(F.col("template") == "ok", 1)})
-    missing = F.array_compact(F.array(*[F.when(F.col("template").isNotNull() & F.col(c).isNull(), F.lit(p)) for c, p in (("src_ip", "src_endpoint.ip"), ("attempts", "unmapped.attempts"), ("status_id", "status_id"))]))
-    return out.withColumn("missing", missing)
-
-
-def assign_tier(mapped: DataFrame) -> DataFrame:
-    """1 all there, 2 a template but something missing, 3 no template, 4 no text; with the reason."""
-    tier = F.when(F.coalesce(F.length("body"), F.lit(0)) == 0, 4).when(F.col("template").isNull(), 3).when(F.size("missing") > 0, 2).otherwise(1)
-    reason = F.when(tier == 4, "empty").when(tier == 3, "no_template_match").when(tier == 2, F.concat(F.lit("required_missing:"), F.array_join("missing", ",")))
-    return mapped.withColumn("got_tier", tier).withColumn("reason", reason)
-
-
-def validate_events(mapped: DataFrame) -> DataFrame:
-    """Rule violations of a mapped event."""
-    rules = {"status_id": F.coalesce(F.col("status_id"), F.lit(0)).isin(0, 1, 2), "attempts_range": F.coalesce(F.col("attempts"), F.lit(0)).between(0, 3), "class_uid": F.col("template_class").isin(3001, 3002)}
-    return mapped.withColumn("errors", F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in rules.items()])))
-
-
-def assemble_event(mapped: DataFrame) -> DataFrame:
-    """The event with defaults; mapped values win."""
-    cls = F.coalesce(F.col("template_class"), F.lit(0))
-    return mapped.select("event_uid", F.struct(cls.alias("class_uid"), F.floor(cls / 1000).cast("int").alias("category_uid"), (cls * 100 + F.coalesce("status_id", F.lit(0))).alias("type_uid"), F.lit(1).alias("severity_id"), F.col("body").alias("message")).alias("event"))
-
-
-def observables_of(mapped: DataFrame) -> DataFrame:
-    """Numbered observables of the mapped paths."""
-    found = F.array_compact(F.array(F.when(F.col("src_ip").isNotNull(), F.struct(F.lit("ip_1").alias("name"), F.col("src_ip").alias("value"))), F.when(F.col("user_name").isNotNull(), F.struct(F.lit("user").alias("name"), F.col("user_name").alias("value"))), F.when(F.col("host").isNotNull(), F.struct(F.lit("host_1").alias("name"), F.col("host").alias("value")))))
-    return mapped.select("event_uid", F.inline(found))
-
-
-def unmapped_of(mapped: DataFrame) -> DataFrame:
-    """Captures that no path consumed."""
-    return mapped.select("event_uid", F.explode(F.map_filter("captures", lambda k, v: ~k.isin("user", "src", "attempts"))).alias("name", "value"))
-
-
 # How times are written, tried in this order: (guard, pattern, what it lacks).
 FORMATS = (
     (r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{1,6}(?:Z|[+-]\d\d:\d\d)$", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", ""),
@@ -206,29 +142,35 @@ FORMATS = (
 )
 
 
-def event_time(rows: DataFrame, text: str, received: str, tz: str | Column = "UTC", formats: tuple = ()) -> DataFrame:
-    """event_time, its epoch_ms, time_source, time_format, tz_assumed, year_inferred and skew_s, the seconds from event to arrival.
+def time_of(text: str | Column, arrived: Column, zone: Column, formats: tuple = ()) -> Column:
+    """(at, format, lacks) of a written time, null if it fits none; contract formats come first, then FORMATS.
 
-    Contract formats come first, then FORMATS; an offset in the text wins over tz (a name, or a column of
-    names). A time without a year takes the arrival's, one less if that is over a day ahead. What fits no
-    format takes the arrival. Guards keep texts of other shapes from the date parser.
+    An offset in the text wins over the zone (a column of names), never the session's. A time without a year takes the
+    arrival's, one less if that is over a day ahead. Guards keep texts of other shapes from the date parser.
     """
-    zone = F.lit(tz) if isinstance(tz, str) else tz
     value = F.regexp_replace(F.trim(text), " +", " ")
-    arrived = F.col(received).cast("timestamp")
     dated = lambda y, pattern: F.try_to_timestamp(F.concat(y.cast("string"), F.lit(" "), value, F.lit(" "), zone), F.lit(f"yyyy {pattern} VV"))
     found = []
     for guard, pattern, lacks in (*formats, *FORMATS):
         if lacks == "year":
-            this = dated(F.year(received), pattern)
-            at = F.when(this > arrived + F.expr("interval 1 day"), dated(F.year(received) - 1, pattern)).otherwise(this)
+            this = dated(F.year(arrived), pattern)
+            at = F.when(this > arrived + F.expr("interval 1 day"), dated(F.year(arrived) - 1, pattern)).otherwise(this)
         elif lacks == "zone":
             at = F.try_to_timestamp(F.concat(value, F.lit(" "), zone), F.lit(f"{pattern} VV"))
         else:
             at = F.try_to_timestamp(value, F.lit(pattern))
         found.append(F.when(value.rlike(guard), F.struct(at.alias("at"), F.lit(pattern).alias("format"), F.lit(lacks).alias("lacks"))))
-    usable = F.array_compact(F.array(*found))
-    out = rows.withColumn("__t", F.get(F.filter(usable, lambda x: x["at"].isNotNull()), F.lit(0)))
+    return F.get(F.filter(F.array_compact(F.array(*found)), lambda x: x["at"].isNotNull()), F.lit(0))
+
+
+def event_time(rows: DataFrame, text: str, received: str, tz: str | Column = "UTC", formats: tuple = ()) -> DataFrame:
+    """event_time, its epoch_ms, time_source, time_format, tz_assumed, year_inferred and skew_s, the seconds from event to arrival.
+
+    Times are read as in time_of; tz is a name or a column of names. What fits no format takes the arrival.
+    """
+    zone = F.lit(tz) if isinstance(tz, str) else tz
+    arrived = F.col(received).cast("timestamp")
+    out = rows.withColumn("__t", time_of(text, arrived, zone, formats))
     known = F.col("__t.at").isNotNull()
     out = out.withColumn("event_time", F.coalesce("__t.at", arrived))
     return out.withColumns({
@@ -384,39 +326,10 @@ def byte_spans(rows: DataFrame, text: str, value: str) -> DataFrame:
     return rows.withColumn("start", F.when(at > 0, start)).withColumn("end", F.col("start") + F.octet_length(value))
 
 
-def provenance_check(rows: DataFrame) -> DataFrame:
-    """Every span of a raw line must cut out its value."""
-    return rows.withColumn("ok", F.expr("substring(cast(line as binary), start + 1, end - start) = cast(value as binary)"))
-
-
-def required_coverage(mapped: DataFrame, required: tuple[str, ...]) -> DataFrame:
-    """How often each template fills each required path."""
-    long = mapped.where(F.col("template").isNotNull()).select("template", F.stack(F.lit(len(required)), *[x for c in required for x in (F.lit(c), F.col(c).cast("string"))]).alias("path", "value"))
-    return long.groupBy("template", "path").agg(F.count("*").alias("rows"), F.count("value").alias("filled"))
-
-
-def backtest(lines: DataFrame, active, candidate) -> DataFrame:
-    """Tier changes of events when another set of templates takes over."""
-    run = lambda t, name: assign_tier(map_fields(match_templates(lines, templates=t))).select("event_uid", F.col("got_tier").alias(name))
-    both = run(active, "before").join(run(candidate, "after"), "event_uid")
-    change = F.when(F.col("after") < F.col("before"), "upgraded").when(F.col("after") > F.col("before"), "regressed").otherwise("unchanged")
-    return both.groupBy("before", "after", change.alias("change")).agg(F.count("*").alias("n"))
-
-
-def library_match(lines: DataFrame, packs: dict) -> DataFrame:
-    """The share of lines that each pack takes to tier 1 or 2; packs are a few literals."""
-    parts = [assign_tier(map_fields(match_templates(lines, templates=t))).agg(F.avg((F.col("got_tier") == 1).cast("double")).alias("tier1"), F.avg((F.col("got_tier") == 2).cast("double")).alias("tier2")).withColumn("pack", F.lit(n)) for n, t in packs.items()]
-    return reduce(DataFrame.unionByName, parts).withColumn("matched", F.col("tier1") + F.col("tier2") >= 0.8)
-
-
 def parsed(spark: SparkSession, d: str) -> DataFrame:
     return syslog_fields(log_view(spark, d))
 
 
-def mapped(spark: SparkSession, d: str) -> DataFrame:
-    return map_fields(match_templates(parsed(spark, d)))
-
-
 def _mixed(s: SparkSession, d: str) -> DataFrame:
     """One line table of several shapes."""
     a = log_view(s, d).selectExpr("concat('l', event_id) as id", "line")
@@ -439,9 +352,6 @@ _WORDS = """case event_id % 8 when 0 then 'GET /index from 10.0.0.1' when 1 then
 _SHAPED = """concat(case event_id % 9 when 0 then '2026-09-26' when 1 then 'fe80::1' when 2 then 'deadbeef' when 3 then 'k=' when 4 then 'k:/x' when 5 then '9k=v' when 6 then 'a.b@c.org' when 7 then '10.0.0.1:99999' else '12:30:01' end, '  ', line, ' 3F2504E0-4F89-11D3-9A0C-0305E82C3301 ')"""
 _PAIRS = "concat(line, ' a = 1 b=\"x y\",c=\\'z\\'; d.e=', event_id) as line"
 _PRIVATE = """concat('login for user neel', user_id % 7, ' password=hunter', event_id, ' mail a', user_id % 5, '@example.org and a', user_id % 5, '@example.org from 10.0.0.1 key ', case when event_id % 2 = 0 then 'deadbeefdeadbeefdeadbeef' else 'short' end, ' user=neel', user_id % 7, ' acct: ops', event_id % 3, ' user=neel')"""
-CANDIDATE = (TEMPLATES[1], ("auth", 2, "failed", r"^user=(\w+) FAILED login from (\S+) via (\S+) attempts:([0-2])$", ("user", "src", "via", "attempts"), 3002), TEMPLATES[2])
-_SPAN = "event_uid, line, regexp_extract(line, 'from ([0-9.]+)', 1) as value"
-
 QUERIES = {
     "syslog_fields": lambda s, d: syslog_fields(log_view(s, d).selectExpr("event_uid", f"{_HEADERS} as line")).select("event_uid", "variant", "rejected", "pri", "facility", "severity", "version", "timestamp", "host", "app", "pid", "msgid", "sd", "body"),
     "kv_fields": lambda s, d: kv_fields(log_view(s, d).selectExpr("event_uid", _PAIRS), "event_uid", "line"),
@@ -451,14 +361,6 @@ QUERIES = {
     "cef_fields": lambda s, d: cef_fields(log_view(s, d).selectExpr("event_uid", f"{_MSG} as line"), "line").select("event_uid", "vendor", "event_class", "name", "severity", F.col("extension")["src"].alias("src"), F.col("extension")["msg"].alias("msg"), F.col("extension")["dpt"].alias("dpt")),
     "leef_fields": lambda s, d: leef_fields(log_view(s, d).selectExpr("event_uid", "concat('LEEF:1.0|acme|fw|', user_id, '|e', event_id, '|src=1.1.1.1\t', 'usr=u', user_id) as line"), "line").select("event_uid", "vendor", "product_version", "event_id_", F.col("attributes")["usr"].alias("usr")),
     "regex_fields": lambda s, d: regex_fields(log_view(s, d), "event_uid", "line", {"via": r"via (\S+)", "failed": r"(FAILED)", "many": r"attempts:([3-9])"}),
-    "match_templates": lambda s, d: match_templates(parsed(s, d)).select("event_uid", "template", "template_class", F.col("captures")["user"].alias("user"), F.col("captures")["src"].alias("src")),
-    "template_overlap": lambda s, d: template_overlap(parsed(s, d)),
-    "map_fields": lambda s, d: mapped(s, d).select("event_uid", "user_name", "src_ip", "attempts", "status_id", F.array_join("missing", ",").alias("missing")),
-    "assign_tier": lambda s, d: assign_tier(mapped(s, d)).select("event_uid", "got_tier", "reason"),
-    "validate_events": lambda s, d: validate_events(mapped(s, d)).select("event_uid", F.array_join("errors", ",").alias("errors")),
-    "assemble_event": lambda s, d: assemble_event(mapped(s, d)).select("event_uid", "event.class_uid", "event.category_uid", "event.type_uid", F.sha2("event.message", 256).alias("message_sha")),
-    "observables_of": lambda s, d: observables_of(mapped(s, d)),
-    "unmapped_of": lambda s, d: unmapped_of(mapped(s, d)),
     "event_time": lambda s, d: event_time(log_view(s, d).selectExpr("event_uid", "received_time", f"{_WHEN} as t"), "t", "received_time", "Asia/Kolkata").select("event_uid", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("event_time"), "time_source", "tz_assumed", "year_inferred", "skew_s"),
     "detect_layers": lambda s, d: detect_layers(_mixed(s, d), "line").groupBy(F.substring("id", 1, 1).alias("shape"), "parse_path").agg(F.count("*").alias("n")),
     "class_hint": lambda s, d: class_hint(log_view(s, d).selectExpr("event_uid", f"{_WORDS} as line"), "line").select("event_uid", "hint", "confidence"),
@@ -471,10 +373,6 @@ QUERIES = {
     "decode_lines": lambda s, d: decode_lines(table(s, d, "documents").select("doc_id", F.expr("case when doc_id % 10 = 3 then concat(cast(text as binary), unhex('FF')) else cast(text as binary) end").alias("raw")), "raw").select("doc_id", "encoding", "lossy", "confidence", "invalid_bytes", F.length("decoded").alias("chars")),
     "encoding_census": lambda s, d: encoding_census(decode_lines(table(s, d, "documents").select("source", F.expr("case when doc_id % 10 = 3 then unhex('E9FF') else cast('x' as binary) end").alias("raw")), "raw", ("ISO-8859-1",)), "source"),
     "byte_spans": lambda s, d: byte_spans(table(s, d, "documents").select("doc_id", "text", F.lit("ion").alias("needle")), "text", "needle").select("doc_id", "start", "end"),
-    "provenance_check": lambda s, d: provenance_check(byte_spans(log_view(s, d).selectExpr("event_uid", "event_id", "line", "regexp_extract(line, 'from ([0-9.]+)', 1) as value"), "line", "value").withColumn("value", F.expr("case when event_id % 23 = 0 then concat(value, 'x') else value end"))).groupBy("ok").agg(F.count("*").alias("n")),
-    "required_coverage": lambda s, d: required_coverage(mapped(s, d), ("user_name", "src_ip", "status_id")),
-    "backtest": lambda s, d: backtest(parsed(s, d), TEMPLATES, CANDIDATE),
-    "library_match": lambda s, d: library_match(parsed(s, d), {"full": TEMPLATES, "ok-only": TEMPLATES[1:2]}),
 }
 
 _PADS = [bytes(b ^ x for b in b"route-key".ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
@@ -495,15 +393,6 @@ ORACLES = {
     "cef_fields": f"{LOG} select event_uid, 'ac|me' as vendor, event_id::varchar as event_class, concat('login ', source_id) as name, (event_id % 10)::varchar as severity, concat('10.0.0.', user_id % 256) as src, 'hello big world' as msg, (event_id % 1000)::varchar as dpt from log",
     "leef_fields": f"{LOG} select event_uid, 'acme' as vendor, user_id::varchar as product_version, concat('e', event_id) as event_id_, concat('u', user_id) as usr from log",
     "regex_fields": f"""{LOG} select event_uid, 'via' as pattern, '10.2.3.4' as value from log union all select event_uid, 'failed', 'FAILED' from log where event_id % 4 = 2 union all select event_uid, 'many', (event_id % 5)::varchar from log where event_id % 5 >= 3""",
-    "match_templates": f"{_P[:-1]}), m as (select *, case when regexp_matches(body, '^user=([a-z0-9]+) FAILED login from ([^ ]+) via ([^ ]+) attempts:([0-9]+)$') then 'failed' when regexp_matches(body, '^user=([a-z0-9]+) OK login from ([^ ]+) via ([^ ]+) attempts:([0-3])$') then 'ok' else 'any' end as tpl from p) select event_uid, tpl as template, (case when tpl = 'any' then 3001 else 3002 end)::int as template_class, concat('u', user_id) as \"user\", case when tpl <> 'any' then src end as src from m".replace("m as (select *, case when event_id % 4 = 2 then 'failed' when att <= 3 then 'ok' else 'any' end as template from p), m as", "m as"),
-    "template_overlap": f"{_P} select template as winner, 'any' as shadowed, count(*) as n from m where template <> 'any' group by 1",
-    "map_fields": f"""{_P} select event_uid, concat('u', user_id) as user_name, case when template <> 'any' then src end as src_ip, (case when template <> 'any' then att end)::int as attempts,
- (case template when 'failed' then 2 when 'ok' then 1 end)::int as status_id, case when template = 'any' then 'src_endpoint.ip,unmapped.attempts,status_id' else '' end as missing from m""",
-    "assign_tier": f"{_P} select event_uid, (case when template = 'any' then 2 else 1 end)::int as got_tier, case when template = 'any' then 'required_missing:src_endpoint.ip,unmapped.attempts,status_id' end as reason from m",
-    "validate_events": f"{_P} select event_uid, case when template <> 'any' and att > 3 then 'attempts_range' else '' end as errors from m",
-    "assemble_event": f"{_P} select event_uid, (case when template = 'any' then 3001 else 3002 end)::int as class_uid, 3::int as category_uid, (case template when 'any' then 300100 when 'failed' then 300202 else 300201 end)::int as type_uid, sha256(body) as message_sha from m",
-    "observables_of": f"""{_P} select event_uid, 'ip_1' as name, src as value from m where template <> 'any' union all select event_uid, 'user', concat('u', user_id) from m union all select event_uid, 'host_1', concat('host-', user_id % 20) from m""",
-    "unmapped_of": f"""{_P} select event_uid, 'via' as name, '10.2.3.4' as value from m where template <> 'any' union all select event_uid, 'rest', concat('from ', src, ' via 10.2.3.4 attempts:', att) from m where template = 'any'""",
     "event_time": f"""{LOG}, x as (select event_uid, received_time, event_id % 9 as k, date_trunc('second', case event_id % 9 when 8 then received_time else received_time - interval 30 seconds end) as t from log)
  select event_uid, strftime(t, '%Y-%m-%d %H:%M:%S') as event_time, case k when 8 then 'received' else 'event' end as time_source, case when k in (0, 1, 2, 5, 6) then 'Asia/Kolkata' end as tz_assumed, k = 2 as year_inferred, (epoch(date_trunc('second', received_time)) - epoch(t))::bigint as skew_s from x""",
     "detect_layers": f"""{LOG}, k(shape, parse_path) as (values ('l', 'auto:syslog>text'), ('j', 'auto:json'), ('k', 'auto:kv'), ('c', 'auto:cef'), ('s', 'auto:delimited')) select shape, parse_path, count(*) as n from k, log group by all""",
@@ -521,11 +410,4 @@ ORACLES = {
     "encoding_census": "select source, case when doc_id % 10 = 3 then 'iso-8859-1' else 'utf-8' end as encoding, count(*) as n, 0 as invalid_bytes from documents group by 1, 2",
     "decode_lines": "select doc_id, case when doc_id % 10 = 3 then 'lossy' else 'utf-8' end as encoding, doc_id % 10 = 3 as lossy, case when doc_id % 10 = 3 then 0.0 else 1.0 end as confidence, (doc_id % 10 = 3)::int as invalid_bytes, (length(text) + (doc_id % 10 = 3)::int)::int as chars from documents",
     "byte_spans": "select doc_id, case when instr(text, 'ion') > 0 then strlen(substring(text, 1, instr(text, 'ion') - 1))::int end as start, case when instr(text, 'ion') > 0 then strlen(substring(text, 1, instr(text, 'ion') - 1))::int + 3 end as \"end\" from documents",
-    "provenance_check": f"{LOG} select event_id % 23 <> 0 as ok, count(*) as n from log group by 1",
-    "required_coverage": f"""{_P}, x as (select template, unnest([{{'path': 'user_name', 'f': 1}}, {{'path': 'src_ip', 'f': (template <> 'any')::int}}, {{'path': 'status_id', 'f': (template <> 'any')::int}}], recursive := true) from m)
- select template, path, count(*) as "rows", sum(f)::bigint as filled from x group by all""",
-    "backtest": f"""{_P}, b as (select (case when template = 'any' then 2 else 1 end)::int as before, (case when event_id % 4 = 2 then case when att <= 2 then 1 else 2 end when att <= 3 then 1 else 2 end)::int as after from m)
- select before, after, case when after < before then 'upgraded' when after > before then 'regressed' else 'unchanged' end as change, count(*) as n from b group by all""",
-    "library_match": f"""{_P} select 'full' as pack, avg((template <> 'any')::int) as tier1, avg((template = 'any')::int) as tier2, true as matched from m
- union all select 'ok-only', avg((template = 'ok')::int), 0.0::double, avg((template = 'ok')::int) >= 0.8 from m""",
 }
