@@ -83,12 +83,15 @@ def held(value: Column) -> Column:
 
 def starts(pieces: Column, gap: int = 0, block: int = 64) -> Column:
     """Where each of the pieces of a text begins, `gap` characters lying between two. Blocks keep the work linear in the pieces."""
-    joined = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / block).cast("int")), lambda b: F.length(F.array_join(F.slice(pieces, b * block + 1, F.lit(block)), "")))
+
+    def within(ps: Column, first: Column, before: Column) -> Column:
+        """Of the pieces of one block."""
+        return F.transform(ps, lambda _, i: before + F.length(F.array_join(F.slice(ps, F.lit(1), i), "")) + (first + i) * gap)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / block).cast("int")), lambda b: F.slice(pieces, b * block + 1, F.lit(block)))
     upto = lambda lengths: F.transform(lengths, lambda _, b: F.aggregate(F.slice(lengths, F.lit(1), b), F.lit(0), lambda a, x: a + x))
-    inside = lambda base: F.transform(
-        pieces, lambda _, i: F.get(base, F.floor(i / block).cast("int")) + F.length(F.array_join(F.slice(pieces, F.floor(i / block).cast("int") * block + 1, i % block), "")) + i * gap
-    )
-    return F.when(F.size(pieces) > 0, let(let(joined, upto), inside))
+    many = let(blocks, lambda bs: let(upto(F.transform(bs, lambda ps: F.length(F.array_join(ps, "")))), lambda at: F.flatten(F.transform(bs, lambda ps, b: within(ps, b * block, F.get(at, b))))))
+    return F.when(F.size(pieces) == 0, F.array().cast("array<int>")).when(F.size(pieces) <= block, within(pieces, F.lit(0), F.lit(0))).otherwise(many)
 
 
 def tiles(text: Column, pattern: str, marked: str, whole: int | None = None) -> Column:
@@ -97,11 +100,18 @@ def tiles(text: Column, pattern: str, marked: str, whole: int | None = None) ->
     whole: the number of groups of a pattern that must match the whole text, null where it doesn't.
     A text's own marks don't count: it is cut with others in their place, and values come from the text itself.
     """
-    safe = F.translate(text, "\x01\x02", "\ufffd\ufffd")
-    made = F.regexp_replace(safe, pattern, marked)
-    pieces = F.split(made, "\x02", -1) if whole is None else F.when(made.startswith("\x01"), F.split(F.substring(made, 2, 2147483647), "\x02", whole))
-    cut = lambda p, at: F.when(safe == text, p).otherwise(F.substring(text, at + 1, F.length(p)))
-    return let(pieces, lambda ps: let(starts(ps), lambda st: F.transform(ps, lambda p, i: F.struct(cut(p, st[i]).alias("v"), st[i].alias("s"), (st[i] + F.length(p)).alias("e")))))
+    def cut(safe: Column) -> Column:
+        made = F.regexp_replace(safe, pattern, marked)
+        if whole is None:
+            return F.split(made, "\x02", -1)
+        return F.when(made.startswith("\x01"), F.split(F.substring(made, 2, 2147483647), "\x02", whole))
+
+    def spread(pieces: Column, value: Callable[[Column, Column], Column]) -> Column:
+        one = lambda p, at: F.struct(value(p, at).alias("v"), at.alias("s"), (at + F.length(p)).alias("e"))
+        return let(pieces, lambda ps: let(starts(ps), lambda st: F.zip_with(ps, st, one)))
+
+    odd = F.contains(text, F.lit("\x01")) | F.contains(text, F.lit("\x02"))
+    return F.when(odd, spread(cut(F.translate(text, "\x01\x02", "\ufffd\ufffd")), lambda p, at: F.substring(text, at + 1, F.length(p)))).otherwise(spread(cut(text), lambda p, at: p))
 
 
 def whole_tiles(text: Column, pattern: str, n: int) -> Column:

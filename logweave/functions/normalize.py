@@ -14,7 +14,7 @@ from logweave.session import table
 RFC5424 = r"(?s)^<(\d{1,3})>(\d)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+((?:\[[^\]]*\])+|-)\s?(.*)$"
 RFC3164 = r"(?s)^(?:<(\d{1,3})>)?([A-Z][a-z]{2}\s+\d{1,2}\s+\d{1,2}:\d{2}:\d{2})\s+(\S+)\s+(?:(?!(?:CEF|LEEF):\d)([^\s\[:]+)(?:\[(\d+)\])?:\s*)?(.*)$"
 IPV4 = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"
+EMAIL = r"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"  # ends with letters, so a full stop behind it isn't part of it
 DELIMITERS = (";", "|", "\t", ",")
 # Key names and words that the rules look for.
 USER_KEYS = ("user", "username", "usr", "account", "acct", "login", "uid", "userid")
@@ -196,8 +196,15 @@ def detect_layers(lines: DataFrame, line: str, most_chars: int | None = None) ->
     return judged.withColumn("parse_path", path).drop("__body")
 
 
-USER_VALUE = r"(?i)\b(" + "|".join(USER_KEYS) + r")(\s*[=:]\s*)" + VALUE
-USER_PROSE = r"(?i)\b(for\s+invalid\s+user|for\s+user|user|account|for|by)\s+([A-Za-z_][\w.\-]{1,63})"
+USER_KEY = r"(?:" + "|".join(USER_KEYS) + r")\s*[=:]\s*"
+#: What leads to a name in prose, the longest lead first; a name isn't itself such a word.
+USER_LEAD = r"(?:(?:for|by)\s+(?:invalid\s+)?(?:user|account)|(?:invalid\s+)?(?:user|account)|for|by)\s+"
+NO_NAME = r"(?!(?:account|" + "|".join(NOT_USERS) + r")(?![\w]))"
+USER_NAME = r"[A-Za-z_][\w.\-]*\w"
+USER_VALUE = r"(?i)(?<!\w)" + USER_KEY + VALUE
+USER_PROSE = r"(?i)(?<!\w)" + USER_LEAD + NO_NAME + "(" + USER_NAME + ")"
+SECRET = r"""(?i)(?<![A-Za-z0-9])((?:\w*[_\-])?(?:""" + "|".join(SECRET_KEYS) + r""")["']?\s*[=:]\s*)(?:(?:bearer|basic|digest)\s+[^\s,;]+|"[^"]*"|'[^']*'|[^\s,;&]+)"""
+BLOB = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{24,}={0,2}"
 
 
 def class_hint(lines: DataFrame, line: str) -> DataFrame:
@@ -247,25 +254,39 @@ def template_signature(lines: DataFrame, scope: Column, line: str) -> DataFrame:
 
 
 def mask_pii(lines: DataFrame, line: str) -> DataFrame:
-    """Secrets, then e-mails, long blobs, and users after their keys or in prose; IPs stay. Numbers count distinct values of a line."""
-    text = F.regexp_replace(line, r"(?i)\b(" + "|".join(SECRET_KEYS) + r")(\s*[=:]\s*)(\"[^\"]*\"|'[^']*'|\S+)", "$1$2<SECRET>")
+    """Masked, with secrets, then e-mails, long blobs, and users after their keys or in prose hidden; IPs stay.
+
+    Numbers count the distinct values of a line; an e-mail is the same in upper and lower case. A name is hidden
+    wherever a key or a lead stands before it. Null lines stay null.
+    """
+    text = F.regexp_replace(line, SECRET, "$1<SECRET>")
 
     def numbered(text: Column, values: Column, name: str, before: str, after: str) -> Column:
         """Each distinct value replaced by its number where it stands between before (one group) and after; longer ones first."""
-        placed = F.transform(F.array_distinct(values), lambda v, i: F.struct(-F.length(v), v.alias("v"), i.alias("i")))
+        places = F.transform(F.array_distinct(values), lambda v, i: F.struct(-F.length(v), v.alias("v"), i.alias("i")))
         one = lambda t, x: F.regexp_replace(t, F.concat(F.lit(before), F.lit("\\Q"), F.replace(x["v"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E" + after)), F.concat(F.lit(f"$1<{name}_"), (x["i"] + 1).cast("string"), F.lit(">")))
-        return F.aggregate(F.array_sort(placed), text, one)
+        return F.aggregate(F.array_sort(places), text, one)
 
     made = lines.withColumn("__masked", text)
-    made = made.withColumn("__masked", numbered(F.col("__masked"), F.regexp_extract_all("__masked", F.lit(EMAIL), F.lit(0)), "EMAIL", "()", ""))
-    made = made.withColumn("__masked", F.regexp_replace(F.regexp_replace("__masked", r"\b[0-9a-fA-F]{24,}\b", "<BLOB>"), r"\b[A-Za-z0-9+/]{24,}={0,2}", "<BLOB>"))
-    keyed = F.filter(F.regexp_extract_all("__masked", F.lit(USER_VALUE), F.lit(3)), lambda v: ~v.startswith("<"))
-    told = F.filter(F.regexp_extract_all("__masked", F.lit(USER_PROSE), F.lit(2)), lambda v: ~F.lower(v).isin(*NOT_USERS))
-    place = r"(?i)(\b(?:(?:" + "|".join(USER_KEYS) + r")\s*[=:]\s*|(?:for\s+invalid\s+user|for\s+user|user|account|for|by)\s+))"
-    made = made.withColumn("masked", numbered(F.col("__masked"), F.concat(keyed, told), "USER", place, r"(?![\w\-])"))
+    mails = F.transform(F.regexp_extract_all("__masked", F.lit(EMAIL), F.lit(0)), lambda v: F.lower(v))
+    made = made.withColumn("__masked", numbered(F.col("__masked"), mails, "EMAIL", r"(?i)()(?<![\w.%+\-])", r"(?![\w\-])"))
+    made = made.withColumn("__masked", F.regexp_replace("__masked", BLOB, "<BLOB>"))
+    keyed = F.filter(F.regexp_extract_all("__masked", F.lit(USER_VALUE), F.lit(1)), lambda v: ~v.startswith("<"))
+    told = F.regexp_extract_all("__masked", F.lit(USER_PROSE), F.lit(1))
+    place = r"((?i:(?<!\w)(?:" + USER_KEY + "|" + USER_LEAD + ")))"
+    made = made.withColumn("masked", numbered(F.col("__masked"), F.concat(keyed, told), "USER", place, r"(?![\w\-]|\.\w)"))
     return made.drop("__masked")
 
 
+HIDDEN = ("SECRET", "EMAIL", "BLOB", "USER")
+
+
+def mask_census(masked: DataFrame, source: str) -> DataFrame:
+    """Of each source the lines, the lines that hide something and how often each kind is hidden."""
+    counts = {k: F.regexp_count("masked", F.lit(f"<{k}(?:_[0-9]+)?>")) for k in HIDDEN}
+    return masked.groupBy(source).agg(F.count("*").alias("lines"), F.count_if(F.col("masked").rlike("<(?:" + "|".join(HIDDEN) + ")")).alias("hidden"), *[F.sum(c).cast("long").alias(k.lower() + "s") for k, c in counts.items()])
+
+
 def hmac_hex(value: Column, key: bytes) -> Column:
     """HMAC-SHA256 in hex from nested hashes; only the two pads come from the driver."""
     import hashlib
@@ -351,6 +372,8 @@ _WORDS = """case event_id % 8 when 0 then 'GET /index from 10.0.0.1' when 1 then
  when 5 then 'traffic 10.0.0.1 10.0.0.2' when 6 then 'execve failed' else 'panic: disk rejected' end"""
 _SHAPED = """concat(case event_id % 9 when 0 then '2026-09-26' when 1 then 'fe80::1' when 2 then 'deadbeef' when 3 then 'k=' when 4 then 'k:/x' when 5 then '9k=v' when 6 then 'a.b@c.org' when 7 then '10.0.0.1:99999' else '12:30:01' end, '  ', line, ' 3F2504E0-4F89-11D3-9A0C-0305E82C3301 ')"""
 _PAIRS = "concat(line, ' a = 1 b=\"x y\",c=\\'z\\'; d.e=', event_id) as line"
+_NAMED = """case event_id % 8 when 0 then concat('session opened by user alice', user_id, '.') when 1 then concat('job started by account bob', user_id) when 2 then concat('failure for invalid user eve', user_id, ', user eve', user_id)
+ when 3 then concat('mail A', user_id, '@x.org. then a', user_id, '@X.org, b@y.co.uk') when 4 then concat('Authorization: Bearer tok', event_id, ' by root') when 5 then concat('"password":"p', event_id, '","n":1') when 6 then concat('for user at 10.0.0.1 x_api_key=k', event_id, '&z=1') else 'nothing here' end"""
 _PRIVATE = """concat('login for user neel', user_id % 7, ' password=hunter', event_id, ' mail a', user_id % 5, '@example.org and a', user_id % 5, '@example.org from 10.0.0.1 key ', case when event_id % 2 = 0 then 'deadbeefdeadbeefdeadbeef' else 'short' end, ' user=neel', user_id % 7, ' acct: ops', event_id % 3, ' user=neel')"""
 QUERIES = {
     "syslog_fields": lambda s, d: syslog_fields(log_view(s, d).selectExpr("event_uid", f"{_HEADERS} as line")).select("event_uid", "variant", "rejected", "pri", "facility", "severity", "version", "timestamp", "host", "app", "pid", "msgid", "sd", "body"),
@@ -367,6 +390,8 @@ QUERIES = {
     "severity_words": lambda s, d: severity_words(log_view(s, d).selectExpr("event_uid", f"{_WORDS} as line"), "line").select("event_uid", "word_severity"),
     "template_signature": lambda s, d: template_signature(log_view(s, d).selectExpr("source_id", f"{_SHAPED} as line"), F.col("source_id"), "line").groupBy("source_id", "shape", "sig").agg(F.count("*").alias("n")),
     "mask_pii": lambda s, d: mask_pii(log_view(s, d).selectExpr("event_uid", f"{_PRIVATE} as line"), "line").select("event_uid", "masked"),
+    "mask_leads": lambda s, d: mask_pii(log_view(s, d).selectExpr("event_uid", f"{_NAMED} as line"), "line").select("event_uid", "masked"),
+    "mask_census": lambda s, d: mask_census(mask_pii(log_view(s, d).selectExpr("source_id", f"{_NAMED} as line"), "line"), "source_id"),
     "pii_census": lambda s, d: table(s, d, "documents").groupBy("source").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"), F.lit(0)))).alias("ips"), F.sum(F.size(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0)))).alias("emails")),
     "mask_route": lambda s, d: mask_route(log_view(s, d).selectExpr("event_uid", "concat('user', user_id) as who", "concat('n', user_id, '@x.org') as mail", "cast(event_id % 7 as string) as code", "concat('login of user', user_id, ' n', user_id, '@x.org as user', user_id, ' code ', event_id % 7) as msg"), b"route-key", {"mail": "redact", "who": "hmac", "code": "redact"}, "msg").select("event_uid", "who", "mail", "code", "msg"),
     "siem_rules": lambda s, d: siem_rules(log_view(s, d)).select("event_uid", "rule_id", "level"),
@@ -402,9 +427,12 @@ ORACLES = {
  ' <NUM> <NUM> <TS> <NUM> <NUM> user=<V> ', case when event_id % 4 = 2 then 'FAILED' else 'OK' end, ' login from <IP> via <IP> attempts:<V> <UUID>') as shape from p)
  select source_id, shape, concat('t_', substring(sha256(concat(source_id, chr(31), shape)), 1, 12)) as sig, count(*) as n from s group by all""",
     "mask_pii": f"""{LOG} select event_uid, concat('login for user <USER_1> password=<SECRET> mail <EMAIL_1> and <EMAIL_1> from 10.0.0.1 key ', case when event_id % 2 = 0 then '<BLOB>' else 'short' end, ' user=<USER_1> acct: <USER_2> user=<USER_3>') as masked from log""",
+    "mask_leads": f"""{LOG} select event_uid, case event_id % 8 when 0 then 'session opened by user <USER_1>.' when 1 then 'job started by account <USER_1>' when 2 then 'failure for invalid user <USER_1>, user <USER_1>' when 3 then 'mail <EMAIL_1>. then <EMAIL_1>, <EMAIL_2>'
+ when 4 then 'Authorization: <SECRET> by <USER_1>' when 5 then '"password":<SECRET>,"n":1' when 6 then 'for user <USER_1> 10.0.0.1 x_api_key=<SECRET>&z=1' else 'nothing here' end as masked from log""",
+    "mask_census": f"""{LOG} select source_id, count(*) as lines, count(*) filter (event_id % 8 <> 7) as hidden, count(*) filter (event_id % 8 in (4, 5, 6)) as secrets, (3 * count(*) filter (event_id % 8 = 3))::bigint as emails, 0::bigint as blobs, (count(*) filter (event_id % 8 in (0, 1, 4, 6)) + 2 * count(*) filter (event_id % 8 = 2))::bigint as users from log group by 1""",
     "mask_route": f"""{LOG}, h as (select event_id, event_uid, user_id, concat('h_', substring(sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || concat('user', user_id)::blob))), 1, 16)) as who from log)
  select event_uid, who, '[REDACTED]' as mail, '[REDACTED]' as code, concat('login of ', who, ' [REDACTED] as ', who, ' code ', event_id % 7) as msg from h""",
-    "pii_census": r"""select source, sum(len(regexp_extract_all(text, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}')))::bigint as ips, sum(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+')))::bigint as emails from documents group by 1""",
+    "pii_census": r"""select source, sum(len(regexp_extract_all(text, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}')))::bigint as ips, sum(len(regexp_extract_all(text, '[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}')))::bigint as emails from documents group by 1""",
     "siem_rules": f"""{LOG}, r as (select event_uid, (case when tier = 4 then 100104 when tier = 3 then 100103 when class_uid = 3002 and candidate_tier = 2 then 100110 when event_id % 9 = 0 then 100120 else 100100 end)::int as rule_id from log)
  select event_uid, rule_id, (case rule_id when 100104 then 7 when 100103 then 5 when 100110 then 5 when 100120 then 4 else 3 end)::int as level from r""",
     "encoding_census": "select source, case when doc_id % 10 = 3 then 'iso-8859-1' else 'utf-8' end as encoding, count(*) as n, 0 as invalid_bytes from documents group by 1, 2",

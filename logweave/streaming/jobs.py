@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from logweave.bindings import LOG, log_view
+from logweave.functions.contracts import normalized
+from logweave.functions.layers import CONTRACTS, LINES_SQL, sent
 from logweave.plans.rollup import text_time
 from logweave.session import shared_path, stored
 
@@ -82,11 +84,10 @@ def minute_rollup_stream(s: SparkSession, d: str) -> DataFrame:
 
 
 def normalize_stream(s: SparkSession, d: str) -> DataFrame:
-    """Parsed events to one table per batch of files; the checkpoint makes a batch land once."""
-    from logweave.functions.normalize import assign_tier, map_fields, match_templates, syslog_fields
-
+    """Lines under several contracts to tiers, one table per batch of files; the checkpoint makes a batch land once."""
     path = shared_path(s, "normalize")
-    run_once(assign_tier(map_fields(match_templates(syslog_fields(log_stream(s, d))))).select("event_uid", "template", "got_tier"), None, path)
+    stream = file_stream(sent(s, d), "sent-stream")
+    run_once(normalized(stream, CONTRACTS).select("event_uid", "contract", "template", "got_tier", "reason"), None, path)
     return s.read.parquet(f"{path}/data")
 
 
@@ -373,7 +374,8 @@ QUERIES = {f.__name__: f for f in (minute_rollup_stream, normalize_stream, windo
 _UP = "select w, idx // 2 as idx, case when count(*) = 2 then sha256(unhex('01') || unhex(arg_min(h, idx)) || unhex(arg_max(h, idx))) else min(h) end as h from {0} group by w, idx // 2"
 ORACLES = {
     "minute_rollup_stream": f"{LOG} select source_id, strftime(date_trunc('minute', received_time), '%Y-%m-%d %H:%M:%S') as minute, count(*) as n from log group by 1, date_trunc('minute', received_time)",
-    "normalize_stream": f"{LOG} select event_uid, case when event_id % 4 = 2 then 'failed' when event_id % 5 <= 3 then 'ok' else 'any' end as template, (case when event_id % 4 <> 2 and event_id % 5 > 3 then 2 else 1 end)::int as got_tier from log",
+    "normalize_stream": f"""{LINES_SQL}, r as (select *, case when k = 5 then 'empty' when k = 2 then 'no_contract' when t is null then 'no_template_match' when t = 'failed' then 'required_missing' when t = 'json' and (event_id % 2 = 0 or event_id % 3 = 0) then 'schema_invalid' end as reason from m)
+ select event_uid, contract, t as template, (case when reason = 'empty' then 4 when reason in ('no_contract', 'no_template_match') then 3 when reason is not null then 2 else 1 end)::int as got_tier, reason from r""",
     "window_roots_stream": f"""{LOG}, seg as (select concat(source_id, '-', user_id % 3, '-', segment_no) as id, max(received_time) as sealed, sha256(string_agg(sha256(line), '' order by event_id)) as blob from log group by source_id, user_id % 3, segment_no),
  n as (select date_trunc('hour', sealed) as w, row_number() over (partition by date_trunc('hour', sealed) order by sealed, id) - 1 as idx, sha256(unhex('00') || unhex(blob)) as h from seg), """
     + ", ".join(f"l{i + 1} as ({_UP.format(f'l{i}' if i else 'n')})" for i in range(8))
