@@ -71,14 +71,72 @@ def kv_fields(lines: DataFrame, key: str, line: str, most: int | None = None) ->
     return lines.select(key, cut.alias("truncated"), F.posexplode(pairs).alias("ord", "kv")).select(key, "ord", F.col("kv.k").alias("name"), F.col("kv.v").alias("value"), "truncated")
 
 
+def kv_census(lines: DataFrame, source: str, line: str) -> DataFrame:
+    """Of each source how often each key comes and how many different values it has."""
+    pairs = lines.select(source, F.explode(kv_pairs(line)).alias("p"))
+    return pairs.groupBy(source, F.col("p.k").alias("name")).agg(F.count("*").alias("n"), F.count_distinct("p.v").alias("values"))
+
+
 def kv_density(line: str | Column) -> Column:
     """Pairs per word; text is taken for key=value from two pairs and one half on."""
     return F.size(kv_pairs(line)) / F.size(F.split(F.trim(line), r"\s+"))
 
 
-def json_fields(rows: DataFrame, key: str, column: str, names: list[str]) -> DataFrame:
-    """Known fields of the first JSON value of a line; malformed values give a reject flag."""
-    return rows.select(key, *[F.get_json_object(column, f"$.{n}").alias(n) for n in names], (~F.col(column).rlike(r"^\s*[\{\[]") | F.get_json_object(column, "$").isNull()).alias("rejected"))
+def json_end(text: str | Column) -> Column:
+    """Where the first JSON object or array of a text ends (characters), null if none begins it or it isn't closed.
+
+    The text is cut at strings and brackets; a running depth over the pieces, kept in a struct of numbers, finds
+    the bracket that closes the first one, so the work is linear. `depth` is the deepest nesting up to there.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    marked = F.regexp_replace(F.translate(text, "\x02", " "), r'("(?:[^"\\]|\\.)*+")|([\[\]{}])', "\x02$1$2\x02")
+    pieces = F.split(F.when(text.rlike(r"^[ \t\n\r]*[\{\[]"), marked), "\x02", -1)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("most"), F.lit(None).cast("int").alias("end"))
+
+    def step(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + F.when(piece.isin("{", "["), 1).when(piece.isin("}", "]"), -1).otherwise(0)
+        at = state["at"] + F.length(piece)
+        closed = (depth == 0) & piece.isin("}", "]")
+        return F.when(state["end"].isNotNull(), state).otherwise(F.struct(at.alias("at"), depth.alias("depth"), F.greatest(state["most"], depth).alias("most"), F.when(closed, at).alias("end")))
+
+    return F.aggregate(pieces, start, step, lambda s: F.when(s["end"].isNotNull(), F.struct(s["end"].alias("end"), s["most"].alias("depth"))))
+
+
+def json_values(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """Key, value (a VARIANT of the first JSON object or array), rest (what stands behind it) and rejected.
+
+    Texts that begin with neither, are broken, aren't closed or repeat a key in an object are rejected; null is too.
+    """
+    found = rows.select(key, F.col(column).cast("string").alias("__text")).withColumn("__end", json_end("__text"))
+    value = F.try_parse_json(F.substring(F.col("__text"), F.lit(1), F.col("__end.end")))
+    out = found.select(key, value.alias("value"), F.nullif(F.trim(F.expr("substring(__text, __end.`end` + 1)")), F.lit("")).alias("rest"), F.col("__end.depth").alias("depth"))
+    return out.withColumn("rejected", F.col("value").isNull()).withColumn("rest", F.when(F.col("value").isNotNull(), F.col("rest")))
+
+
+# How the kinds of scalars are named.
+JSON_TYPES = {"STRING": "string", "BOOLEAN": "bool", "VOID": "null", "BIGINT": "int", "DOUBLE": "float"}
+
+
+def json_fields(rows: DataFrame, key: str, column: str, levels: int = 64) -> DataFrame:
+    """One row per scalar of the first JSON value: path such as `a.b[0].c`, value and type (string, int, float, bool, null).
+
+    The value is walked level by level, as deep as the deepest text goes; a level is a generator, so nothing is
+    shuffled. What lies below `levels` comes as its JSON text, of type `json`, so that one odd text doesn't make the
+    plan long. Empty objects and arrays give no rows, nor do rejected texts (see json_values).
+    """
+    values = json_values(rows, key, column).where(~F.col("rejected"))
+    deepest = values.agg(F.max("depth")).first()[0] or 0
+    out = values.select(F.col(key).alias("__id"), F.col("value").alias("__v"), F.lit("").alias("path"))
+    for _ in range(min(deepest, levels)):
+        walked = out.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("__v").outer()))
+        name = F.when(F.col("key").isNull(), F.concat(F.lit("["), "pos", F.lit("]"))).otherwise(F.concat(F.when(F.col("path") != "", ".").otherwise(""), "key"))
+        leaf = F.col("pos").isNull()
+        out = walked.select("__id", F.when(leaf, F.col("__v")).otherwise(F.col("value")).alias("__v"), F.when(leaf, F.col("path")).otherwise(F.concat("path", name)).alias("path"))
+    kind = F.schema_of_variant("__v")
+    named = F.create_map(*[F.lit(x) for pair in JSON_TYPES.items() for x in pair])[kind]
+    number = F.when(kind.startswith("DECIMAL"), F.when(kind.endswith(",0)"), "int").otherwise("float"))
+    text = F.when(kind.rlike("^(OBJECT|ARRAY)"), F.to_json("__v")).otherwise(F.variant_get("__v", "$", "string"))
+    return out.select(F.col("__id").alias(key), "path", text.alias("value"), F.coalesce(named, number, F.lit("json")).alias("type")).where((F.col("type") != "json") | ~F.col("value").isin("{}", "[]"))
 
 
 def delimited_fields(lines: DataFrame, key: str, line: str, least: int = 4) -> DataFrame:
@@ -371,6 +429,7 @@ _HEADERS = """case event_id % 5 when 0 then line when 1 then concat('<', event_i
 _WORDS = """case event_id % 8 when 0 then 'GET /index from 10.0.0.1' when 1 then 'HTTP/1.1 200' when 2 then concat('sudo by user root', user_id) when 3 then 'ssh closed' when 4 then 'Deny tcp 10.0.0.1 to 10.0.0.2 port 22'
  when 5 then 'traffic 10.0.0.1 10.0.0.2' when 6 then 'execve failed' else 'panic: disk rejected' end"""
 _SHAPED = """concat(case event_id % 9 when 0 then '2026-09-26' when 1 then 'fe80::1' when 2 then 'deadbeef' when 3 then 'k=' when 4 then 'k:/x' when 5 then '9k=v' when 6 then 'a.b@c.org' when 7 then '10.0.0.1:99999' else '12:30:01' end, '  ', line, ' 3F2504E0-4F89-11D3-9A0C-0305E82C3301 ')"""
+_NESTED = """case event_id % 17 when 0 then substring(props, 2) when 1 then '{"a":[1,' when 2 then null when 3 then '[]' else concat('{"p":', props, ',"a":{"b":[{"c":"x', event_id, '"},', event_id, ',[true,null]],"e":{}},"q":"say ', chr(92), '"hi', chr(92), '" }{","f":', event_id % 7, '.25} tail {', event_id) end"""
 _PAIRS = "concat(line, ' a = 1 b=\"x y\",c=\\'z\\'; d.e=', event_id) as line"
 _NAMED = """case event_id % 8 when 0 then concat('session opened by user alice', user_id, '.') when 1 then concat('job started by account bob', user_id) when 2 then concat('failure for invalid user eve', user_id, ', user eve', user_id)
  when 3 then concat('mail A', user_id, '@x.org. then a', user_id, '@X.org, b@y.co.uk') when 4 then concat('Authorization: Bearer tok', event_id, ' by root') when 5 then concat('"password":"p', event_id, '","n":1') when 6 then concat('for user at 10.0.0.1 x_api_key=k', event_id, '&z=1') else 'nothing here' end"""
@@ -378,7 +437,9 @@ _PRIVATE = """concat('login for user neel', user_id % 7, ' password=hunter', eve
 QUERIES = {
     "syslog_fields": lambda s, d: syslog_fields(log_view(s, d).selectExpr("event_uid", f"{_HEADERS} as line")).select("event_uid", "variant", "rejected", "pri", "facility", "severity", "version", "timestamp", "host", "app", "pid", "msgid", "sd", "body"),
     "kv_fields": lambda s, d: kv_fields(log_view(s, d).selectExpr("event_uid", _PAIRS), "event_uid", "line"),
-    "json_fields": lambda s, d: json_fields(log_view(s, d).selectExpr("event_uid", "case when event_id % 17 = 0 then substring(props, 2) else concat(props, ' tail') end as j"), "event_uid", "j", ["k"]),
+    "json_fields": lambda s, d: json_fields(log_view(s, d).selectExpr("event_uid", f"{_NESTED} as j"), "event_uid", "j"),
+    "json_values": lambda s, d: json_values(log_view(s, d).selectExpr("event_uid", f"{_NESTED} as j"), "event_uid", "j").select("event_uid", "rest", "rejected", "depth"),
+    "kv_census": lambda s, d: kv_census(log_view(s, d).selectExpr("source_id", _PAIRS), "source_id", "line"),
     "delimited_fields": lambda s, d: delimited_fields(log_view(s, d).selectExpr("event_uid", "case when event_id % 3 = 0 then concat(event_id, '; ', user_id, ';', source_id, ' ;x') else concat(event_id, '|a|', user_id, '|b') end as line"), "event_uid", "line"),
     "base64_fields": lambda s, d: base64_fields(log_view(s, d).selectExpr("event_uid", "case when event_id % 19 = 0 then '!!' else base64(cast(source_id as binary)) end as b"), "b").drop("b"),
     "cef_fields": lambda s, d: cef_fields(log_view(s, d).selectExpr("event_uid", f"{_MSG} as line"), "line").select("event_uid", "vendor", "event_class", "name", "severity", F.col("extension")["src"].alias("src"), F.col("extension")["msg"].alias("msg"), F.col("extension")["dpt"].alias("dpt")),
@@ -411,7 +472,11 @@ ORACLES = {
  case k when 0 then body when 1 then 'the message' when 2 then 'body here' when 3 then concat('CEF:0|acme|ngfw|1|', event_id, '|x|5|a=b') else concat('no header ', event_id) end as body from x""",
     "kv_fields": f"""{LOG}, x as (select event_uid, unnest([{{'ord': 0, 'name': 'user', 'value': concat('u', user_id)}}, {{'ord': 1, 'name': 'a', 'value': '1'}}, {{'ord': 2, 'name': 'b', 'value': 'x y'}}, {{'ord': 3, 'name': 'c', 'value': 'z'}}, {{'ord': 4, 'name': 'd.e', 'value': event_id::varchar}}], recursive := true) from log)
  select event_uid, ord::int as ord, name, value, false as truncated from x""",
-    "json_fields": f"{LOG} select event_uid, case when event_id % 17 <> 0 then json_extract_string(props, '$.k') end as k, event_id % 17 = 0 as rejected from log",
+    "json_fields": f"""{LOG}, j as (select event_uid, event_id, concat('{{"p":', props, ',"a":{{"b":[{{"c":"x', event_id, '"}},', event_id, ',[true,null]],"e":{{}}}},"q":"say ', chr(92), '"hi', chr(92), '" }}{{","f":', event_id % 7, '.25}}')::json as j from log where event_id % 17 > 3),
+ t as (select event_uid, event_id, t.* from j, json_tree(j.j) as t where t.type not in ('OBJECT', 'ARRAY'))
+ select event_uid, replace(fullkey[3:], '"', '') as path, json_extract_string(atom, '$') as value, case type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'bool' when 'NULL' then 'null' when 'DOUBLE' then 'float' else 'int' end as type from t""",
+    "json_values": f"""{LOG} select event_uid, case when event_id % 17 > 3 then concat('tail {{', event_id) end as rest, event_id % 17 <= 2 as rejected, (case when event_id % 17 = 3 then 1 when event_id % 17 > 3 then 4 end)::int as depth from log""",
+    "kv_census": f"""{LOG}, k(name) as (values ('user'), ('a'), ('b'), ('c'), ('d.e')) select source_id, name, count(*) as n, count(distinct case name when 'user' then user_id when 'd.e' then event_id else 0 end) as "values" from log, k group by 1, 2""",
     "delimited_fields": f"""{LOG}, x as (select event_uid, case when event_id % 3 = 0 then ';' else '|' end as delimiter, case when event_id % 3 = 0 then [event_id::varchar, user_id::varchar, source_id, 'x'] else [event_id::varchar, 'a', user_id::varchar, 'b'] end as v from log)
  select event_uid, delimiter, (generate_subscripts(v, 1) - 1)::int as col, unnest(v) as value from x""",
     "base64_fields": f"{LOG} select event_uid, case when event_id % 19 <> 0 then source_id end as decoded, event_id % 19 = 0 as rejected from log",

@@ -186,3 +186,15 @@ def test_token_shapes():
         began = time.time()
         drift.tokens_of(text)
         assert time.time() - began < 10, text[:9]
+
+
+def test_json_values_and_paths(spark):
+    texts = {1: '{"a":{"b":[{"c":"x\\"}"},2.50,true,null]},"e":{},"n":-7} rest } ]', 2: "[1", 3: "x", 4: None, 5: '{"a":1,"a":2}', 6: " [[[3]]] ", 7: '{"k":"' + "y" * 200_000 + '"}', 8: "[" * 5000 + "]" * 5000, 9: "[]"}
+    frame = spark.createDataFrame(list(texts.items()), "id int, j string")
+    whole = {r["id"]: (r["rest"], r["rejected"]) for r in normalize.json_values(frame, "id", "j").collect()}
+    assert whole == {1: ("rest } ]", False), 2: (None, True), 3: (None, True), 4: (None, True), 5: (None, True), 6: (None, False), 7: (None, False), 8: (None, True), 9: (None, False)}
+    got = sorted((r["id"], r["path"], r["value"], r["type"]) for r in normalize.json_fields(frame.where("id <> 7"), "id", "j").fillna("-").collect())
+    assert got == [(1, "a.b[0].c", 'x"}', "string"), (1, "a.b[1]", "2.5", "float"), (1, "a.b[2]", "true", "bool"), (1, "a.b[3]", "-", "null"), (1, "n", "-7", "int"), (6, "[0][0][0]", "3", "int")]
+    cut = normalize.json_fields(frame.where("id = 6"), "id", "j", levels=2).collect()
+    assert [(r["path"], r["value"], r["type"]) for r in cut] == [("[0][0]", "[3]", "json")]
+    assert normalize.json_fields(frame.limit(0), "id", "j").collect() == []
