@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.bindings import EXPECTED, EXPECTED_SQL, LOG, RECEIPT_COLUMNS, log_view, receipts
+from logweave.session import stored
 
 TIERS = (1, 2, 3, 4)
 
@@ -37,10 +38,37 @@ def source_minute_lineage(lineage: DataFrame) -> DataFrame:
 
 
 def source_minute_skew(norm: DataFrame) -> DataFrame:
-    """A3: exact median clock skew per source; the stream keeps a mergeable sketch instead."""
+    """A3: exact median clock skew per source; skew_sketches is the form that is stored and merged."""
     return norm.where(F.col("skew_ms").isNotNull()).groupBy("source_id").agg(F.percentile("skew_ms", F.lit(0.5)).alias("skew_p50"), F.count("*").alias("n"))
 
 
+SKETCH_K = 200  # of a quantile sketch: its rank error is about 1.7 % (99 % of the time) at some 2 KB, at any number of rows
+
+
+def skew_sketches(norm: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """Per tenant, source and minute a mergeable quantile sketch (KLL) of the clock skew, with count, least and greatest. Null skews count as nothing; a minute without any has no row."""
+    known = norm.where(F.col("skew_ms").isNotNull())
+    return known.groupBy("tenant_id", "source_id", per_minute("received_time").alias("minute")).agg(
+        F.kll_sketch_agg_bigint("skew_ms", k).alias("sketch"), F.count("*").alias("n"), F.min("skew_ms").alias("least"), F.max("skew_ms").alias("most")
+    )
+
+
+def merged_skew(sketches: DataFrame, by: list[str], ranks: tuple[float, ...] = (0.5,), k: int = SKETCH_K) -> DataFrame:
+    """Stored sketches merged to coarser keys: n, least, most and an estimate for each rank (p50 for 0.5), within the sketch's rank error. Minutes are never read again as rows."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_bigint("sketch", k).alias("sketch"), F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return merged.select(*by, "n", "least", "most", *[F.kll_sketch_get_quantile_bigint("sketch", F.lit(r)).alias(f"p{r * 100:g}") for r in ranks])
+
+
+def skew_health(log: DataFrame, stored_sketches: DataFrame, since: str = "received_time is not null") -> DataFrame:
+    """A11 from stored sketches: of each source the merged median, and how far its rank is from one half among the source's rows (rank_error), which the sketch bounds."""
+    merged = merged_skew(stored_sketches, ["source_id"])
+    ranks = log.where(since).where(F.col("skew_ms").isNotNull()).join(merged.select("source_id", "p50"), "source_id").groupBy("source_id").agg(
+        F.avg((F.col("skew_ms") < F.col("p50")).cast("double")).alias("below"), F.avg((F.col("skew_ms") <= F.col("p50")).cast("double")).alias("upto")
+    )
+    error = F.greatest(F.col("below") - 0.5, F.lit(0.5) - F.col("upto"), F.lit(0.0))
+    return merged.join(ranks, "source_id").withColumn("rank_error", error)
+
+
 def source_minute(log: DataFrame) -> DataFrame:
     """A4: the partial aggregates of one key merged; a part that has no rows of the key counts as nothing."""
     parts = source_minute_raw(log).unionByName(source_minute_lineage(log), allowMissingColumns=True)
@@ -220,6 +248,8 @@ SINCE = "2024-01-10 00:00:00"  # that the queries are registered with
 QUERIES = {
     "source_minute": _source_minute,
     "source_minute_skew": _log(source_minute_skew),
+    "skew_sketches": lambda s, d: merged_skew(stored(skew_sketches(log_view(s, d)), "sketches"), ["tenant_id", "source_id"]).select("tenant_id", "source_id", "n", "least", "most", F.col("p50").between(F.col("least"), F.col("most")).alias("inside")),
+    "skew_health": lambda s, d: skew_health(log_view(s, d), stored(skew_sketches(log_view(s, d)), "sketches")).select("source_id", "n", "least", "most", (F.col("rank_error") <= 0.03).alias("within")),
     "route_minute": lambda s, d: route_minute(receipts(s, d)).withColumns({"minute": text_time("minute"), "last_at": text_time("last_at")}),
     "eps_1m": _log(eps),
     "source_strip": lambda s, d: source_strip(source_minute(log_view(s, d)), SINCE).withColumn("last_seen", text_time("last_seen")).orderBy(F.desc("raw"), "source_id"),
@@ -253,6 +283,8 @@ ORACLES = {
  count(*) as raw_count, sum(strlen(line))::bigint as raw_bytes, count(*) as norm_count, {_T}, count(*) filter (event_id % 20 = 0) as replays,
  strftime(max(received_time), '%Y-%m-%d %H:%M:%S') as last_received, arg_max(contract_ref, (received_time, event_uid)) as contract_ref
  from log group by tenant_id, source_id, date_trunc('minute', received_time)""",
+    "skew_sketches": f"{LOG} select tenant_id, source_id, count(*) as n, min(skew_ms) as least, max(skew_ms) as most, true as inside from log group by 1, 2",
+    "skew_health": f"{LOG} select source_id, count(*) as n, min(skew_ms) as least, max(skew_ms) as most, true as within from log group by 1",
     "source_minute_skew": f"{LOG} select source_id, quantile_cont(skew_ms, 0.5)::double as skew_p50, count(*) as n from log group by source_id",
     "route_minute": f"{_RM} select route_id, strftime(minute, '%Y-%m-%d %H:%M:%S') as minute, delivered, failed, filtered, strftime(last_at, '%Y-%m-%d %H:%M:%S') as last_at from rm",
     "eps_1m": f"{LOG} select source_id, count(*) / 60.0::double as eps from log where received_time >= (select max(received_time) from log) - interval 60 seconds group by 1",

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from logweave.bindings import LOG, log_view
 from logweave.functions.contracts import normalized
 from logweave.functions.layers import CONTRACTS, LINES_SQL, sent
+from logweave.operators import jumps
 from logweave.plans.rollup import text_time
 from logweave.session import shared_path, stored
 
@@ -151,7 +152,7 @@ class Runs(StatefulProcessor):
         text, parts, at = self.open.get() if self.open.exists() else (None, 0, 0)
         out = []
         for _, line, ms in in_order(rows, ["n", "line", "ms"]):
-            if text is not None and (line[:1] in (" ", "\t") or line.startswith("at ")):
+            if text is not None and ms - at <= 500 and (line[:1] in (" ", "\t") or line.startswith("at ")):
                 text, parts = f"{text}\n{line}", parts + 1
             else:
                 if text is not None:
@@ -196,37 +197,6 @@ def receipts_stream(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{path}/data").groupBy("route_id", "status").agg(F.count("*").alias("n"))
 
 
-def replay_stream(s: SparkSession, d: str) -> DataFrame:
-    """X11: events and their replays; what comes again with the same revision is dropped."""
-    path = shared_path(s, "replay")
-    stream = log_stream(s, d).withColumn("t", F.col("received_time").cast("timestamp")).withColumn("revision", F.explode(F.expr("if(event_id % 3 = 0, array(1, 2, 2), array(1))")))
-    run_once(stream.withWatermark("t", "60 days").dropDuplicatesWithinWatermark(["event_uid", "revision"]).select("event_uid", "revision"), None, path)
-    return s.read.parquet(f"{path}/data").groupBy("revision").agg(F.count("*").alias("n"))
-
-
-def load_index_stream(s: SparkSession, d: str) -> DataFrame:
-    """One query feeds several tables; each batch overwrites its own partition."""
-    path = shared_path(s, "tables")
-
-    def sink(batch: DataFrame, n: int) -> None:
-        batch.persist()
-        for name, part in (("raw", batch.select("event_uid", "source_id")), ("dlq", batch.where("tier >= 2").select("event_uid", "source_id"))):
-            part.write.mode("overwrite").parquet(f"{path}/{name}/batch={n}")
-        batch.unpersist()
-
-    run_once(log_stream(s, d), sink, path)
-    counts = [s.read.parquet(f"{path}/{t}").groupBy("source_id").agg(F.count("*").alias("n")).withColumn("target", F.lit(t)) for t in ("raw", "dlq")]
-    return counts[0].unionByName(counts[1])
-
-
-def poison_quarantine(s: SparkSession, d: str) -> DataFrame:
-    """Records that fail become dead letters with their coordinates; the others go on."""
-    path = shared_path(s, "poison")
-    stream = log_stream(s, d).withColumn("number", F.expr("case when event_id % 41 = 0 then 'x' else cast(event_id as string) end"))
-    run_once(stream.select("event_uid", F.col("number").try_cast("long").alias("number")), None, path)
-    return s.read.parquet(f"{path}/data").groupBy(F.when(F.col("number").isNull(), "engine_crash").otherwise("ok").alias("outcome")).agg(F.count("*").alias("n"))
-
-
 LEAST = 5  # events of a group before it is told
 
 
@@ -354,25 +324,16 @@ def burst_alert_stream(s: SparkSession, d: str, times: int = 3, seconds: int = 8
     return s.read.parquet(f"{path}/data")
 
 
-def control_stream(s: SparkSession, d: str) -> DataFrame:
-    """Each batch reads the newest control snapshot once, so changes apply between batches."""
-    from logweave.sources.ingest import current_state
-
-    path = shared_path(s, "control")
-    changes = log_view(s, d).selectExpr("user_id", "event_id", "case when value < 5 then null else source_id end as contract")
-
-    def sink(batch: DataFrame, n: int) -> None:
-        snapshot = current_state(changes, "user_id", "event_id", "contract")
-        batch.select("event_uid", "user_id").join(snapshot, "user_id", "left").write.mode("overwrite").parquet(f"{path}/batch={n}")
-
-    run_once(log_stream(s, d), sink, path)
-    return s.read.parquet(path + "/batch=*").groupBy(F.coalesce("contract", F.lit("none")).alias("contract")).agg(F.count("*").alias("n"))
-
-
-QUERIES = {f.__name__: f for f in (minute_rollup_stream, normalize_stream, window_roots_stream, late_data, multiline_stream, drift_stream, overview_stream, receipts_stream, replay_stream, load_index_stream, poison_quarantine, drift_upsert, quota_stream, burst_alert_stream, control_stream)}
+QUERIES = {f.__name__: f for f in (minute_rollup_stream, normalize_stream, window_roots_stream, late_data, multiline_stream, drift_stream, overview_stream, receipts_stream, drift_upsert, quota_stream, burst_alert_stream)}
 
 _UP = "select w, idx // 2 as idx, case when count(*) = 2 then sha256(unhex('01') || unhex(arg_min(h, idx)) || unhex(arg_max(h, idx))) else min(h) end as h from {0} group by w, idx // 2"
 ORACLES = {
+    "burst_alert_stream": jumps.ORACLES["burst_alerts"],
+    "quota_stream": f"""{LOG.replace("with log", "with recursive log")}, e as materialized (select source_id, epoch(date_trunc('second', received_time))::double as second, (1 + event_id % 5)::double as cost, row_number() over (partition by source_id order by epoch(date_trunc('second', received_time)), event_uid) as n from log),
+ b as (select source_id, n, second as at, 3.0::double - case when 3.0 >= least(cost, 3.0) then cost else 0 end as level, true as admitted from e where n = 1
+  union all select q.source_id, q.n, q.second, q.level - case when q.level >= least(q.cost, 3.0) then q.cost else 0 end, q.level >= least(q.cost, 3.0)
+  from (select e.source_id, e.n, e.second, e.cost, least(3.0::double, b.level + (e.second - b.at) * 3.0) as level from b join e on e.source_id = b.source_id and e.n = b.n + 1) q)
+ select source_id, admitted, count(*) as n from b group by 1, 2""",
     "minute_rollup_stream": f"{LOG} select source_id, strftime(date_trunc('minute', received_time), '%Y-%m-%d %H:%M:%S') as minute, count(*) as n from log group by 1, date_trunc('minute', received_time)",
     "normalize_stream": f"""{LINES_SQL}, r as (select *, case when k = 5 then 'empty' when k = 2 then 'no_contract' when t is null then 'no_template_match' when t = 'failed' then 'required_missing' when t = 'json' and (event_id % 2 = 0 or event_id % 3 = 0) then 'schema_invalid' end as reason from m)
  select event_uid, contract, t as template, (case when reason = 'empty' then 4 when reason in ('no_contract', 'no_template_match') then 3 when reason is not null then 2 else 1 end)::int as got_tier, reason from r""",
@@ -381,16 +342,12 @@ ORACLES = {
     + ", ".join(f"l{i + 1} as ({_UP.format(f'l{i}' if i else 'n')})" for i in range(8))
     + """ select strftime(l8.w, '%Y-%m-%d %H:%M:%S') as hour, c.k::int as leaf_count, l8.h as root from l8 join (select w, count(*) as k from n group by 1) c on c.w = l8.w where l8.w + interval 1 hour <= (select max(sealed) from seg) - interval 1 hour""",
     "late_data": f"""{LOG} select strftime(date_trunc('minute', received_time), '%Y-%m-%d %H:%M:%S') as minute, count(*) as n, count(*) filter (skew_ms > 50000) as late, max(skew_ms) filter (skew_ms > 50000) as worst from log group by 1""",
-    "multiline_stream": f"""{LOG}, l as (select (user_id % 50)::varchar as peer, event_id as n, concat(case when event_id % 3 = 0 then '  at frame ' when event_id % 7 = 0 then 'at frame ' else 'line ' end, event_id) as line, event_id % 3 = 0 or event_id % 7 = 0 as more from log),
- g as (select *, sum(case when more then 0 else 1 end) over (partition by peer order by n) as run from l) select peer, string_agg(line, chr(10) order by n) as text, count(*)::int as parts from g where run > 0 group by peer, run
+    "multiline_stream": f"""{LOG}, l as (select (user_id % 50)::varchar as peer, event_id as n, concat(case when event_id % 3 = 0 then '  at frame ' when event_id % 7 = 0 then 'at frame ' else 'line ' end, event_id) as line, (event_id % 3 = 0 or event_id % 7 = 0) and event_id - lag(event_id) over (partition by user_id % 50 order by event_id) <= 50 as more from log),
+ g as (select *, sum(case when coalesce(more, false) then 0 else 1 end) over (partition by peer order by n) as run from l) select peer, string_agg(line, chr(10) order by n) as text, count(*)::int as parts from g where run > 0 group by peer, run
  union all select peer, string_agg(line, chr(10) order by n), count(*)::int from g where run = 0 group by peer""",
     "drift_stream": f"{LOG} select source_id, user_id, count(*) as n, true as each_grew from log where tier = 3 group by 1, 2 having count(*) >= 5",
     "overview_stream": f"{LOG} select concat('tier_', tier) as metric, count(*) as n from log group by 1 union all select 'roots', count(distinct date_trunc('day', received_time)) from log",
     "receipts_stream": f"""{LOG}, x as (select 'soc' as route_id, tier in (1, 2) as ok from log union all select 'errors', source_id = 'error' and tenant_id in ('t0', 't1') from log)
  select route_id, case when ok then 'delivered' else 'filtered' end as status, count(*) as n from x group by all""",
-    "replay_stream": f"{LOG} select 1::int as revision, count(*) as n from log union all select 2, count(*) from log where event_id % 3 = 0",
-    "load_index_stream": f"{LOG} select 'raw' as target, source_id, count(*) as n from log group by 2 union all select 'dlq', source_id, count(*) from log where tier >= 2 group by 2",
-    "poison_quarantine": f"{LOG} select case when event_id % 41 = 0 then 'engine_crash' else 'ok' end as outcome, count(*) as n from log group by 1",
     "drift_upsert": f"""{LOG} select source_id, user_id, count(*) as n, min(event_id) as "first", max(event_id) as "last", case when user_id % 4 = 1 then 'ignored' when min(line) like '% FAILED login %' then 'resolved' else 'open' end as state from log where tier = 3 group by 1, 2""",
-    "control_stream": f"{LOG}, c as (select user_id, (max(struct_pack(e := event_id, s := source_id, v := value))) as x from log group by 1) select coalesce(case when x.v >= 5 then x.s end, 'none') as contract, count(*) as n from log join c using (user_id) group by 1",
 }
