@@ -215,6 +215,19 @@ def _other(data: bytes, at: int, end: int, marks: Marks) -> bool:
     return any(MAGIC[m.group()] == "pdf" or VALID[MAGIC[m.group()]](data, m.start(), marks) for m in _MAGIC.finditer(data, at, end))
 
 
+def _sections(data: bytes, marks: Marks) -> tuple[np.ndarray, np.ndarray]:
+    """Of a blob's sections, once: from each one the first whose way to the next is barred by another medium (or the last), and those that name an offset, by that offset."""
+    if b"pdf stops" not in marks.held:
+        start, end, mark, digits = marks.sections()
+        stops = np.arange(len(mark))
+        for i in range(len(mark) - 2, -1, -1):
+            if not _other(data, int(end[i]), int(start[i + 1]), marks):
+                stops[i] = stops[i + 1]
+        named = np.flatnonzero(digits >= 0)
+        marks.held[b"pdf stops"] = stops, named[np.argsort(digits[named], kind="stable")]
+    return marks.held[b"pdf stops"]
+
+
 def _pdf(data: bytes, at: int, marks: Marks) -> int | None:
     """Up to the last %%EOF and its line end.
 
@@ -225,19 +238,15 @@ def _pdf(data: bytes, at: int, marks: Marks) -> int | None:
     i = int(np.searchsorted(mark, at))
     if i == len(mark):
         return None
-    over = int(end[i])
-    while i + 1 < len(mark):
-        place = at + digits[i + 1 :]
-        updates = np.flatnonzero((digits[i + 1 :] >= 0) & (place >= over) & (place < mark[i + 1 :]))
-        update = next((i + 1 + int(j) for j in updates if _XREF.match(data, int(place[j]))), None)
-        if update == i + 1 or not _other(data, over, int(start[i + 1]), marks):
-            i += 1
-        elif update is not None:
-            i = update
-        else:
+    stops, by_offset = _sections(data, marks)
+    while (i := int(stops[i])) + 1 < len(mark):
+        far = by_offset[np.searchsorted(digits[by_offset], int(end[i]) - at) :]
+        updates = np.sort(far[(far > i) & (at + digits[far] < mark[far])])
+        update = next((int(j) for j in updates if _XREF.match(data, at + int(digits[j]))), None)
+        if update is None:
             break
-        over = int(end[i])
-    return over - at
+        i = update
+    return int(end[i]) - at
 
 
 def _zip(data: bytes, at: int, marks: Marks) -> int | None:

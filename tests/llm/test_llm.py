@@ -634,6 +634,11 @@ def test_hostile_blobs_take_linear_time():
         began = time.perf_counter()
         media.sniff(part * 40_000, signs)
         assert time.perf_counter() - began < 5
+    for n, part in ((40_000, b"%PDF-1.4 %%EOF\n"), (30_000, b"%PDF-1 startxref 0 %%EOF\n"), (20_000, b"GIF89a %PDF- startxref 9 %%EOF\n")):
+        for blob in (part * n, b"%PDF-" * n + b"%%EOF\n" * n, b"%PDF- startxref 7 " * n + b"startxref 1 %%EOF\n" * n):
+            began = time.perf_counter()
+            media.sniff(blob, signs)
+            assert time.perf_counter() - began < 5, part
 
 
 # --- neighbours
