@@ -129,7 +129,7 @@ def stretch(tile: Column) -> Column:
 
 def placed(offsets: Column, at: Column) -> Column:
     """The line's position for a position of a text, null without an offset map."""
-    last = F.element_at(F.filter(offsets, lambda m: m["at"] <= at), -1)
+    last = F.try_element_at(F.filter(offsets, lambda m: m["at"] <= at), F.lit(-1))
     return F.when(F.size(offsets) == 2, F.get(offsets, F.lit(0))["src"] + at).otherwise(let(last, lambda m: m["src"] + at - m["at"]))
 
 
@@ -306,7 +306,7 @@ def _delimited(text: Column, given: dict) -> Column:
         F.concat(F.lit("delimited."), F.coalesce(F.get(names, i), F.concat(F.lit("col_"), i + 1))).alias("k"), F.trim(v).alias("v"), (s + F.length(v) - F.length(F.ltrim(v))).alias("s"), (s + F.length(F.rtrim(v))).alias("e"),
     )
     entries = let(F.split(text, re.escape(by), -1), lambda vs: let(starts(vs, len(by)), lambda st: F.when(F.size(vs) >= least, F.transform(vs, lambda v, i: one(v, st[i], i)))))
-    own = lambda es: F.element_at(F.filter(es, lambda x: x["k"] == "delimited." + given["text_field"]), -1)
+    own = lambda es: F.try_element_at(F.filter(es, lambda x: x["k"] == "delimited." + given["text_field"]), F.lit(-1))
     made = lambda es: layer_of(filled(es), own(es)["v"], stretch(own(es))) if "text_field" in given else layer_of(filled(es))
     return let(entries, lambda es: F.when(es.isNotNull(), made(es)))
 
@@ -401,6 +401,16 @@ def register_layer(kind: str, layer: Callable[[Column, dict], tuple[Column, Colu
     LAYERS[kind] = wrapped
 
 
+def named_fields(out: DataFrame, entries: Column) -> DataFrame:
+    """out with fields and spans, the maps of entries; of equal names the last one counts: sorted by name and place in the list, the last of each name stays."""
+    out = out.withColumn("__e", held(F.array_sort(F.transform(entries, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"), x["s"].alias("s"), x["e"].alias("e"))))))
+    last = F.filter("__e", lambda x, i: F.coalesce(F.get(F.col("__e"), i + 1)["k"] != x["k"], F.lit(True)))
+    return out.withColumn("__e", held(last)).withColumns({
+        "fields": held(F.map_from_entries(F.transform("__e", lambda x: F.struct(x["k"], x["v"])))),
+        "spans": held(F.map_from_entries(F.transform(F.filter("__e", lambda x: x["s"].isNotNull()), lambda x: F.struct(x["k"], F.struct(x["s"].alias("start"), x["e"].alias("end")))))),
+    }).drop("__e")
+
+
 def peel_by_contract(lines: DataFrame, contracts: tuple[Contract, ...], contract: str = "contract", line: str = "line", depth: int = MAX_DEPTH) -> DataFrame:
     """Lines with fields and spans (maps of texts and of their (start, end) in the line), text (what the last layer left), offsets (its offset map), parse_path and error.
 
@@ -437,14 +447,78 @@ def peel_by_contract(lines: DataFrame, contracts: tuple[Contract, ...], contract
             lenient = F.col(contract).isin(users.get(True, []))
             chain = F.when(active, F.when(got["entries"].isNotNull(), taken).when(lenient, now).otherwise(failed(f"layer {kind} doesn't apply"))).otherwise(chain)
         out = out.withColumn("__s", held(chain)).drop(*[f"__l{i}" for i in range(len(shared))])
-    # of equal names the last one counts: sorted by name and place in the list, the last of each name stays
-    out = out.withColumn("__e", held(F.array_sort(F.transform(now["entries"], lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"), x["s"].alias("s"), x["e"].alias("e"))))))
-    last = F.filter("__e", lambda x, i: F.coalesce(F.get(F.col("__e"), i + 1)["k"] != x["k"], F.lit(True)))
-    return out.withColumn("__e", held(last)).withColumns({
-        "fields": held(F.map_from_entries(F.transform("__e", lambda x: F.struct(x["k"], x["v"])))),
-        "spans": held(F.map_from_entries(F.transform(F.filter("__e", lambda x: x["s"].isNotNull()), lambda x: F.struct(x["k"], F.struct(x["s"].alias("start"), x["e"].alias("end")))))),
-        "text": now["text"], "offsets": now["offsets"], "parse_path": now["path"], "error": now["error"],
-    }).drop("__s", "__e")
+    return named_fields(out, now["entries"]).withColumns({"text": now["text"], "offsets": now["offsets"], "parse_path": now["path"], "error": now["error"]}).drop("__s")
+
+
+# --- without a contract
+
+
+def _guess(text: Column) -> Column:
+    """What a text seems to be: the layer that would read it next, null for plain text. CEF and LEEF bodies, JSON, pairs of some density, then columns."""
+    words = F.size(F.split(F.trim(text), r"\s+"))
+    pairs = F.size(F.regexp_extract_all(text, F.lit(r"[A-Za-z_][\w.\-]*+\s*+=\s*+\S"), F.lit(0)))
+    bars = F.greatest(*[F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in DELIMITERS])
+    return (
+        F.when(text.rlike(OLD_SYSLOG.replace("(?s)", "").replace("(.*)$", "")) | text.rlike(r"^<\d{1,3}>\d\s"), "syslog").when(text.rlike(r"^[ \t\n\r]*[\{\[]"), "json").when(text.rlike(r"^CEF:\d"), "cef").when(text.rlike(r"^LEEF:[\d.]"), "leef")
+        .when((pairs >= 2) & (pairs >= 0.5 * words), "kv").when(bars >= 3, "delimited")
+    )
+
+
+def _columns(text: Column, given: dict) -> Column:
+    """Four columns or more by the delimiter that gives most, the first of ties."""
+    tried = [(F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))), _delimited(text, {"delimiter": x})) for x in DELIMITERS]
+    most = F.greatest(*[n for n, _ in tried])
+    return reduce(lambda other, one: F.when((one[0] == most) & (most >= 3), one[1]).otherwise(other), reversed(tried), F.lit(None).cast(LAYER))
+
+
+def _longest(entries: Column) -> Column:
+    """The longest of JSON's texts, by which the next layer goes on; a text of blanks or digits isn't one."""
+    words = F.filter(entries, lambda x: (x["k"] != "json.__rest") & x["v"].rlike("[A-Za-z]"))
+    return F.try_element_at(F.array_sort(F.transform(words, lambda x: F.struct(F.length(x["v"]).alias("n"), x["v"].alias("v"), x["s"].alias("s"), x["e"].alias("e")))), F.lit(-1))
+
+
+def peel_auto(lines: DataFrame, line: str = "line", depth: int = MAX_DEPTH, most_chars: int | None = None) -> DataFrame:
+    """Lines without a contract, with fields, spans, text, offsets and parse_path, `auto:` and the layers found, by > (auto:text if none).
+
+    Up to depth layers, each guessed from the text that the one before left: syslog, JSON (the longest of its texts goes on,
+    pairs behind it are fields too), CEF, LEEF, pairs, columns. Pairs and columns end it. most_chars: guess by the first ones only.
+    """
+    size = F.length(F.col(line).cast("string"))
+    state = F.struct(
+        F.array().cast(ENTRIES).alias("entries"), F.col(line).cast("string").alias("text"), F.array(F.struct(F.lit(0), F.lit(0)), F.struct(size, size)).cast(CUTS).alias("offsets"), F.array().cast("array<string>").alias("path"), F.lit(True).alias("more"),
+    )
+    out, now = lines.withColumn("__s", state), F.col("__s")
+    for step in range(depth):
+        seen = now["text"] if most_chars is None else F.substring(now["text"], 1, most_chars)
+        out = out.withColumn("__g", held(F.when(now["more"], _guess(seen))))
+        got: Column = F.lit(None).cast(LAYER)
+        kinds = [k for k in ("syslog", "json", "cef", "leef", "kv", "delimited") if k != "syslog" or not step]
+        for kind in kinds:
+            made = (_columns if kind == "delimited" else LAYERS[kind])(F.when(F.col("__g") == kind, now["text"]), {})
+            if kind == "json":
+                out = out.withColumn("__j", made)
+                made = F.col("__j")
+                chosen = let(_longest(made["entries"]), lambda c: F.when(c.isNotNull() & ~F.contains(c["v"], F.lit("\\")) & (F.length(c["v"]) == c["e"] - c["s"]), c))
+                rest = F.try_element_at(F.filter(made["entries"], lambda x: x["k"] == "json.__rest"), F.lit(-1))
+                behind = let(rest, lambda r: F.transform(kv_entries(r["v"], "kv."), lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"), (x["s"] + r["s"]).alias("s"), (x["e"] + r["s"]).alias("e"))))
+                made = F.when(made["entries"].isNotNull(), let(chosen, lambda c: layer_of(F.concat(made["entries"], F.coalesce(behind, F.array().cast(ENTRIES))), c["v"], F.when(c.isNotNull(), stretch(c)))))
+            got = F.when(F.col("__g") == kind, made).otherwise(got)
+        out = out.withColumn("__l", held(got))
+        lined = F.transform(F.col("__l.entries"), lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"), placed(now["offsets"], x["s"]).alias("s"), placed(now["offsets"], x["e"]).alias("e")))
+        text = F.col("__l.text")
+        taken = F.struct(
+            F.concat(now["entries"], lined).alias("entries"), F.coalesce(text, now["text"]).alias("text"), F.when(text.isNull(), now["offsets"]).otherwise(composed(now["offsets"], F.col("__l.cuts"))).alias("offsets"),
+            F.concat(now["path"], F.array("__g")).alias("path"), (text.isNotNull() & F.col("__g").isin("syslog", "json")).alias("more"),
+        )
+        ended = F.struct(*[now[c].alias(c) for c in ("entries", "text", "offsets", "path")], F.lit(False).alias("more"))
+        out = out.withColumn("__s", held(F.when(F.col("__l.entries").isNotNull(), taken).otherwise(ended))).drop("__g", "__l", "__j")
+    path = F.concat(F.lit("auto:"), F.when(F.size(now["path"]) == 0, "text").otherwise(F.array_join(now["path"], ">")))
+    return named_fields(out, now["entries"]).withColumns({"text": now["text"], "offsets": now["offsets"], "parse_path": path}).drop("__s")
+
+
+def path_census(peeled: DataFrame, source: str) -> DataFrame:
+    """Of each source how often which parse path is found, and how many fields its lines have on average."""
+    return peeled.groupBy(source, "parse_path").agg(F.count("*").alias("n"), F.avg(F.size("fields").cast("double")).alias("fields"))
 
 
 # --- templates
@@ -675,6 +749,16 @@ def own_layer(s: SparkSession, d: str) -> DataFrame:
     return got.select("event_uid", "error", F.col("fields")["bracket.name"].alias("name"), F.col("fields")["kv.n"].alias("n"), F.map_contains_key("spans", F.lit("kv.n")).alias("located"))
 
 
+#: Lines of no contract: JSON in syslog with pairs behind it, JSON whose text holds pairs, CEF in syslog, LEEF, pairs, columns, plain text and none.
+UNKNOWN = """case event_id % 8 when 0 then concat('<13>Jan 01 00:00:00 h', user_id, ' app: {"id":', event_id, ',"note":"all is well here","s":"x"} a=1 b=', event_id) when 1 then concat('{"n":[1,2],"msg":"user=u', user_id, ' act=deny n=', event_id, '"}')
+ when 2 then concat('<13>Jan 01 00:00:00 h1 CEF:0|acme|ngfw|1|', event_id, '|login|5|src=10.0.0.1 msg=x y') when 3 then concat('LEEF:1.0|acme|fw|1|e', event_id, '|usr=u', user_id) when 4 then concat('user=u', user_id, ' n=', event_id) when 5 then concat(event_id, '; a ;', user_id, ';z')
+ when 6 then concat('just some text ', event_id) else null end as line"""
+
+
+def _auto(s: SparkSession, d: str) -> DataFrame:
+    return peel_auto(log_view(s, d).selectExpr("event_uid", "source_id", UNKNOWN))
+
+
 _PATHS = ("user.name", "src_endpoint.ip", "dst_endpoint.port", "status_id", "time", "unmapped.n", "device.hostname")
 _LOCATED = ("user.name", "src_endpoint.ip", "dst_endpoint.port", "unmapped.n", "device.hostname", "message")
 QUERIES = {
@@ -688,8 +772,12 @@ QUERIES = {
     "provenance_check": lambda s, d: provenance_check(_mapped(s, d).withColumn("located", F.expr("case when event_id % 161 = 4 then map('user.name', struct(1 as start, 3 as end)) when event_id % 161 = 7 then map_filter(located, (k, v) -> k <> 'user.name') else located end")), "event_uid").groupBy("path", "ok", "reason").agg(F.count("*").alias("n")),
     "contract_observables": lambda s, d: observables(_mapped(s, d), "event_uid"),
     "own_layer": own_layer,
+    "peel_auto": lambda s, d: _auto(s, d).select("event_uid", "parse_path", "text", F.size("fields").alias("n_fields"), *[F.col("fields")[k].alias(n) for n, k in (("b", "kv.b"), ("kv_n", "kv.n"), ("src", "cef.src"), ("usr", "leef.usr"), ("col", "delimited.col_2"))], *[F.col("spans")["kv.n"][e].alias(f"n_{e}") for e in ("start", "end")]),
+    "path_census": lambda s, d: path_census(_auto(s, d), "source_id"),
 }
 
+_U = f"""{LOG}, u as (select event_uid, event_id, user_id, source_id, {UNKNOWN}, event_id % 8 as k, case event_id % 8 when 0 then 'auto:syslog>json' when 1 then 'auto:json>kv' when 2 then 'auto:syslog>cef' when 3 then 'auto:leef' when 4 then 'auto:kv' when 5 then 'auto:delimited' else 'auto:text' end as parse_path,
+ (case event_id % 8 when 0 then 12 when 1 then 6 when 2 then 14 when 3 then 6 when 4 then 2 when 5 then 4 else 0 end)::int as n_fields from log)"""
 #: Common table expressions: q with the sent lines, m with the template t of each.
 LINES_SQL = f"""{LOG}, q as (select * exclude (line, contract_ref), line as logged, {OF}, {SENT}, event_id % 7 as k, event_id % 4 = 2 as failed, regexp_extract(line, '^<[0-9]+>.{{15}} [^ ]+ app.[0-9]+.: (.*)$', 1) as body from log),
  m as (select *, case when k = 0 then 'json' when k = 4 then case when failed then 'failed' else 'other' end end as t, concat('10.0.', user_id % 256, '.', event_id % 256) as src from q)"""
@@ -720,5 +808,9 @@ ORACLES = {
  when event_id % 161 = 4 and path in ('src_endpoint.ip', 'unmapped.attempts', 'device.hostname', 'message') then 'neither located nor derived' end as reason from c) select path, reason is null as ok, reason, count(*) as n from r group by all""",
     "contract_observables": f"""{LINES_SQL} select event_uid, 'ip_1' as name, case when k = 0 then '10.0.0.1' else src end as value, 'from:src_endpoint.ip' as label from m where t = 'failed' or (k = 0 and event_id % 3 <> 0)
  union all select event_uid, 'user', case when k = 4 then concat('u', user_id) else concat('hé ', user_id) end, 'from:user.name' from m where k in (0, 4) union all select event_uid, 'host_1', {_HOST}, 'from:device.hostname' from m where k in (0, 4)""",
+    "peel_auto": f"""{_U} select event_uid, parse_path, n_fields, case k when 0 then 'all is well here' when 1 then concat('user=u', user_id, ' act=deny n=', event_id) when 2 then 'login' when 3 then concat('e', event_id) else line end as text, case when k = 0 then event_id::varchar end as b,
+ case when k in (1, 4) then event_id::varchar end as kv_n, case when k = 2 then '10.0.0.1' end as src, case when k = 3 then concat('u', user_id) end as usr, case when k = 5 then 'a' end as col,
+ (case when k in (1, 4) then instr(line, ' n=') + 2 end)::int as n_start, (case when k in (1, 4) then instr(line, ' n=') + 2 + length(event_id::varchar) end)::int as n_end from u""",
+    "path_census": f"{_U} select source_id, parse_path, count(*) as n, avg(n_fields)::double as fields from u group by 1, 2",
     "own_layer": f"""{LOG} select event_uid, case when event_id % 3 = 0 then 'layer bracketed doesn''t apply' end as error, case when event_id % 3 <> 0 then 'app' end as name, case when event_id % 3 <> 0 then event_id::varchar end as n, false as located from log""",
 }
