@@ -91,7 +91,7 @@ def starts(pieces: Column, gap: int = 0, block: int = 64) -> Column:
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / block).cast("int")), lambda b: F.slice(pieces, b * block + 1, F.lit(block)))
     upto = lambda lengths: F.transform(lengths, lambda _, b: F.aggregate(F.slice(lengths, F.lit(1), b), F.lit(0), lambda a, x: a + x))
     many = let(blocks, lambda bs: let(upto(F.transform(bs, lambda ps: F.length(F.array_join(ps, "")))), lambda at: F.flatten(F.transform(bs, lambda ps, b: within(ps, b * block, F.get(at, b))))))
-    return F.when(F.size(pieces) == 0, F.array().cast("array<int>")).when(F.size(pieces) <= block, within(pieces, F.lit(0), F.lit(0))).otherwise(many)
+    return F.when(F.size(pieces) == 0, F.array().cast("array<int>")).otherwise(many)
 
 
 def tiles(text: Column, pattern: str, marked: str, whole: int | None = None) -> Column:
@@ -106,12 +106,13 @@ def tiles(text: Column, pattern: str, marked: str, whole: int | None = None) ->
             return F.split(made, "\x02", -1)
         return F.when(made.startswith("\x01"), F.split(F.substring(made, 2, 2147483647), "\x02", whole))
 
-    def spread(pieces: Column, value: Callable[[Column, Column], Column]) -> Column:
-        one = lambda p, at: F.struct(value(p, at).alias("v"), at.alias("s"), (at + F.length(p)).alias("e"))
-        return let(pieces, lambda ps: let(starts(ps), lambda st: F.zip_with(ps, st, one)))
-
     odd = F.contains(text, F.lit("\x01")) | F.contains(text, F.lit("\x02"))
-    return F.when(odd, spread(cut(F.translate(text, "\x01\x02", "\ufffd\ufffd")), lambda p, at: F.substring(text, at + 1, F.length(p)))).otherwise(spread(cut(text), lambda p, at: p))
+
+    def spread(o: Column) -> Column:
+        one = lambda p, at: F.struct(F.when(o, F.substring(text, at + 1, F.length(p))).otherwise(p).alias("v"), at.alias("s"), (at + F.length(p)).alias("e"))
+        return let(cut(F.when(o, F.translate(text, "\x01\x02", "\ufffd\ufffd")).otherwise(text)), lambda ps: let(starts(ps), lambda st: F.zip_with(ps, st, one)))
+
+    return let(odd, spread)
 
 
 def whole_tiles(text: Column, pattern: str, n: int) -> Column:
