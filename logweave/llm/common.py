@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,10 +59,21 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
         pa.default_memory_pool().release_unused()  # what the driver collected before
 
 
+def release(spark: SparkSession) -> None:
+    """Free what earlier queries left on the driver.
+
+    Broadcasts, plans and shuffle files go when the objects that name them are collected, which a driver
+    with room in its heap puts off: Python's names first, then the JVM's, which gives free heap back.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
-    """Parquet tables in the shared folder; they cut lineage and outlive lost executors."""
+    """Parquet tables in the shared folder; they cut lineage and outlive lost executors. Each operator begins with one, on a driver without the leftovers of the last."""
 
     def __init__(self, spark: SparkSession, tag: str):
+        release(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
