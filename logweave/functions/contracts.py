@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from logweave.bindings import LOG, log_view
 from logweave.functions.layers import CONTRACTS, LINES_SQL, Contract, MapRow, Template, expression, extract_by_template, held, map_rows, observables, peel_by_contract, sent
+from logweave.operators.ordered import CONTRACT_ROWS
 
 # Event classes with their activities, the values of enumerated paths, and paths that hold whole numbers.
 ACTIVITIES = {0: (0, 99), 1007: (1, 2), 3002: (1, 2), 4001: (1, 2, 5, 6), 4002: (1, 2, 3, 4, 5, 6, 7, 8, 99)}
@@ -172,6 +173,20 @@ def draft_tiers(lines: DataFrame, draft: Contract, line: str = "line", received:
     return got.groupBy("got_tier", "reason").agg(F.count("*").alias("n"))
 
 
+def contract_rows(spark: SparkSession, contracts: tuple[Contract, ...]) -> DataFrame:
+    """Contracts as rows for ordered.contract_diff: of each template its pattern, class, required paths, map rows and captures that no row uses; layers, zone and formats as sections."""
+    rows = []
+    for c in contracts:
+        rows += [(c.id, "section", "", name, repr(getattr(c, name)), None) for name in ("layers", "tz", "formats")]
+        for i, t in enumerate(c.templates):
+            own = [r for r in c.rows if r.template in (None, t.name)]
+            rows += [(c.id, "template", t.name, "", "", i), (c.id, "pattern", t.name, "", expression(t)[0], None), (c.id, "class", t.name, "", f"{t.class_uid}/{t.activity_id}", None)]
+            rows += [(c.id, "required", t.name, path, "", None) for path in t.required]
+            rows += [(c.id, "map", t.name, r.path, repr((r.kind, r.ref, r.to, r.words)), None) for r in own]
+            rows += [(c.id, "unmapped", t.name, name, "", None) for name in sorted({n for n in expression(t)[1] if n} - {r.ref for r in own if r.kind == "capture"})]
+    return spark.createDataFrame(rows, CONTRACT_ROWS)
+
+
 def login_contract(id: str, *templates: Template) -> Contract:
     rows = (MapRow("user.name", "capture", "user"), MapRow("src_endpoint.ip", "capture", "src", "ip"), MapRow("unmapped.attempts", "capture", "attempts", "int"), MapRow("status_id", "const", "2", "int", "failed"), MapRow("status_id", "const", "1", "int", "ok"))
     return Contract(id, (("syslog", {}, False),), templates, rows)

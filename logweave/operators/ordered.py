@@ -30,10 +30,16 @@ def receipts_dedupe(receipts: DataFrame) -> DataFrame:
 
 
 def join_multiline(lines: DataFrame, key: str, order: str, line: str, most_chars: int | None = None) -> DataFrame:
-    """A line that begins with white space or `at ` continues the one before it; empty lines are dropped. most_chars cuts a joined text, `truncated` says so."""
+    """A line that begins with a blank, a tab or `at ` continues the one before it. most_chars cuts a joined text, `truncated` says so.
+
+    A line of blanks only belongs to the run it stands in and is dropped before the first event of its key; null and
+    empty lines are always dropped, and what follows them still continues the run.
+    """
     w = Window.partitionBy(key).orderBy(order)
-    more = F.col(line).rlike(r"^(\s|at )")
-    kept = lines.where(F.trim(line) != "").withColumn("run", F.sum(F.when(more, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    says, more = F.col(line).rlike(r"\S"), F.col(line).rlike(r"^([ \t]|\s*at )")
+    begun = F.coalesce(F.max(says).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    own = lines.where(F.coalesce(says | more, F.lit(False))).withColumn("__in", says | begun).where("__in").drop("__in")
+    kept = own.withColumn("run", F.sum(F.when(more, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     joined = kept.groupBy(key, "run").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line))), lambda x: x[line]), "\n").alias("text"), F.count("*").alias("parts"), F.min(order).alias("first_line")
     )
@@ -96,11 +102,31 @@ def build_search_index(lineage: DataFrame) -> DataFrame:
     return terms.unionByName(one("sig", "sig")).unionByName(one("sha", "sha")).dropDuplicates()
 
 
+CONTRACT_ROWS = "contract string, part string, template string, name string, value string, place long"
+
+
 def contract_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Paths added, removed or changed between two versions of a template map (path, value)."""
-    both = old.withColumnRenamed("value", "before").join(new.withColumnRenamed("value", "after"), "path", "full_outer")
-    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "changed")
-    return both.withColumn("change", change).where(F.col("change").isNotNull()).select("path", "change")
+    """(contract, part, template, name, change) between two versions of contracts given as CONTRACT_ROWS.
+
+    part is `template` (added or removed), for templates that both versions have `pattern`, `class`, `required`, `map`
+    and `unmapped` (the path or name in `name`), `section` for what stands beside the templates, and `order` where
+    templates of both versions changed places. Of repeated rows the largest value counts; nulls equal nulls; a version
+    without rows has lost or gained everything. One shuffle by contract and template; the order takes another, of template rows only.
+    """
+    sides = old.select(*_ROW, F.lit(0).alias("side")).unionByName(new.select(*_ROW, F.lit(1).alias("side")))
+    key = ["contract", "template", "part", "name"]
+    of = lambda side, column: F.max(F.when(F.col("side") == side, F.col(column)))
+    own = sides.repartition("contract", "template").groupBy(*key).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"), of(0, "value").alias("before"), of(1, "value").alias("after"))
+    stays = F.max((F.col("part") == "template") & (F.col("a") > 0) & (F.col("b") > 0)).over(Window.partitionBy("contract", "template"))
+    change = F.when(F.col("b") == 0, "removed").when(F.col("a") == 0, "added").when(~F.col("before").eqNullSafe(F.col("after")), "changed")
+    told = own.withColumns({"stays": stays, "change": change}).where(F.col("change").isNotNull() & (F.col("stays") | F.col("part").isin("template", "section")))
+    placed = sides.where("part = 'template'").groupBy("contract", "template").agg(of(0, "place").alias("before"), of(1, "place").alias("after")).where("before is not null and after is not null")
+    back = F.col("after") < F.lag("after").over(Window.partitionBy("contract").orderBy("before", "after"))
+    moved = placed.withColumn("back", back).groupBy("contract").agg(F.bool_or("back").alias("back")).where("back")
+    return told.select("contract", "part", "template", "name", "change").unionByName(moved.select("contract", F.lit("order").alias("part"), F.lit("").alias("template"), F.lit("").alias("name"), F.lit("changed").alias("change")))
+
+
+_ROW = ["contract", "part", "template", "name", "value", "place"]
 
 
 def related_sigs(groups: DataFrame) -> DataFrame:
@@ -149,16 +175,34 @@ def _signed(s: SparkSession, d: str) -> DataFrame:
     return template_signature(rows, F.col("source_id"), "body")
 
 
+_PART = "case when role = 'assistant' then concat(' ', case when turn % 4 = 1 then '' else coalesce(text, '') end) else text end as text"
 _SHAPE = "user=<V> {} login from <IP> via <IP> attempts:<V>"
 _FAILED_SIG = "t_" + hashlib.sha256(f"click\x1f{_SHAPE.format('FAILED')}".encode()).hexdigest()[:12]
 
+# Two versions of contracts over the given tables: orders as templates, their lines as maps, customers as sections.
+_VERSIONS = tuple(
+    f"""select concat('c', o_orderkey % 1000) as contract, 'template' as part, concat('t', o_orderkey) as template, '' as name, '' as value, cast({place} as bigint) as place from orders where o_orderkey % 7 <> {gone}
+ union all select concat('c', o_orderkey % 1000), 'class', concat('t', o_orderkey), '', {status}, cast(null as bigint) from orders where o_orderkey % 7 <> {gone}
+ union all select concat('c', l_orderkey % 1000), case when l_partkey % 3 = 0 then 'unmapped' else 'map' end, concat('t', l_orderkey), concat('p', l_linenumber), concat('', {part}), cast(null as bigint) from lineitem where l_orderkey % 7 <> {gone} and l_partkey % 4 <> {lost}
+ union all select concat('c', c_custkey % 1000), 'section', '', concat('s', c_custkey), {segment}, cast(null as bigint) from customer where c_custkey % 9 <> {gone}"""
+    for gone, lost, place, status, part, segment in (
+        (3, 1, "o_orderkey", "o_orderstatus", "l_partkey", "c_mktsegment"),
+        (4, 2, "case when o_orderkey % 1000 < 10 then 0 - o_orderkey else o_orderkey end", "case when o_custkey % 5 = 0 then 'X' else o_orderstatus end", "case when l_suppkey % 10 = 0 then 0 - l_partkey else l_partkey end", "case when c_acctbal < 0 then 'Y' else c_mktsegment end"),
+    )
+)
+
+
+def _versions(s: SparkSession, d: str) -> list[DataFrame]:
+    return [s.sql(v.replace("from orders", "from {orders}").replace("from lineitem", "from {lineitem}").replace("from customer", "from {customer}"), **{t: table(s, d, t) for t in ("orders", "lineitem", "customer")}) for v in _VERSIONS]
+
+
 QUERIES = {
     "latest_revision": lambda s, d: replacing_merge(table(s, d, "lineitem"), ["l_orderkey"], [F.desc("l_linenumber"), *map(F.desc, _TIE)]).selectExpr(*_LINES.split(", ")),
     "one_per_revision": lambda s, d: replacing_merge(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], [*map(F.desc, _TIE)]).selectExpr(*_LINES.split(", ")),
-    "replacing_merge": lambda s, d: table(s, d, "lineitem").groupBy("l_partkey").agg(F.max(F.struct("l_orderkey", "l_linenumber", *_TIE[1:])).alias("x")).select("l_partkey", "x.l_orderkey", "x.l_linenumber", "x.l_suppkey"),
+    "replacing_merge": lambda s, d: replacing_merge(table(s, d, "lineitem"), ["l_partkey"], [*map(F.desc, ["l_orderkey", "l_linenumber", *_TIE[1:]])]).select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"),
     "top_n_per_key": lambda s, d: top_n_per_key(table(s, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "place"),
     "receipts_dedupe": lambda s, d: receipts_dedupe(log_view(s, d).selectExpr("cast(1 + event_id % 2 as int) as revision", "source_id as route_id", "case when value < 10 then 'failed' else 'delivered' end as status", "date_format(received_time, 'yyyy-MM-dd') as day")),
-    "join_multiline": lambda s, d: join_multiline(table(s, d, "conversations").selectExpr("conv_id", "turn", "case when role = 'assistant' then concat(' ', text) else text end as text"), "conv_id", "turn", "text").select("conv_id", F.col("run").cast("long").alias("run"), F.sha2("text", 256).alias("sha"), "parts", "first_line"),
+    "join_multiline": lambda s, d: join_multiline(table(s, d, "conversations").selectExpr("conv_id", "turn", _PART), "conv_id", "turn", "text").select("conv_id", F.col("run").cast("long").alias("run"), F.sha2("text", 256).alias("sha"), "parts", "first_line"),
     "assign_segments": lambda s, d: assign_segments(log_view(s, d), "source_id", "event_id", 100).groupBy("segment_id").agg(F.count("*").alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi")),
     "first_distinct": lambda s, d: first_distinct(log_view(s, d), "source_id", "user_id", "event_id", 5),
     "brute_force": lambda s, d: brute_force(log_view(s, d).where("source_id = 'error'").selectExpr("event_uid", "user_id", "unix_seconds(cast(received_time as timestamp)) as second"), "user_id", 86400, 3).select("event_uid", "user_id", "hits"),
@@ -173,7 +217,7 @@ QUERIES = {
     "roots_with_audit": lambda s, d: newest(ledger_links(_roots(s, d)).groupBy("entry").pivot("check", ["link", "order"]).agg(F.bool_and("ok")).select("entry", F.col("link").alias("link_ok"), F.col("order").alias("order_ok")), 20, F.desc("entry")),
     "template_events": lambda s, d: template_events(_signed(s, d), _FAILED_SIG, "click", 25).withColumn("received_time", F.date_format("received_time", "yyyy-MM-dd HH:mm:ss")),
     "top_templates": lambda s, d: top_templates(_signed(s, d), 3),
-    "contract_diff": lambda s, d: contract_diff(table(s, d, "orders").selectExpr("concat('p', o_orderkey) as path", "o_orderstatus as value").where("not path like '%3'"), table(s, d, "orders").selectExpr("concat('p', o_orderkey) as path", "case when o_custkey % 5 = 0 then 'X' else o_orderstatus end as value").where("not path like '%4'")),
+    "contract_diff": lambda s, d: contract_diff(*_versions(s, d)),
     "related_sigs": lambda s, d: related_sigs(log_view(s, d).selectExpr("source_id", "user_id % 10 as cluster", "concat('s', user_id % 50) as sig").distinct()),
 }
 
@@ -192,8 +236,9 @@ ORACLES = {
     "replacing_merge": f"select l_partkey, l_orderkey, l_linenumber, l_suppkey from lineitem qualify row_number() over (partition by l_partkey order by l_orderkey desc, l_linenumber desc, l_suppkey desc, l_quantity desc, l_extendedprice desc) = 1",
     "top_n_per_key": "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey)::int as place from orders qualify place <= 3",
     "receipts_dedupe": f"{LOG} select distinct (1 + event_id % 2)::int as revision, source_id as route_id, case when value < 10 then 'failed' else 'delivered' end as status, strftime(received_time, '%Y-%m-%d') as day from log",
-    "join_multiline": """with l as (select conv_id, turn, case when role = 'assistant' then concat(' ', text) else text end as text from conversations),
- r as (select *, sum(case when regexp_matches(text, '^(\\s|at )') then 0 else 1 end) over (partition by conv_id order by turn)::bigint as run from l where trim(text) <> '')
+    "join_multiline": f"""with l as (select conv_id, turn, {_PART} from conversations),
+ k as (select *, regexp_matches(text, '^([ \\t]|\\s*at )') as more, coalesce(max(case when regexp_matches(text, '\\S') then 1 end) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) = 1 as begun from l),
+ r as (select *, sum(case when more then 0 else 1 end) over (partition by conv_id order by turn)::bigint as run from k where regexp_matches(text, '\\S') or (more and begun))
  select conv_id, run, sha256(string_agg(text, chr(10) order by turn)) as sha, count(*) as parts, min(turn) as first_line from r group by conv_id, run""",
     "assign_segments": f"""{LOG}, n as (select *, ((row_number() over (partition by source_id order by event_id) - 1) // 100) as i from log)
  select concat('seg_', source_id, '_', lpad(min(event_id)::varchar, 12, '0')) as segment_id, count(*) as n, min(event_id) as lo, max(event_id) as hi from n group by source_id, i""",
@@ -212,9 +257,12 @@ ORACLES = {
     "template_events": f"{LOG} select event_uid, (case when event_id % 3 = 0 then 2 else 1 end)::int as revision, strftime(received_time, '%Y-%m-%d %H:%M:%S') as received_time, concat('click:', event_id) as raw_ref from log where source_id = 'click' and event_id % 4 = 2 order by log.received_time desc, event_uid desc limit 25",
     "top_templates": f"""{LOG}, t as (select source_id, replace('{_SHAPE}', '{{}}', case when event_id % 4 = 2 then 'FAILED' else 'OK' end) as shape, count(*) as n from log group by 1, 2),
  c as (select *, concat('t_', substring(sha256(concat(source_id, chr(31), shape)), 1, 12)) as sig from t) select *, row_number() over (partition by source_id order by n desc, sig)::int as place from c qualify place <= 3""",
-    "contract_diff": """with o as (select concat('p', o_orderkey) as path, o_orderstatus as v from orders where not concat('p', o_orderkey) like '%3'),
- n as (select concat('p', o_orderkey) as path, case when o_custkey % 5 = 0 then 'X' else o_orderstatus end as v from orders where not concat('p', o_orderkey) like '%4')
- select path, case when o.v is null then 'added' when n.v is null then 'removed' else 'changed' end as change from o full join n using (path) where o.v is distinct from n.v""",
+    "contract_diff": f"""with o as (select contract, part, template, name, max(value) as value, max(place) as place from ({_VERSIONS[0]}) group by all), n as (select contract, part, template, name, max(value) as value, max(place) as place from ({_VERSIONS[1]}) group by all),
+ stays as (select o.contract, o.template, o.place as was, n.place as is_now from o join n using (contract, template, part) where part = 'template'),
+ x as (select coalesce(o.contract, n.contract) as contract, coalesce(o.part, n.part) as part, coalesce(o.template, n.template) as template, coalesce(o.name, n.name) as name, case when n.contract is null then 'removed' when o.contract is null then 'added' else 'changed' end as change
+  from o full join n on o.contract = n.contract and o.part = n.part and o.template = n.template and o.name = n.name where n.contract is null or o.contract is null or o.value is distinct from n.value)
+ select * from x where part in ('template', 'section') or (contract, template) in (select (contract, template) from stays)
+ union all select distinct a.contract, 'order', '', '', 'changed' from stays a join stays b on a.contract = b.contract and a.was < b.was and a.is_now > b.is_now""",
     "related_sigs": f"""{LOG}, g as (select distinct source_id, user_id % 10 as cluster, concat('s', user_id % 50) as sig from log)
  select a.source_id, a.cluster, a.sig, coalesce(string_agg(b.sig, ',' order by b.sig) filter (b.sig <> a.sig), '') as related from g a join g b using (source_id, cluster) group by all""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -97,12 +98,37 @@ def fan_out(events: DataFrame, routes: tuple[dict, ...] = ROUTES) -> DataFrame:
     return events.select("event_uid", F.inline(made))
 
 
-def attribute_by_key(requests: DataFrame, keys: DataFrame, sources: DataFrame, pepper: str) -> DataFrame:
-    """Requests by the hash of their secret; the reason why one isn't admitted."""
-    hashed = requests.withColumn("key_hash", F.sha2(F.concat(F.lit(pepper), "secret"), 256))
-    joined = hashed.join(keys, "key_hash", "left").join(F.broadcast(sources), "source_id", "left")
-    reason = F.when(F.col("key_id").isNull(), "unknown_key").when(F.col("revoked"), "revoked").when(F.col("paused"), "source_paused")
-    return joined.select("event_uid", F.coalesce("source_id", F.lit("none")).alias("source_id"), F.coalesce("vendor", F.lit("generic")).alias("vendor"), F.coalesce(reason, F.lit("admitted")).alias("outcome"))
+def attribute_by_key(requests: DataFrame, keys: DataFrame, sources: DataFrame, pepper: str, vendor: str = "generic", zone: str = "unassigned", quota: int = 1000) -> DataFrame:
+    """Whose requests (event_uid, secret) are: found by the hash of pepper and secret, with the outcome `admitted` or the reason against it.
+
+    keys holds one row per key_hash (key_id, pepper_id, status, source_id, quota_eps), sources one per source_id (vendor,
+    zone, status). In this order: no_credential (null or empty), unknown_key, pepper_mismatch (the key names another
+    pepper), the key's status unless active, source_paused. A source that isn't registered is admitted with the
+    defaults, so that nothing is lost. A null or empty value, or a quota of 0, takes the default too.
+    """
+    text = lambda c, default: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default))
+    hashed = requests.select("event_uid", "secret", F.sha2(F.concat(F.lit(pepper), "secret"), 256).alias("key_hash"))
+    known = keys.select("key_hash", "key_id", "pepper_id", F.coalesce("status", F.lit("unknown")).alias("key_status"), "source_id", "quota_eps")
+    joined = hashed.join(known, "key_hash", "left").join(sources.select("source_id", "vendor", "zone", F.col("status").alias("source_status")), "source_id", "left")
+    reason = (
+        F.when(F.coalesce("secret", F.lit("")) == "", "no_credential").when(F.col("key_id").isNull(), "unknown_key")
+        .when(F.nullif("pepper_id", F.lit("")) != pepper_id(pepper), "pepper_mismatch").when(F.col("key_status") != "active", F.col("key_status")).when(F.col("source_status") == "paused", "source_paused").otherwise("admitted")
+    )
+    return joined.select(
+        "event_uid", "key_id", text("source_id", "none").alias("source_id"), text("vendor", vendor).alias("vendor"), text("zone", zone).alias("zone"),
+        F.coalesce(F.nullif(F.col("quota_eps").cast("int"), F.lit(0)), F.lit(quota)).alias("quota_eps"), reason.alias("outcome"),
+    )
+
+
+def pepper_id(pepper: str) -> str:
+    """The short name by which keys tell their pepper."""
+    return "p_" + hashlib.sha256(pepper.encode()).hexdigest()[:8]
+
+
+def provenance_gap(events: DataFrame, claimed: str, located: str, derived: str) -> DataFrame:
+    """U4: events with gap, the claimed paths that are neither located in the line nor derived, in order of name; events without one are left out. Null arrays are empty."""
+    held = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    return events.withColumn("gap", F.array_sort(F.array_except(held(claimed), F.array_union(held(located), held(derived))))).where(F.size("gap") > 0)
 
 
 def find_events(sigs: DataFrame, index: DataFrame, limit: int) -> DataFrame:
@@ -169,11 +195,13 @@ def _resolve(s: SparkSession, d: str) -> DataFrame:
 
 
 def _claims(log: DataFrame, which: str) -> DataFrame:
-    paths = {
-        "a": "map('user.name', concat('u', user_id), 'src.ip', concat('10.0.', user_id % 256, '.', event_id % 256), 'status', if(event_id % 4 = 2, 'fail', null))",
-        "c": "map('user.name', if(event_id % 7 = 0, concat('U', user_id), concat('u', user_id)), 'src.ip', if(event_id % 5 = 0, null, concat('10.0.', user_id % 256, '.', event_id % 256)), 'attempts', concat(event_id % 5))",
-    }
-    return log.select("event_uid", F.explode(F.expr(paths[which])).alias("path", "value")).where("value is not null")
+    return log.select("event_uid", F.explode(F.expr(_PATHS[which])).alias("path", "value")).where("value is not null")
+
+
+_PATHS = {
+    "a": "map('user.name', concat('u', user_id), 'src.ip', concat('10.0.', user_id % 256, '.', event_id % 256), 'status', if(event_id % 4 = 2, 'fail', null))",
+    "c": "map('user.name', if(event_id % 7 = 0, concat('U', user_id), concat('u', user_id)), 'src.ip', if(event_id % 5 = 0, null, concat('10.0.', user_id % 256, '.', event_id % 256)), 'attempts', concat(event_id % 5))",
+}
 
 
 def _vocab(s: SparkSession) -> DataFrame:
@@ -181,7 +209,7 @@ def _vocab(s: SparkSession) -> DataFrame:
 
 
 def _keys(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "customer").selectExpr("sha2(concat('pepper', concat('secret', c_custkey)), 256) as key_hash", "c_custkey as key_id", "c_acctbal < 0 as revoked", "c_mktsegment as source_id")
+    return table(s, d, "customer").selectExpr("sha2(concat('pepper', concat('secret', c_custkey)), 256) as key_hash", "c_custkey as key_id", *_KEY)
 
 
 def _fan(s: SparkSession, d: str) -> DataFrame:
@@ -189,7 +217,19 @@ def _fan(s: SparkSession, d: str) -> DataFrame:
 
 
 def _sources(s: SparkSession) -> DataFrame:
-    return s.createDataFrame([("BUILDING", "acme", False), ("MACHINERY", "globex", True)], "source_id string, vendor string, paused boolean")
+    return s.createDataFrame([("BUILDING", "acme", "north", "active"), ("MACHINERY", "globex", None, "paused"), ("FURNITURE", None, "south", "active")], "source_id string, vendor string, zone string, status string")
+
+
+_KEY = (f"case when c_custkey % 11 = 0 then 'p_former' when c_custkey % 13 = 0 then '' else '{pepper_id('pepper')}' end as pepper_id", "case when c_acctbal < 0 then 'revoked' else 'active' end as status", "c_mktsegment as source_id", "cast(c_custkey % 3 * 10 as int) as quota_eps")
+_SECRET = "case when event_id % 17 = 0 then null when event_id % 19 = 0 then '' else concat('secret', user_id * (1 + event_id % 20)) end as secret"
+
+
+def _gap(s: SparkSession, d: str) -> DataFrame:
+    """What two readers claim about each line, located where the line holds the value; one in three states is told as derived."""
+    made = "map_concat({}, map('state', if(event_id % 4 = 2, 'fail', null)))".format(_PATHS["c"])
+    claims = log_view(s, d).selectExpr("event_uid", "event_id", "line", f"map_filter({made}, (k, v) -> v is not null) as claims")
+    parts = claims.selectExpr("event_uid", "map_keys(claims) as claimed", "map_keys(map_filter(claims, (k, v) -> contains(line, v))) as located", "if(event_id % 3 = 0, array('state'), null) as derived")
+    return provenance_gap(parts, "claimed", "located", "derived").select("event_uid", F.array_join("gap", ",").alias("gap"))
 
 
 def _ocsf(events: DataFrame) -> Column:
@@ -236,7 +276,7 @@ QUERIES = {
     ),
     "vault_window": lambda s, d: vault_window(log_view(s, d).select("event_uid", "segment_no"), log_view(s, d).selectExpr("segment_no", "event_id as version", "concat('w', event_id % 13) as window_id").where("segment_no % 3 <> 1")),
     "fan_out_receipts": _fan,
-    "attribute_by_key": lambda s, d: attribute_by_key(log_view(s, d).selectExpr("event_uid", "concat('secret', user_id * (1 + event_id % 20)) as secret"), _keys(s, d), _sources(s), "pepper"),
+    "attribute_by_key": lambda s, d: attribute_by_key(log_view(s, d).selectExpr("event_uid", _SECRET), _keys(s, d), _sources(s), "pepper"),
     "find_events": lambda s, d: find_events(s.createDataFrame([("error", 1), ("signup", 2)], "sig string, ord int"), log_view(s, d).selectExpr("source_id as sig", "event_uid"), 200),
     "skip_indexed": lambda s, d: skip_indexed(
         log_view(s, d).selectExpr("source_id as topic", "user_id % 4 as part", "event_id as pos", "received_time", "event_uid"),
@@ -244,7 +284,7 @@ QUERIES = {
     ).select("event_uid", "topic"),
     "shadow_join": lambda s, d: shadow_join(_claims(log_view(s, d), "a"), _claims(log_view(s, d), "c")).groupBy("path", "change").agg(F.count("*").alias("n")),
     "changed_and_lost": lambda s, d: shadow_join(_claims(log_view(s, d), "a"), _claims(log_view(s, d), "c")).groupBy("event_uid").agg(F.array_join(F.sort_array(F.collect_list(F.concat("change", F.lit(":"), "path"))), ",").alias("changes")),
-    "provenance_gap": lambda s, d: log_view(s, d).select("event_uid", F.array_join(F.expr("array_except(array('user.name', 'src.ip', 'status', 'time'), array_union(array(if(event_id % 2 = 0, 'user.name', 'time'), 'src.ip'), array(if(event_id % 3 = 0, 'status', 'time'))))"), ",").alias("gap")),
+    "provenance_gap": _gap,
     "locate": lambda s, d: locate(log_view(s, d).select("event_uid"), log_view(s, d).where("event_id % 10 <> 9").select("event_uid", "segment_no"), log_view(s, d).where("segment_no % 4 <> 2").groupBy(F.expr("concat('w', segment_no % 3)").alias("window_id")).agg(F.collect_set("segment_no").alias("segments"))),
     "event_detail": lambda s, d: event_detail(table(s, d, "orders"), table(s, d, "lineitem")),
     "search_hits": lambda s, d: search_hits(log_view(s, d).where("event_id % 3 <> 0"), log_view(s, d).where("event_id % 4 <> 0"), log_view(s, d).where("source_id = 'error'").select("event_uid")),
@@ -282,15 +322,16 @@ ORACLES = {
     "vault_window": f"""{LOG}, s as (select segment_no, arg_max(concat('w', event_id % 13), event_id) as window_id from log where segment_no % 3 <> 1 group by 1) select segment_no, event_uid, window_id from log left join s using (segment_no)""",
     "fan_out_receipts": f"""{LOG}, x as (select 'soc' as route_id, tier in (1, 2) as ok from log union all select 'errors', source_id = 'error' and tenant_id in ('t0', 't1') from log)
  select route_id, case when ok then 'delivered' else 'filtered' end as status, count(*) as n from x group by all""",
-    "attribute_by_key": f"""{LOG} select event_uid, coalesce(c_mktsegment, 'none') as source_id, case c_mktsegment when 'BUILDING' then 'acme' when 'MACHINERY' then 'globex' else 'generic' end as vendor,
- case when c_custkey is null then 'unknown_key' when c_acctbal < 0 then 'revoked' when c_mktsegment = 'MACHINERY' then 'source_paused' else 'admitted' end as outcome
- from log left join customer on c_custkey = user_id * (1 + event_id % 20)""",
+    "attribute_by_key": f"""{LOG}, k as (select concat('secret', c_custkey) as secret, c_custkey as key_id, {', '.join(_KEY)} from customer)
+ select event_uid, key_id, coalesce(source_id, 'none') as source_id, case source_id when 'BUILDING' then 'acme' when 'MACHINERY' then 'globex' else 'generic' end as vendor,
+ case source_id when 'BUILDING' then 'north' when 'FURNITURE' then 'south' else 'unassigned' end as zone, coalesce(nullif(quota_eps, 0), 1000)::int as quota_eps,
+ case when coalesce(r.secret, '') = '' then 'no_credential' when key_id is null then 'unknown_key' when pepper_id = 'p_former' then 'pepper_mismatch' when status = 'revoked' then 'revoked' when source_id = 'MACHINERY' then 'source_paused' else 'admitted' end as outcome
+ from (select event_uid, {_SECRET} from log) r left join k on k.secret = r.secret""",
     "find_events": f"{LOG} select event_uid, case source_id when 'error' then 1 else 2 end::int as ord from log where source_id in ('error', 'signup') order by ord, event_uid desc limit 200",
     "skip_indexed": f"{LOG} select event_uid, source_id as topic from log where event_id % 3 = 0 or event_id % 5 = 0",
     "shadow_join": f"{_CL} select path, change, count(*) as n from x where change is not null group by all",
     "changed_and_lost": f"{_CL} select event_uid, string_agg(change || ':' || path, ',' order by change || ':' || path) as changes from x where change is not null group by 1",
-    "provenance_gap": f"""{LOG} select event_uid, array_to_string(list_filter(['user.name', 'src.ip', 'status', 'time'],
- lambda p: p <> 'src.ip' and p <> (case when event_id % 2 = 0 then 'user.name' else 'time' end) and p <> (case when event_id % 3 = 0 then 'status' else 'time' end)), ',') as gap from log""",
+    "provenance_gap": f"""{LOG}, g as (select event_uid, concat_ws(',', case when event_id % 4 = 2 and event_id % 3 <> 0 then 'state' end, case when event_id % 7 = 0 then 'user.name' end) as gap from log) select * from g where gap <> ''""",
     "locate": f"{LOG} select event_uid, case when event_id % 10 <> 9 then segment_no end as segment_no, case when event_id % 10 <> 9 and segment_no % 4 <> 2 then concat('w', segment_no % 3) end as window_id from log",
     "event_detail": """select o_orderkey, o_orderstatus, string_agg(concat(l_linenumber, ':', l_partkey, ':', l_suppkey), ',' order by l_linenumber, l_partkey, l_suppkey) filter (l_orderkey is not null) as revisions, count(l_orderkey) as n_revisions
  from orders left join lineitem on l_orderkey = o_orderkey group by 1, 2""",

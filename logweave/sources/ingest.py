@@ -98,11 +98,20 @@ def explode_push_batches(bodies: DataFrame, key: str, body: str) -> DataFrame:
     return bodies.select(F.col(key).cast("long").alias("k"), F.col(body).alias("body")).mapInArrow(run, "k long, n int, event string, reject string").withColumnRenamed("k", key)
 
 
-def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Size, hash and number of lines of every uploaded file's exact bytes."""
-    files = spark.read.format("binaryFile").load(path)
-    ends = F.octet_length("content") - F.octet_length(F.replace(F.col("content").cast("string"), F.lit("\n"), F.lit("")))
-    return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), ends.cast("long").alias("events"), F.lit("post_hoc").alias("custody"))
+def file_manifest(spark: SparkSession, path: str, place: Column | None = None) -> DataFrame:
+    """Size, hash and number of lines of every uploaded file's exact bytes, and the uids of its first and last line.
+
+    Uids are those that stamp() gives lines by (place, number of the line); place names the file, its last path part by
+    default. A last line without an end counts; Spark's reader lists no empty files. A file is one row, so it must fit a task.
+    """
+    files = spark.read.format("binaryFile").load(path).withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1))
+    text = F.col("content").cast("string")
+    closed = F.when(F.endswith(text, F.lit("\n")), F.substring("content", F.lit(1), F.octet_length("content") - 1).cast("string")).otherwise(text)
+    breaks = F.octet_length("content") - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    counted = files.withColumns({"body": closed, "events": (breaks + F.when(F.endswith(text, F.lit("\n")), 0).otherwise(1)).cast("long")})
+    uid = lambda n, line: F.substring(F.sha2(F.concat_ws("\x1f", F.col("file") if place is None else place, n.cast("string"), F.sha2(line, 256)), 256), 1, 32)
+    first, last = F.substring_index("body", "\n", 1), F.substring_index("body", "\n", -1)
+    return counted.select("path", "file", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "events", uid(F.lit(1), first).alias("first_uid"), uid(F.col("events"), last).alias("last_uid"), F.lit("post_hoc").alias("custody"))
 
 
 def load_dimension(spark: SparkSession, path: str, kind: str, schema: str | None = None) -> DataFrame:
@@ -148,6 +157,13 @@ def raw_index(envelopes: DataFrame) -> DataFrame:
     return envelopes.select("event_uid", F.nullif("tenant_id", F.lit("")).alias("tenant_id"), preview.alias("preview"), (seconds * 1_000_000_000 + fraction).alias("received_ns"), F.greatest(F.lit(0), F.least(F.lit(4294967295), F.col("framing.parts"))).alias("parts"))
 
 
+def norm_index(events: DataFrame, body: str = "body") -> DataFrame:
+    """P5: index rows of normalized events: revision 1 unless told, arrival in ns, skew, and the event's text as it came. Null times stay null."""
+    revision = F.coalesce("revision", F.lit(1)) if "revision" in events.columns else F.lit(1)
+    arrival = F.unix_micros(F.col("received_time").cast("timestamp")) * 1000
+    return events.select("event_uid", revision.cast("int").alias("revision"), F.nullif("tenant_id", F.lit("")).alias("tenant_id"), "source_id", "class_uid", "tier", arrival.alias("received_ns"), "skew_ms", F.col(body).alias("body"))
+
+
 def write_norm(df: DataFrame, path: str) -> None:
     """One output partition per category."""
     lookup = F.create_map(*[x for k, v in CATEGORIES.items() for x in (F.lit(k), F.lit(v))])
@@ -187,12 +203,12 @@ def envelopes(s: SparkSession, d: str) -> DataFrame:
 
 
 def _files(s: SparkSession, d: str) -> DataFrame:
-    """Uploads of at most 1,000 lines; how many files a part has follows from how it is written, their sums don't."""
+    """Uploads of 1,000 pages each, a line a page in order of their ids."""
     path = shared_path(s, "uploads")
-    lines = F.replace(F.col("html"), F.lit("\n"), F.lit(" "))
-    table(s, d, "pages").select(F.concat(F.lit("p"), F.col("page_id") % 7).alias("part"), lines.alias("value")).write.partitionBy("part").option("maxRecordsPerFile", 1000).text(path)
-    found = file_manifest(s, f"{path}/*/*.txt").withColumn("part", F.regexp_extract("path", "part=([^/]+)", 1))
-    return found.groupBy("part", "custody").agg(F.sum("bytes").alias("bytes"), F.sum("events").alias("events"), F.bool_and(F.length("sha256") == 64).alias("hashed"))
+    lines = table(s, d, "pages").select(F.concat(F.lit("p"), F.floor(F.col("page_id") / 1000)).alias("part"), "page_id", F.replace(F.coalesce("html", F.lit("")), F.lit("\n"), F.lit(" ")).alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "page_id").select("part", "value").write.partitionBy("part").text(path)
+    part = F.regexp_extract("path", "part=([^/]+)", 1)
+    return file_manifest(s, f"{path}/*/*.txt", part).select(part.alias("part"), "bytes", "sha256", "events", "first_uid", "last_uid", "custody")
 
 
 def _dimension(s: SparkSession, d: str) -> DataFrame:
@@ -251,7 +267,7 @@ QUERIES = {
     "validate_rows": lambda s, d: validate_rows(stamp(log_view(s, d), "line"), _SPEC)[1].select("event_uid", F.array_join("reasons", ",").alias("reasons")),
     "retain": lambda s, d: retain(log_view(s, d), "received_time", "2024-01-30 00:00:00", 9).groupBy("source_id").agg(F.count("*").alias("n")),
     "raw_index": lambda s, d: raw_index(parse_envelope(envelopes(s, d))[0]),
-    "norm_index": lambda s, d: log_view(s, d).select("event_uid", "class_uid", "tier", F.sha2("props", 256).alias("body_sha"), F.get_json_object("props", "$.k").cast("int").alias("k")),
+    "norm_index": lambda s, d: norm_index(log_view(s, d).selectExpr("*", "case when event_id % 3 = 0 then 2 when event_id % 5 = 0 then null else 1 end as revision"), "props"),
     "side_index": _side,
     "write_norm": _norm,
     "write_route": _route,
@@ -270,13 +286,15 @@ ORACLES = {
     "size_cap": f"{LOG} select event_uid, sha256(line[1:33]) as sha, strlen(line)::int as \"full\" from log",
     "explode_push_batches": f"""{LOG}, x as (select event_id, 0::int as n, replace(props, ': ', ':') as event, null::varchar as reject from log union all select event_id, 1, '{{"a":"x","b":1}}', null from log
  union all select event_id, 2, null, 'malformed' from log where event_id % 13 = 0) select * from x""",
-    "file_manifest": "select concat('p', page_id % 7) as part, (sum(strlen(coalesce(html, ''))) + count(*))::bigint as bytes, count(*) as events, true as hashed, 'post_hoc' as custody from pages group by 1",
+    "file_manifest": """with l as (select concat('p', page_id // 1000) as part, page_id, replace(coalesce(html, ''), chr(10), ' ') as line, row_number() over (partition by page_id // 1000 order by page_id) as n from pages),
+ u as (select *, substring(sha256(concat(part, chr(31), n, chr(31), sha256(line))), 1, 32) as uid from l)
+ select part, (sum(strlen(line)) + count(*))::bigint as bytes, sha256(string_agg(line || chr(10), '' order by n)) as sha256, count(*) as events, arg_min(uid, n) as first_uid, arg_max(uid, n) as last_uid, 'post_hoc' as custody from u group by part""",
     "fetch_raw": f"{LOG} select a.event_uid as ref, sha256(b.line) as sha from log a join log b on a.source_id = b.source_id and b.event_id = a.event_id * 2",
     "fetch_raw_missing": f"{LOG} select a.event_uid as ref from log a where not exists (select 1 from log b where a.source_id = b.source_id and b.event_id = a.event_id * 2)",
     "validate_rows": f"{LOG} select event_uid, {_REASONS} as reasons from log where {_REASONS} <> ''",
     "retain": f"{LOG} select source_id, count(*) as n from log where received_time > timestamp '2024-01-30' - interval 9 days group by 1",
     "raw_index": f"{LOG} select event_uid, tenant_id, line as preview, epoch(date_trunc('second', received_time))::bigint * 1000000000 + event_id as received_ns, least(4294967295, event_id * 1000000) as parts from log where {_OK}",
-    "norm_index": f"{LOG} select event_uid, class_uid, tier, sha256(props) as body_sha, json_extract_string(props, '$.k')::int as k from log",
+    "norm_index": f"{LOG} select event_uid, (case when event_id % 3 = 0 then 2 else 1 end)::int as revision, tenant_id, source_id, class_uid, tier, epoch_us(received_time) * 1000 as received_ns, skew_ms, props as body from log",
     "side_index": f"""{LOG} select case event_id % 3 when 0 then 'lineage' when 2 then 'receipts' else case when event_id % 2 = 0 then 'vault_event' else 'vault_segment' end end as target, count(*) as n, sum(event_id)::bigint as ids from log group by 1""",
     "write_norm": f"{LOG} select case when class_uid = 3002 then 'iam' when class_uid = 4001 then 'network' else 'uncategorized' end as category, count(*) as n, sum(event_id)::bigint as ids from log group by 1",
     "write_route": f"""{LOG} select source_id as route_id, count(*) as n, min(concat('{{"event_uid":"', event_uid, '","tier":', tier, '}}')) as "first" from log group by 1""",

@@ -240,20 +240,30 @@ def drift_upsert(s: SparkSession, d: str) -> DataFrame:
 
 
 def overview_stream(s: SparkSession, d: str) -> DataFrame:
-    """Totals by tier kept up to date by each batch, and the window roots that are new appended once."""
+    """Totals by tier and the windows' roots, both as they come in one stream; a root that was seen before changes nothing.
+
+    One small table holds a row per tier and per window with the batch that brought it; each batch writes its next
+    version from the one before it, so a batch that is sent again counts once.
+    """
     path = shared_path(s, "overview")
-    totals = log_stream(s, d).groupBy("tier").agg(F.count("*").alias("n"))
-    roots = stored(log_view(s, d).groupBy(F.date_trunc("day", F.col("received_time").cast("timestamp")).alias("window")).agg(F.count("*").alias("n")), "roots")
+    log = log_view(s, d)
+    windows = log.groupBy(F.date_trunc("day", F.col("received_time").cast("timestamp")).cast("string").alias("window")).agg(F.lit("root").alias("metric"))
+    sent_twice = windows.withColumn("copy", F.explode(F.array(F.lit("a"), F.lit("b")))).select("metric", "window", F.concat("window", "copy").alias("k"))
+    records = log.select(F.concat(F.lit("tier_"), "tier").alias("metric"), F.lit("").alias("window"), F.col("event_uid").alias("k")).unionByName(sent_twice)
+    stream = file_stream(records.repartition(8, "k"), "overview-records")
 
     def sink(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        upsert(f"{path}/totals", ["tier"], lambda old, new: old.join(new, "tier", "left_anti").unionByName(new))(batch, n)
-        fresh = roots.select("window") if n == 0 else roots.select("window").join(spark.read.parquet(*[f"{path}/roots/batch={i}" for i in range(n)]), "window", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/roots/batch={n}")
+        known = batch.groupBy("metric", "window").agg(F.count("*").alias("n")).withColumn("since", F.lit(n).cast("long"))
+        if n:
+            both = known.unionByName(batch.sparkSession.read.parquet(f"{path}/v{n - 1}"))
+            known = both.groupBy("metric", "window").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
+        known.write.mode("overwrite").parquet(f"{path}/v{n}")
 
-    run_once(totals, sink, path, "update")
-    by_tier = newest_version(s, f"{path}/totals").select(F.concat(F.lit("tier_"), "tier").alias("metric"), "n")
-    return by_tier.unionByName(s.read.parquet(f"{path}/roots").agg(F.lit("roots").alias("metric"), F.count("window").alias("n")).select("metric", "n"))
+    run_once(stream, sink, path)
+    newest = newest_version(s, path)
+    tiers = newest.where("metric <> 'root'").select("metric", "n")
+    roots = newest.where("metric = 'root'").agg(F.count("*").alias("roots"), F.sum("n").alias("roots_sent"), F.when(F.count_distinct("since") > 1, 1).otherwise(0).cast("long").alias("roots_as_they_came"))
+    return tiers.unionByName(roots.select(F.expr("stack(3, 'roots', roots, 'roots_sent', roots_sent, 'roots_as_they_came', roots_as_they_came) as (metric, n)")))
 
 
 class Bucket(StatefulProcessor):
@@ -346,7 +356,7 @@ ORACLES = {
  g as (select *, sum(case when coalesce(more, false) then 0 else 1 end) over (partition by peer order by n) as run from l) select peer, string_agg(line, chr(10) order by n) as text, count(*)::int as parts from g where run > 0 group by peer, run
  union all select peer, string_agg(line, chr(10) order by n), count(*)::int from g where run = 0 group by peer""",
     "drift_stream": f"{LOG} select source_id, user_id, count(*) as n, true as each_grew from log where tier = 3 group by 1, 2 having count(*) >= 5",
-    "overview_stream": f"{LOG} select concat('tier_', tier) as metric, count(*) as n from log group by 1 union all select 'roots', count(distinct date_trunc('day', received_time)) from log",
+    "overview_stream": f"{LOG} select concat('tier_', tier) as metric, count(*) as n from log group by 1 union all select unnest(['roots', 'roots_sent', 'roots_as_they_came']), unnest([r, 2 * r, 1]) from (select count(distinct date_trunc('day', received_time)) as r from log)",
     "receipts_stream": f"""{LOG}, x as (select 'soc' as route_id, tier in (1, 2) as ok from log union all select 'errors', source_id = 'error' and tenant_id in ('t0', 't1') from log)
  select route_id, case when ok then 'delivered' else 'filtered' end as status, count(*) as n from x group by all""",
     "drift_upsert": f"""{LOG} select source_id, user_id, count(*) as n, min(event_id) as "first", max(event_id) as "last", case when user_id % 4 = 1 then 'ignored' when min(line) like '% FAILED login %' then 'resolved' else 'open' end as state from log where tier = 3 group by 1, 2""",

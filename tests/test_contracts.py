@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import contracts, drift, layers, normalize
 from logweave.functions.layers import Contract, MapRow, Template
+from logweave.operators import ordered
 
 
 def mapped_one(spark, contract, lines):
@@ -198,3 +199,17 @@ def test_json_values_and_paths(spark):
     cut = normalize.json_fields(frame.where("id = 6"), "id", "j", levels=2).collect()
     assert [(r["path"], r["value"], r["type"]) for r in cut] == [("[0][0]", "[3]", "json")]
     assert normalize.json_fields(frame.limit(0), "id", "j").collect() == []
+
+
+def test_diff_of_contracts(spark):
+    ok, failed, extra = Template("ok", "user=<user> OK", 3002, ("user.name",), 1), Template("failed", "user=<user> FAILED <n:int>", 3002, (), 1), Template("extra", "<all>", 0)
+    rows = (MapRow("user.name", "capture", "user"), MapRow("count", "capture", "n", "int", "failed"))
+    old = Contract("c", (("syslog", {}, False),), (ok, failed), rows)
+    new = Contract("c", (("syslog", {}, False), ("kv", {}, True)), (Template("failed", "user=<user> FAILED <n:int>", 3002, (), 2), Template("ok", "user=<user> fine", 3002, (), 1), extra), (MapRow("user.name", "capture", "user"), MapRow("actor", "capture", "user", template="ok")))
+    diff = lambda a, b: {(r.part, r.template, r.name, r.change) for r in ordered.contract_diff(contracts.contract_rows(spark, a), contracts.contract_rows(spark, b)).collect()}
+    assert diff((old,), (new,)) == {
+        ("section", "", "layers", "changed"), ("template", "extra", "", "added"), ("pattern", "ok", "", "changed"), ("required", "ok", "user.name", "removed"), ("class", "failed", "", "changed"),
+        ("map", "failed", "count", "removed"), ("map", "ok", "actor", "added"), ("unmapped", "failed", "n", "added"), ("order", "", "", "changed"),
+    }
+    assert diff((old,), (old,)) == set()
+    assert {(part, change) for part, _, _, change in diff((old,), ())} == {("template", "removed"), ("section", "removed")}

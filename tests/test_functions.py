@@ -127,6 +127,46 @@ def test_multiline_joins(spark):
     assert sorted((r.peer, r.text, r.parts) for r in got) == [("p", "first\n  at x\nat y", 3), ("p", "second", 1), ("q", "\tlone", 1)]
 
 
+def test_blank_lines_of_a_run(spark):
+    rows = [("p", 1, "   "), ("p", 2, "first"), ("p", 3, " \t"), ("p", 4, "  at x"), ("p", 5, ""), ("p", 6, "at y"), ("p", 7, None), ("p", 8, "second"), ("q", 1, " "), ("r", 1, "\tlone"), ("r", 2, " more")]
+    frame = spark.createDataFrame(rows, "peer string, n int, line string")
+    got = ordered.join_multiline(frame, "peer", "n", "line").collect()
+    assert sorted((r.peer, r.text, r.parts) for r in got) == [("p", "first\n \t\n  at x\nat y", 4), ("p", "second", 1), ("r", "\tlone\n more", 2)]
+    assert ordered.join_multiline(frame.limit(0), "peer", "n", "line").collect() == []
+
+
+def test_keys_of_another_pepper_and_unregistered_sources(spark):
+    digest = lambda secret: hashlib.sha256(f"salt{secret}".encode()).hexdigest()
+    own = relational.pepper_id("salt")
+    keys = spark.createDataFrame([(digest("a"), 1, own, "active", "s1", 5), (digest("b"), 2, "p_other", "active", "s1", 5), (digest("c"), 3, None, "expired", "s1", None), (digest("d"), 4, "", "active", "s9", 0), (digest("e"), 5, own, "active", "s2", 7), (digest("f"), 6, own, None, "s1", 7)], "key_hash string, key_id int, pepper_id string, status string, source_id string, quota_eps int")
+    sources = spark.createDataFrame([("s1", "v1", "z1", "active"), ("s2", "v2", "", "paused")], "source_id string, vendor string, zone string, status string")
+    asked = spark.createDataFrame([("a", "a"), ("b", "b"), ("c", "c"), ("d", "d"), ("e", "e"), ("f", "f"), ("x", "nobody's"), ("y", ""), ("z", None)], "event_uid string, secret string")
+    got = {r.event_uid: (r.outcome, r.source_id, r.vendor, r.zone, r.quota_eps) for r in relational.attribute_by_key(asked, keys, sources, "salt", quota=50).collect()}
+    assert got == {
+        "a": ("admitted", "s1", "v1", "z1", 5), "b": ("pepper_mismatch", "s1", "v1", "z1", 5), "c": ("expired", "s1", "v1", "z1", 50), "d": ("admitted", "s9", "generic", "unassigned", 50),
+        "e": ("source_paused", "s2", "v2", "unassigned", 7), "f": ("unknown", "s1", "v1", "z1", 7), "x": ("unknown_key", "none", "generic", "unassigned", 50), "y": ("no_credential", "none", "generic", "unassigned", 50), "z": ("no_credential", "none", "generic", "unassigned", 50),
+    }
+    assert relational.attribute_by_key(asked.limit(0), keys, sources, "salt").collect() == []
+
+
+def test_gap_of_null_and_repeated_paths(spark):
+    rows = [("a", ["x", "y", "x"], ["y"], None), ("b", None, ["y"], ["x"]), ("c", ["x"], ["x"], []), ("d", ["z", "b"], None, ["q"])]
+    frame = spark.createDataFrame(rows, "event_uid string, claimed array<string>, located array<string>, derived array<string>")
+    assert {r.event_uid: r.gap for r in relational.provenance_gap(frame, "claimed", "located", "derived").collect()} == {"a": ["x"], "d": ["b", "z"]}
+
+
+def test_manifest_of_odd_files(spark, tmp_path):
+    for name, content in {"empty": b"", "open": b"a\nb", "closed": b"a\n\n", "bad": b"\xff\xfe\nz\n"}.items():
+        (tmp_path / f"{name}.txt").write_bytes(content)
+    got = {r.file: r for r in ingest.file_manifest(spark, str(tmp_path)).collect()}
+    stamped = lambda file, n, line: hashlib.sha256(f"{file}\x1f{n}\x1f{hashlib.sha256(line).hexdigest()}".encode()).hexdigest()[:32]
+    lines = {"open.txt": [b"a", b"b"], "closed.txt": [b"a", b""], "bad.txt": [b"\xff\xfe", b"z"]}
+    assert set(got) == set(lines)
+    for file, own in lines.items():
+        assert got[file].events == len(own) and got[file].sha256 == hashlib.sha256((tmp_path / file).read_bytes()).hexdigest()
+        assert (got[file].first_uid, got[file].last_uid) == (stamped(file, 1, own[0]), stamped(file, len(own), own[-1]))
+
+
 def test_route_with_unknown_key_is_refused(spark):
     with pytest.raises(ValueError):
         relational.route_accepts({"id": "x", "colour": ["red"]})
