@@ -193,7 +193,11 @@ def identify(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "t
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of all documents; rows whose crc32(doc_id) mod 4 is 2 are never learned from."""
+    """doc_id, held_out, lang_pred and score of all documents; rows whose crc32(doc_id) mod 4 is 2 are never learned from.
+
+    Rows without an id aren't learned from and aren't held out, but are told; null texts and those without letters are
+    `und`. Rows that repeat an id are rows of their own. An empty table gives no rows.
+    """
     rest = F.crc32(F.col("doc_id").cast("string")) % 4
     got = identify(table(spark, sf_dir, "documents"), F.coalesce(rest != 2, F.lit(False)))
     return got.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -368,12 +368,16 @@ def decode(encoded: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) ->
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chunks, n_pieces, ids and whether decoding them gives the text back (null texts: the empty text)."""
+    """doc_id, n_chunks, n_pieces, ids and whether decoding them gives the text back.
+
+    Null texts count as the empty text, which has no pieces. Every row gives one row, also those that repeat an id or
+    have none; equal texts get equal pieces. Other columns aren't read; an empty table gives no rows.
+    """
     back = decode(encode(docs, exact=True), ["doc_id", "text_sha256", "n_chunks", "ids"])
     same = F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")
     return back.select("doc_id", "n_chunks", F.size("ids").alias("n_pieces"), "ids", same.alias("round_trip"))
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents encoded and decoded: doc_id, n_chunks, n_pieces, ids, round_trip."""
+    """All documents encoded and decoded: doc_id, n_chunks, n_pieces, ids, round_trip; odd rows as in round_trip."""
     return round_trip(table(spark, sf_dir, "documents"))

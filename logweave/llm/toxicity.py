@@ -365,7 +365,11 @@ def filter_toxic(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score and predicted of all documents; rows whose crc32(doc_id) mod 5 is 0 are never learned from."""
+    """doc_id, held_out, score and predicted of all documents; rows whose crc32(doc_id) mod 5 is 0 are never learned from.
+
+    Rows without an id have no label, aren't held out, and are scored; null texts score as the empty text. Rows that
+    repeat an id are rows of their own, equal texts score alike. An empty table gives no rows.
+    """
     docs, crc = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5
     got = score_rows(docs, ["doc_id"], fit(docs, table(spark, sf_dir, "labels"), crc != 0))
     return got.select("doc_id", F.coalesce(crc == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -672,3 +672,22 @@ def test_neighbours_small_tables(spark):
     got = neighbours.nearest_neighbours(frame, "vec_id % 20 = 0").orderBy("query_id", "rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 0.5), (0, 2, 20, 0.0), (20, 1, 1, 0.5), (20, 2, 0, 0.0)]
     assert neighbours.nearest_neighbours(frame.limit(0), "true").count() == 0
+
+
+def test_odd_rows_in_held_out_splits(spark, tmp_path):
+    """op4 and op8 as queries: rows without an id, repeated rows, null, empty and letterless texts."""
+    from logweave.llm import langid, toxicity
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.limit(1).drop("doc_id", "text").crossJoin(spark.createDataFrame([(None, "plain words of no one"), (None, None), (900001, None), (900002, ""), (900003, "12 34 !?"), (900004, "the same text twice"), (900004, "the same text twice")], "doc_id long, text string"))
+    docs.unionByName(odd.select(docs.columns)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    n = docs.count() + 7
+    told = langid.op4_langid(spark, str(tmp_path)).collect()
+    nobody = sorted((r.held_out, r.lang_pred == "und") for r in told if r.doc_id is None)
+    assert len(told) == n and nobody == [(False, False), (False, True)] and all(0 <= r.score <= 1 for r in told)
+    assert all(r.lang_pred == "und" for r in told if r.doc_id in (900001, 900002, 900003)) and len({(r.lang_pred, r.score) for r in told if r.doc_id == 900004}) == 1
+    scored = toxicity.op8_toxicity(spark, str(tmp_path)).collect()
+    assert len(scored) == n and [r.held_out for r in scored if r.doc_id is None] == [False, False] and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in scored)
+    assert len({r.score for r in scored if r.doc_id in (900001, 900002)}) == 1 and len({r.score for r in scored if r.doc_id == 900004}) == 1
