@@ -26,15 +26,22 @@ def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None, p
         writer.format("parquet").option("path", f"{path}/data").outputMode(mode).start().awaitTermination()
 
 
-def file_stream(rows: DataFrame, tag: str, by: str | None = None, files_at_once: int | None = 2) -> DataFrame:
+BATCHES = 8  # micro-batches in which a stream reads what is there when it starts
+
+
+def file_stream(rows: DataFrame, tag: str, by: str | None = None, one_batch: bool = False) -> DataFrame:
     """A table as a stream of Parquet files of at most 50,000 rows, in as many parts as Spark chooses; `by`: each file holds a range of it.
 
-    files_at_once None: all that is there is one batch.
+    A batch reads two files, more only if there are more than 2 * BATCHES of them: each batch plans the query again and
+    commits the state of every partition, so their number must not grow with the table. one_batch: all that is there is one batch.
     """
-    path = shared_path(rows.sparkSession, tag)
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, tag)
     (rows if by is None else rows.repartitionByRange(F.col(by)).sortWithinPartitions(by)).write.option("maxRecordsPerFile", 50_000).parquet(path)
-    reader = rows.sparkSession.readStream.schema(rows.schema)
-    return (reader if files_at_once is None else reader.option("maxFilesPerTrigger", files_at_once)).parquet(path)
+    reader = spark.readStream.schema(rows.schema)
+    if not one_batch:
+        files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+        reader = reader.option("maxFilesPerTrigger", max(2, -(-files // BATCHES)))
+    return reader.parquet(path)
 
 
 def log_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +85,7 @@ def minute_rollup_stream(s: SparkSession, d: str) -> DataFrame:
         if n:
             old = spark.read.parquet(f"{path}/data").where(F.col("day").cast("string").isin(days))
             new = stored(old.join(batch, ["source_id", "minute"], "left_anti").select(*batch.columns).unionByName(batch), "rollup-days")
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/data")
+        new.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/data")  # a day is one file
 
     run_once(flat, sink, path, "update")
     return s.read.parquet(f"{path}/data").select("source_id", text_time("minute").alias("minute"), "n")
@@ -109,7 +116,7 @@ def window_roots_stream(s: SparkSession, d: str) -> DataFrame:
 
     path = shared_path(s, "windows")
     seg = blobs(records(s, d)).select(F.concat_ws("-", "topic", "part", "segment_no").alias("segment_id"), "blob_sha", "sealed_at")
-    stream = file_stream(seg, "segments", "sealed_at", None)
+    stream = file_stream(seg, "segments", "sealed_at", True)
     held = stream.withWatermark("sealed_at", LAG).groupBy(F.window("sealed_at", "1 hour").alias("w")).agg(F.sort_array(F.collect_list(F.struct("sealed_at", "segment_id", "blob_sha"))).alias("s"))
 
     def sink(batch: DataFrame, n: int) -> None:
@@ -182,7 +189,7 @@ def multiline_stream(s: SparkSession, d: str) -> DataFrame:
     path = shared_path(s, "multiline")
     rows = log_view(s, d).selectExpr("cast(user_id % 50 as string) as peer", "event_id as n", "concat(case when event_id % 3 = 0 then '  at frame ' when event_id % 7 = 0 then 'at frame ' else 'line ' end, event_id) as line", "event_id * 10 + 1000 as ms")
     last = rows.groupBy("peer").agg(F.max("n").alias("n")).crossJoin(rows.agg(F.max("ms").alias("ms"))).select("peer", (F.col("n") + 1).alias("n"), F.lit("end").alias("line"), (F.col("ms") + 60_000).alias("ms"))
-    stream = file_stream(rows.unionByName(last).withColumn("t", F.timestamp_millis("ms")), "lines", "n", None).withWatermark("t", "0 seconds")
+    stream = file_stream(rows.unionByName(last).withColumn("t", F.timestamp_millis("ms")), "lines", "n", True).withWatermark("t", "0 seconds")
     joined = stream.groupBy("peer").transformWithStateInPandas(Runs(), "peer string, text string, parts int", "append", "EventTime")
     run_once(joined, None, path)
     return s.read.parquet(f"{path}/data").where("text <> 'end'")
@@ -295,7 +302,7 @@ def quota_stream(s: SparkSession, d: str, quota: float = 3.0) -> DataFrame:
     """Requests per source against its token bucket, in order of time within a batch."""
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = shared_path(s, "quota")
-    stream = file_stream(log_view(s, d).selectExpr("source_id", "event_uid", "cast(unix_seconds(cast(received_time as timestamp)) as double) as second", "cast(1 + event_id % 5 as double) as cost"), "requests", "second", None)
+    stream = file_stream(log_view(s, d).selectExpr("source_id", "event_uid", "cast(unix_seconds(cast(received_time as timestamp)) as double) as second", "cast(1 + event_id % 5 as double) as cost"), "requests", "second", True)
     admitted = stream.groupBy("source_id").transformWithStateInPandas(Bucket(quota), "source_id string, event_uid string, admitted boolean", "append", "None")
     run_once(admitted, None, path)
     return s.read.parquet(f"{path}/data").groupBy("source_id", "admitted").agg(F.count("*").alias("n"))
@@ -329,7 +336,7 @@ def burst_alert_stream(s: SparkSession, d: str, times: int = 3, seconds: int = 8
     """Alerts per user; the reset after an alert needs state."""
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = shared_path(s, "burst")
-    stream = file_stream(log_view(s, d).where("source_id = 'error'").selectExpr("user_id", "event_uid", "unix_seconds(cast(received_time as timestamp)) as second"), "failures", "second", None)
+    stream = file_stream(log_view(s, d).where("source_id = 'error'").selectExpr("user_id", "event_uid", "unix_seconds(cast(received_time as timestamp)) as second"), "failures", "second", True)
     run_once(stream.groupBy("user_id").transformWithStateInPandas(Burst(times, seconds), "user_id long, event_uid string", "append", "None"), None, path)
     return s.read.parquet(f"{path}/data")
 
