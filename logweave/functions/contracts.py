@@ -6,6 +6,7 @@ captures to paths, validate, assemble, and judge the tier. Nothing is shuffled a
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -198,6 +199,8 @@ ANY = Template("any", regex=r"^user=(?<user>\w+) (?<word>OK|FAILED) login (?<res
 FEW = Template("failed", regex=r"^user=(?<user>\w+) FAILED login from (?<src>\S+) via (?<via>\S+) attempts:(?<attempts>[0-2])$", class_uid=3002, required=("src_endpoint.ip",), activity_id=1)
 LOGIN, CANDIDATE, ONLY_OK = login_contract("login", FAILED, OK, ANY), login_contract("login", OK, FEW, ANY), login_contract("ok", OK)
 
+NAMED_HOST = replace(LOGIN, rows=(*LOGIN.rows, MapRow("device.hostname", "field", "syslog.host")))
+
 
 def own_lines(s: SparkSession, d: str) -> DataFrame:
     return log_view(s, d).selectExpr("event_uid", "line", "received_time", "'login' as contract")
@@ -221,7 +224,7 @@ QUERIES = {
     "tier_reasons": lambda s, d: _sent(s, d).groupBy("contract", "got_tier", "reason").agg(F.count("*").alias("n")),
     "validate_events": lambda s, d: _sent(s, d).unionByName(_login(s, d), allowMissingColumns=True).select("event_uid", "contract", F.array_join("errors", ",").alias("errors")),
     "assemble_event": lambda s, d: _sent(s, d).select("event_uid", "event.class_uid", "event.category_uid", "event.type_uid", "event.severity_id", F.sha2("event.message", 256).alias("message_sha"), F.when(F.col("template") == "json", F.col("event.time")).alias("time")),
-    "observables_of": lambda s, d: observables(_login(s, d), "event_uid"),
+    "observables_of": lambda s, d: observables(normalized(own_lines(s, d), (NAMED_HOST,)), "event_uid"),
     "unmapped_of": lambda s, d: _sent(s, d).select("event_uid", F.explode("unmapped").alias("name", "value")),
     "required_coverage": lambda s, d: required_coverage(_sent(s, d), CONTRACTS),
     "backtest": lambda s, d: backtest(own_lines(s, d), (LOGIN,), (CANDIDATE,)),
@@ -253,7 +256,8 @@ ORACLES = {
  select event_uid, contract, case when t = 'json' and event_id % 2 = 0 then 'status_id: not allowed' else '' end as errors from g union all select event_uid, 'login', errors from o""",
     "assemble_event": f"""{_TIERS} select event_uid, (case when t = 'json' then 4001 when t is null then 0 else 3002 end)::int as class_uid, (case when t = 'json' then 4 when t is null then 0 else 3 end)::int as category_uid, (case when t = 'json' then 400106 when t is null then 0 else 300201 end)::int as type_uid, 1::int as severity_id,
  sha256(case when k = 0 then concat('say "hé ', user_id, '" action=', case when event_id % 2 = 0 then 'deny' else 'allow' end, ' port=', event_id % 1000) when k in (1, 4) then body else line end) as message_sha, case when t = 'json' then (epoch(timestamp '2026-01-02 03:04:05')::bigint - 19800) * 1000 end as time from g""",
-    "observables_of": f"""{_P} select event_uid, 'ip_1' as name, src as value, 'from:src_endpoint.ip' as label from m where template <> 'any' union all select event_uid, 'user', concat('u', user_id), 'from:user.name' from m""",
+    "observables_of": f"""{_P} select event_uid, 'ip_1' as name, src as value, 'from:src_endpoint.ip' as label from m where template <> 'any' union all select event_uid, 'user', concat('u', user_id), 'from:user.name' from m
+ union all select event_uid, 'host_1', concat('host-', user_id % 20), 'from:device.hostname' from m""",
     "unmapped_of": f"""{LINES_SQL}, s as (select *, regexp_extract(logged, '^<([0-9]+)>', 1) as pri, case when event_id % 2 = 0 then 'deny' else 'allow' end as act from m), x as (
  select event_uid, unnest([{_SYSLOG}], recursive := true) from s where k in (1, 4) union all select event_uid, 'syslog.host', concat('host-', user_id % 20) from s where k = 1
  union all select event_uid, 'kv.user', concat('u', user_id) from s where k = 1
