@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,48 +24,67 @@ SCHEMA = "topic string, partition int, offset long, value string"
 FILE_LINES = 10_000
 
 
+TASK_LINES = 200_000  # lines that a task reads, of as many files as hold them
+
+
 @dataclass
-class Piece(InputPartition):
-    """The lines [first, last) of a file whose own first line has the offset `begin`."""
+class Pieces(InputPartition):
+    """Lines of files of one topic and partition: of each file its first offset, the one behind its last, and the offsets [first, last) to read."""
 
-    path: str
+    folder: str
     topic: str
     part: int
-    begin: int
-    first: int
-    last: int
+    files: list[tuple[int, int, int, int]]
+
+
+def _pack(files: list[tuple[str, str, int, int, int, int, int]]) -> list[Pieces]:
+    """Tasks from (folder, topic, partition, first offset, offset behind the last, first and last to read), so that small files don't make a task each."""
+    out: list[Pieces] = []
+    lines = 0
+    for folder, topic, part, a, b, first, last in files:
+        if not out or (out[-1].folder, out[-1].topic, out[-1].part) != (folder, topic, part) or lines + last - first > TASK_LINES:
+            out.append(Pieces(folder, topic, part, []))
+            lines = 0
+        out[-1].files.append((a, b, first, last))
+        lines += last - first
+    return out
+
+
+def _name(first: int, last: int) -> str:
+    return f"{first:020d}-{last:020d}.log"
 
 
 def _files(root: str) -> list[tuple[str, str, int, int, int]]:
-    """(path, topic, partition, first offset, offset behind the last) of all files; names tell the offsets, so none is opened."""
+    """(folder, topic, partition, first offset, offset behind the last) of all files; names tell the offsets, so none is opened."""
     system, path = fs.FileSystem.from_uri(root)
     out = []
     for info in system.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True)):
         parts = info.path.split("/")
         if info.is_file and parts[-1].endswith(".log"):
             first, _, last = parts[-1].removesuffix(".log").partition("-")
-            out.append((info.path, parts[-3], int(parts[-2]), int(first), int(last)))
+            out.append(("/".join(parts[:-1]), parts[-3], int(parts[-2]), int(first), int(last)))
     return sorted(out, key=lambda f: f[1:])
 
 
-def _lines(root: str, piece: Piece | None) -> Iterator[tuple]:
-    if piece is None:  # no file at all
+def _lines(root: str, pieces: Pieces | None) -> Iterator[tuple]:
+    if pieces is None:  # no file at all
         return
     system, _ = fs.FileSystem.from_uri(root)
-    with system.open_input_stream(piece.path) as stream:
-        lines = stream.read().decode("utf-8", "replace").split("\n")
-    for n in range(piece.first - piece.begin, piece.last - piece.begin):
-        yield piece.topic, piece.part, piece.begin + n, lines[n]
+    for a, b, first, last in pieces.files:
+        with system.open_input_stream(f"{pieces.folder}/{_name(a, b)}") as stream:
+            lines = stream.read().decode("utf-8", "replace").split("\n")
+        for n in range(first - a, last - a):
+            yield pieces.topic, pieces.part, a + n, lines[n]
 
 
 class _Batch(DataSourceReader):
     def __init__(self, root: str, topics: set[str] | None):
         self.root, self.topics = root, topics
 
-    def partitions(self) -> list[Piece]:
-        return [Piece(p, t, n, a, a, b) for p, t, n, a, b in _files(self.root) if self.topics is None or t in self.topics]
+    def partitions(self) -> list[Pieces]:
+        return _pack([(p, t, n, a, b, a, b) for p, t, n, a, b in _files(self.root) if self.topics is None or t in self.topics])
 
-    def read(self, partition: Piece) -> Iterator[tuple]:
+    def read(self, partition: Pieces) -> Iterator[tuple]:
         return _lines(self.root, partition)
 
 
@@ -84,16 +104,16 @@ class _Stream(DataSourceStreamReader):
                 upto[f"{topic}/{part}"] = max(last, upto.get(f"{topic}/{part}", 0))
         return upto
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
+    def partitions(self, start: dict, end: dict) -> list[Pieces]:
         out = []
         for path, topic, part, a, b in _files(self.root):
             key = f"{topic}/{part}"
             first, last = max(a, start.get(key, 0)), min(b, end.get(key, 0))
             if first < last:
-                out.append(Piece(path, topic, part, a, first, last))
-        return out
+                out.append((path, topic, part, a, b, first, last))
+        return _pack(out)
 
-    def read(self, partition: Piece) -> Iterator[tuple]:
+    def read(self, partition: Pieces) -> Iterator[tuple]:
         return _lines(self.root, partition)
 
 
@@ -101,7 +121,7 @@ class TopicFolder(DataSource):
     """Folders <root>/<topic>/<partition>/ of files <first offset>-<offset behind the last>.log, a line a record.
 
     Batch and stream give topic, partition, offset and value. Options: path (any store that Arrow opens), and
-    topics, a list with commas (all if not given). Each file is a task; a missing or empty root gives no rows.
+    topics, a list with commas (all if not given). A task reads files of about TASK_LINES lines; a missing or empty root gives no rows.
     """
 
     @classmethod
@@ -131,20 +151,27 @@ def write_topics(rows: DataFrame, root: str, begin: dict[str, int] | None = None
     keyed = rows.select(F.concat_ws("/", "topic", F.col("part").cast("string")).alias("k"), "ord", F.regexp_replace(F.coalesce("value", F.lit("")), "\n", " ").alias("value"))
     placed = ranked(keyed, "k", ["ord"], F.lit(0), F.lit(0))
     start = F.coalesce(F.create_map(*[F.lit(x) for pair in begin.items() for x in pair])[F.col("k")], F.lit(0)) if begin else F.lit(0)
-    numbered = placed.select("k", (F.col("__pos") + start).cast("long").alias("offset"), F.floor(F.col("__pos") / lines).alias("block"), "value")
+    blocks = max(1, TASK_LINES // lines)  # files that one call writes
+    numbered = placed.select("k", (F.col("__pos") + start).cast("long").alias("offset"), F.floor(F.col("__pos") / lines).alias("block"), "value").withColumn("run", F.floor(F.col("block") / blocks))
 
     def write(part: pa.Table) -> pa.Table:
         part = part.sort_by("offset")
         system, path = fs.FileSystem.from_uri(root)
-        k, offsets = part.column("k")[0].as_py(), part.column("offset").to_pylist()
+        k, offsets, at, values = part.column("k")[0].as_py(), part.column("offset").to_pylist(), part.column("block").to_pylist(), part.column("value").to_pylist()
         system.create_dir(f"{path}/{k}", recursive=True)
-        name = f"{path}/{k}/{offsets[0]:020d}-{offsets[-1] + 1:020d}.log"
-        with system.open_output_stream(f"{name}.part") as out:
-            out.write("\n".join(part.column("value").to_pylist()).encode())
-        system.move(f"{name}.part", name)
-        return pa.table({"file": [name], "n": pa.array([len(offsets)], pa.int64())})
-
-    return numbered.groupBy("k", "block").applyInArrow(write, "file string, n long")
+        names, sizes, begin = [], [], 0
+        while begin < len(at):
+            end = bisect_right(at, at[begin], begin)
+            name = f"{path}/{k}/{_name(offsets[begin], offsets[end - 1] + 1)}"
+            with system.open_output_stream(f"{name}.part") as out:
+                out.write("\n".join(values[begin:end]).encode())
+            system.move(f"{name}.part", name)
+            names.append(name)
+            sizes.append(end - begin)
+            begin = end
+        return pa.table({"file": names, "n": pa.array(sizes, pa.int64())})
+
+    return numbered.groupBy("k", "run").applyInArrow(write, "file string, n long")
 
 
 # --- push batches
