@@ -151,16 +151,22 @@ def drift_groups(dlq: DataFrame, samples: int = 5) -> DataFrame:
     return groups.join(kept, ["source_id", "sig"])
 
 
-def sample_shape_groups(tokens: DataFrame, key: str) -> DataFrame:
-    """Lines by the shape of their tokens: kinds, and the text of words."""
-    part = F.when(F.col("kind") == "word", F.col("value")).otherwise(F.concat(F.lit("<"), "kind", F.lit(">")))
-    shape = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", part.alias("p")))), lambda x: x["p"]), " ")
-    return tokens.groupBy(key).agg(shape.alias("shape"))
+def shaped_tokens(tokens: DataFrame, key: str) -> DataFrame:
+    """Tokens with the shape of their line (kinds, and the text of words), the value of the token before and whether the token is the line's first. One shuffle gathers a line's tokens."""
+    part = lambda x: F.when(x["kind"] == "word", x["value"]).otherwise(F.concat(F.lit("<"), x["kind"], F.lit(">")))
+    lines = tokens.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", "kind", "value"))).alias("__t"))
+    listed = F.transform("__t", lambda x, i: F.struct(x["ord"].alias("ord"), x["kind"].alias("kind"), x["value"].alias("value"), F.get("__t", i - 1)["value"].alias("before"), (i == 0).alias("first")))
+    return lines.select(key, F.array_join(F.transform("__t", part), " ").alias("shape"), F.inline(listed))
 
 
-def variable_positions(tokens: DataFrame, shapes: DataFrame, key: str) -> DataFrame:
+def sample_shape_groups(shaped: DataFrame, key: str) -> DataFrame:
+    """Lines by the shape of their tokens."""
+    return shaped.where("first").select(key, "shape")
+
+
+def variable_positions(shaped: DataFrame) -> DataFrame:
     """Which token positions vary within a group of one shape; values always do."""
-    return tokens.join(shapes, key).groupBy("shape", "ord").agg((F.bool_or(F.col("kind") != "word") | (F.count_distinct("value") > 1)).alias("varies"), F.min("value").alias("value"))
+    return shaped.groupBy("shape", "ord").agg((F.bool_or(F.col("kind") != "word") | (F.min("value") != F.max("value"))).alias("varies"), F.min("value").alias("value"))
 
 
 def display_template(positions: DataFrame) -> DataFrame:
@@ -169,16 +175,15 @@ def display_template(positions: DataFrame) -> DataFrame:
     return positions.groupBy("shape").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", text.alias("t")))), lambda x: x["t"]), " ").alias("template"))
 
 
-def suggest_fields(tokens: DataFrame, shapes: DataFrame, key: str) -> DataFrame:
+def suggest_fields(shaped: DataFrame) -> DataFrame:
     """What a token probably is, from the word before it."""
-    before = F.lower(F.lag("value").over(Window.partitionBy(key).orderBy("ord")))
+    before = F.lower("before")
     path = (
         F.when((F.col("kind") == "ip") & before.isin("from", "src"), "src_endpoint.ip").when((F.col("kind") == "ip") & before.isin("to", "dst", "via"), "dst_endpoint.ip")
         .when(F.col("kind") == "user", "user.name").when(F.col("kind") == "port", "src_endpoint.port")
         .when((F.col("kind") == "word") & F.lower("value").isin(*BAD_WORDS), "status_id:2").when((F.col("kind") == "word") & F.lower("value").isin("ok", "success", "accepted", "succeeded"), "status_id:1")
     )
-    found = tokens.withColumn("path", path).where(F.col("path").isNotNull()).join(shapes, key)
-    return found.groupBy("shape", "ord", "path").agg(F.count("*").alias("n"))
+    return shaped.withColumn("path", path).where(F.col("path").isNotNull()).groupBy("shape", "ord", "path").agg(F.count("*").alias("n"))
 
 
 def generalize_groups(positions: DataFrame, suggested: DataFrame) -> DataFrame:
@@ -224,24 +229,17 @@ def _dlq(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tokens(s: SparkSession, d: str) -> DataFrame:
-    """Stored once: the queries below read it several times."""
+    """Stored once: for queries that read it several times."""
     return stored(token_table(parsed(s, d), "event_uid", "body"), "tokens")
 
 
-def _shapes(tokens: DataFrame) -> DataFrame:
-    return sample_shape_groups(tokens, "event_uid")
-
-
-def _positions(tokens: DataFrame) -> DataFrame:
-    return variable_positions(tokens, _shapes(tokens), "event_uid")
-
-
-def _suggested(tokens: DataFrame) -> DataFrame:
-    return suggest_fields(tokens, _shapes(tokens), "event_uid")
+def _shaped(s: SparkSession, d: str) -> DataFrame:
+    return shaped_tokens(token_table(parsed(s, d), "event_uid", "body"), "event_uid")
 
 
-def _generalized(tokens: DataFrame) -> DataFrame:
-    return generalize_groups(_positions(tokens), _suggested(tokens))
+def _generalized(s: SparkSession, d: str) -> DataFrame:
+    shaped = shaped_tokens(_tokens(s, d), "event_uid")
+    return generalize_groups(variable_positions(shaped), suggest_fields(shaped))
 
 
 _KINDS = """concat(case event_id % 8 when 0 then 'id 3f2504e0-4f89-11d3-9a0c-0305e82c3301' when 1 then 'see https://x.org/a?b=1' when 2 then 'mail a.b@c.org' when 3 then 'at 2026-09-26T14:05:11Z' when 4 then 'to fe80::1:2'
@@ -253,11 +251,11 @@ QUERIES = {
     "generic_extract": lambda s, d: generic_extract(_tokens(s, d), "event_uid"),
     "tier3_events": lambda s, d: tier3_events(log_view(s, d).selectExpr("event_uid", "received_time", "concat('2026-01-02 03:04:05 sudo denied for user u', user_id) as line"), "event_uid", "line", "received_time").withColumn("event_time", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss")),
     "drift_groups": lambda s, d: drift_groups(_dlq(s, d)),
-    "sample_shape_groups": lambda s, d: _shapes(_tokens(s, d)).groupBy("shape").agg(F.count("*").alias("n")),
-    "variable_positions": lambda s, d: _positions(_tokens(s, d)).select("shape", "ord", "varies"),
-    "display_template": lambda s, d: display_template(_positions(_tokens(s, d))),
-    "suggest_fields": lambda s, d: _suggested(_tokens(s, d)),
-    "generalize_groups": lambda s, d: _generalized(_tokens(s, d)),
+    "sample_shape_groups": lambda s, d: sample_shape_groups(_shaped(s, d), "event_uid").groupBy("shape").agg(F.count("*").alias("n")),
+    "variable_positions": lambda s, d: variable_positions(_shaped(s, d)).select("shape", "ord", "varies"),
+    "display_template": lambda s, d: display_template(variable_positions(_shaped(s, d))),
+    "suggest_fields": lambda s, d: suggest_fields(_shaped(s, d)),
+    "generalize_groups": lambda s, d: _generalized(s, d),
     "mine_templates": lambda s, d: mine_templates(parsed(s, d), "source_id", "body"),
     "diff_tables": lambda s, d: diff_tables(log_view(s, d).select("event_uid", "tier", "source_id"), log_view(s, d).selectExpr("event_uid", "case when event_id % 7 = 0 then 9 else tier end as tier", "case when event_id % 11 = 0 then null else source_id end as source_id"), "event_uid", ["tier", "source_id"]),
 }
