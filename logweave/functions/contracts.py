@@ -24,14 +24,18 @@ WHOLE = ("time", "severity_id", "status_id", "disposition_id", "action_id", "src
 
 def validate_events(mapped: DataFrame) -> DataFrame:
     """Mapped rows with errors: an unknown class, an activity that the class hasn't, a value outside its enumeration, a text where a whole number belongs. Rows without a template have none."""
-    value = lambda path: F.try_element_at("values", F.lit(path))
+    paths = [*dict.fromkeys([*ENUMS, *WHOLE])]  # each is looked up and read as a number once
+    texts = mapped.withColumn("__texts", held(F.struct(*[F.try_element_at("values", F.lit(p)).alias(f"p{i}") for i, p in enumerate(paths)])))
+    looked = texts.withColumn("__numbers", held(F.struct(*[F.col(f"__texts.p{i}").try_cast("long").alias(f"p{i}") for i in range(len(paths))])))
+    text, number = ({p: F.col(f"{name}.p{i}") for i, p in enumerate(paths)} for name in ("__texts", "__numbers"))
     known = F.col("class_uid").isin(*ACTIVITIES)
     pairs = reduce(lambda a, b: a | b, [(F.col("class_uid") == c) & F.coalesce("activity_id", F.lit(0)).isin(0, 99, *own) for c, own in ACTIVITIES.items()])
     broken = {"class_uid: unknown": ~known, "activity_id: not of the class": known & ~pairs}
-    broken |= {f"{p}: not allowed": value(p).try_cast("long").isNotNull() & ~value(p).try_cast("long").isin(*allowed) for p, allowed in ENUMS.items()}
-    broken |= {f"{p}: not a number": value(p).isNotNull() & value(p).try_cast("long").isNull() for p in WHOLE}
-    found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in broken.items()]))
-    return mapped.withColumn("errors", held(F.when(F.col("template").isNotNull(), found).otherwise(F.array().cast("array<string>"))))
+    broken |= {f"{p}: not allowed": number[p].isNotNull() & ~number[p].isin(*allowed) for p, allowed in ENUMS.items()}
+    broken |= {f"{p}: not a number": text[p].isNotNull() & number[p].isNull() for p in WHOLE}
+    found = F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in broken.items()])
+    listed = looked.withColumn("__found", held(F.when(F.col("template").isNotNull(), found).otherwise(F.array().cast("array<string>"))))
+    return listed.withColumn("errors", held(F.array_compact("__found"))).drop("__found", "__texts", "__numbers")
 
 
 def assemble_event(mapped: DataFrame, text: str = "text", received: str = "received_time") -> DataFrame:
@@ -77,7 +81,12 @@ def assign_tier(validated: DataFrame, contracts: tuple[Contract, ...], contract:
 
 def normalized(lines: DataFrame, contracts: tuple[Contract, ...], contract: str = "contract", line: str = "line", received: str = "received_time", lossy: str | None = None) -> DataFrame:
     """The whole chain: lines with all columns of its steps up to event, unmapped and got_tier. An empty table stays empty; null lines are tier 4."""
-    mapped = map_rows(extract_by_template(peel_by_contract(lines, contracts, contract, line), contracts, contract), contracts, contract, line, received=received)
+    return judged(peel_by_contract(lines, contracts, contract, line), contracts, contract, line, received, lossy)
+
+
+def judged(peeled: DataFrame, contracts: tuple[Contract, ...], contract: str = "contract", line: str = "line", received: str = "received_time", lossy: str | None = None) -> DataFrame:
+    """What comes in the chain behind the peeling."""
+    mapped = map_rows(extract_by_template(peeled, contracts, contract), contracts, contract, line, received=received)
     return assign_tier(unmapped_of(assemble_event(validate_events(mapped), received=received)), contracts, contract, line, lossy)
 
 
@@ -105,12 +114,14 @@ def required_coverage(mapped: DataFrame, contracts: tuple[Contract, ...], contra
 
 
 def both_ways(lines: DataFrame, active: tuple[Contract, ...], candidate: tuple[Contract, ...], **columns: str) -> DataFrame:
-    """lines with before and after, structs of got_tier and paths under two sets of contracts: one pass, no join."""
-    out = lines
+    """lines with before and after, structs of got_tier and paths under two sets of contracts: one pass, no join. They are peeled once if the sets have the same layers for the same contracts."""
+    layers = [{c.id: c.layers for c in contracts} for contracts in (active, candidate)]
+    once = all(layers[0][x] == layers[1][x] for x in layers[0].keys() & layers[1].keys()) and [*map(len, layers)] == [len(active), len(candidate)]
+    out = peel_by_contract(lines, (*active, *[c for c in candidate if c.id not in layers[0]]), **{k: v for k, v in columns.items() if k in ("contract", "line")}) if once else lines
     for name, contracts in (("before", active), ("after", candidate)):
-        got = normalized(out, contracts, **columns)
+        got = judged(out, contracts, **columns) if once else normalized(out, contracts, **columns)
         out = got.select(*[F.col(c) for c in out.columns], held(F.struct("got_tier", F.map_keys("values").alias("paths"))).alias(name))
-    return out
+    return out.select(*lines.columns, "before", "after")
 
 
 def tier_change() -> Column:
