@@ -152,11 +152,16 @@ def backtest_examples(lines: DataFrame, active: tuple[Contract, ...], candidate:
 
 
 def library_match(lines: DataFrame, packs: dict[str, Contract], line: str = "line", received: str = "received_time", least: float = 0.8) -> DataFrame:
-    """The share of lines that each pack takes to tier 1 and 2, best first; matched from `least` on. All packs judge a line in one pass over the table."""
+    """The share of lines that each pack takes to tier 1 and 2, best first; matched from `least` on. All packs judge a line in one pass over the table; packs with the same layers share the peeling."""
     out = lines.select(line, received)
-    for i, contract in enumerate(packs.values()):
-        got = normalized(out.withColumn("__pack", F.lit(contract.id)), (contract,), "__pack", line, received)
-        out = got.select(*[F.col(c) for c in out.columns], F.col("got_tier").alias(f"__t{i}"))
+    for layers in {repr(c.layers): c.layers for c in packs.values()}.values():
+        kept = out.columns
+        out = peel_by_contract(out.withColumn("__pack", F.lit("")), (Contract("", layers),), "__pack", line)
+        for i, contract in enumerate(packs.values()):
+            if contract.layers == layers:
+                got = judged(out.withColumn("__pack", F.lit(contract.id)), (contract,), "__pack", line, received)
+                out, kept = got.select(*[F.col(c) for c in out.columns], F.col("got_tier").alias(f"__t{i}")), [*kept, f"__t{i}"]
+        out = out.select(*kept)
     one = out.agg(*[F.avg((F.col(f"__t{i}") == t).cast("double")).alias(f"__a{i}{t}") for i in range(len(packs)) for t in (1, 2)])
     rows = F.inline(F.array(*[F.struct(F.lit(n).alias("pack"), F.col(f"__a{i}1").alias("tier1"), F.col(f"__a{i}2").alias("tier2")) for i, n in enumerate(packs)]))
     return one.select(rows).withColumn("matched", F.col("tier1") + F.col("tier2") >= least).orderBy(F.desc("tier1"), F.desc("tier2"), "pack")

@@ -41,6 +41,15 @@ def test_sets_of_the_same_layers_are_peeled_once(spark):
         assert got == [judged_apart(lines, before), judged_apart(lines, after)]
 
 
+def test_packs_of_the_same_layers_share_the_peeling(spark):
+    lines = lines_of(spark)
+    bare = replace(c.ONLY_OK, id="bare", layers=())
+    got = {r["pack"]: (r["tier1"], r["tier2"]) for r in c.library_match(lines, {"full": c.LOGIN, "bare": bare, "ok": c.ONLY_OK}).collect()}
+    for name, contract in (("full", c.LOGIN), ("bare", bare), ("ok", c.ONLY_OK)):
+        tiers = [t for t, _ in judged_apart(lines.withColumn("contract", F.lit(contract.id)).withColumn("n", F.monotonically_increasing_id()), (contract,)).values()]
+        assert got[name] == (tiers.count(1) / len(tiers), tiers.count(2) / len(tiers))
+
+
 def test_places_are_made_only_where_they_are_asked_for(spark):
     got = c.normalized(lines_of(spark), (c.LOGIN,))
     assert "octet_length" not in plan_of(got.select("n", "values", "got_tier")) and "__at" not in plan_of(got.select("n", "values", "got_tier"))
