@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import Scratch, possibly, release
+from logweave.llm.common import Scratch, possibly
 
 HUBS = 4  # of a bucket in one round
 ROUNDS = 3
@@ -53,7 +53,7 @@ def union_find(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
         links = links.where("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct()
         links = scratch.save(links, f"{tag}-links{n}")
         scratch.drop(*(f"{tag}-{name}" for name in (f"links{n - 1}", f"roots{n - 1}", f"hooks{n}-{jump}")))
-    release(scratch.spark)
+    scratch.release()
     return roots
 
 

@@ -90,3 +90,22 @@ def test_run_on_empty_tables(spark, tmp_path):
     for name, kinds in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, toxic int")):
         spark.createDataFrame([], kinds).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_an_operator_frees_the_driver_while_it_runs(spark, monkeypatch):
+    from logweave.llm import common
+
+    freed = []
+    monkeypatch.setattr(common, "release", lambda s: freed.append(s))
+    scratch = common.Scratch(spark, "freed")
+    used = [0]
+    monkeypatch.setattr(common, "heap", lambda s: (used[0], 800))
+    scratch.release()
+    freed.clear()
+    scratch.save(spark.range(3), "little")
+    assert not freed
+    used[0] = 101  # more than an eighth since the last time
+    scratch.save(spark.range(3), "much")
+    assert len(freed) == 1
+    scratch.save(spark.range(3), "again")
+    assert len(freed) == 1
