@@ -183,3 +183,19 @@ def test_push_batches(spark):
     rows = [(1, '{"a":1}{"b":{"z":1,"a":2}} [3]'), (2, '{"a":1}{oops'), (3, None), (4, "")]
     got = sorted((r.k, r.n, r.event, r.reject) for r in ingest.explode_push_batches(spark.createDataFrame(rows, "k long, body string"), "k", "body").collect())
     assert got == [(1, 0, '{"a":1}', None), (1, 1, '{"b":{"a":2,"z":1}}', None), (1, 2, "[3]", None), (2, 0, '{"a":1}', None), (2, 1, None, "malformed")]
+
+
+def test_json_layer_as_arrow():
+    """Columns of a batch at once: null and broken texts, scalars without strings, escapes, an empty batch."""
+    from logweave.functions.layers import json_scan, layer_array
+
+    texts = [None, '{"a":', '{"a":[1,{"b":"x"}]}', '{"m":"q\\"é\\u00e9","n":null} tail', "{}", '{"m":""}']
+    rows = [None if t is None else json_scan(t, "m") for t in texts]
+    got = layer_array(rows).to_pylist()
+    for row, made in zip(rows, got, strict=True):
+        want = row or {"entries": None, "text": None, "cuts": None}
+        assert made["text"] == want["text"]
+        assert made["entries"] == (None if row is None else [dict(zip("kvse", x)) for x in want["entries"]])
+        assert made["cuts"] == (None if want["cuts"] is None else [{"at": a, "src": b} for a, b in want["cuts"]])
+    assert [r["entries"] is None for r in got] == [True, True, False, False, False, False]
+    assert got[3]["text"] == 'q"éé' and len(layer_array([])) == 0 and layer_array([None])[0]["entries"].as_py() is None
