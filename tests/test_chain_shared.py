@@ -54,3 +54,21 @@ def test_places_are_made_only_where_they_are_asked_for(spark):
     got = c.normalized(lines_of(spark), (c.LOGIN,))
     assert "octet_length" not in plan_of(got.select("n", "values", "got_tier")) and "__at" not in plan_of(got.select("n", "values", "got_tier"))
     assert "octet_length" in plan_of(got.select("n", "located"))
+
+
+def test_lines_without_a_contract_get_places_only_if_asked_for(spark):
+    from logweave.functions import layers
+
+    lines = spark.createDataFrame([('<13>Jan 01 00:00:00 h a: {"id":7,"s":"k=1 j=2 k=3"} b=5',)], "line string")
+    calls, kv = [], layers.LAYERS["kv"]
+    layers.LAYERS["kv"] = lambda text, given: calls.append(1) or kv(text, given)
+    try:
+        got = layers.peel_auto(lines)
+    finally:
+        layers.LAYERS["kv"] = kv
+    assert len(calls) == 1  # an expression for all steps
+    plans = [plan_of(got.select(*asked)) for asked in (("spans",), ("parse_path", F.size("fields")))]
+    assert [("__s_places" in p, "__s_offsets" in p) for p in plans] == [(True, True), (False, False)]
+    row = got.first()
+    assert row["parse_path"] == "auto:syslog>json>kv" and row["fields"]["kv.k"] == "3" and row["fields"]["kv.b"] == "5"
+    assert all(row["line"][p["start"] : p["end"]] == row["fields"][k] for k, p in row["spans"].items()) and {"kv.k", "kv.j", "kv.b", "json.id"} <= set(row["spans"])
